@@ -4,20 +4,24 @@ from __future__ import annotations
 
 from .chat import OP8_SQL, op8_chat_formatting
 from .fingerprint import op9_document_fingerprints
+from .language import op10_language_id
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import op2_mixing
 from .simhash import op5_simhash
 from .token_files import op3_token_files
+from .toxicity import op1_toxicity
 
 QUERIES = {
     q.__name__: q
     for q in (
+        op1_toxicity,
         op2_mixing,
         op3_token_files,
         op5_simhash,
         op6_line_dedup,
         op8_chat_formatting,
         op9_document_fingerprints,
+        op10_language_id,
     )
 }
 
