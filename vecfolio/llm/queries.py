@@ -7,6 +7,7 @@ from .fingerprint import op9_document_fingerprints
 from .language import op10_language_id
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import op2_mixing
+from .pieces import op4_sentencepiece
 from .simhash import op5_simhash
 from .token_files import op3_token_files
 from .toxicity import op1_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
         op1_toxicity,
         op2_mixing,
         op3_token_files,
+        op4_sentencepiece,
         op5_simhash,
         op6_line_dedup,
         op8_chat_formatting,
