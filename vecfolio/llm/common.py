@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +45,35 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def per_worker(key: tuple, make: Callable):
+    """What ``make`` returns, made once in a Python worker process and kept for its later tasks.
+
+    Functions travel by value, so their own modules don't outlive a task.
+    """
+    name = "vecfolio_worker"
+    kept = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
+class WordCache:
+    """Bounded memory of words: two generations, the older dropped when the younger is full."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size // 2, {}, {}
+
+    def get(self, word):
+        found = self.young.get(word)
+        if found is None:
+            found = self.old.get(word)
+            if found is not None:
+                self.put(word, found)
+        return found
+
+    def put(self, word, value) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[word] = value

@@ -21,14 +21,13 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, per_worker, table
 
 ORDER = 3
 SPACE = 1 << 15
@@ -48,9 +47,8 @@ class LanguageModel:
     temperature: float = 1.0
 
 
-@lru_cache(1)
 def _letters() -> np.ndarray:
-    return np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    return per_worker(("letters",), lambda: np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1))
 
 
 def counts(text: str | None, letters: np.ndarray) -> np.ndarray | None:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import WordCache, per_worker, table
 
 BLANK = "▁"
 CACHED_WORDS = 500_000
@@ -77,7 +77,7 @@ class PieceCodec:
         self.inner = {p[i : i + 2] for p in self.vocabulary for i in range(len(p) - 1)}
         self.halves: dict[str, tuple[str, str] | None] = {}
         self.joins: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.known = WordCache(CACHED_WORDS)
 
     # --- merge ranks
 
@@ -235,16 +235,13 @@ class PieceCodec:
             pieces = self.short(word) if self.bpe and len(word) <= CACHED_LENGTH else self.stream(word)
             ids = b"".join([i.to_bytes(4, "little") for p in pieces for i in self._ids(p)])
         if len(word) <= CACHED_LENGTH:
-            if len(self.known) >= CACHED_WORDS:
-                self.known.clear()
-            self.known[word] = ids
+            self.known.put(word, ids)
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text."""
-        known = self.known
         words = self.words.findall(self.library.normalize(text or ""))
-        return np.frombuffer(b"".join([known.get(w) or self._word(w) for w in words]), "<i4")
+        return np.frombuffer(b"".join([i or self._word(w) for w, i in zip(words, map(self.known.get, words))]), "<i4")
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that aren't UTF-8 become replacement characters."""
@@ -257,7 +254,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model_path)
+        codec = per_worker(("pieces", model_path), lambda: PieceCodec(model_path))
         for batch in batches:
             # a few documents at a time, as ids take more room than text
             for at in range(0, batch.num_rows, 500):

@@ -26,10 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, shuffle_partitions, table
+from .common import WordCache, per_worker, scratch, shuffle_partitions, table
 
 BLOCK_IDS = 65_536
-#: Distinct words that a Python worker keeps ids of; beyond, it starts anew.
+#: Distinct words that a Python worker keeps ids of.
 CACHED_WORDS = 800_000
 #: Marks that may close a word of letters.
 MARKS = ".,;:!?"
@@ -73,7 +73,7 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
     vocabulary = tokenizer.get_vocab(with_added_tokens=True)
     ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
     ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-    known: dict[bytes, bytes] = {}
+    known = WordCache(CACHED_WORDS)
 
     def alone(words: list[str]) -> list[bytes]:
         found = tokenizer.encode_batch_fast(words, add_special_tokens=False)
@@ -89,33 +89,40 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
 
     marks = dict(zip(MARKS, alone(list(MARKS))))
 
-    def learn(words: set[bytes]) -> None:
-        letters: dict[str, None] = {}
+    def learn(words: set[bytes]) -> dict[bytes, bytes]:
+        found: dict[bytes, bytes] = {}
+        letters: dict[bytes, str] = {}
         marked, others = [], []
         for w in words:
             s = w.decode()
             core, mark = (s[:-1], s[-1]) if s[-1] in marks else (s, "")
-            if core.isalpha() and core.lower().isalpha() and unicodedata.is_normalized("NFC", core):
-                if core.encode() not in known:
-                    letters[core] = None
+            if core.isalpha() and (core.isascii() or core.lower().isalpha() and unicodedata.is_normalized("NFC", core)):
+                key = w[:-1] if mark else w
                 if mark:
-                    marked.append((w, core.encode(), mark))
+                    marked.append((w, key, mark))
+                    seen = known.get(key)
+                    if seen:
+                        found[key] = seen
+                        continue
+                letters[key] = core
             else:
                 others.append(s)
-        for group, encoded in ((list(letters), together), (others, alone)):
-            if group:
-                known.update(zip([s.encode() for s in group], encoded(group)))
-        known.update((w, known[core] + marks[mark]) for w, core, mark in marked)
+        if letters:
+            found.update(zip(letters, together(list(letters.values()))))
+        if others:
+            found.update(zip([s.encode() for s in others], alone(others)))
+        found.update([(w, found[key] + marks[mark]) for w, key, mark in marked])
+        for w, ids in found.items():
+            known.put(w, ids)
+        return found
 
     def encode(text: str) -> bytes:
         words = text.encode().split()
-        new = {w for w in words if w not in known}
-        if new:
-            if len(known) + 2 * len(new) > CACHED_WORDS:
-                known.clear()
-                new = set(words)
-            learn(new)
-        return b"".join(map(known.__getitem__, words))
+        ids = list(map(known.get, words))
+        if None in ids:
+            new = learn({w for w, i in zip(words, ids) if i is None})
+            ids = [new[w] if i is None else i for w, i in zip(words, ids)]
+        return b"".join(ids)
 
     return encode
 
@@ -238,5 +245,5 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, name = scratch(spark), public_tokenizers.path("word_bpe_49k.json")
     size = Tokenizer.from_file(name).get_vocab_size(with_added_tokens=True)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    write_token_files(docs, path, lambda: word_encoder(name), size, end_id=2)
+    write_token_files(docs, path, lambda: per_worker(("words", name), lambda: word_encoder(name)), size, end_id=2)
     return read_digests(spark, path)
