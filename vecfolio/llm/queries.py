@@ -7,6 +7,7 @@ from .fingerprint import op9_document_fingerprints
 from .language import op10_language_id
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import op2_mixing
+from .neighbours import op7_nearest_neighbours
 from .pieces import op4_sentencepiece
 from .simhash import op5_simhash
 from .token_files import op3_token_files
@@ -21,6 +22,7 @@ QUERIES = {
         op4_sentencepiece,
         op5_simhash,
         op6_line_dedup,
+        op7_nearest_neighbours,
         op8_chat_formatting,
         op9_document_fingerprints,
         op10_language_id,
