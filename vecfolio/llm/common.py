@@ -38,6 +38,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, needed: list[str]) -> DataFrame:
+    """The needed columns and the others as one struct ``_rest``, so that no other name can clash."""
+    others = [c for c in docs.columns if c not in needed]
+    return docs.select(*needed, F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(0).alias("none")]).alias("_rest"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], needed: list[str], made: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of the packed frame in their order, then those made; one of the same name gives way."""
+    kept = [F.col(c) if c in needed else F.col("_rest")[c].alias(c) for c in columns if c not in made]
+    return rows.select(*kept, *made)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

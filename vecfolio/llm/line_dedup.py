@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, packed, table, unpacked
 
 LONG_LINE = 50
 #: The rolling hash ends a chunk if its first hex digit is below this.
@@ -91,7 +91,8 @@ def removed_lines(docs: DataFrame, long_line: int = LONG_LINE) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, long_line: int = LONG_LINE) -> DataFrame:
     """``docs`` with repeated chunks removed from text, and a column ``n_removed``."""
-    keyed = docs.withColumn("row_hash", F.xxhash64(*docs.columns))
+    need = ["doc_id", "text"]
+    keyed = packed(docs, need).withColumn("row_hash", F.xxhash64(*need, "_rest"))
     gone = removed_lines(keyed.select("doc_id", "row_hash", "text"), long_line).withColumnRenamed("doc_id", "_id")
     met = keyed.join(gone, (keyed["row_hash"] == gone["row_hash"]) & keyed["doc_id"].eqNullSafe(gone["_id"]), "left").drop(
         keyed["row_hash"]
@@ -100,7 +101,7 @@ def dedup_lines(docs: DataFrame, long_line: int = LONG_LINE) -> DataFrame:
     kept = F.expr(r"array_join(transform(array_except(sequence(0, size(_lines) - 1), removed), i -> _lines[i]), '\n')")
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
     out = with_lines.withColumn("text", text).withColumn("n_removed", F.coalesce("n_removed", F.lit(0)).cast("long"))
-    return out.select(*docs.columns, "n_removed")
+    return unpacked(out, docs.columns, need, ("n_removed",))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, shuffle_partitions, table
+from .common import WORD, materialise, packed, shuffle_partitions, table, unpacked
 
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
@@ -173,6 +173,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Its text is what the pass took, in order; all of the text if it took all
     words. n_chars, where there is one, is that text's length.
     """
+    need = ["doc_id", "source", "text"] + ["n_chars"] * ("n_chars" in docs.columns)
+    columns, docs = docs.columns, packed(docs, need)
     where, plan = _prepared(docs)
     row = ["source_ix", "bucket", "rank", "doc_id", "row_hash", "size"]
     took = (
@@ -196,7 +198,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     met = met.withColumn("text", F.when(F.col("got") == F.col("size"), F.col("text")).otherwise(some))
     if "n_chars" in docs.columns:
         met = met.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return met.select(*docs.columns)
+    return unpacked(met, columns, need)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, per_worker, table
+from .common import WordCache, packed, per_worker, table, unpacked
 
 BLANK = "▁"
 CACHED_WORDS = 500_000
@@ -250,7 +250,8 @@ class PieceCodec:
 
 
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
-    """``docs`` with ``ids`` (array of int) of their texts, and whether decoding gives the text again."""
+    """``docs`` with ``ids`` (array of int) of their texts, and ``round_trip``: whether decoding gives the text again."""
+    columns, docs = docs.columns, packed(docs, ["text"])
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +273,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
                 )
 
     schema = docs.limit(0).withColumn("ids", F.lit(None).cast("array<int>")).withColumn("round_trip", F.lit(None).cast("boolean")).schema
-    return docs.mapInArrow(run, schema)
+    return unpacked(docs.mapInArrow(run, schema), columns, ["text"], ("ids", "round_trip"))
 
 
 def piece_model() -> str:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, packed, table, unpacked
 from .components import connected_components
 
 BITS = 64
@@ -208,10 +208,19 @@ def _probes(plan: list[tuple[list[int], int]]) -> Column:
     return F.filter(F.array(*rows), lambda x: x.isNotNull())
 
 
-def _forest(fps: np.ndarray, side: np.ndarray | None, distance: int) -> tuple[list[int], list[int]]:
-    """Links of a spanning forest of the fingerprints within ``distance``; with sides, only links across are sought."""
-    a, b = [], []
-    waiting = np.arange(len(fps))
+def _forest(fps: np.ndarray, side: np.ndarray | None, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, row) of a spanning forest of the fingerprints within ``distance``; with sides, only across them."""
+
+    def near(i: int, waiting: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(fps[waiting] ^ fps[i]) <= distance
+
+    return spanning_forest(len(fps), side, near)
+
+
+def spanning_forest(n: int, side: np.ndarray | None, near) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, row) that connect n rows as all links do; ``near(i, rows)`` tells which rows link to row i."""
+    a, b = [np.empty(0, int)], [np.empty(0, int)]
+    waiting = np.arange(n)
     while len(waiting):
         front, waiting = waiting[:1], waiting[1:]
         while len(front) and len(waiting):
@@ -219,54 +228,57 @@ def _forest(fps: np.ndarray, side: np.ndarray | None, distance: int) -> tuple[li
             for i in front:
                 if not len(waiting):
                     break
-                near = np.bitwise_count(fps[waiting] ^ fps[i]) <= distance
+                hit = near(i, waiting)
                 if side is not None:
-                    near &= side[waiting] != side[i]
-                if near.any():
-                    got = waiting[near]
-                    waiting = waiting[~near]
-                    a += [int(fps[i].view(np.int64))] * len(got)
-                    b += fps[got].view(np.int64).tolist()
-                    reached.append(got)
+                    hit = hit & (side[waiting] != side[i])
+                if hit.any():
+                    reached.append(waiting[hit])
+                    waiting = waiting[~hit]
+                    a.append(np.full(len(reached[-1]), i))
+                    b.append(reached[-1])
             front = np.concatenate(reached) if reached else waiting[:0]
-    return a, b
+    return np.concatenate(a), np.concatenate(b)
 
 
 def _bucket_links(keys: np.ndarray, fps: np.ndarray, sides: np.ndarray, apart: np.ndarray, distance: int):
-    """Links in complete buckets; ``keys`` numbers the buckets of the sorted rows."""
+    """Links (row, row) in complete buckets; ``keys`` numbers the buckets of the sorted rows."""
     cuts = np.flatnonzero(np.diff(keys)) + 1
     starts, ends = np.append(0, cuts), np.append(cuts, len(keys))
     sizes = np.repeat(ends - starts, ends - starts)
-    a, b = [], []
-    small = np.flatnonzero((sizes <= SMALL) & ~apart)
+    a, b = [np.empty(0, int)], [np.empty(0, int)]
+    small = np.flatnonzero((sizes > 1) & (sizes <= SMALL) & ~apart)
     k, f = keys[small], fps[small]
     for d in range(1, SMALL):
         if len(f) <= d:
             break
         hit = np.flatnonzero((k[d:] == k[:-d]) & (np.bitwise_count(f[d:] ^ f[:-d]) <= distance))
-        a.append(f[hit].view(np.int64))
-        b.append(f[hit + d].view(np.int64))
-    for s, e in zip(starts, ends):
-        if e - s > SMALL or apart[s]:
-            x, y = _forest(fps[s:e], sides[s:e] if apart[s] else None, distance)
-            a.append(np.array(x, np.int64))
-            b.append(np.array(y, np.int64))
-    return np.concatenate(a or [np.empty(0, np.int64)]), np.concatenate(b or [np.empty(0, np.int64)])
+        a.append(small[hit])
+        b.append(small[hit + d])
+    for i in np.flatnonzero((ends - starts > SMALL) | apart[starts]):
+        s, e = starts[i], ends[i]
+        x, y = _forest(fps[s:e], sides[s:e] if apart[s] else None, distance)
+        a.append(x + s)
+        b.append(y + s)
+    return np.concatenate(a), np.concatenate(b)
 
 
-def near_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Links (a, b) of distinct fingerprints ``fp`` within ``distance`` bits that connect as all such links do."""
-    plan = plan_search(fps, distance)
-    probes = fps.select("fp", F.explode(_probes(plan)).alias("x")).select("fp", "x.part", "x.value")
-    large = probes.groupBy("part", "value").count().filter(F.col("count") > BUCKET)
+_CELL = ["part", "value", "i", "j"]
+
+
+def bucket_links(rows: DataFrame, distance: int) -> DataFrame:
+    """Links (a, b) of nodes that share a bucket and lie within ``distance`` bits.
+
+    ``rows`` are (part, value, node, fp); (part, value) names a bucket. A
+    bucket's links are a spanning forest if it has over ``SMALL`` rows.
+    """
+    large = rows.groupBy("part", "value").count().filter(F.col("count") > BUCKET)
     large = large.select("part", "value", F.ceil(F.col("count") / BUCKET).cast("int").alias("n"))
-    cut = probes.join(large, ["part", "value"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+    cut = rows.join(large, ["part", "value"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     # a row of block i goes to every pair of blocks that has i
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
-        "part", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp"
+        "part", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "fp"
     )
-    cell = ["part", "value", "i", "j"]
 
     def run(batches):
         held = None
@@ -274,15 +286,15 @@ def near_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
         def links(t: pa.Table):
             c = {n: t.column(n).to_numpy() for n in t.column_names}
             new = np.zeros(len(c["fp"]), bool)
-            for n in cell:
+            for n in _CELL:
                 new[1:] |= c[n][1:] != c[n][:-1]
             a, b = _bucket_links(np.cumsum(new), c["fp"].astype(np.int64).view(np.uint64), c["own"], c["i"] != c["j"], distance)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c["node"][a]), pa.array(c["node"][b])], ["a", "b"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
-            last = {n: t.column(n)[-1].as_py() for n in cell} if t.num_rows else {}
+            last = {n: t.column(n)[-1].as_py() for n in _CELL} if t.num_rows else {}
             # the last bucket may go on in the next batch
             open_rows = np.logical_and.reduce([t.column(n).to_numpy() == v for n, v in last.items()]) if last else np.zeros(0, bool)
             first = len(open_rows) - int(open_rows.sum())
@@ -292,7 +304,14 @@ def near_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
         if held is not None and held.num_rows:
             yield links(held)
 
-    return met.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, "a long, b long").distinct()
+    return met.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(run, "a long, b long").distinct()
+
+
+def near_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Links (a, b) of distinct fingerprints ``fp`` within ``distance`` bits that connect as all such links do."""
+    plan = plan_search(fps, distance)
+    probes = fps.select("fp", F.explode(_probes(plan)).alias("x"))
+    return bucket_links(probes.select("x.part", "x.value", F.col("fp").alias("node"), "fp"), distance)
 
 
 def near_classes(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -313,3 +332,143 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(fps).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+# --- similarity of shingle sets ------------------------------------------------
+
+SIMILARITY = 0.8
+SHINGLE = 5
+#: Buckets a document is put in, each by so many least hashes: at similarity 0.8
+#: two documents share none with a chance of (1 - 0.8 ** 5) ** 20 = 0.0004.
+BANDS, BAND_HASHES = 20, 5
+#: SimHash bits in which documents of similarity 0.8 may differ: 9.7 are expected, with a deviation of 2.9.
+WIDE_DISTANCE = 24
+#: Shingle sets that one task compares at once.
+BLOCK_SETS = 512
+
+
+def shingle_set(text: str | None, width: int = SHINGLE) -> tuple[int, np.ndarray]:
+    """The SimHash of a text, and its distinct shingles' hashes in order."""
+    parts = shingles(text, width)
+    raw = b"".join([xxhash.xxh64_digest(s, SEED) for s in parts])
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(raw), 65536):
+        ones += np.unpackbits(np.frombuffer(raw[i : i + 65536], np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    fp = int.from_bytes(np.packbits(2 * ones > len(parts)).tobytes(), "big")
+    return fp, np.unique(np.frombuffer(raw, ">u8").astype(np.uint64))
+
+
+def _set_name(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+
+
+def signatures(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """(doc_id, row_hash, node, fp, bands) of rows (doc_id, row_hash, text).
+
+    ``node`` names the set of shingles; ``bands`` are hashes of its least hashes.
+    """
+
+    def run(batches):
+        random = np.random.default_rng(5)
+        flips = random.integers(0, 2**63, (BANDS * BAND_HASHES, 1)).astype(np.uint64)
+        odd = random.integers(0, 2**63, (BANDS * BAND_HASHES, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        mix = random.integers(0, 2**63, BAND_HASHES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        for batch in batches:
+            nodes, fps, bands = [], [], []
+            for text in batch.column(2):
+                fp, hashes = shingle_set(text.as_py(), width)
+                fps.append(fp)
+                nodes.append(_set_name(hashes))
+                least = np.full((BANDS * BAND_HASHES, 1), np.uint64(2**64 - 1))
+                for i in range(0, len(hashes), 4096):
+                    least = np.minimum(least, ((hashes[i : i + 4096] ^ flips) * odd).min(axis=1, keepdims=True))
+                mixed = (least.reshape(BANDS, BAND_HASHES) * mix).sum(axis=1, dtype=np.uint64)
+                bands.append((mixed ^ (mixed >> np.uint64(31))).view(np.int64) if len(hashes) else np.empty(0, np.int64))
+            offsets = np.append(0, np.cumsum([len(b) for b in bands])).astype(np.int32)
+            flat = pa.array(np.concatenate([*bands, np.empty(0, np.int64)]))
+            as_long = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *as_long, pa.ListArray.from_arrays(offsets, flat)],
+                ["doc_id", "row_hash", "node", "fp", "bands"],
+            )
+
+    schema = "doc_id long, row_hash long, node long, fp long, bands array<long>"
+    return docs.select(F.col("doc_id").cast("long"), "row_hash", "text").mapInArrow(run, schema)
+
+
+def verified_links(sets: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
+    """Links (a, b) of nodes of one group whose shingle sets have that Jaccard similarity, as spanning forests.
+
+    ``sets`` are (group, node, text), a row a node. A group of over
+    ``BLOCK_SETS`` nodes is cut into blocks, and pairs of blocks are compared.
+    """
+
+    def hashed(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [shingle_set(t.as_py(), width)[1] for t in part.column(2)]
+                right = np.array([_set_name(h) for h in found], np.uint64).view(np.int64) == part.column(1).to_numpy()
+                part = part.filter(pa.array(right))
+                packed = pa.array([h.tobytes() for h, ok in zip(found, right) if ok], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), packed], ["group", "node", "hashes"])
+
+    rows = sets.select("group", "node", "text").mapInArrow(hashed, "group long, node long, hashes binary")
+    rows = materialise(rows.dropDuplicates(["group", "node"]))
+    sizes = rows.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("n"))
+    cut = rows.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
+        "group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "hashes"
+    )
+
+    def run(t: pa.Table) -> pa.Table:
+        nodes, own = t.column("node").to_numpy(), t.column("own").to_numpy()
+        each = [np.frombuffer(h, np.uint64) for h in t.column("hashes").to_pylist()]
+        lengths = np.array([len(h) for h in each])
+        codes = np.unique(np.concatenate(each), return_inverse=True)[1]
+        starts = np.append(0, np.cumsum(lengths)[:-1])
+        held = np.zeros(codes.max() + 1 if len(codes) else 1, np.int64)
+
+        def near(i, waiting):
+            mine = codes[starts[i] : starts[i] + lengths[i]]
+            held[mine] = 1
+            shared = np.add.reduceat(held[codes], starts)[waiting]
+            held[mine] = 0
+            return shared >= similarity * (lengths[waiting] + lengths[i] - shared) - 1e-9
+
+        apart = t.column("i")[0] != t.column("j")[0]
+        a, b = spanning_forest(len(nodes), own if apart else None, near)
+        return pa.table([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
+
+    return met.groupBy("group", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
+    """(doc_id, row_hash, node, first_id, first_hash) of rows (doc_id, row_hash, text).
+
+    Documents whose shingle sets are linked by similarity form a class, named
+    by its least (doc_id, row_hash). Shared buckets and SimHash distance find
+    candidate groups; the sets themselves decide. Texts without words are alike.
+    """
+    marked = materialise(signatures(docs, width))
+    least = F.min(F.struct("doc_id", "row_hash")).alias("least")
+    nodes = materialise(marked.groupBy("node").agg(least, F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    banded = nodes.select("node", "fp", F.posexplode("bands").alias("part", "value"))
+    groups = materialise(connected_components(bucket_links(banded, WIDE_DISTANCE)))
+    wanted = groups.join(nodes, "node").select("node", F.col("root").alias("group"), F.col("least.doc_id").alias("_id"), F.col("least.row_hash").alias("_hash"))
+    found = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"]) & (docs["row_hash"] == wanted["_hash"]))
+    classes = connected_components(verified_links(found.select("group", "node", "text"), similarity, width))
+    named = nodes.join(classes, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    firsts = named.groupBy("root").agg(F.min("least").alias("first"))
+    of_node = named.join(firsts, "root").select("node", F.col("first.doc_id").alias("first_id"), F.col("first.row_hash").alias("first_hash"))
+    return marked.select("doc_id", "row_hash", "node").join(of_node, "node").select("doc_id", "row_hash", "node", "first_id", "first_hash")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each class of similar texts: the one of the least (doc_id, row hash)."""
+    need = ["doc_id", "text"]
+    keyed = packed(docs, need).withColumn("row_hash", F.xxhash64(*need, "_rest"))
+    classes = similar_classes(keyed.select("doc_id", "row_hash", "text"), similarity, width)
+    kept = classes.select(F.col("first_id").alias("_id"), F.col("first_hash").alias("_hash")).distinct()
+    found = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["row_hash"] == kept["_hash"]), "left_semi")
+    return unpacked(found.dropDuplicates(["doc_id", "row_hash"]), docs.columns, need)

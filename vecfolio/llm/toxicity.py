@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialise, table
+from .common import crc_mod, materialise, packed, table, unpacked
 
 SAMPLE = 20_000
 VOCABULARY = 50_000
@@ -248,29 +248,30 @@ def _evidence(sample: DataFrame, folds: list[dict[str, float]], model: ToxicityM
     return sample.select("text", "label", "fold").mapInArrow(run, "tokens long, value double, label int")
 
 
+_MADE = {"score": "double", "predicted": "int", "passages": "array<struct<first:int,last:int,neg_log_p:double>>"}
 _PASSAGE = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("neg_log_p", pa.float64())]))
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """(doc_id, score, predicted, passages) of rows (doc_id, text).
+    """``docs`` with score, predicted and passages; columns of those names give way.
 
     A passage is (first, last, neg_log_p), in tokens from 0.
     """
+    columns, rows = docs.columns, packed(docs, ["text"])
 
     def run(batches):
         for batch in batches:
-            found = [passages(t.as_py(), model)[1] for t in batch.column(1)]
+            found = [passages(t.as_py(), model)[1] for t in batch.column(0)]
             scores = [probability(sum(x[2] for x in p), model) for p in found]
-            columns = [
-                batch.column(0),
+            made = [
                 pa.array(scores, pa.float64()),
                 pa.array([int(s >= 0.5) for s in scores], pa.int32()),
                 pa.array([[dict(zip(("first", "last", "neg_log_p"), x)) for x in p] for p in found], _PASSAGE),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted", "passages"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *_MADE])
 
-    schema = "doc_id long, score double, predicted int, passages array<struct<first:int,last:int,neg_log_p:double>>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    schema = rows.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in _MADE.items()]).schema
+    return unpacked(rows.mapInArrow(run, schema), columns, ["text"], tuple(_MADE))
 
 
 def held_out_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> ToxicityModel:
