@@ -159,7 +159,8 @@ def taken_words(docs: DataFrame) -> DataFrame:
     where, plan = _prepared(docs)
     times = slots(plan).groupBy("source_ix", "block").agg(F.count(F.lit(1)).alias("times"))
     row = ["source_ix", "bucket", "rank", "doc_id", "size", "source_size", "target"]
-    met = pieces(where).join(times, ["source_ix", "block"], "left")
+    # the optimizer can't see how many slots a plan's few rows make, so it isn't to broadcast them
+    met = pieces(where).join(times.hint("merge"), ["source_ix", "block"], "left")
     return (
         met.groupBy(*row)
         .agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
@@ -178,7 +179,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     where, plan = _prepared(docs)
     row = ["source_ix", "bucket", "rank", "doc_id", "row_hash", "size"]
     took = (
-        pieces(where).join(slots(plan).select("source_ix", "pass", "block"), ["source_ix", "block"])
+        pieces(where).join(slots(plan).select("source_ix", "pass", "block").hint("merge"), ["source_ix", "block"])
         .groupBy(*row, "pass")
         .agg(F.array_sort(F.collect_list(F.struct("skip", "words"))).alias("parts"), F.sum("words").alias("got"))
         .filter("got > 0")
