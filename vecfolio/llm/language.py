@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, per_worker, table
+from .common import crc_mod, materialise, per_worker, table
 
 ORDER = 3
 SPACE = 1 << 15
 SAMPLE = 1500
 SAMPLE_ALL = 12_000
 EPOCHS = 3
+#: Languages that are learned, the most frequent first.
+MOST_LANGUAGES = 1000
 UNKNOWN = "und"
 _CHUNK = 1 << 20
 
@@ -76,7 +78,8 @@ def counts(text: str | None, letters: np.ndarray) -> np.ndarray | None:
 def training_rows(docs: DataFrame, usable: Column) -> DataFrame:
     """(lang, text) of a bounded sample of the usable rows (doc_id, text, lang)."""
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("doc_id"))
-    sizes = rows.groupBy("lang").count()
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    sizes = F.broadcast(materialise(sizes))  # MOST_LANGUAGES rows at most
     n = max(1, min(SAMPLE, SAMPLE_ALL // max(1, sizes.count())))
     # hashes are even, so twice the share asked for holds enough but by a rare chance; the rank then bounds it
     near = rows.join(sizes, "lang").filter(F.col("h").cast("double") / 2.0**63 < -1 + 4.0 * n / F.col("count"))
