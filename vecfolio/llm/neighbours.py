@@ -37,7 +37,9 @@ from .common import materialise, table
 
 TABLES = 2
 WIDTH = 2.0
-CELL = 4096
+CELL = 16_384
+#: Queries that meet a cell in one matrix product.
+TOGETHER = 256
 #: Vectors of the fitting sample, and queries among them; the share of their neighbours to find.
 SAMPLE, SAMPLE_QUERIES, RECALL = 4096, 200, 0.98
 MOST_PROBES = 1024
@@ -225,7 +227,7 @@ def best_of(queries: tuple, vectors: tuple, k: int) -> tuple[np.ndarray, np.ndar
 def _search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score): the best k of each piece of a cell for each query that visits it."""
     key = ["tab", "cell"]
-    both = index.select(*key, "vec_id", "buckets", "query", "v").unionByName(queries.select(*key, "vec_id", "buckets", "query", "v"))
+    both = materialise(index.unionByName(queries).select(*key, "vec_id", "buckets", "query", "v"))
     sizes = both.groupBy(*key).agg(
         F.sum(F.when(~F.col("query"), 1).otherwise(0)).alias("nx"), F.sum(F.when(F.col("query"), 1).otherwise(0)).alias("nq")
     )
@@ -252,8 +254,10 @@ def _search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             )
 
         q, x = side(query), side(~query)
-        found = best_of(q, x, k) if len(q[0]) and len(x[0]) else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        return pa.table([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
+        found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        for at in range(0, len(q[0]) if len(x[0]) else 0, TOGETHER):
+            found.append(best_of(tuple(c[at : at + TOGETHER] for c in q), x, k))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found)], ["query_id", "vec_id", "score"])
 
     return cut.groupBy(*key, "part", "slice").applyInArrow(run, "query_id long, vec_id long, score double")
 

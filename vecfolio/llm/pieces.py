@@ -226,11 +226,14 @@ class PieceCodec:
         return [self.byte_ids[b] for b in piece.encode()] if self.byte_ids else [self.unknown]
 
     def _word(self, word: str) -> bytes:
-        """Ids of a word that isn't in the cache."""
+        """Ids of a word that isn't among the cache's younger ones."""
+        found = self.known.get(word)
+        if found is not None:
+            return found
         cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.inner]
         if cuts:
             parts = [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)])]
-            ids = b"".join([self.known.get(p) or self._word(p) for p in parts])
+            ids = b"".join([self._word(p) for p in parts])
         else:
             pieces = self.short(word) if self.bpe and len(word) <= CACHED_LENGTH else self.stream(word)
             ids = b"".join([i.to_bytes(4, "little") for p in pieces for i in self._ids(p)])
@@ -241,7 +244,7 @@ class PieceCodec:
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text."""
         words = self.words.findall(self.library.normalize(text or ""))
-        return np.frombuffer(b"".join([i or self._word(w) for w, i in zip(words, map(self.known.get, words))]), "<i4")
+        return np.frombuffer(b"".join([i or self._word(w) for w, i in zip(words, map(self.known.young.get, words))]), "<i4")
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that aren't UTF-8 become replacement characters."""
