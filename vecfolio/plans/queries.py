@@ -1,4 +1,723 @@
-"""Registry of the profile queries and their DuckDB SQL."""
+"""The profile queries, each with DuckDB SQL for the same rows where SQL can express it."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import display
+from ..functions.vectors import dot, shown, shown_vector
+from ..operators import atlas, catalogue, contract, density, diagnostics, embedding, evaluation, jobs, library, profiles, quality, sampling
+from ..sources import profiles as documents
+from ..streaming import profiles as streams
+from . import clips as data
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+#: The shared tables have 45 to 99 samples a window, so frames and strides are short.
+RULES = quality.QualityRules(frame=8, stride=1)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- SQL parts -----------------------------------------------------------------
+
+_UNIT = """
+clips AS (SELECT label AS profile_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS clip_ix,
+  CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+unit AS (SELECT profile_id, clip_ix, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM clips)"""
+_HALVES = """
+clips AS (SELECT CAST(label * 2 + vec_id % 2 AS INTEGER) AS profile_id,
+  CAST(row_number() OVER (PARTITION BY label, vec_id % 2 ORDER BY vec_id) - 1 AS INTEGER) AS clip_ix, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+unit AS (SELECT profile_id, clip_ix, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM clips)"""
+
+
+def _means(rows: str, keys: str, name: str) -> str:
+    """CTEs: unit mean vector ``g`` of column u over rows, by keys."""
+    return f"""
+{name}_p AS (SELECT {keys}, unnest(u) AS x, unnest(range(len(u))) AS d FROM {rows}),
+{name}_m AS (SELECT {keys}, list(m ORDER BY d) AS m FROM (SELECT {keys}, d, avg(x) AS m FROM {name}_p GROUP BY {keys}, d) GROUP BY {keys}),
+{name} AS (SELECT {keys}, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS g FROM {name}_m)"""
+
+
+_GLOBAL = _UNIT + "," + _means("unit", "profile_id", "whole")
+
+_DENSITY = (
+    _UNIT
+    + """,
+sims AS (SELECT a.profile_id, a.clip_ix, list_dot_product(a.u, b.u) AS s FROM unit a JOIN unit b ON a.profile_id = b.profile_id AND a.clip_ix <> b.clip_ix),
+sizes AS (SELECT profile_id, count(*) AS n FROM unit GROUP BY profile_id),
+ranked AS (SELECT s.*, n, row_number() OVER (PARTITION BY s.profile_id, clip_ix ORDER BY s DESC) AS r FROM sims s JOIN sizes USING (profile_id)),
+density AS (SELECT profile_id, clip_ix, any_value(n) AS n, avg(s) AS density FROM ranked WHERE r <= least(n - 1, greatest(3, round(sqrt(n)))) GROUP BY ALL),
+med AS (SELECT profile_id, any_value(n) AS n, median(density) AS median FROM density GROUP BY profile_id),
+lim AS (SELECT profile_id, any_value(m.n) AS n, any_value(median) AS median, median(abs(density - median)) AS mad
+  FROM density JOIN med m USING (profile_id) GROUP BY profile_id),
+limits AS (SELECT *, median - 3.5::DOUBLE * greatest(1.4826::DOUBLE * mad, 1e-6::DOUBLE) AS threshold FROM lim)"""
+)
+
+_KMEANS_TAIL = (
+    ","
+    + _means("{unit}", "profile_id", "whole")
+    + """,
+first_ AS (SELECT profile_id, arg_max(clip_ix, (s, -clip_ix)) AS first_clip FROM
+  (SELECT u.profile_id, clip_ix, list_dot_product(u.u, g.g) AS s FROM {unit} u JOIN whole g USING (profile_id)) GROUP BY profile_id),
+second_ AS (SELECT profile_id, any_value(first_clip) AS first_clip, arg_min(clip_ix, (s, clip_ix)) AS second_clip FROM
+  (SELECT u.profile_id, u.clip_ix, f.first_clip, list_dot_product(u.u, c.u) AS s FROM {unit} u JOIN first_ f USING (profile_id)
+   JOIN {unit} c ON c.profile_id = u.profile_id AND c.clip_ix = f.first_clip) GROUP BY profile_id),
+state AS (
+  SELECT 0 AS k, s.profile_id, a.u AS c0, b.u AS c1, false AS forced FROM second_ s
+    JOIN {unit} a ON a.profile_id = s.profile_id AND a.clip_ix = s.first_clip JOIN {unit} b ON b.profile_id = s.profile_id AND b.clip_ix = s.second_clip),
+"""
+)
+
+
+def _kmeans(unit: str, rounds: int) -> str:
+    """CTEs: two-centre clustering by so many plain rounds; ``done`` has (profile_id, clip_ix, side, forced), sides named by the seeds."""
+    sql = _KMEANS_TAIL.replace("{unit}", unit)
+    before = "state"
+    for k in range(rounds):
+        sql += f"""
+lean{k} AS (SELECT u.profile_id, u.clip_ix, u.u, forced, list_dot_product(u.u, c0) - list_dot_product(u.u, c1) AS p FROM {unit} u JOIN {before} USING (profile_id)),
+cnt{k} AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (p >= 0) OVER w AS n0,
+  row_number() OVER (PARTITION BY profile_id ORDER BY p DESC, clip_ix) AS r FROM lean{k} WINDOW w AS (PARTITION BY profile_id)),
+side{k} AS (SELECT profile_id, clip_ix, u, CASE WHEN least(n0, n - n0) >= (n + 9) // 10 THEN CAST(p < 0 AS INT)
+  WHEN n0 < (n + 9) // 10 THEN CAST(r > (n + 9) // 10 AS INT) ELSE CAST(r > n - (n + 9) // 10 AS INT) END AS side,
+  forced OR least(n0, n - n0) < (n + 9) // 10 AS forced FROM cnt{k}),"""
+        sql += _means(f"side{k}", "profile_id, side", f"cen{k}") + ","
+        sql += f"""
+state{k} AS (SELECT profile_id, any_value(g) FILTER (side = 0) AS c0, any_value(g) FILTER (side = 1) AS c1,
+  (SELECT bool_or(forced) FROM side{k} s WHERE s.profile_id = c.profile_id) AS forced FROM cen{k} c GROUP BY profile_id),"""
+        before = f"state{k}"
+    last = rounds - 1
+    return (
+        sql
+        + f"""
+sized AS (SELECT profile_id, side, count(*) AS n, bool_or(forced) AS forced FROM side{last} GROUP BY profile_id, side),
+placed AS (SELECT z.*, g, row_number() OVER (PARTITION BY z.profile_id ORDER BY n DESC, g[1:8]) - 1 AS cluster
+  FROM sized z JOIN cen{last} c ON z.profile_id = c.profile_id AND z.side = c.side),
+done AS (SELECT s.profile_id, s.clip_ix, p.cluster FROM side{last} s JOIN placed p ON s.profile_id = p.profile_id AND s.side = p.side)"""
+    )
+
+
+#: Rounds that the SQL runs; the shared tables settle in 14 at most, and further rounds change nothing.
+_ROUNDS = 16
+_CLUSTERED = _UNIT + _kmeans("unit", _ROUNDS)
+_HALVES_CLUSTERED = _HALVES + _kmeans("unit", _ROUNDS)
+
+_WAVE = """
+raw AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS n,
+  greatest(-1::DOUBLE, least(1::DOUBLE, (CASE WHEN event_id % 2 = 0 THEN 1::DOUBLE ELSE -1::DOUBLE END) * value / 100::DOUBLE
+    * [1e-5::DOUBLE, 1::DOUBLE, 0.1::DOUBLE, 0.3::DOUBLE][user_id % 4 + 1] + CASE WHEN user_id % 4 = 3 THEN 0.3::DOUBLE ELSE 0::DOUBLE END)) AS x FROM events),
+tm AS (SELECT user_id, 20 * log10(greatest(sqrt(avg(x * x)), 1e-12::DOUBLE)) AS rms_dbfs, max(abs(x)) AS peak,
+  avg(CASE WHEN abs(x) >= CAST(0.999 AS FLOAT)::DOUBLE THEN 1::DOUBLE ELSE 0::DOUBLE END) AS clipped_ratio, abs(avg(x)) AS dc_offset, count(*) AS n_samples FROM raw GROUP BY user_id),
+fr AS (SELECT user_id, n // 8 AS f, sqrt(avg(x * x)) AS rms, count(*) AS size FROM raw GROUP BY ALL),
+act AS (SELECT user_id, coalesce(avg(CASE WHEN rms > pow(10::DOUBLE, -2.7::DOUBLE) THEN 1::DOUBLE ELSE 0::DOUBLE END) FILTER (size = 8), 1::DOUBLE) AS active_ratio FROM fr GROUP BY user_id),
+zc AS (SELECT user_id, avg(CASE WHEN low <> next THEN 1::DOUBLE ELSE 0::DOUBLE END) FILTER (next IS NOT NULL) AS zero_crossing_rate FROM
+  (SELECT user_id, x < 0 AS low, lead(x < 0) OVER (PARTITION BY user_id ORDER BY n) AS next FROM raw) GROUP BY user_id),
+len AS (SELECT user_id, count(*) AS m FROM raw GROUP BY user_id),
+freq AS (SELECT user_id, m, unnest(range(m // 2 + 1)) AS k FROM len),
+dft AS (SELECT f.user_id, k, pow(sum(x * cos(2 * pi() * ((k * n) % m) / m)), 2) + pow(sum(x * sin(2 * pi() * ((k * n) % m) / m)), 2) AS p
+  FROM freq f JOIN raw r ON r.user_id = f.user_id GROUP BY ALL),
+fl AS (SELECT user_id, exp(avg(ln(p + 1e-12::DOUBLE))) / greatest(avg(p), 1e-12::DOUBLE) AS spectral_flatness FROM dft GROUP BY user_id),
+decided AS (SELECT *, CASE WHEN rms_dbfs < -48 THEN 'low_energy' WHEN active_ratio < 0.2 THEN 'mostly_silent' WHEN clipped_ratio > 0.02 THEN 'clipped'
+  WHEN dc_offset > 0.2 THEN 'dc_offset' WHEN spectral_flatness > 0.92 AND coalesce(zero_crossing_rate, 0) > 0.35 THEN 'broadband_noise' END AS reason
+  FROM tm JOIN act USING (user_id) JOIN zc USING (user_id) JOIN fl USING (user_id))"""
+
+# --- sampling --------------------------------------------------------------------
+
+_OFFSETS = """
+off AS (SELECT doc_id AS recording_id, n_chars::DOUBLE AS d, n_chars::DOUBLE - 10 AS last,
+  CAST(floor((n_chars::DOUBLE - 10 + 1e-6::DOUBLE) / 25) AS BIGINT) AS steps FROM documents),
+grid AS (SELECT recording_id, 0::DOUBLE AS start_s FROM off WHERE d <= 10
+  UNION ALL SELECT recording_id, unnest(range(steps + 1)) * 25::DOUBLE FROM off WHERE d > 10
+  UNION ALL SELECT recording_id, last FROM off WHERE d > 10 AND last - steps * 25 >= 10)"""
+
+
+@query(f"""WITH {_OFFSETS} SELECT recording_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY start_s) - 1 AS INTEGER) AS window_ix, start_s FROM grid""")
+def sample_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.windows(data.recordings(spark, sf_dir), 25).select("recording_id", "window_ix", "start_s")
+
+
+@query(f"WITH {_OFFSETS} SELECT recording_id, count(*) AS n FROM grid GROUP BY recording_id")
+def offset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    starts = sampling.offsets(F.col("duration_s"), F.lit(25.0))
+    return data.recordings(spark, sf_dir).select("recording_id", F.size(starts).cast("long").alias("n"))
+
+
+@query("""SELECT doc_id AS recording_id, printf('%02d:%02d:%02d', s // 3600, (s // 60) % 60, s % 60) AS timecode
+  FROM (SELECT doc_id, CAST(round_even(n_chars / 2.0::DOUBLE, 0) AS BIGINT) AS s FROM documents)""")
+def timecodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return data.recordings(spark, sf_dir).select("recording_id", display.timecode(F.col("duration_s") / 2).alias("timecode"))
+
+
+@query("""SELECT doc_id AS recording_id, n_chars <= 14400.5 AS within_limit,
+  CASE WHEN coalesce(nullif(doc_id % 4 * 10, 0), 25) IN (20, 25, 30) THEN CAST(coalesce(nullif(doc_id % 4 * 10, 0), 25) AS DOUBLE) END AS interval_s,
+  CASE WHEN doc_id % 5 / 20.0::DOUBLE IN (0, 0.05, 0.1) THEN doc_id % 5 / 20.0::DOUBLE END AS fraction FROM documents""")
+def request_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = data.recordings(spark, sf_dir)
+    return rows.select(
+        "recording_id",
+        sampling.within_limit(F.col("duration_s"), 14_400.0).alias("within_limit"),
+        sampling.chosen_interval(F.col("recording_id") % 4 * 10).cast("double").alias("interval_s"),
+        sampling.chosen_fraction(F.col("recording_id") % 5 / 20.0).alias("fraction"),
+    )
+
+
+# --- quality ---------------------------------------------------------------------
+
+
+@query(f"WITH {_WAVE} SELECT user_id, round(rms_dbfs, 6) AS rms_dbfs, round(peak, 6) AS peak, round(clipped_ratio, 6) AS clipped_ratio, round(dc_offset, 6) AS dc_offset, n_samples FROM tm")
+def signal_time_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.time_metrics(data.samples(spark, sf_dir), "user_id", RULES)
+    return found.select("user_id", *[shown(F.col(c)).alias(c) for c in ("rms_dbfs", "peak", "clipped_ratio", "dc_offset")], "n_samples")
+
+
+@query(f"WITH {_WAVE} SELECT user_id, round(active_ratio, 6) AS active_ratio FROM act")
+def signal_active_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.active_ratio(data.samples(spark, sf_dir), "user_id", RULES).select("user_id", shown(F.col("active_ratio")).alias("active_ratio"))
+
+
+@query(f"WITH {_WAVE} SELECT user_id, round(zero_crossing_rate, 6) AS zero_crossing_rate FROM zc")
+def signal_zero_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.zero_crossings(data.samples(spark, sf_dir), "user_id", RULES)
+    return found.select("user_id", shown(F.col("zero_crossing_rate")).alias("zero_crossing_rate"))
+
+
+@query(f"WITH {_WAVE} SELECT user_id, round(spectral_flatness, 6) AS spectral_flatness FROM fl")
+def signal_spectral_flatness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = quality.gathered(data.samples(spark, sf_dir), "user_id")
+    return quality.spectral_flatness(windows, RULES).select("user_id", shown(F.col("spectral_flatness")).alias("spectral_flatness"))
+
+
+@query(f"WITH {_WAVE} SELECT user_id, reason, reason IS NULL AS keep FROM decided")
+def signal_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.analyse(data.samples(spark, sf_dir), "user_id", RULES).select("user_id", "reason", "keep")
+
+
+@query(f"""WITH {_WAVE} SELECT recording, CAST(sum(n) AS BIGINT) AS considered, CAST(coalesce(sum(n) FILTER (reason IS NULL), 0) AS BIGINT) AS retained,
+  CAST(coalesce(sum(n) FILTER (reason IS NOT NULL), 0) AS BIGINT) AS filtered,
+  coalesce(string_agg(reason || '=' || n, ',' ORDER BY reason) FILTER (reason IS NOT NULL), '') AS filter_counts
+  FROM (SELECT user_id % 10 AS recording, reason, count(*) AS n FROM decided GROUP BY ALL) GROUP BY recording""")
+def reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = quality.analyse(data.samples(spark, sf_dir), "user_id", RULES)
+    found = quality.reason_histogram(decided, F.col("user_id") % 10)
+    pairs = F.transform(F.map_entries("filter_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return found.withColumn("filter_counts", F.array_join(pairs, ","))
+
+
+@query(f"""WITH {_WAVE},
+mag AS (SELECT user_id, unnest([1, 3, 5, 7, 9, 11, 13, 16]) AS k FROM len),
+spec AS (SELECT m.user_id, k, ln(1 + sqrt(pow(sum(x * cos(2 * pi() * k * n / 32)), 2) + pow(sum(x * sin(2 * pi() * k * n / 32)), 2))) AS l
+  FROM mag m JOIN raw r ON r.user_id = m.user_id AND n < 32 GROUP BY ALL),
+mid AS (SELECT user_id, k, l - avg(l) OVER (PARTITION BY user_id) AS l FROM spec)
+SELECT user_id, k AS bin, round(l / greatest(sqrt(sum(l * l) OVER (PARTITION BY user_id)), 1e-12::DOUBLE), 6) + 0.0 AS value FROM mid""")
+def spectral_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = quality.gathered(data.samples(spark, sf_dir), "user_id")
+    found = embedding.embed_windows(windows, "spectral", n_fft=32, bins=8, stride=1)
+    bins = F.array(*[F.lit(k) for k in (1, 3, 5, 7, 9, 11, 13, 16)])
+    each = found.select("user_id", F.posexplode("embedding").alias("i", "x"))
+    return each.select("user_id", bins[F.col("i")].alias("bin"), shown(F.col("x")).alias("value"))
+
+
+# --- vectors and profiles ------------------------------------------------------
+
+
+@query(f"WITH {_UNIT} SELECT profile_id, clip_ix, round(sqrt(list_dot_product(u, u)), 6) AS length, round(u[1], 6) + 0.0 AS head, round(u[64], 6) + 0.0 AS tail FROM unit")
+def normalized_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = data.unit_clips(spark, sf_dir)
+    return unit.select(
+        "profile_id", "clip_ix", shown(F.sqrt(dot(F.col("unit"), F.col("unit")))).alias("length"),
+        shown(F.col("unit")[0]).alias("head"), shown(F.col("unit")[63]).alias("tail"),
+    )
+
+
+@query(f"WITH {_GLOBAL} SELECT profile_id, d AS i, round(g[d + 1], 6) + 0.0 AS value FROM (SELECT profile_id, g, unnest(range(64)) AS d FROM whole)")
+def profile_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = profiles.global_vectors(data.unit_clips(spark, sf_dir))
+    return found.select("profile_id", F.posexplode("vector").alias("i", "x")).select("profile_id", F.col("i").cast("long").alias("i"), shown(F.col("x")).alias("value"))
+
+
+@query(f"WITH {_DENSITY} SELECT profile_id, clip_ix, round(density, 6) AS density FROM density")
+def local_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.local_density(data.unit_clips(spark, sf_dir)).select("profile_id", "clip_ix", shown(F.col("density")).alias("density"))
+
+
+@query(f"WITH {_DENSITY} SELECT profile_id, n, round(median, 6) AS median, round(mad, 6) AS mad, round(threshold, 6) AS threshold FROM limits")
+def density_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = density.thresholds(density.local_density(data.unit_clips(spark, sf_dir)))
+    return found.select("profile_id", "n", *[shown(F.col(c)).alias(c) for c in ("median", "mad", "threshold")])
+
+
+#: A line of 19 clips and one far off it; seven clips and one (the cap still lets one go); six and one (too few to trim).
+_TRIM_SQL = """
+src AS (SELECT 'line' AS label, i AS vec_id, [1::DOUBLE, i * 0.2::DOUBLE / 18] AS embedding FROM range(19) t(i) UNION ALL SELECT 'line', 19, [0::DOUBLE, 1]
+  UNION ALL SELECT 'eight', i, [1::DOUBLE, i * 0.01::DOUBLE] FROM range(7) t(i) UNION ALL SELECT 'eight', 7, [0::DOUBLE, 1]
+  UNION ALL SELECT 'seven', i, [1::DOUBLE, i * 0.01::DOUBLE] FROM range(6) t(i) UNION ALL SELECT 'seven', 6, [0::DOUBLE, 1])"""
+
+
+def _vector_rows(spark: SparkSession, groups: dict[str, list[list[float]]]) -> DataFrame:
+    rows = [(name, i, v) for name, vectors in groups.items() for i, v in enumerate(vectors)]
+    return spark.createDataFrame(rows, "profile_id string, clip_ix int, embedding array<double>")
+
+
+@query(f"""WITH {_TRIM_SQL},{_DENSITY.replace('FROM embeddings', 'FROM src')},
+ordered AS (SELECT d.profile_id, d.clip_ix, d.density, d.n, CASE WHEN d.n >= 8 THEN threshold END AS threshold,
+  row_number() OVER (PARTITION BY d.profile_id ORDER BY d.density, d.clip_ix) AS r FROM density d JOIN limits USING (profile_id))
+SELECT profile_id, clip_ix, round(threshold, 6) AS threshold, coalesce(density < threshold AND r <= greatest(1, floor(n * 0.1)), false) AS outlier FROM ordered""")
+def density_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = {
+        "line": [[1.0, i * 0.2 / 18] for i in range(19)] + [[0.0, 1.0]],
+        "eight": [[1.0, 0.01 * i] for i in range(7)] + [[0.0, 1.0]],
+        "seven": [[1.0, 0.01 * i] for i in range(6)] + [[0.0, 1.0]],
+    }
+    found = density.trimmed(profiles.normalised(_vector_rows(spark, groups)), 0.1)
+    return found.select("profile_id", "clip_ix", shown(F.col("threshold")).alias("threshold"), "outlier")
+
+
+@query(f"""WITH {_DENSITY},
+ordered AS (SELECT d.profile_id, d.clip_ix, d.density, d.n, threshold, row_number() OVER (PARTITION BY d.profile_id ORDER BY d.density, d.clip_ix) AS r
+  FROM density d JOIN limits USING (profile_id))
+SELECT profile_id, count(*) FILTER (NOT (density < threshold AND r <= greatest(1, floor(n * 0.1)))) AS core_count, any_value(n) AS input_count FROM ordered GROUP BY profile_id""")
+def core_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = data.unit_clips(spark, sf_dir)
+    kept = density.core(unit, density.trimmed(unit, 0.1)).groupBy("profile_id").agg(F.count(F.lit(1)).alias("core_count"))
+    return kept.join(unit.groupBy("profile_id").agg(F.count(F.lit(1)).alias("input_count")), "profile_id")
+
+
+@query(f"WITH {_UNIT}{_KMEANS_TAIL.replace('{unit}', 'unit').rstrip().rstrip(',')} SELECT profile_id, first_clip, second_clip FROM second_")
+def kmeans_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.seed_clips(data.unit_clips(spark, sf_dir))
+
+
+@query(f"WITH {_CLUSTERED} SELECT profile_id, clip_ix, CAST(cluster AS INTEGER) AS cluster FROM done")
+def kmeans_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.assignments(data.unit_clips(spark, sf_dir))
+
+
+@query(f"WITH {_CLUSTERED} SELECT profile_id, CAST(cluster AS INTEGER) AS cluster, d AS i, round(g[d + 1], 6) + 0.0 AS value FROM (SELECT profile_id, cluster, g, unnest(range(64)) AS d FROM placed)")
+def kmeans_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = profiles.clusters(data.unit_clips(spark, sf_dir))
+    each = found.select("profile_id", "cluster", F.posexplode("vector").alias("i", "x"))
+    return each.select("profile_id", "cluster", F.col("i").cast("long").alias("i"), shown(F.col("x")).alias("value"))
+
+
+@query(f"WITH {_CLUSTERED} SELECT profile_id, CAST(cluster AS INTEGER) AS cluster, round(n / sum(n) OVER (PARTITION BY profile_id), 6) AS weight FROM placed")
+def cluster_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.clusters(data.unit_clips(spark, sf_dir)).select("profile_id", "cluster", shown(F.col("weight")).alias("weight"))
+
+
+@query(f"WITH {_CLUSTERED} SELECT profile_id, CASE WHEN bool_or(forced) THEN 'minimum_support_spherical_kmeans' ELSE 'spherical_kmeans' END AS strategy FROM placed GROUP BY profile_id")
+def cluster_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.clusters(data.unit_clips(spark, sf_dir)).filter("cluster = 0").select("profile_id", "strategy")
+
+
+#: Cases where minimum support decides: a long line and one clip, a short one, equal clips.
+_SUPPORT_SQL = """
+src AS (SELECT 'long' AS label, i AS vec_id, [1::DOUBLE, i * 0.001::DOUBLE, 0] AS embedding FROM range(30) t(i) UNION ALL SELECT 'long', 30, [0::DOUBLE, 0, 1]
+  UNION ALL SELECT 'short', i, [1::DOUBLE, i * 0.01::DOUBLE, 0] FROM range(10) t(i) UNION ALL SELECT 'short', 10, [0::DOUBLE, 1, 0]
+  UNION ALL SELECT 'dozen', i, [1::DOUBLE, 0, 0] FROM range(12) t(i) UNION ALL SELECT 'pair', i, [1::DOUBLE, 0, 0] FROM range(2) t(i))"""
+
+
+@query(f"""WITH {_SUPPORT_SQL},{_UNIT.replace('FROM embeddings', 'FROM src')}{_kmeans('unit', 8)}
+SELECT profile_id, CAST(cluster AS INTEGER) AS cluster, n AS size, round(n / sum(n) OVER (PARTITION BY profile_id), 6) AS weight,
+  CASE WHEN bool_or(forced) OVER (PARTITION BY profile_id) THEN 'minimum_support_spherical_kmeans' ELSE 'spherical_kmeans' END AS strategy FROM placed""")
+def min_support_injected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = {
+        "long": [[1.0, 0.001 * i, 0.0] for i in range(30)] + [[0.0, 0.0, 1.0]],
+        "short": [[1.0, 0.01 * i, 0.0] for i in range(10)] + [[0.0, 1.0, 0.0]],
+        "dozen": [[1.0, 0.0, 0.0]] * 12,
+        "pair": [[1.0, 0.0, 0.0]] * 2,
+    }
+    found = profiles.clusters(profiles.normalised(_vector_rows(spark, groups)))
+    size = F.round(F.col("weight") * F.col("n")).cast("long")
+    return found.select("profile_id", "cluster", size.alias("size"), shown(F.col("weight")).alias("weight"), "strategy")
+
+
+@query()
+def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = diagnostics.pca(data.unit_clips(spark, sf_dir))
+    return found.select("profile_id", F.posexplode("variance").alias("axis", "x")).select("profile_id", "axis", shown(F.col("x")).alias("share"))
+
+
+@query()
+def pca_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.pca(data.unit_clips(spark, sf_dir)).select("profile_id", "low_clip", "high_clip")
+
+
+@query(f"WITH {_GLOBAL} SELECT profile_id, round(1 - avg(list_dot_product(u, g)), 6) AS diversity FROM unit JOIN whole USING (profile_id) GROUP BY profile_id")
+def profile_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = data.unit_clips(spark, sf_dir)
+    return diagnostics.diversity(unit, profiles.global_vectors(unit)).select("profile_id", shown(F.col("diversity")).alias("diversity"))
+
+
+# --- export ----------------------------------------------------------------------
+
+
+def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Export rows of the labels' profiles; every clip counts as a retained window every 25 s."""
+    unit = data.unit_clips(spark, sf_dir)
+    whole = profiles.aggregate(data.clips(spark, sf_dir), 0.1)
+    spread = diagnostics.diversity(unit, profiles.global_vectors(unit))
+    rows = whole.join(diagnostics.pca(unit), "profile_id").join(spread, "profile_id")
+    n = F.size("assignments")
+
+    def snippet(side: str):
+        start = (F.col(f"{side}_clip") * 25).cast("double")
+        return F.struct(
+            F.lit(side).alias("side"), F.col(f"{side}_clip").alias("retained_clip_index"), start.alias("start_seconds"), display.timecode(start).alias("timecode")
+        )
+
+    vectors = F.transform("vectors", lambda v: F.struct(v["role"].alias("role"), F.round(v["weight"], 6).alias("weight"), shown_vector(v["vector"], 8).alias("vector")))
+    made = rows.select(
+        F.col("profile_id").cast("string").alias("profile_id"),
+        F.lit("1.0").alias("schema_version"),
+        F.struct(
+            F.lit("spectral").alias("id"), F.lit("spectral-1").alias("revision"), F.size(F.col("vectors")[0]["vector"]).alias("dimensions"),
+            F.lit("cpu").alias("device"), F.lit("fake").alias("backend"), F.lit(0).alias("load_duration_ms"),
+        ).alias("model"),
+        F.struct(
+            (n * 25).cast("double").alias("duration_seconds"), F.lit(25).alias("sample_interval_seconds"), F.lit(10.0).alias("window_seconds"),
+            n.alias("windows_considered"), n.alias("windows_retained"), F.lit(0).alias("windows_filtered"),
+            F.create_map().cast("map<string,int>").alias("filter_counts"),
+        ).alias("source"),
+        F.struct(
+            F.lit("robust_spherical_kmeans").alias("method"), F.lit("3").alias("version"), F.col("strategy").alias("cluster_strategy"),
+            F.lit("knn_density_mad_3.5").alias("outlier_method"), F.lit(0.1).alias("max_outlier_fraction"), n.alias("input_clip_count"),
+            F.col("core_count").cast("int").alias("core_clip_count"), F.size("outliers").alias("embedding_outlier_count"),
+            F.round("threshold", 8).alias("local_density_threshold"), vectors.alias("vectors"),
+        ).alias("aggregation"),
+        F.struct(
+            F.transform("variance", lambda x: F.round(x, 6)).alias("pca_explained_variance_ratio"),
+            F.array(snippet("low"), snippet("high")).alias("pca_extreme_snippets"), F.round("diversity", 6).alias("diversity"),
+        ).alias("diagnostics"),
+        F.create_map(F.lit("total"), F.lit(0)).alias("timing_ms"),
+    )
+    return made
+
+
+@query(f"""WITH {_CLUSTERED}
+SELECT CAST(profile_id AS VARCHAR) AS profile_id, role, round(weight, 6) AS weight, round(g[1], 6) + 0.0 AS head FROM (
+  SELECT profile_id, 'global' AS role, 1::DOUBLE AS weight, g FROM whole UNION ALL
+  SELECT profile_id, 'cluster_' || (cluster + 1), n / sum(n) OVER (PARTITION BY profile_id), g FROM placed)""")
+def profile_export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents.vector_rows(_exports(spark, sf_dir))
+    return rows.select("profile_id", "role", "weight", shown(F.col("vector")[0]).alias("head"))
+
+
+@query("""WITH t(profile_id, rule, severity) AS (VALUES ('1', 'role_order', 'error'), ('2', 'weights_sum', 'error'), ('3', 'counts_reconcile', 'error'),
+  ('4', 'vector_length', 'error'), ('5', 'windows_reconcile', 'warning'))
+SELECT t.* FROM t WHERE profile_id IN (SELECT CAST(label AS VARCHAR) FROM embeddings)""")
+def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports of which five are spoiled, each in its own way."""
+    rows = _exports(spark, sf_dir)
+    a, who = F.col("aggregation"), F.col("profile_id")
+    vectors = a["vectors"]
+    swapped = F.array(vectors[0], vectors[2], vectors[1])
+    light = F.transform(vectors, lambda v: v.withField("weight", v["weight"] * F.when(v["role"] == "global", 1.0).otherwise(0.9)))
+    spoiled = (
+        F.when(who == "1", a.withField("vectors", swapped))
+        .when(who == "2", a.withField("vectors", light))
+        .when(who == "3", a.withField("core_clip_count", a["core_clip_count"] + 1))
+        .otherwise(a)
+    )
+    model = F.when(who == "4", F.col("model").withField("dimensions", F.lit(512))).otherwise(F.col("model"))
+    source = F.when(who == "5", F.col("source").withField("windows_considered", F.col("source.windows_considered") + 1)).otherwise(F.col("source"))
+    return contract.violations(rows.withColumn("aggregation", spoiled).withColumn("model", model).withColumn("source", source))
+
+
+@query("SELECT CAST(label AS VARCHAR) AS profile_id, 64 AS dimensions, count(*) AS windows FROM embeddings GROUP BY label")
+def export_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports written as JSON documents and parsed again by the contract's schema."""
+    body = "struct<" + ",".join(p.replace(" ", ":", 1) for p in contract.SCHEMA.split(", ")[1:]) + ">"
+    back = documents.profile_json(_exports(spark, sf_dir)).select("profile_id", F.from_json("json", body).alias("e"))
+    return back.select("profile_id", "e.model.dimensions", F.col("e.source.windows_retained").cast("long").alias("windows"))
+
+
+# --- catalogue ---------------------------------------------------------------------
+
+
+def _catalogue(spark: SparkSession, sf_dir: str, halves: bool = False) -> DataFrame:
+    """Pivoted profiles of one map request, ordinals by profile."""
+    unit = data.half_clips(spark, sf_dir) if halves else data.unit_clips(spark, sf_dir)
+    rows = profiles.representatives(unit).withColumn("map_id", F.lit(1)).withColumnRenamed("profile_id", "ordinal")
+    return catalogue.pivoted(rows, "map_id", "ordinal")
+
+
+_PAIRS = """,
+prof AS (SELECT g.profile_id, g.g, any_value(p.g) FILTER (cluster = 0) AS c1, any_value(p.g) FILTER (cluster = 1) AS c2,
+  max(p.n) FILTER (cluster = 0) / sum(p.n) AS w1, max(p.n) FILTER (cluster = 1) / sum(p.n) AS w2
+  FROM whole g JOIN placed p ON p.profile_id = g.profile_id GROUP BY g.profile_id, g.g),
+cos4 AS (SELECT a.profile_id AS l, b.profile_id AS r, list_dot_product(a.g, b.g) AS gs, a.w1 AS aw1, a.w2 AS aw2, b.w1 AS bw1, b.w2 AS bw2,
+  list_dot_product(a.c1, b.c1) AS s11, list_dot_product(a.c1, b.c2) AS s12, list_dot_product(a.c2, b.c1) AS s21, list_dot_product(a.c2, b.c2) AS s22
+  FROM prof a JOIN prof b ON a.profile_id <> b.profile_id),
+cov AS (SELECT l, r, gs, 0.5::DOUBLE * (aw1 * greatest(s11, s12) + aw2 * greatest(s21, s22) + bw1 * greatest(s11, s21) + bw2 * greatest(s12, s22)) AS cs FROM cos4),
+pairs AS (SELECT l, r, gs, cs, 0.25::DOUBLE * gs + 0.75::DOUBLE * cs AS bs FROM cov),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY bs DESC, r) AS k FROM pairs) WHERE k = 1)"""
+_MAP = _CLUSTERED + _PAIRS
+_HALVES_MAP = _HALVES_CLUSTERED + _PAIRS
+
+
+def _scores(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    return catalogue.request_similarities(_catalogue(spark, sf_dir)).select("left", "right", shown(F.col(column)).alias("score"))
+
+
+@query(f'WITH {_MAP} SELECT l AS "left", r AS "right", round(gs, 6) + 0.0 AS score FROM pairs')
+def global_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir, "global_similarity")
+
+
+@query(f'WITH {_MAP} SELECT l AS "left", r AS "right", round(cs, 6) + 0.0 AS score FROM pairs')
+def cluster_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir, "cluster_similarity")
+
+
+@query(f'WITH {_MAP} SELECT l AS "left", r AS "right", round(bs, 6) + 0.0 AS score FROM pairs')
+def blended_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir, "similarity")
+
+
+@query(f"WITH {_MAP} SELECT l AS profile_id, r AS nearest_id, round(bs, 6) + 0.0 AS similarity, round(gs, 6) + 0.0 AS global_similarity, round(cs, 6) + 0.0 AS cluster_similarity FROM near")
+def nearest_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = catalogue.request_nearest(_catalogue(spark, sf_dir))
+    return found.select(
+        F.col("ordinal").alias("profile_id"), F.col("nearest").alias("nearest_id"),
+        *[shown(F.col(c)).alias(c) for c in ("similarity", "global_similarity", "cluster_similarity")],
+    )
+
+
+@query(f"WITH {_HALVES_MAP} SELECT CAST(l AS BIGINT) AS profile_id, CAST(r AS BIGINT) AS nearest_id, round(bs, 6) + 0.0 AS similarity FROM near")
+def nearest_in_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _catalogue(spark, sf_dir, halves=True)
+    found = catalogue.nearest_in_catalogue(rows, rows.count())
+    return found.select(F.col("ordinal").alias("profile_id"), F.col("nearest").alias("nearest_id"), shown(F.col("similarity")).alias("similarity"))
+
+
+def _first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return [float(x) for x in data.table(spark, sf_dir, "embeddings").orderBy("vec_id").first()["embedding"]]
+
+
+_QUERY_VECTOR = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1)"
+_ROLES = """,
+roles AS (SELECT profile_id, 'global' AS role, g FROM whole UNION ALL SELECT profile_id, 'cluster_' || (cluster + 1), g FROM placed),
+scored AS (SELECT profile_id, role, list_cosine_similarity(g, q.v) AS s FROM roles, (SELECT {q} AS v) q)""".replace("{q}", _QUERY_VECTOR)
+
+
+@query(f"WITH {_CLUSTERED}{_ROLES} SELECT profile_id, role, round(s, 6) + 0.0 AS similarity FROM scored ORDER BY s DESC, profile_id, role LIMIT 20")
+def match_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-k report: the 20 role vectors nearest to the first clip."""
+    rows = profiles.representatives(data.unit_clips(spark, sf_dir))
+    found = catalogue.match_vectors(rows, _first_vector(spark, sf_dir), 20)
+    return found.withColumn("similarity", shown(F.col("similarity")))
+
+
+@query(f"WITH {_CLUSTERED}{_ROLES} SELECT profile_id, role, round(s, 6) + 0.0 AS similarity FROM scored WHERE role = 'global' ORDER BY s DESC, profile_id LIMIT 5")
+def match_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-k report: the five global vectors nearest to the first clip."""
+    rows = profiles.representatives(data.unit_clips(spark, sf_dir))
+    found = catalogue.match_vectors(rows, _first_vector(spark, sf_dir), 5, role="global")
+    return found.withColumn("similarity", shown(F.col("similarity")))
+
+
+@query(f"""WITH {_MAP}, short AS (SELECT * FROM pairs WHERE l = 0 ORDER BY gs DESC, r LIMIT 5)
+SELECT r AS profile_id, round(bs, 6) + 0.0 AS similarity, round(gs, 6) + 0.0 AS global_similarity, round(cs, 6) + 0.0 AS cluster_similarity,
+  CAST(row_number() OVER (ORDER BY bs DESC, r) AS INTEGER) AS rank FROM short""")
+def rerank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-k report: profile 0's five nearest by global vector, ranked by the blend."""
+    rows = _catalogue(spark, sf_dir).drop("map_id").withColumnRenamed("ordinal", "profile_id")
+    found = catalogue.reranked(rows, rows.filter("profile_id = 0"), 5)
+    return found.select("profile_id", *[shown(F.col(c)).alias(c) for c in ("similarity", "global_similarity", "cluster_similarity")], "rank")
+
+
+@query()
+def map_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = profiles.global_vectors(data.unit_clips(spark, sf_dir)).select("profile_id", "vector")
+    found = atlas.transform(vectors, atlas.fit(vectors))
+    return found.select("profile_id", shown(F.col("x")).alias("x"), shown(F.col("y")).alias("y"))
+
+
+@query()
+def map_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = profiles.global_vectors(data.unit_clips(spark, sf_dir)).select("profile_id", "vector")
+    projection, frozen = atlas.projection_for(vectors, vectors)
+    return atlas.header(projection, frozen, vectors.count())
+
+
+@query()
+def map_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _catalogue(spark, sf_dir)
+    points = atlas.transform(rows.select("map_id", "ordinal", "g"), atlas.fit(rows, "g"), "g")
+    points = points.select("map_id", "ordinal", F.col("ordinal").cast("string").alias("id"), F.concat(F.lit("Set "), "ordinal").alias("label"), "x", "y")
+    return atlas.payload(points, catalogue.request_nearest(rows))
+
+
+# --- evaluation --------------------------------------------------------------------
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    return rows.select("ordinal", F.floor(F.col("ordinal") / 2).alias("group"))
+
+
+@query(f"WITH {_HALVES_MAP} SELECT count(*) AS n, count(*) FILTER (l // 2 = r // 2) AS hits, round(avg(CAST(l // 2 = r // 2 AS INT)), 6) AS accuracy FROM near")
+def nn_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _catalogue(spark, sf_dir, halves=True)
+    found = evaluation.nearest_accuracy(catalogue.request_nearest(rows).select("ordinal", "nearest"), _groups(rows))
+    return found.withColumn("accuracy", shown(F.col("accuracy")))
+
+
+@query(f"""WITH {_HALVES_MAP} SELECT round(avg(bs) FILTER (l // 2 = r // 2), 6) + 0.0 AS within, round(avg(bs) FILTER (l // 2 <> r // 2), 6) + 0.0 AS across,
+  round(avg(bs) FILTER (l // 2 = r // 2) - avg(bs) FILTER (l // 2 <> r // 2), 6) + 0.0 AS margin FROM pairs""")
+def similarity_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _catalogue(spark, sf_dir, halves=True)
+    found = evaluation.margin(catalogue.request_similarities(rows), _groups(rows))
+    return found.select(*[shown(F.col(c)).alias(c) for c in ("within", "across", "margin")])
+
+
+@query(f"""WITH {_HALVES_MAP}, rk AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY bs DESC, r) AS k FROM pairs),
+own AS (SELECT l, count(*) AS relevant, count(*) FILTER (k <= 5) AS found, min(k) AS first FROM rk WHERE l // 2 = r // 2 GROUP BY l)
+SELECT count(*) AS n, round(avg(found / least(relevant, 5)), 6) AS recall_at_k, round(avg(1.0::DOUBLE / first), 6) AS mrr FROM own""")
+def ranking_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _catalogue(spark, sf_dir, halves=True)
+    found = evaluation.ranking(catalogue.request_similarities(rows), _groups(rows))
+    return found.select("n", shown(F.col("recall_at_k")).alias("recall_at_k"), shown(F.col("mrr")).alias("mrr"))
+
+
+# --- telemetry, jobs, library --------------------------------------------------------
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return data.table(spark, sf_dir, "events").select(
+        "event_id", F.col("ts").alias("created_at"), F.col("user_id").alias("job_id"), F.col("event_type").alias("event_name"),
+        F.col("value").alias("duration_ms"), F.col("props").alias("properties"),
+    )
+
+
+@query("""SELECT event_type AS event_name, count(*) AS n, round(avg(value), 6) AS mean_ms, round(median(value), 6) AS median_ms, round(max(value), 6) AS longest_ms
+  FROM events GROUP BY event_type""")
+def event_duration_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ms = "duration_ms"
+    return _events(spark, sf_dir).groupBy("event_name").agg(
+        F.count(F.lit(1)).alias("n"), shown(F.avg(ms)).alias("mean_ms"), shown(F.median(ms)).alias("median_ms"), shown(F.max(ms)).alias("longest_ms")
+    )
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, '{\"event\":\"' || event_type || '\",\"k\":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' AS properties FROM events")
+def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.from_json("properties", "k int")["k"]
+    return _events(spark, sf_dir).select("event_id", k.alias("k"), jobs.properties_json(k=k, event=F.col("event_name")).alias("properties"))
+
+
+@query("""SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS event_name, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n_events
+  FROM events GROUP BY user_id""")
+def latest_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.latest(_events(spark, sf_dir)).select("job_id", "event_name", "event_id", "n_events")
+
+
+def _library_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as library entries whose names and lengths repeat."""
+    c = F.col
+    return data.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("Set "), (c("doc_id") % 97).cast("string"), F.when(c("doc_id") % 2 == 0, ".MP3").otherwise(".wav")).alias("label"),
+        (c("n_chars") % 7).cast("double").alias("duration_s"), F.lit("r1").alias("revision"), F.lit(25).alias("interval_s"), F.lit(0.0).alias("fraction"),
+        c("doc_id").alias("position"), c("n_chars").alias("considered"), F.floor(c("n_chars") / 2).alias("retained"),
+        F.floor(c("n_chars") / 3).alias("core"), c("n_chars").alias("total_ms"),
+    )
+
+
+_LIBRARY = """
+entries AS (SELECT doc_id AS position, doc_id % 3 = 0 AS old, lower('Set ' || doc_id % 97) || '::' || printf('%.2f', (n_chars % 7)::DOUBLE) || '::r1::25::0' AS signature FROM documents),
+merged AS (SELECT position, signature, 0 AS source FROM entries WHERE old UNION ALL
+  SELECT min(position), signature, 1 FROM entries WHERE NOT old AND signature NOT IN (SELECT signature FROM entries WHERE old) GROUP BY signature)"""
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _library_entries(spark, sf_dir)
+    return library.merged(rows.filter("position % 3 = 0"), rows.filter("position % 3 <> 0"))
+
+
+@query(f"WITH {_LIBRARY} SELECT position, signature, source FROM merged")
+def library_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir).select("position", "signature", "source")
+
+
+@query(f"WITH {_LIBRARY} SELECT position, signature FROM merged ORDER BY source DESC, position DESC LIMIT 80")
+def library_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library keeps its last 80 entries: the limit is the feature."""
+    return library.newest(_merged(spark, sf_dir)).select("position", "signature")
+
+
+@query("""SELECT count(*) AS profiles, CAST(sum(n_chars // 2) AS BIGINT) AS retained, CAST(sum(n_chars) AS BIGINT) AS considered, CAST(sum(n_chars // 3) AS BIGINT) AS core,
+  sum((n_chars % 7)::DOUBLE) AS duration_s, sum(n_chars) / 1000 AS processing_s FROM documents""")
+def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.totals(_library_entries(spark, sf_dir))
+
+
+@query("""SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', floor(b / 1024.0::DOUBLE * 10 + 0.5) / 10) WHEN b < 1073741824 THEN printf('%.1f MB', floor(b / 1048576.0::DOUBLE * 10 + 0.5) / 10) ELSE printf('%.1f GB', floor(b / 1073741824.0::DOUBLE * 10 + 0.5) / 10) END AS size,
+  CASE WHEN m < 60 THEN m || ' min' ELSE (m // 60) || 'h' || CASE WHEN m % 60 > 0 THEN ' ' || (m % 60) || 'm' ELSE '' END END AS duration,
+  regexp_replace(regexp_replace(lower(source || ' ' || lang || '!'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
+  CASE WHEN length(label) > 32 THEN left(label, 31) || '…' ELSE label END AS short FROM (
+  SELECT doc_id, source, lang, n_chars * 1000 AS b, CAST(floor(n_chars / 60.0::DOUBLE + 0.5) AS BIGINT) AS m, 'A recording of document number ' || doc_id AS label FROM documents)""")
+def display_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.concat(F.lit("A recording of document number "), F.col("doc_id").cast("string"))
+    return data.table(spark, sf_dir, "documents").select(
+        "doc_id",
+        display.byte_size(F.col("n_chars") * 1000).alias("size"),
+        display.duration(F.col("n_chars").cast("double")).alias("duration"),
+        display.slug(F.concat(F.col("source"), F.lit(" "), F.col("lang"), F.lit("!"))).alias("slug"),
+        display.short_label(label).alias("short"),
+    )
+
+
+# --- streaming ----------------------------------------------------------------------
+
+
+def _drained(stream: DataFrame, name: str) -> DataFrame:
+    """All that a stream has to offer, as its complete result."""
+    started = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
+    running = started.option("checkpointLocation", _checkpoint(stream.sparkSession, name)).start()
+    running.awaitTermination()
+    return stream.sparkSession.table(name)
+
+
+def _checkpoint(spark: SparkSession, name: str) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{root.rstrip('/')}/{name}"
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table read as a stream of its files."""
+    batch = data.table(spark, sf_dir, name)
+    files = batch.inputFiles()
+    whole = all(f.startswith(files[0].rsplit("/", 1)[0]) for f in files)
+    folder, pattern = (f"{sf_dir}/{name}.parquet", None) if len(files) > 1 and whole else (sf_dir, f"{name}.parquet")
+    reader = spark.readStream.schema(batch.schema)
+    return (reader.option("pathGlobFilter", pattern) if pattern else reader).parquet(folder)
+
+
+@query(ORACLE_SQL["profile_global"])
+def stream_profile_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _stream(spark, sf_dir, "embeddings").select(F.col("label").alias("profile_id"), "embedding")
+    found = streams.vectors_of(_drained(streams.running_sums(rows), _name("sums")))
+    return found.select("profile_id", F.posexplode("vector").alias("i", "x")).select("profile_id", F.col("i").cast("long").alias("i"), shown(F.col("x")).alias("value"))
+
+
+@query(ORACLE_SQL["latest_job_state"])
+def stream_latest_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _stream(spark, sf_dir, "events").select("event_id", F.col("ts").alias("created_at"), F.col("user_id").alias("job_id"), F.col("event_type").alias("event_name"))
+    return _drained(streams.latest_jobs(rows), _name("jobs")).select("job_id", "event_name", "event_id", "n_events")
+
+
+def _name(kind: str) -> str:
+    import uuid
+
+    return f"{kind}_{uuid.uuid4().hex}"

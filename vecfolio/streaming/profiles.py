@@ -28,7 +28,7 @@ def running_sums(clips: DataFrame) -> DataFrame:
 def vectors_of(sums: DataFrame) -> DataFrame:
     """(profile_id, vector, n) of the running sums as they stand."""
     grouped = sums.groupBy("profile_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", F.col("total") / F.col("n")))), lambda x: x[1]).alias("mean"), F.max("n").alias("n")
+        F.transform(F.array_sort(F.collect_list(F.struct("i", (F.col("total") / F.col("n")).alias("x")))), lambda x: x["x"]).alias("mean"), F.max("n").alias("n")
     )
     return with_unit(grouped, "mean", "vector").select("profile_id", "vector", "n")
 
