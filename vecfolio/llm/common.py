@@ -8,6 +8,9 @@ import types
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,15 +80,44 @@ class WordCache:
     def __init__(self, size: int):
         self.size, self.young, self.old = size // 2, {}, {}
 
-    def get(self, word):
-        found = self.young.get(word)
-        if found is None:
-            found = self.old.get(word)
-            if found is not None:
-                self.put(word, found)
-        return found
-
-    def put(self, word, value) -> None:
-        if len(self.young) >= self.size:
-            self.old, self.young = self.young, {}
-        self.young[word] = value
+    def turn(self) -> None:
+        """Begins a new generation if the younger one is full."""
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+
+    def lacking(self, words) -> list:
+        """The words that neither generation has; those of the older come to the younger."""
+        new = [w for w in words if w not in self.young]
+        old = self.old
+        self.young.update([(w, old[w]) for w in new if w in old])
+        return [w for w in new if w not in old] if old else new
+
+
+def gathered_ids(words: pa.Array, counts: np.ndarray, ids_of: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts, one after the other, and how many each has.
+
+    ``words`` are the texts' words as a dictionary array, ``counts`` their
+    number in each text, ``ids_of`` the ids of each word of the dictionary as
+    little-endian 32-bit integers.
+    """
+    lengths = np.fromiter(map(len, ids_of), np.int64, len(ids_of)) // 4
+    flat = np.frombuffer(b"".join(ids_of), "<u4")
+    at = words.indices.to_numpy()
+    each = lengths[at]
+    ends = np.cumsum(each)
+    shift = (np.cumsum(lengths) - lengths)[at] - (ends - each)
+    ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(shift, each)]
+    bounds = np.append(0, ends)[np.append(0, np.cumsum(counts))]
+    return ids, np.diff(bounds)
+
+
+def text_slices(texts: pa.Array, size: int = 8_000_000):
+    """Slices of a string array of about ``size`` bytes, one text at least; nulls as empty."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    lengths = np.cumsum(pc.binary_length(texts).to_numpy())
+    at = 0
+    while at < len(texts):
+        before = lengths[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(lengths, before + size, "right")))
+        yield at, texts.slice(at, to - at)
+        at = to

@@ -25,13 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, packed, per_worker, table, unpacked
+from .common import WordCache, gathered_ids, packed, per_worker, table, text_slices, unpacked
 
 BLANK = "▁"
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_000_000
+#: Text that is encoded at once, about; its ids take twice the room.
+ENCODED_BYTES = 4_000_000
 #: Longer stretches are encoded anew each time.
 CACHED_LENGTH = 48
 #: What an unknown character costs below the worst score, as the library has it.
@@ -50,6 +53,9 @@ class PieceCodec:
             model = sentencepiece_model_pb2.ModelProto.FromString(f.read())
         kind = type(model.pieces[0])
         self.bpe = model.trainer_spec.model_type == model.trainer_spec.BPE
+        normal = model.normalizer_spec
+        #: Whether normalising only puts a blank before the text and writes blanks as ``BLANK``.
+        self.plain = not normal.precompiled_charsmap and normal.add_dummy_prefix and normal.escape_whitespaces and not normal.remove_extra_whitespaces
         self.prefix = model.normalizer_spec.add_dummy_prefix
         self.vocabulary: dict[str, tuple[int, float]] = {}
         self.bytes_of: list[bytes] = []
@@ -226,9 +232,9 @@ class PieceCodec:
         return [self.byte_ids[b] for b in piece.encode()] if self.byte_ids else [self.unknown]
 
     def _word(self, word: str) -> bytes:
-        """Ids of a word that isn't among the cache's younger ones."""
-        found = self.known.get(word)
-        if found is not None:
+        """Ids of a word, from the cache if it is there."""
+        found = self.known.young.get(word) or self.known.old.get(word)
+        if found:
             return found
         cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.inner]
         if cuts:
@@ -238,13 +244,37 @@ class PieceCodec:
             pieces = self.short(word) if self.bpe and len(word) <= CACHED_LENGTH else self.stream(word)
             ids = b"".join([i.to_bytes(4, "little") for p in pieces for i in self._ids(p)])
         if len(word) <= CACHED_LENGTH:
-            self.known.put(word, ids)
+            self.known.young[word] = ids
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text."""
+        self.known.turn()
         words = self.words.findall(self.library.normalize(text or ""))
-        return np.frombuffer(b"".join([i or self._word(w) for w, i in zip(words, map(self.known.young.get, words))]), "<i4")
+        return np.frombuffer(b"".join([self._word(w) for w in words]), "<i4")
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, one after the other, and how many each has.
+
+        Texts with single blanks inside only are parted by Arrow; each distinct
+        word of theirs is looked up once.
+        """
+        odd = pc.match_substring_regex(texts, f"^ |  |{BLANK}|^$")
+        if not self.plain or pc.any(odd).as_py():
+            each = odd.to_pylist() if self.plain else [True] * len(texts)
+            if all(each):
+                found = [self.encode(t) for t in texts.to_pylist()]
+                return np.concatenate(found) if found else np.empty(0, "<i4"), np.array([len(x) for x in found], np.int64)
+            ids, counts = self.encode_all(texts.filter(pc.invert(odd)))
+            usual = iter(np.split(ids, np.cumsum(counts)[:-1]))
+            found = [self.encode(texts[i].as_py()) if o else next(usual) for i, o in enumerate(each)]
+            return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+        self.known.turn()
+        lists = pc.split_pattern(texts, " ")
+        words = lists.flatten().dictionary_encode()
+        found = [self._word(BLANK + w) for w in words.dictionary.to_pylist()]
+        ids, counts = gathered_ids(words, lists.value_lengths().to_numpy(), found)
+        return ids.view("<i4"), counts
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that aren't UTF-8 become replacement characters."""
@@ -260,20 +290,14 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = per_worker(("pieces", model_path), lambda: PieceCodec(model_path))
         for batch in batches:
-            # a few documents at a time, as ids take more room than text
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids, same = [], []
-                for text in part.column(names.index("text")):
-                    text = text.as_py() or ""
-                    found = codec.encode(text)
-                    ids.append(found)
-                    same.append(codec.decode(found.tolist()) == text)
-                offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
-                flat = pa.array(np.concatenate([*ids, np.empty(0, "<i4")]))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.ListArray.from_arrays(offsets, flat), pa.array(same)], [*names, "ids", "round_trip"]
-                )
+            for at, texts in text_slices(batch.column(names.index("text")), ENCODED_BYTES):
+                part = batch.slice(at, len(texts))
+                ids, counts = codec.encode_all(texts)
+                offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
+                each = ids.tolist()
+                same = [codec.decode(each[i:j]) == t for i, j, t in zip(offsets, offsets[1:], texts.to_pylist())]
+                made = [pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*names, "ids", "round_trip"])
 
     schema = docs.limit(0).withColumn("ids", F.lit(None).cast("array<int>")).withColumn("round_trip", F.lit(None).cast("boolean")).schema
     return unpacked(docs.mapInArrow(run, schema), columns, ["text"], ("ids", "round_trip"))

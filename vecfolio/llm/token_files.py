@@ -16,23 +16,25 @@ all kept; other columns are ignored; no rows give an empty folder.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordCache, per_worker, scratch, shuffle_partitions, table
+from .common import WordCache, gathered_ids, per_worker, scratch, shuffle_partitions, table, text_slices
 
 BLOCK_IDS = 65_536
 #: Distinct words that a Python worker keeps ids of.
 CACHED_WORDS = 800_000
-#: Marks that may close a word of letters.
-MARKS = ".,;:!?"
+_RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -58,13 +60,14 @@ def ids_at(payload: bytes, bits: int, start: int, n: int) -> np.ndarray:
     return wide.view("<u4").reshape(-1)
 
 
-def word_encoder(path: str) -> Callable[[str], bytes]:
-    """Text to little-endian 32-bit ids by a tokenizers file.
+def word_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """Texts to 32-bit ids by a tokenizers file: all ids, and how many each text has.
 
     For tokenizers whose pre-tokenizer drops white space and never joins text
-    across it, nor letters with a mark after them, a text's ids are its words'
-    ids in order; each distinct word is encoded once. New words of letters only
-    are encoded in one call and parted where a token ends a word.
+    across it, nor letters with other characters (but after an apostrophe), a
+    text's ids are its words' ids in order; each distinct word or run of
+    letters is encoded once. New runs of letters are encoded in one call and
+    parted where a token ends a word.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -87,86 +90,91 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
         raw, at = ids.tobytes(), (4 * np.append(0, ends)).tolist()
         return [raw[i:j] for i, j in zip(at, at[1:])]
 
-    marks = dict(zip(MARKS, alone(list(MARKS))))
+    def letters(word: str) -> bool:
+        return word.isalpha() and (word.isascii() or word.lower().isalpha() and unicodedata.is_normalized("NFC", word))
 
-    def learn(words: set[bytes]) -> dict[bytes, bytes]:
-        found: dict[bytes, bytes] = {}
-        letters: dict[bytes, str] = {}
-        marked, others = [], []
+    def learn(words: list[str]) -> None:
+        runs, mixed, others = dict.fromkeys(w for w in words if letters(w)), [], []
         for w in words:
-            s = w.decode()
-            core, mark = (s[:-1], s[-1]) if s[-1] in marks else (s, "")
-            if core.isalpha() and (core.isascii() or core.lower().isalpha() and unicodedata.is_normalized("NFC", core)):
-                key = w[:-1] if mark else w
-                if mark:
-                    marked.append((w, key, mark))
-                    seen = known.get(key)
-                    if seen:
-                        found[key] = seen
-                        continue
-                letters[key] = core
+            if w in runs:
+                continue
+            parts = _RUNS.findall(w)
+            if len(parts) == 1 or "'" in w or "<|" in w or not unicodedata.is_normalized("NFC", w) or not all(letters(p) or not _LETTER.search(p) for p in parts):
+                others.append(w)
             else:
-                others.append(s)
-        if letters:
-            found.update(zip(letters, together(list(letters.values()))))
-        if others:
-            found.update(zip([s.encode() for s in others], alone(others)))
-        found.update([(w, found[key] + marks[mark]) for w, key, mark in marked])
-        for w, ids in found.items():
-            known.put(w, ids)
-        return found
-
-    def encode(text: str) -> bytes:
-        words = text.encode().split()
-        ids = list(map(known.get, words))
-        if None in ids:
-            new = learn({w for w, i in zip(words, ids) if i is None})
-            ids = [new[w] if i is None else i for w, i in zip(words, ids)]
-        return b"".join(ids)
+                mixed.append((w, parts))
+        lacking = known.lacking(dict.fromkeys(p for _, parts in mixed for p in parts))
+        runs.update(dict.fromkeys(p for p in lacking if letters(p)))
+        others += [p for p in lacking if p not in runs]
+        for group, encoded in ((list(runs), together), (others, alone)):
+            if group:
+                known.young.update(zip(group, encoded(group)))
+        known.young.update([(w, b"".join([known.young[p] for p in parts])) for w, parts in mixed])
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        known.turn()
+        # ASCII case is folded anyway, but in special tokens
+        special = pc.match_substring(texts, "<|")
+        lists = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        new = known.lacking(distinct)
+        if new:
+            learn(new)
+        return gathered_ids(words, lists.value_lengths().to_numpy(), list(map(known.young.__getitem__, distinct)))
 
     return encode
 
 
+def encoded(batches: Iterator[pa.RecordBatch], encode) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(doc_id, ids) of batches (doc_id, text), some texts at a time."""
+    for batch in batches:
+        names = batch.column(0).to_pylist()
+        for at, texts in text_slices(batch.column(1)):
+            ids, counts = encode(texts)
+            ends = np.cumsum(counts).tolist()
+            for i, (start, end) in enumerate(zip([0, *ends], ends)):
+                yield names[at + i], ids[start:end]
+
+
 _BLOCKS = "shard int, block int, first long, n_ids int, bits int, doc_ids array<long>, doc_lens array<int>, payload binary"
 
 
 def write_token_files(
     docs: DataFrame,
     path: str,
-    make_encoder: Callable[[], Callable[[str], bytes]],
+    make_encoder: Callable[[], Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]],
     vocab_size: int,
     end_id: int,
     block_ids: int = BLOCK_IDS,
 ) -> None:
     """Write rows (doc_id, text) as token files at ``path``; one shard for each range of doc_id."""
     bits = max(1, int(max(vocab_size - 1, end_id)).bit_length())
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard = make_encoder(), TaskContext.get().partitionId()
         first, block = 0, 0
         names: list = []
         lens: list[int] = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         held = 0
 
         def closed() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts), "<u4")
+            ids = np.concatenate(parts)
             row = [shard, block, first, len(ids), bits, list(names), list(lens), pack(ids, bits)]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], [c.split()[0] for c in _BLOCKS.split(", ")])
 
-        for batch in batches:
-            for name, text in zip(batch.column(0), batch.column(1)):
-                ids = encode(text.as_py() or "") + end
-                names.append(name.as_py())
-                lens.append(len(ids) // 4)
-                parts.append(ids)
-                held += len(ids) // 4
-                if held >= block_ids:
-                    yield closed()
-                    first, block, held = first + held, block + 1, 0
-                    names, lens, parts = [], [], []
+        for name, ids in encoded(batches, encode):
+            names.append(name)
+            lens.append(len(ids) + 1)
+            parts += [ids, end]
+            held += len(ids) + 1
+            if held >= block_ids:
+                yield closed()
+                first, block, held = first + held, block + 1, 0
+                names, lens, parts = [], [], []
         if names:
             yield closed()
 
