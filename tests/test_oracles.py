@@ -1,7 +1,7 @@
 """Every profile query with SQL gives the same rows as DuckDB; the others have rows."""
 
 import pytest
-from conftest import duck, rows_of
+from helpers import duck, rows_of
 
 from vecfolio.plans.queries import ORACLE_SQL, QUERIES
 
