@@ -200,9 +200,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE, vocabulary:
     seen = Counter()
     for r in bins:
         seen[r["label"]] += r["count"]
-    x = np.log1p(np.array([r["x"] for r in bins]))
-    y = np.array([r["label"] for r in bins], float)
-    weight = np.array([r["count"] * totals[r["label"]] / max(seen[r["label"]], 1) for r in bins])
+    # two clean texts without evidence are added, so that few labels don't condemn a text that has none
+    x = np.log1p(np.array([r["x"] for r in bins] + [0.0]))
+    y = np.array([r["label"] for r in bins] + [0], float)
+    weight = np.array([r["count"] * totals[r["label"]] / max(seen[r["label"]], 1) for r in bins] + [2.0])
     model.base, model.slope = _logistic(x, y, weight)
     return model
 
