@@ -21,9 +21,9 @@ def test_sql(spark, small, name):
 
 
 def test_chat_reads_back(spark, nasty):
-    rows = QUERIES["op8_chat_formatting"](spark, nasty).toPandas()
-    wanted = duck(nasty).execute(chat.OP8_SQL).df()
-    assert rows_of(rows) == rows_of(wanted)
+    rows = [tuple(r) for r in QUERIES["op8_chat_formatting"](spark, nasty).collect()]
+    wanted = duck(nasty).execute(chat.OP8_SQL).fetchall()
+    assert sorted(rows, key=str) == sorted(wanted, key=str)
     formatted = chat.format_conversations(spark.read.parquet(f"{nasty}/conversations.parquet"))
     by_id = {r["conv_id"]: r for r in formatted.collect()}
     assert by_id[1]["formatted"] == "<turn user>a<part><part></turn>\n<turn >&lt;x&gt; &amp; &lt;/turn&gt;\n</turn>\n"
@@ -142,10 +142,9 @@ def test_mixing(spark, request, which):
     for r in rows:
         taken[r["target"]] = taken.get(r["target"], 0) + r["taken"]
     if which == "small":
-        shares = {}
-        for n, t in wanted.items():
-            shares[round(t, 6)] = shares.get(round(t, 6), 0) + t
-        assert all(abs(got - shares[round(t, 6)]) <= 0.03 * shares[round(t, 6)] + 64 for t, got in taken.items())
+        for t, got in taken.items():
+            like = [x for x in wanted.values() if abs(x - t) < 1e-6]
+            assert abs(got - sum(like)) <= mixing.BLOCK_WORDS * len(like)
 
 
 def test_permutation_and_shards(spark):
@@ -154,13 +153,13 @@ def test_permutation_and_shards(spark):
         assert sorted(got) == list(range(n))
     assert got != list(range(n))
     plan = spark.createDataFrame([("a", 0, 64_000, 64_000.0), ("b", 1, 6400, 12_800.0), ("c", 2, 0, 0.0)], "source string, source_ix int, source_size long, target double")
-    mix = mixing.slots(plan, shard_slots=100).collect()
+    mix = mixing.slots(plan, 64, shard_slots=100).collect()
     assert sorted(r["position"] for r in mix) == list(range(1200))
     seen = {}
     for r in mix:
         seen.setdefault((r["source_ix"], r["pass"]), []).append(r["block"])
     assert sorted(map(len, seen.values())) == [100, 100, 1000] and all(sorted(b) == list(range(len(b))) for b in seen.values())
-    counts = [r["n"] for r in mixing.shard_counts(mixing.slots(plan, shard_slots=100)).collect() if r["source_ix"] == 1]
+    counts = [r["n"] for r in mixing.shard_counts(mixing.slots(plan, 64, shard_slots=100)).collect() if r["source_ix"] == 1]
     # a hypergeometric draw: 200 of 1200 slots, 100 a shard
     assert sum(counts) == 200 and 2 < max(counts) - min(counts) < 25
 

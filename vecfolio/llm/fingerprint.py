@@ -60,9 +60,8 @@ def with_next_text(docs: DataFrame) -> DataFrame:
     cuts = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n).alias("c")).first()["c"]
     bounds = F.array(*[F.lit(x).cast("long") for x in sorted(set(cuts or []))]).cast("array<bigint>")
     # range 0 holds the largest ids; a null id goes to the last range
-    ranged = docs.withColumn(
-        "_range", F.coalesce(F.size(F.filter(bounds, lambda b: b >= F.col("doc_id"))), F.lit(n))
-    )
+    place = F.size(F.filter(bounds, lambda b: b >= F.col("doc_id")))
+    ranged = docs.withColumn("_range", F.when(F.col("doc_id").isNull(), n).otherwise(place))
     tops = [
         (r["_range"], r["top"])
         for r in ranged.groupBy("_range").agg(F.max("doc_id").alias("top")).orderBy("_range").collect()

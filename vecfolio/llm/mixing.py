@@ -25,7 +25,7 @@ from .common import WORD, materialise, packed, shuffle_partitions, table, unpack
 
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
-BLOCK_WORDS = 64
+BLOCK_WORDS = 32
 SHARD_SLOTS = 4096
 SEED = 17
 #: Documents that a bucket of a source holds, about.
@@ -191,10 +191,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     met = texts.join(took, (texts["row_hash"] == took["row_hash"]) & texts["doc_id"].eqNullSafe(took["_id"])).drop(
         texts["row_hash"]
     )
+    # the words are a lambda's argument, so they are made once a text and not once a part
     some = F.expr(
-        rf"""ltrim(array_join(flatten(transform(parts, p -> slice(
-              regexp_extract_all(text, '[\\x20\\x09-\\x0D]*{WORD.replace(chr(92), chr(92) * 2)}', 0),
-              cast(p.skip as int) + 1, cast(p.words as int)))), ''))"""
+        rf"""transform(array(regexp_extract_all(text, '[\\x20\\x09-\\x0D]*{WORD.replace(chr(92), chr(92) * 2)}', 0)),
+              w -> ltrim(array_join(flatten(transform(parts, p -> slice(w, cast(p.skip as int) + 1, cast(p.words as int)))), '')))[0]"""
     )
     met = met.withColumn("text", F.when(F.col("got") == F.col("size"), F.col("text")).otherwise(some))
     if "n_chars" in docs.columns:
