@@ -4,7 +4,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from vecfolio.functions import display
@@ -30,7 +29,7 @@ def test_offsets(spark, duration, interval, starts):
 
 
 def test_offsets_need_an_interval(spark):
-    with pytest.raises(PySparkException, match="interval"):
+    with pytest.raises(Exception, match="interval"):
         spark.range(1).select(sampling.offsets(F.lit(20.0), F.lit(0.0))).collect()
 
 
@@ -136,7 +135,7 @@ def test_minimum_support(spark):
 
 @pytest.mark.parametrize("vectors", [[(0, 0, 0)] * 2, [(1, 0), (-1, 0)], [(float("nan"), 1)], [(float("inf"), 1)]])
 def test_no_direction_is_an_error(spark, vectors):
-    with pytest.raises(PySparkException, match="zero or non-finite"):
+    with pytest.raises(Exception, match="zero or non-finite"):
         profiles.aggregate(clips(spark, {"p": vectors})).collect()
 
 

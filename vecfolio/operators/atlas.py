@@ -60,8 +60,9 @@ def fit(vectors: DataFrame, column: str = "vector") -> DataFrame:
     scatter = outer - n * np.outer(center, center)
     variance = [0.0, 0.0]
     axes = np.zeros((2, d))
-    # equal vectors differ by rounding only
-    if np.sqrt(max(np.trace(scatter), 0.0) / n) <= 1e-7:
+    # equal vectors differ by rounding only, and have no coordinates
+    equal = np.sqrt(max(np.trace(scatter), 0.0) / n) <= 1e-7
+    if equal:
         axes[0, 0] = axes[1, min(1, d - 1)] = 1.0
     else:
         values, columns = np.linalg.eigh(scatter)
@@ -75,7 +76,7 @@ def fit(vectors: DataFrame, column: str = "vector") -> DataFrame:
     far = coordinates.agg(
         *[F.max(F.struct(F.round(F.abs(f"a{k}"), 9).alias("size"), F.transform("unit", lambda x: -x).alias("least"), F.col(f"a{k}").alias("at"))).alias(f"f{k}") for k in (0, 1)]
     ).first()
-    at = [far[f"f{k}"]["at"] for k in (0, 1)]
+    at = [0.0 if equal else far[f"f{k}"]["at"] for k in (0, 1)]
     axes *= np.where(np.array(at) < 0, -1.0, 1.0)[:, None]
     scale = [max(abs(x), LEAST_SCALE) for x in at]
     text = ";".join(",".join(f"{x + 0.0:.6f}" for x in part) for part in (center, *axes, scale)) + f";{n}"

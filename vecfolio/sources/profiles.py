@@ -63,8 +63,10 @@ def write_profiles(exports: DataFrame, path: str) -> None:
 def batch_documents(entry_rows: DataFrame, per_document: int = MOST_INITIAL) -> DataFrame:
     """(document, json): batch documents of up to about ``per_document`` entries (position, id, label, created_at, result)."""
     part = F.floor(F.col("position") / per_document).alias("document")
-    entry = F.struct("position", F.struct("id", "label", "created_at", "result").alias("e"))
-    grouped = entry_rows.groupBy(part).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]).alias("profiles"))
+    # maps in an entry can't be ordered, so positions alone are, and entries follow them
+    entry = F.struct("id", "label", "created_at", "result")
+    grouped = entry_rows.groupBy(part).agg(F.map_from_entries(F.collect_list(F.struct("position", entry.alias("e")))).alias("m"))
+    grouped = grouped.select("document", F.transform(F.array_sort(F.map_keys("m")), lambda k: F.element_at("m", k)).alias("profiles"))
     return grouped.select("document", F.to_json(F.struct(F.lit(BATCH_VERSION).alias("schema_version"), "profiles")).alias("json"))
 
 
