@@ -49,6 +49,14 @@ def exact_groups(texts: DataFrame) -> DataFrame:
     )
 
 
+def _below(cuts: list[int], x: Column) -> Column:
+    """How many of the sorted cuts are below x: first among every step-th one, then in the stretch that follows."""
+    step = max(1, int(len(cuts) ** 0.5))
+    every, coarse = (F.array(*[F.lit(c).cast("long") for c in some]).cast("array<bigint>") for some in (cuts, cuts[step - 1 :: step]))
+    passed = F.size(F.filter(coarse, lambda c: c < x)) * step
+    return passed + F.size(F.filter(F.slice(every, passed + 1, F.lit(step)), lambda c: c < x))
+
+
 def with_next_text(docs: DataFrame) -> DataFrame:
     """Adds ``next_text``: the text of the next row by descending doc_id, after the last the first.
 
@@ -58,10 +66,9 @@ def with_next_text(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = 4 * shuffle_partitions(spark)
     cuts = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n).alias("c")).first()["c"]
-    bounds = F.array(*[F.lit(x).cast("long") for x in sorted(set(cuts or []))]).cast("array<bigint>")
+    cuts = sorted(set(cuts or []))
     # range 0 holds the largest ids; a null id goes to the last range
-    place = F.size(F.filter(bounds, lambda b: b >= F.col("doc_id")))
-    ranged = docs.withColumn("_range", F.when(F.col("doc_id").isNull(), n).otherwise(place))
+    ranged = docs.withColumn("_range", F.when(F.col("doc_id").isNull(), n).otherwise(len(cuts) - _below(cuts, F.col("doc_id"))))
     tops = [
         (r["_range"], r["top"])
         for r in ranged.groupBy("_range").agg(F.max("doc_id").alias("top")).orderBy("_range").collect()
