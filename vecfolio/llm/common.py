@@ -113,11 +113,10 @@ def gathered_ids(words: pa.Array, counts: np.ndarray, ids_of: list[bytes]) -> tu
 
 def text_slices(texts: pa.Array, size: int = 8_000_000):
     """Slices of a string array of about ``size`` bytes, one text at least; nulls as empty."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    lengths = np.cumsum(pc.binary_length(texts).to_numpy())
+    lengths = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
     at = 0
     while at < len(texts):
         before = lengths[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(lengths, before + size, "right")))
-        yield at, texts.slice(at, to - at)
+        yield at, pc.fill_null(texts.slice(at, to - at).cast(pa.large_string()), "")
         at = to

@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 from .common import WordCache, gathered_ids, packed, per_worker, table, text_slices, unpacked
 
 BLANK = "▁"
-CACHED_WORDS = 1_000_000
+#: Stands for no piece among the ids.
+NOTHING = 1 << 30
+CACHED_WORDS = 250_000
 #: Text that is encoded at once, about; its ids take twice the room.
-ENCODED_BYTES = 4_000_000
+ENCODED_BYTES = 2_000_000
 #: Longer stretches are encoded anew each time.
 CACHED_LENGTH = 48
 #: What an unknown character costs below the worst score, as the library has it.
@@ -76,13 +78,14 @@ class PieceCodec:
         self.longest = max(map(len, self.vocabulary))
         self.worst = min(s for _, s in self.vocabulary.values()) - UNKNOWN_PENALTY
         self.words = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-        #: Every beginning of a piece, and whether it is one.
-        self.starts = {p[:n]: False for p in self.vocabulary for n in range(1, len(p))}
-        self.starts.update(dict.fromkeys(self.vocabulary, True))
+        #: Every beginning of a piece, with the piece's id or -1.
+        self.starts = {p[:n]: -1 for p in self.vocabulary for n in range(1, len(p))}
+        self.starts.update((p, i) for p, (i, _) in self.vocabulary.items())
+        self.piece_of = {i: p for p, (i, _) in self.vocabulary.items()} | {NOTHING: ""}
         #: Neighbouring characters in pieces; between any others all paths meet.
         self.inner = {p[i : i + 2] for p in self.vocabulary for i in range(len(p) - 1)}
         self.halves: dict[str, tuple[str, str] | None] = {}
-        self.joins: dict[tuple[str, str], bool] = {}
+        self.joins: dict[int, bool] = {}
         self.known = WordCache(CACHED_WORDS)
 
     # --- merge ranks
@@ -108,12 +111,14 @@ class PieceCodec:
         each other at a time were there until one of them was merged on; they
         would have been merged with each other had that had the better rank.
         """
-        key = (left, right)
+        key = (self.vocabulary[left][0] if left else NOTHING) << 32 | self.vocabulary[right][0]
         found = self.joins.get(key)
-        if found is None:
-            if len(self.joins) >= CACHED_WORDS:
-                self.joins.clear()
-            found = self.joins[key] = self._apart(left, right)
+        return self._learn(key) if found is None else found
+
+    def _learn(self, key: int) -> bool:
+        if len(self.joins) >= 2 * CACHED_WORDS:
+            self.joins.clear()
+        found = self.joins[key] = self._apart(self.piece_of[key >> 32], self.piece_of[key & 0xFFFFFFFF])
         return found
 
     def _apart(self, left: str, right: str) -> bool:
@@ -139,23 +144,24 @@ class PieceCodec:
     def short(self, word: str) -> list[str]:
         """Pieces of a word no longer than the window, by the scan of ``stream`` for merge ranks."""
         starts, joins, n = self.starts, self.joins, len(word)
-        last: list[str | None] = ["", *[None] * n]
+        last = [-1] * (n + 1)
+        last[0] = NOTHING
         back = [0] * (n + 1)
         for start in range(n):
             left = last[start]
-            if left is None:
+            if left < 0:
                 continue
+            left <<= 32
             for end in range(start + 1, n + 1):
-                piece = word[start:end]
-                whole = starts.get(piece)
-                if whole is None:
+                piece = starts.get(word[start:end])
+                if piece is None:
                     break
-                if whole and last[end] is None:
-                    ok = joins.get((left, piece))
-                    if ok or (ok is None and self.may_follow(left, piece)):
+                if piece >= 0 and last[end] < 0:
+                    ok = joins.get(left | piece)
+                    if ok or (ok is None and self._learn(left | piece)):
                         last[end], back[end] = piece, start
-            if last[start + 1] is None and word[start] not in self.vocabulary:
-                last[start + 1], back[start + 1] = "", start
+            if last[start + 1] < 0 and word[start] not in self.vocabulary:
+                last[start + 1], back[start + 1] = NOTHING, start
         return self._path(n, back, 0, word, 0)
 
     # --- the scan
