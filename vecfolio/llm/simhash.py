@@ -178,7 +178,7 @@ def plan_search(fps: DataFrame, distance: int = DISTANCE) -> list[tuple[list[int
                 if t:
                     ways = ways * (len(part) - t + 1) / t
                 met += pairs.get(k, 0.0) * symmetric[t]
-                probes += n * ways / (2 if t else 1)
+                probes += max(n, 1) * ways / (2 if t else 1)
                 row.append(probes + PAIR_COST * met)
             costs.append(row)
         cost, units = allot(costs, distance + 1)
