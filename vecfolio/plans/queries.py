@@ -407,7 +407,7 @@ def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_CLUSTERED}
-SELECT CAST(profile_id AS VARCHAR) AS profile_id, role, round(weight, 6) AS weight, round(g[1], 6) + 0.0 AS head FROM (
+SELECT CAST(profile_id AS VARCHAR) AS profile_id, role, round(weight, 6) AS weight, round(round(g[1], 8), 6) + 0.0 AS head FROM (
   SELECT profile_id, 'global' AS role, 1::DOUBLE AS weight, g FROM whole UNION ALL
   SELECT profile_id, 'cluster_' || (cluster + 1), n / sum(n) OVER (PARTITION BY profile_id), g FROM placed)""")
 def profile_export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
