@@ -1,8 +1,11 @@
 """Every query and stage on awkward and on empty tables."""
 
+import os
+
 import pytest
 
 import corpus_pipeline
+from vecfolio.llm import common
 from vecfolio.llm.queries import QUERIES
 
 CONTRACT = {
@@ -46,6 +49,16 @@ def test_pipeline_stages(spark, nasty, empty):
         assert not docs.filter("not round_trip").count()
 
 
+def test_scratch_is_cleared(spark):
+    path = common.scratch(spark)
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    root = path.rsplit("/", 1)[0].removeprefix("file:")
+    assert spark.sparkContext.applicationId in root and os.path.isdir(root)
+    common.clear_scratch(spark)
+    assert not os.path.isdir(root)
+
+
 def test_pipeline_keeps_and_drops(spark, nasty):
     docs = spark.read.parquet(f"{nasty}/documents.parquet")
     near = corpus_pipeline.near_dedup(spark, docs, nasty).collect()
