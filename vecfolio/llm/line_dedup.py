@@ -46,19 +46,22 @@ def lines(docs: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame, long_line: int = LONG_LINE) -> DataFrame:
     """(doc_id, row_hash, removed, n_removed): places of the lines to remove."""
-    each = lines(docs).withColumn("h", F.md5("line"))
-    bytes_equal = each.groupBy("h", "line").agg(F.count(F.lit(1)).alias("n"))
+    # hashes travel as 16 bytes
+    h = F.unhex(F.md5("line"))
+    each = lines(docs)
+    bytes_equal = each.groupBy("line").agg(F.count(F.lit(1)).alias("n")).withColumn("h", h)
     repeated = bytes_equal.groupBy("h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("variants")).filter(
         "n > 1 and variants = 1"
     )
-    narrow = each.select("doc_id", "row_hash", "line_no", "pos", "upto", "h", F.regexp_count("line", F.lit(WORD)).alias("words"))
+    narrow = each.select("doc_id", "row_hash", "line_no", "pos", "upto", h.alias("h"), F.regexp_count("line", F.lit(WORD)).alias("words"))
     found = narrow.join(repeated.select("h"), "h", "left_semi")
     doc = ["doc_id", "row_hash"]
     # equal rows are one document
     found = found.groupBy(*doc, "line_no", "pos", "upto", "h", "words").agg(F.count(F.lit(1)).alias("copies"))
     in_doc = Window.partitionBy(*doc).orderBy("line_no")
     found = found.withColumn("starts_run", F.coalesce(F.col("line_no") - F.lag("line_no").over(in_doc) != 1, F.lit(True)))
-    rolling = F.md5(F.concat(F.when(F.col("starts_run"), F.lit("")).otherwise(F.lag("h").over(in_doc)), "h"))
+    before = F.when(F.col("starts_run"), F.lit("")).otherwise(F.lower(F.hex(F.lag("h").over(in_doc))))
+    rolling = F.md5(F.concat(before, F.lower(F.hex("h"))))
     found = found.withColumn("ends", (F.substring(rolling, 1, 1) < BOUND) | (F.col("words") >= long_line))
     starts = F.col("starts_run") | F.lag("ends").over(in_doc) | (F.col("words") >= long_line)
     found = found.withColumn("starts", F.coalesce(starts, F.lit(True)))
@@ -77,7 +80,7 @@ def removed_lines(docs: DataFrame, long_line: int = LONG_LINE) -> DataFrame:
         .select(
             *doc,
             F.col("has")[0]["line_no"].alias("first_line"),
-            F.md5(F.array_join(F.col("has.h"), "")).alias("key"),
+            F.unhex(F.md5(F.array_join(F.transform("has.h", F.hex), ""))).alias("key"),
             F.expr("flatten(transform(has, x -> sequence(x.pos, x.upto - 1)))").alias("places"),
             F.size("has").alias("chunk_lines"),
         )

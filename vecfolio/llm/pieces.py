@@ -34,7 +34,7 @@ from .common import WordCache, gathered_ids, packed, per_worker, table, text_sli
 BLANK = "▁"
 #: Stands for no piece among the ids.
 NOTHING = 1 << 30
-CACHED_WORDS = 250_000
+CACHED_WORDS = 450_000
 #: Text that is encoded at once, about; its ids take twice the room.
 ENCODED_BYTES = 2_000_000
 #: Longer stretches are encoded anew each time.
@@ -116,7 +116,7 @@ class PieceCodec:
         return self._learn(key) if found is None else found
 
     def _learn(self, key: int) -> bool:
-        if len(self.joins) >= 2 * CACHED_WORDS:
+        if len(self.joins) >= CACHED_WORDS:
             self.joins.clear()
         found = self.joins[key] = self._apart(self.piece_of[key >> 32], self.piece_of[key & 0xFFFFFFFF])
         return found
