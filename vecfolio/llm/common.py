@@ -119,17 +119,21 @@ def gathered_ids(words: pa.Array, counts: np.ndarray, ids_of: list[bytes]) -> tu
     each = lengths[at]
     ends = np.cumsum(each)
     shift = (np.cumsum(lengths) - lengths)[at] - (ends - each)
-    ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(shift, each)]
+    # positions below 2**31: a slice of texts is far smaller
+    place = np.repeat(shift.astype(np.int32), each)
+    place += np.arange(len(place), dtype=np.int32)
+    ids = flat[place]
     bounds = np.append(0, ends)[np.append(0, np.cumsum(counts))]
     return ids, np.diff(bounds)
 
 
-def text_slices(texts: pa.Array, size: int = 8_000_000):
+def text_slices(texts: pa.Array, size: int):
     """Slices of a string array of about ``size`` bytes, one text at least; nulls as empty."""
     lengths = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
     at = 0
     while at < len(texts):
         before = lengths[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(lengths, before + size, "right")))
-        yield at, pc.fill_null(texts.slice(at, to - at).cast(pa.large_string()), "")
+        # an array of its own: kernels work on all of the buffer that a slice shares
+        yield at, pa.array([t or "" for t in texts.slice(at, to - at).to_pylist()], pa.large_string())
         at = to

@@ -32,7 +32,9 @@ from .common import WordCache, gathered_ids, per_worker, scratch, shuffle_partit
 
 BLOCK_IDS = 65_536
 #: Distinct words that a Python worker keeps ids of.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 600_000
+#: Text that is encoded at once, about; its ids take several times the room.
+ENCODED_BYTES = 6_000_000
 _RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -130,7 +132,7 @@ def encoded(batches: Iterator[pa.RecordBatch], encode) -> Iterator[tuple[int | N
     """(doc_id, ids) of batches (doc_id, text), some texts at a time."""
     for batch in batches:
         names = batch.column(0).to_pylist()
-        for at, texts in text_slices(batch.column(1)):
+        for at, texts in text_slices(batch.column(1), ENCODED_BYTES):
             ids, counts = encode(texts)
             ends = np.cumsum(counts).tolist()
             for i, (start, end) in enumerate(zip([0, *ends], ends)):
