@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vecfolio.llm import components, language, neighbours, pieces, simhash, token_files, toxicity
+from vecfolio.llm import common, components, language, neighbours, pieces, simhash, token_files, toxicity
 from vecfolio.llm.queries import QUERIES
 
 
@@ -151,6 +151,24 @@ def test_word_encoder(word_file):
             assert ids.tolist() == plain.encode(TEXTS[i], add_special_tokens=False).ids, TEXTS[i]
 
 
+def test_texts_in_slices(spark, small, word_file, codec, monkeypatch):
+    """Texts that are encoded in many slices of a batch have the same ids."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "ENCODED_BYTES", 5000)
+    plain = Tokenizer.from_file(word_file)
+    texts = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()] + [None, ""] + TEXTS
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"]).slice(3)
+    slices = list(common.text_slices(batch.column(1), 5000))
+    assert len(slices) > 50 and [t for _, s in slices for t in s.to_pylist()] == [t or "" for t in texts[3:]]
+    for i, ids in token_files.encoded([batch], token_files.word_encoder(word_file)):
+        assert ids.tolist() == plain.encode(texts[i] or "", add_special_tokens=False).ids
+    for at, some in slices:
+        ids, counts = codec.encode_all(some)
+        for k, x in enumerate(np.split(ids, np.cumsum(counts)[:-1])):
+            assert x.tolist() == codec.library.encode(texts[3 + at + k] or "")
+
+
 @pytest.mark.parametrize("which", ["small", "nasty"])
 def test_token_files(spark, request, which, word_file):
     from tokenizers import Tokenizer
