@@ -32,9 +32,10 @@ from .common import WordCache, gathered_ids, per_worker, scratch, shuffle_partit
 
 BLOCK_IDS = 65_536
 #: Distinct words that a Python worker keeps ids of.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 #: Text that is encoded at once, about; its ids take several times the room.
-ENCODED_BYTES = 6_000_000
+ENCODED_BYTES = 4_000_000
+_JOINED_MARK = r"[^\pL\pN\s][.,]"
 _RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -117,7 +118,11 @@ def word_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray
         known.turn()
         # ASCII case is folded anyway, but in special tokens
         special = pc.match_substring(texts, "<|")
-        lists = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
+        folded = pc.if_else(special, texts, pc.ascii_lower(texts))
+        # a comma or stop after a letter, digit or blank begins a token, so it may stand alone
+        joined = pc.match_substring_regex(texts, _JOINED_MARK)
+        apart = pc.replace_substring(pc.replace_substring(folded, ",", " ,"), ".", " .")
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.or_(special, joined), folded, apart))
         words = lists.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()
         new = known.lacking(distinct)
