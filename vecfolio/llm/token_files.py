@@ -32,9 +32,9 @@ from .common import WordCache, gathered_ids, per_worker, scratch, shuffle_partit
 
 BLOCK_IDS = 65_536
 #: Distinct words that a Python worker keeps ids of.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 #: Text that is encoded at once, about; its ids take several times the room.
-ENCODED_BYTES = 4_000_000
+ENCODED_BYTES = 2_000_000
 _JOINED_MARK = r"[^\pL\pN\s][.,]"
 _RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -142,6 +142,7 @@ def encoded(batches: Iterator[pa.RecordBatch], encode) -> Iterator[tuple[int | N
             ends = np.cumsum(counts).tolist()
             for i, (start, end) in enumerate(zip([0, *ends], ends)):
                 yield names[at + i], ids[start:end]
+            pa.default_memory_pool().release_unused()
 
 
 _BLOCKS = "shard int, block int, first long, n_ids int, bits int, doc_ids array<long>, doc_lens array<int>, payload binary"
