@@ -420,3 +420,19 @@ def test_neighbours_recall(spark, monkeypatch):
     # ties go to the smaller ids
     common = sorted(r["vec_id"] for r in found[200] if abs(r["score"] - float((x[200] ** 2).sum())) < 1e-9)
     assert common in (list(range(100, 120)), [])
+
+
+@pytest.mark.parametrize("most", [1, 8])
+def test_neighbours_beyond_most_probes(spark, monkeypatch, most):
+    monkeypatch.setattr(neighbours, "CELL", 512)
+    monkeypatch.setattr(neighbours, "MOST_PROBES", most)
+    x = np.random.default_rng(6).normal(size=(4000, 24))
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, v array<double>")
+    found = {}
+    for r in neighbours.nearest(rows, rows.filter("vec_id % 40 = 0"), 20).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 4000, 40):
+        order = np.argsort(-(x @ x[q]), kind="stable")
+        hits += len(found[q] & set(order[order != q][:20].tolist()))
+    assert hits / 2000 >= 0.96

@@ -7,8 +7,10 @@ visits its own bucket and those with single projections moved to the next cell,
 in the order in which they are likely to hold near vectors (the squared
 distances to the cells' borders, summed). How many it visits is fitted on a
 bounded sample so that the sample's own neighbours are found; every vector is
-in the index. Candidates of all tables are merged and reranked by inner product
-in double precision.
+in the index. If ``MOST_PROBES`` visits don't find them, hashes are left out
+until they do; if none are left, each query is searched in every cell of one
+table, which is exact. Candidates of all tables are merged and reranked by inner
+product in double precision.
 
 Buckets are dealt to cells of about ``CELL`` vectors; a cell beyond that, as by
 a very common vector, is cut by id, and so are a cell's queries. Each piece
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import islice
 
 import numpy as np
@@ -48,7 +50,7 @@ SLACK = 8
 
 @dataclass
 class Hashing:
-    """Projections of the tables, and how many buckets a query visits."""
+    """Projections of the tables, and how many buckets a query visits; 0 is all of them."""
 
     scale: float
     directions: np.ndarray  # table, hash, component
@@ -57,6 +59,10 @@ class Hashing:
     cells: int
     probes: int = 1
 
+    def first(self, hashes: int) -> Hashing:
+        """The same by the first hashes only."""
+        return replace(self, directions=self.directions[:, :hashes], offsets=self.offsets[:, :hashes], mixers=self.mixers[:hashes])
+
     def raised(self, v: np.ndarray, query: bool) -> np.ndarray:
         """Vectors scaled, with the component that makes candidates' norms 1."""
         v = v / self.scale
@@ -113,8 +119,29 @@ def usable(vectors: DataFrame) -> DataFrame:
     return one.filter(F.size("v") == (lengths["n"] if lengths else 0))
 
 
+def enough_probes(hashing: Hashing, sample: np.ndarray, k: int) -> int | None:
+    """How many visits find ``RECALL`` of the neighbours of the sample's queries; none if ``MOST_PROBES`` don't."""
+    names = hashing.names(np.floor(hashing.places(sample, False)))
+    places = hashing.places(sample[:SAMPLE_QUERIES], True)
+    ranks = []
+    for q in range(places.shape[1]):
+        score = sample @ sample[q]
+        score[q] = -np.inf
+        near = np.argsort(-score, kind="stable")[: min(k, len(sample) - 1)]
+        best = np.full(len(near), MOST_PROBES)
+        for t in range(TABLES):
+            order = {b: i for i, b in reversed(list(enumerate(hashing.visits(places[t, q], MOST_PROBES).tolist())))}
+            best = np.minimum(best, [order.get(b, MOST_PROBES) for b in names[t, near].tolist()])
+        ranks.append(best)
+    found = np.sort(np.concatenate(ranks)) if ranks else np.zeros(0)
+    if not len(found):
+        return 1
+    last = int(found[int(np.ceil(RECALL * len(found))) - 1])
+    return last + 1 if last < MOST_PROBES else None
+
+
 def fit(vectors: DataFrame, k: int, seed: int = 11) -> Hashing | None:
-    """Hashing for rows (vec_id, v): sized by their number, probes fitted on a sample of ``SAMPLE`` rows."""
+    """Hashing for rows (vec_id, v): sized by their number, hashes and probes fitted on a sample of ``SAMPLE`` rows."""
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     stats = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("m"), F.max(F.size("v")).alias("d")).first()
     if not stats["n"]:
@@ -132,21 +159,12 @@ def fit(vectors: DataFrame, k: int, seed: int = 11) -> Hashing | None:
     )
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     sample = np.array([r["v"] for r in rows])
-    names = hashing.names(np.floor(hashing.places(sample, False)))
-    places = hashing.places(sample[:SAMPLE_QUERIES], True)
-    ranks = []
-    for q in range(places.shape[1]):
-        score = sample @ sample[q]
-        score[q] = -np.inf
-        near = np.argsort(-score, kind="stable")[: min(k, len(sample) - 1)]
-        best = np.full(len(near), MOST_PROBES)
-        for t in range(TABLES):
-            order = {b: i for i, b in reversed(list(enumerate(hashing.visits(places[t, q], MOST_PROBES).tolist())))}
-            best = np.minimum(best, [order.get(b, MOST_PROBES) for b in names[t, near].tolist()])
-        ranks.append(best)
-    found = np.sort(np.concatenate(ranks)) if ranks else np.zeros(0)
-    hashing.probes = int(found[int(RECALL * (len(found) - 1))]) + 1 if len(found) else 1
-    return hashing
+    for kept in range(hashes, 0, -1):
+        fewer = hashing.first(kept)
+        probes = enough_probes(fewer, sample, k)
+        if probes is not None:
+            return replace(fewer, probes=probes)
+    return replace(hashing, probes=0)
 
 
 def _entries(vectors: DataFrame, hashing: Hashing, query: bool, everywhere: bool = False) -> DataFrame:
@@ -278,6 +296,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     if hashing is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = _entries(vectors, hashing, False)
+    if not hashing.probes:
+        every = _search(index.filter("tab = 0"), _entries(queries, hashing, True, everywhere=True), k)
+        return _ranked(every, k).select("query_id", "rank", "vec_id", "score")
     found = materialise(_ranked(_search(index, _entries(queries, hashing, True), k), k))
     full = found.filter(F.col("rank") == F.lit(min(k, vectors.count() - 1))).select(F.col("query_id").alias("vec_id"))
     short = materialise(queries.join(full, "vec_id", "left_anti"))
