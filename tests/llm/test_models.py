@@ -380,6 +380,17 @@ def test_similar_classes(spark, monkeypatch):
     assert found == {i: docs[root][0] for (i, _), root in zip(docs, roots)}
 
 
+def test_similar_classes_of_repeats(spark):
+    body, docs = " ".join(f"w{i}" for i in range(300)), []
+    for family in range(12):
+        start = body.replace("w", f"f{family}w")
+        phrase = " ".join(f"p{family}q{i}" for i in range(7 if family % 2 else 1))
+        docs += [(2 * family + i, f"{start} " + " ".join([phrase] * n)) for i, n in enumerate((1, 400))]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").withColumn("row_hash", F.xxhash64("doc_id"))
+    found = {r["doc_id"]: r["first_id"] for r in simhash.similar_classes(rows).collect()}
+    assert found == {i: i - i % 2 for i, _ in docs}
+
+
 # --- neighbours ---------------------------------------------------------------------
 
 

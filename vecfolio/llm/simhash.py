@@ -348,14 +348,17 @@ BLOCK_SETS = 512
 
 
 def shingle_set(text: str | None, width: int = SHINGLE) -> tuple[int, np.ndarray]:
-    """The SimHash of a text, and its distinct shingles' hashes in order."""
-    parts = shingles(text, width)
-    raw = b"".join([xxhash.xxh64_digest(s, SEED) for s in parts])
+    """The SimHash of a text's distinct shingles, and their hashes in order.
+
+    How often a shingle is repeated counts in neither, so the bits differ as the sets do.
+    """
+    digests = b"".join([xxhash.xxh64_digest(s, SEED) for s in shingles(text, width)])
+    hashes = np.unique(np.frombuffer(digests, ">u8").astype(np.uint64))
+    raw = hashes.astype(">u8").tobytes()
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(raw), 65536):
         ones += np.unpackbits(np.frombuffer(raw[i : i + 65536], np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    fp = int.from_bytes(np.packbits(2 * ones > len(parts)).tobytes(), "big")
-    return fp, np.unique(np.frombuffer(raw, ">u8").astype(np.uint64))
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big"), hashes
 
 
 def _set_name(hashes: np.ndarray) -> int:
