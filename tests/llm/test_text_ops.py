@@ -108,6 +108,24 @@ def test_line_dedup_cases(spark):
     assert out[6] == "b\nunlike" and out[7] is None and out[8] == "" and out[9] == "x" and out[10] == ""
 
 
+def test_line_dedup_edges(spark):
+    line = lambda name: " ".join(f"{name}_{i}" for i in range(12))
+    docs, hot = [], [line(f"hot{i}") for i in range(12)]
+    for i, h in enumerate(hot):
+        docs += [(1000 + 2 * i, f"u{i}\n{h}\nv{i}"), (1001 + 2 * i, f"x{i}\n{h}\ny{i}")]
+    for i in range(6):  # a passage in each of two documents, beside other common lines
+        body = "\n".join(line(f"p{i}_{k}") for k in range(5))
+        docs += [(2 * i, f"{hot[i]}\n{body}\n{hot[i + 1]}"), (2 * i + 1, f"{hot[11 - i]}\n{body}\n{hot[10 - i]}")]
+    docs += [(50, "start\n" + "\n".join([line("again")] * 7)), (51, "\n".join([line("again")] * 4) + "\nend")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(rows, edges=True).collect()}
+    assert all(out[2 * i].count(f"p{i}_") == 60 and f"p{i}_" not in out[2 * i + 1] for i in range(6))
+    assert out[50] == "start\n" + line("again") and out[51] == "end"
+    plain = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(rows).collect()}
+    assert any(f"p{i}_" in plain[2 * i + 1] for i in range(6))
+    assert all(out[i] == t for i, t in docs if i >= 1000)
+
+
 def water_fill(sizes, most=3):
     """Targets by resharing until none is above its cap."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)

@@ -5,8 +5,10 @@ before them. A line is repeated if its bytes occur more than once in the corpus
 (its hash finds the bucket, the bytes decide). Consecutive repeated lines make
 a run. Within a run a rolling hash over the last two line hashes ends a chunk
 where it falls under a bound, and a line of ``long_line`` words is a chunk of
-its own; run ends and chunk ends depend on content only, so shifted passages
-are cut alike. Chunks of runs of two lines or of ``long_line`` words that occur
+its own; chunk ends depend on content only, so shifted passages are cut alike
+from the first end inside on. A line beside a passage that is repeated elsewhere
+joins the passage's first or last chunk, unless ``edges`` parts them: the
+pipeline asks for that, OP6_SQL doesn't have it. Chunks of runs of two lines or of ``long_line`` words that occur
 again are removed everywhere but at the first place by (doc_id, row hash, line).
 
 Defined results: a null text stays null; an empty one stays empty; a document
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, packed, table, unpacked
+from .common import WORD, materialise, packed, table, unpacked
 
 LONG_LINE = 50
 #: The rolling hash ends a chunk if its first hex digit is below this.
@@ -44,8 +46,12 @@ def lines(docs: DataFrame) -> DataFrame:
     ).select("doc_id", "row_hash", "line_no", "x.pos", F.coalesce("x.upto", "n").alias("upto"), "x.line")
 
 
-def removed_lines(docs: DataFrame, long_line: int = LONG_LINE) -> DataFrame:
-    """(doc_id, row_hash, removed, n_removed): places of the lines to remove."""
+def removed_lines(docs: DataFrame, long_line: int = LONG_LINE, edges: bool = False) -> DataFrame:
+    """(doc_id, row_hash, removed, n_removed): places of the lines to remove.
+
+    With ``edges`` a chunk also ends between two lines that follow each other
+    only once in the corpus, and between equal lines; the rolling hash begins anew.
+    """
     # hashes travel as 16 bytes
     h = F.unhex(F.md5("line"))
     each = lines(docs)
@@ -60,10 +66,17 @@ def removed_lines(docs: DataFrame, long_line: int = LONG_LINE) -> DataFrame:
     found = found.groupBy(*doc, "line_no", "pos", "upto", "h", "words").agg(F.count(F.lit(1)).alias("copies"))
     in_doc = Window.partitionBy(*doc).orderBy("line_no")
     found = found.withColumn("starts_run", F.coalesce(F.col("line_no") - F.lag("line_no").over(in_doc) != 1, F.lit(True)))
-    before = F.when(F.col("starts_run"), F.lit("")).otherwise(F.lower(F.hex(F.lag("h").over(in_doc))))
+    found = found.withColumn("edge", F.col("starts_run"))
+    if edges:
+        found = materialise(found.withColumn("before", F.when(~F.col("starts_run"), F.lag("h").over(in_doc))))
+        pairs = found.filter("before <> h").groupBy("before", "h").agg(F.count(F.lit(1)).alias("n"))
+        # a chunk with a pair that occurs once can't occur again
+        found = found.join(pairs.filter("n > 1").select("before", "h", F.lit(False).alias("parted")), ["before", "h"], "left")
+        found = found.withColumn("edge", F.coalesce("parted", F.lit(True)))
+    before = F.when(F.col("edge"), F.lit("")).otherwise(F.lower(F.hex(F.lag("h").over(in_doc))))
     rolling = F.md5(F.concat(before, F.lower(F.hex("h"))))
     found = found.withColumn("ends", (F.substring(rolling, 1, 1) < BOUND) | (F.col("words") >= long_line))
-    starts = F.col("starts_run") | F.lag("ends").over(in_doc) | (F.col("words") >= long_line)
+    starts = F.col("edge") | F.lag("ends").over(in_doc) | (F.col("words") >= long_line)
     found = found.withColumn("starts", F.coalesce(starts, F.lit(True)))
     upto = in_doc.rowsBetween(Window.unboundedPreceding, 0)
     found = found.withColumn("run", F.sum(F.col("starts_run").cast("int")).over(upto)).withColumn(
@@ -92,11 +105,11 @@ def removed_lines(docs: DataFrame, long_line: int = LONG_LINE) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, long_line: int = LONG_LINE) -> DataFrame:
+def dedup_lines(docs: DataFrame, long_line: int = LONG_LINE, edges: bool = False) -> DataFrame:
     """``docs`` with repeated chunks removed from text, and a column ``n_removed``."""
     need = ["doc_id", "text"]
     keyed = packed(docs, need).withColumn("row_hash", F.xxhash64(*need, "_rest"))
-    gone = removed_lines(keyed.select("doc_id", "row_hash", "text"), long_line).withColumnRenamed("doc_id", "_id")
+    gone = removed_lines(keyed.select("doc_id", "row_hash", "text"), long_line, edges).withColumnRenamed("doc_id", "_id")
     met = keyed.join(gone, (keyed["row_hash"] == gone["row_hash"]) & keyed["doc_id"].eqNullSafe(gone["_id"]), "left").drop(
         keyed["row_hash"]
     )
