@@ -182,6 +182,27 @@ def test_permutation_and_shards(spark):
     assert sum(counts) == 200 and 2 < max(counts) - min(counts) < 25
 
 
+@pytest.mark.parametrize("which", ["small", "nasty"])
+def test_mix_is_drawn(spark, request, which):
+    docs = spark.read.parquet(f"{request.getfixturevalue(which)}/documents.parquet")
+    rows = mixing.taken_words(docs.select("doc_id", "source", "text")).collect()
+    mix = sorted(mixing.mixed_blocks(docs).collect(), key=lambda r: r["position"])
+    assert [r["position"] for r in mix] == list(range(len(mix)))
+    assert all(r["shard"] == r["position"] // mixing.SHARD_SLOTS and r["n_words"] == len(r["text"].split(" ")) for r in mix)
+    assert sum(r["n_words"] for r in mix) == sum(r["taken"] for r in rows)
+    passes = {}
+    for r in mix:
+        passes.setdefault((r["source"], r["block"]), []).append(r["pass"])
+    assert all(len(set(p)) == len(p) for p in passes.values())
+    words = {}
+    for r in docs.collect():
+        words.setdefault(r["source"], set()).update(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+    assert all(set(r["text"].split(" ")) <= words[r["source"]] for r in mix)
+    assert min(r["first_position"] for r in rows if r["taken"]) == 0
+    assert all((r["first_position"] is None) == (r["taken"] == 0) for r in rows)
+    assert {r["first_shard"] for r in rows if r["taken"]} <= {r["shard"] for r in mix}
+
+
 def test_mixed_documents(spark, nasty):
     docs = spark.read.parquet(f"{nasty}/documents.parquet")
     taken = {}

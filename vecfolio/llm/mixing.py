@@ -155,17 +155,58 @@ def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def taken_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for each row of ``docs``."""
+    """(doc_id, size, source_size, target, taken, first_position, first_shard, last_shard) for each row of ``docs``.
+
+    The last three say where the draw put the row's words: the least position of
+    its blocks in the mix, and the least and largest shard; null if none is taken.
+    """
     where, plan = _prepared(docs)
-    times = slots(plan).groupBy("source_ix", "block").agg(F.count(F.lit(1)).alias("times"))
+    times = slots(plan).groupBy("source_ix", "block").agg(
+        F.count(F.lit(1)).alias("times"), F.min("position").alias("first_position"),
+        F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"),
+    )
     row = ["source_ix", "bucket", "rank", "doc_id", "size", "source_size", "target"]
     # the optimizer can't see how many slots a plan's few rows make, so it isn't to broadcast them
     met = pieces(where).join(times.hint("merge"), ["source_ix", "block"], "left")
     return (
         met.groupBy(*row)
-        .agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
-        .select("doc_id", "size", "source_size", "target", "taken")
+        .agg(
+            F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"), F.min("first_position").alias("first_position"),
+            F.min("first_shard").alias("first_shard"), F.max("last_shard").alias("last_shard"),
+        )
+        .select("doc_id", "size", "source_size", "target", "taken", "first_position", "first_shard", "last_shard")
+    )
+
+
+def mixed_blocks(docs: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """The mix itself: (position, shard, source, pass, block, n_words, text), a row for each slot.
+
+    ``text`` is the words of the slot's block, a space apart, in the source's order.
+    """
+    need = ["doc_id", "source", "text"]
+    docs = docs.select(*need)
+    where, plan = _prepared(docs)
+    drawn = slots(plan, shard_slots=shard_slots, seed=seed)
+    parts = (
+        pieces(where).filter("words > 0").groupBy("source_ix", "bucket", "rank", "doc_id", "row_hash")
+        .agg(F.collect_list(F.struct("block", "skip", "words", (F.col("start") + F.col("skip")).alias("at"))).alias("parts"))
+        .withColumnRenamed("doc_id", "_id")
+    )
+    texts = docs.withColumn("row_hash", F.xxhash64(*docs.columns)).dropDuplicates(["doc_id", "row_hash"])
+    met = texts.join(parts, (texts["row_hash"] == parts["row_hash"]) & texts["doc_id"].eqNullSafe(parts["_id"]))
+    # the words are a lambda's argument, so they are made once a text and not once a part
+    cut = F.expr(
+        rf"""transform(array(regexp_extract_all(text, '{WORD.replace(chr(92), chr(92) * 2)}', 0)),
+              w -> transform(parts, p -> struct(p.block as block, p.at as at, p.words as words,
+                array_join(slice(w, cast(p.skip as int) + 1, cast(p.words as int)), ' ') as text)))[0]"""
+    )
+    filled = (
+        met.select("source", "source_ix", F.explode(cut).alias("p"))
+        .groupBy("source", "source_ix", "p.block")
+        .agg(F.sum("p.words").alias("n_words"), F.array_sort(F.collect_list(F.struct("p.at", "p.text"))).alias("has"))
+        .select("source", "source_ix", "block", "n_words", F.array_join("has.text", " ").alias("text"))
     )
+    return drawn.hint("merge").join(filled, ["source_ix", "block"]).select("position", "shard", "source", "pass", "block", "n_words", "text")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
