@@ -151,6 +151,34 @@ def test_word_encoder(word_file):
             assert ids.tolist() == plain.encode(TEXTS[i], add_special_tokens=False).ids, TEXTS[i]
 
 
+@pytest.fixture(scope="module")
+def word_ids(word_file):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(word_file), token_files.word_encoder(word_file)
+
+
+def check_word_ids(word_ids, texts):
+    plain, encode = word_ids
+    ids, counts = encode(pa.array(texts, pa.large_string()))
+    for text, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
+        assert own.tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def test_word_encoder_every_character(word_ids):
+    """Marks after a letter that folds to two characters or takes a combining mark stay with them."""
+    check_word_ids(word_ids, ["İ,", "İ.", "T̈", "H̱", "J̌", "W̊", "Y̊", "H̱amad said", "it's a dog's", "<|ENDOFTEXT|>", "a<|endoftext|>b, c."])
+    each = [chr(i) for i in range(1, 0x2100)]
+    for shape in ("{}", "a{},b", "A{}. B{}", "{}'s", "{}\u0308,"):
+        check_word_ids(word_ids, [shape.format(c, c) for c in each])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("abATHY ,.'\n1İñÜб\u0308\u0331\u030c"), st.characters(exclude_categories=["Cs"])), max_size=30), min_size=1, max_size=20))
+def test_word_encoder_any_text(word_ids, texts):
+    check_word_ids(word_ids, texts)
+
+
 def test_texts_in_slices(spark, small, word_file, codec, monkeypatch):
     """Texts that are encoded in many slices of a batch have the same ids."""
     from tokenizers import Tokenizer
@@ -224,24 +252,27 @@ def test_pieces_any_text(codec, text):
     assert codec.encode(text).tolist() == codec.library.encode(text)
 
 
-def test_stream_keeps_a_window(codec):
-    """A long stretch without blanks comes out as it goes in, and equals the library's pieces."""
+def test_the_scan_keeps_a_window(codec, monkeypatch):
+    """However long a stretch is, a window of twice the longest piece is held, and each window commits ids."""
     text = "thereforenotwithstanding" * 400
-    read, first = 0, None
-    shown = pieces.BLANK + text
-
-    def characters():
-        nonlocal read
-        for c in shown:
-            read += 1
-            yield c
-
-    out = []
-    for piece in codec.stream(characters()):
-        first = read if first is None else first
-        out.append(piece)
-    assert first < 100 and "".join(out) == shown
-    assert [codec.vocabulary[p][0] for p in out] == codec.library.encode(text)
+    wanted = codec.library.encode(text)
+    chars = codec.letter[np.frombuffer((pieces.BLANK + text).encode("utf-32-le"), np.uint32)]
+    windows, plain = [], codec._window
+
+    def window(chars, base, rest, left):
+        piece, back = plain(chars, base, rest, left)
+        windows.append((int(base[0]), piece.shape))
+        return piece, back
+
+    monkeypatch.setattr(codec, "_window", window)
+    begun = codec.scan(chars, np.array([0]), np.array([len(chars)]))
+    assert begun[begun != -2].tolist() == wanted
+    assert {shape for _, shape in windows} == {(1, 2 * codec.longest + 1)}
+    starts = [at for at, _ in windows]
+    assert all(0 < b - a <= 2 * codec.longest for a, b in zip(starts, starts[1:])) and len(starts) > 400
+    slowly = np.full(len(chars), -2, np.int32)
+    codec._slowly(chars, 0, len(chars), len(codec.scores), slowly)
+    assert (slowly == begun).all()
 
 
 def test_unigram_scores(codec, tmp_path):
@@ -255,7 +286,7 @@ def test_unigram_scores(codec, tmp_path):
             p.score = -float(np.log(i + 2)) * (1 + i * 7919 % 1000 / 5000)
     (tmp_path / "unigram.model").write_bytes(model.SerializeToString())
     own = pieces.PieceCodec(str(tmp_path / "unigram.model"))
-    score = {i: s for i, s in own.vocabulary.values()}
+    score = {i: own.scores[i] for i in own.vocabulary.values()}
     for text in ("the quick brown fox", "internationalisation of things", "a" * 80, "étés à la mode 日本"):
         got, wanted = own.encode(text).tolist(), own.library.encode(text)
         total = [sum(score.get(i, 0.0) for i in ids) for ids in (got, wanted)]

@@ -87,44 +87,53 @@ def per_worker(key: tuple, make: Callable):
     return kept[key]
 
 
-class WordCache:
-    """Bounded memory of words: two generations, the older dropped when the younger is full."""
+def gathered_ids(at: np.ndarray, counts: np.ndarray, flat: np.ndarray, lengths: np.ndarray, each: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Items of texts, one after the other, and how many each has.
 
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size // 2, {}, {}
-
-    def turn(self) -> None:
-        """Begins a new generation if the younger one is full."""
-        if len(self.young) > self.size:
-            self.young, self.old = {}, self.young
-
-    def lacking(self, words) -> list:
-        """The words that neither generation has; those of the older come to the younger."""
-        new = [w for w in words if w not in self.young]
-        old = self.old
-        self.young.update([(w, old[w]) for w in new if w in old])
-        return [w for w in new if w not in old] if old else new
-
-
-def gathered_ids(words: pa.Array, counts: np.ndarray, ids_of: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of texts, one after the other, and how many each has.
-
-    ``words`` are the texts' words as a dictionary array, ``counts`` their
-    number in each text, ``ids_of`` the ids of each word of the dictionary as
-    little-endian 32-bit integers.
+    ``at`` are the texts' words, numbered, and ``counts`` how many each text
+    has; ``flat`` holds the words' items one after the other, ``lengths`` of them each.
     """
-    lengths = np.fromiter(map(len, ids_of), np.int64, len(ids_of)) // 4
-    flat = np.frombuffer(b"".join(ids_of), "<u4")
-    at = words.indices.to_numpy()
-    each = lengths[at]
+    each = lengths[at] if each is None else each
     ends = np.cumsum(each)
     shift = (np.cumsum(lengths) - lengths)[at] - (ends - each)
     # positions below 2**31: a slice of texts is far smaller
     place = np.repeat(shift.astype(np.int32), each)
     place += np.arange(len(place), dtype=np.int32)
-    ids = flat[place]
     bounds = np.append(0, ends)[np.append(0, np.cumsum(counts))]
-    return ids, np.diff(bounds)
+    return flat[place], np.diff(bounds)
+
+
+class IdTable:
+    """A hash table from integers that aren't negative to such integers, read for whole arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        left, at = np.arange(len(keys)), self._home(np.asarray(keys, np.int64))
+        while len(left):
+            free = left[self.keys[at[left]] < 0]
+            self.keys[at[free]] = keys[free]
+            won = self.keys[at[left]] == keys[left]
+            self.values[at[left[won]]] = values[left[won]]
+            left = left[~won]
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values of keys, -1 where there is none."""
+        at = self._home(keys)
+        held = self.keys[at]
+        found = np.where(held == keys, self.values[at], -1)
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[at[left]]
+            hit = held == keys[left]
+            found[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (held >= 0)]
+        return found
 
 
 def text_slices(texts: pa.Array, size: int):

@@ -20,6 +20,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordCache, gathered_ids, per_worker, scratch, shuffle_partitions, table, text_slices
+from .common import gathered_ids, per_worker, scratch, shuffle_partitions, table, text_slices
 
 BLOCK_IDS = 65_536
 #: Distinct words that a Python worker keeps ids of.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 300_000
 #: Text that is encoded at once, about; its ids take several times the room.
-ENCODED_BYTES = 2_000_000
-_JOINED_MARK = r"[^\pL\pN\s][.,]"
-_RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
+ENCODED_BYTES = 3_000_000
+#: Runs of letters that are one text for the library.
+TOGETHER = 128
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -63,14 +63,32 @@ def ids_at(payload: bytes, bits: int, start: int, n: int) -> np.ndarray:
     return wide.view("<u4").reshape(-1)
 
 
+def _safe_letters() -> str:
+    """Letters below U+0530 that composing leaves alone and whose lower case is one such letter, as a regex class body.
+
+    No combining mark is among them, so a word of these and ASCII characters
+    is parted alike before and after the tokenizer's normalising.
+    """
+
+    def stays(c: str) -> bool:
+        low = c.lower()
+        return c.isalpha() and len(low) == 1 and low.isalpha() and all(unicodedata.is_normalized("NFC", x) and not unicodedata.combining(x) for x in (c, low))
+
+    good = [i for i in range(0x80, 0x530) if stays(chr(i))]
+    starts = [i for i in good if i - 1 not in good]
+    ends = [i for i in good if i + 1 not in good]
+    return "A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
+
+
 def word_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """Texts to 32-bit ids by a tokenizers file: all ids, and how many each text has.
 
-    For tokenizers whose pre-tokenizer drops white space and never joins text
-    across it, nor letters with other characters (but after an apostrophe), a
-    text's ids are its words' ids in order; each distinct word or run of
-    letters is encoded once. New runs of letters are encoded in one call and
-    parted where a token ends a word.
+    For tokenizers that put text into NFC and lower case, drop white space,
+    and part runs of letters from all else (but after an apostrophe). A text's
+    ids are then those of its words between ASCII white space. Each distinct
+    word is encoded once and remembered for a while. Words of ASCII and such
+    letters as normalising can't join to others are parted further; all others
+    go to the library as they are.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -79,56 +97,78 @@ def word_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray
     vocabulary = tokenizer.get_vocab(with_added_tokens=True)
     ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
     ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-    known = WordCache(CACHED_WORDS)
-
-    def alone(words: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def together(words: list[str]) -> list[bytes]:
-        ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+    letters = _safe_letters()
+    # a comma or stop after a letter, digit or blank begins a token; ASCII case folds alike but before a combining mark
+    special = rf"<\||[^0-9{letters}\s][.,]|[A-Z][^\x00-\x7F{letters}]"
+    plain = re.compile(rf"[\x21-\x26\x28-\x7e{letters}]+")
+    parts_of = re.compile(f"[{letters}]+|[^{letters}]+")
+    starts_letter = re.compile(f"[{letters}]")
+    known: dict[str, int] = {}
+    held = [np.empty(0, "<u4")]  # ids of the known words, one after the other, in runs
+    sizes = [np.empty(0, np.int64)]
+
+    def keep(words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        known.update(zip(words, range(len(known), len(known) + len(words))))
+        held.append(ids)
+        sizes.append(counts)
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        held[:], sizes[:] = [np.concatenate(held)], [np.concatenate(sizes)]
+        return held[0], sizes[0]
+
+    def alone(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], "<u4"), np.array([len(ids) for ids in found], np.int64)
+
+    def together(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of letters in few calls, parted where a token ends a word."""
+        lines = [" ".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+        found = [e.ids for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.array([i for line in found for i in line], "<u4")
         ends = np.flatnonzero(ends_word[ids]) + 1
         if len(ends) != len(words) or ends[-1] != len(ids):
             return alone(words)
-        raw, at = ids.tobytes(), (4 * np.append(0, ends)).tolist()
-        return [raw[i:j] for i, j in zip(at, at[1:])]
-
-    def letters(word: str) -> bool:
-        return word.isalpha() and (word.isascii() or word.lower().isalpha() and unicodedata.is_normalized("NFC", word))
-
-    def learn(words: list[str]) -> None:
-        runs, mixed, others = dict.fromkeys(w for w in words if letters(w)), [], []
-        for w in words:
-            if w in runs:
+        return ids, np.diff(ends, prepend=0)
+
+    def learn(words: pa.Array) -> None:
+        whole = pc.match_substring_regex(words, f"^[{letters}]+$")
+        runs, others, mixed = dict.fromkeys(words.filter(whole).to_numpy(zero_copy_only=False)), {}, []
+        for w in words.filter(pc.invert(whole)).to_numpy(zero_copy_only=False):
+            if not plain.fullmatch(w) or "<|" in w:
+                others[w] = None
                 continue
-            parts = _RUNS.findall(w)
-            if len(parts) == 1 or "'" in w or "<|" in w or not unicodedata.is_normalized("NFC", w) or not all(letters(p) or not _LETTER.search(p) for p in parts):
-                others.append(w)
-            else:
+            parts = parts_of.findall(w)
+            if len(parts) > 1:
                 mixed.append((w, parts))
-        lacking = known.lacking(dict.fromkeys(p for _, parts in mixed for p in parts))
-        runs.update(dict.fromkeys(p for p in lacking if letters(p)))
-        others += [p for p in lacking if p not in runs]
-        for group, encoded in ((list(runs), together), (others, alone)):
+            for p in parts:
+                if p not in known:
+                    (runs if starts_letter.match(p) else others)[p] = None
+        for group, encode_ in ((list(runs), together), (list(others), alone)):
             if group:
-                known.young.update(zip(group, encoded(group)))
-        known.young.update([(w, b"".join([known.young[p] for p in parts])) for w, parts in mixed])
+                keep(group, *encode_(group))
+        if mixed:
+            counts = np.array([len(parts) for _, parts in mixed])
+            at = np.array([known[p] for _, parts in mixed for p in parts])
+            keep([w for w, _ in mixed], *gathered_ids(at, counts, *merged()))
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        known.turn()
-        # ASCII case is folded anyway, but in special tokens
-        special = pc.match_substring(texts, "<|")
-        folded = pc.if_else(special, texts, pc.ascii_lower(texts))
-        # a comma or stop after a letter, digit or blank begins a token, so it may stand alone
-        joined = pc.match_substring_regex(texts, _JOINED_MARK)
-        apart = pc.replace_substring(pc.replace_substring(folded, ",", " ,"), ".", " .")
-        lists = pc.ascii_split_whitespace(pc.if_else(pc.or_(special, joined), folded, apart))
+        odd = pc.match_substring_regex(texts, special)
+        apart = pc.ascii_lower(pc.replace_substring(pc.replace_substring(texts, ",", " ,"), ".", " ."))
+        lists = pc.ascii_split_whitespace(pc.if_else(odd, texts, apart) if pc.any(odd).as_py() else apart)
         words = lists.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        new = known.lacking(distinct)
-        if new:
-            learn(new)
-        return gathered_ids(words, lists.value_lengths().to_numpy(), list(map(known.young.__getitem__, distinct)))
+        distinct = words.dictionary.to_numpy(zero_copy_only=False)
+        at = np.fromiter(map(known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            learn(words.dictionary.take(pa.array(new)))
+            at[new] = [known[w] for w in distinct[new]]
+        ids, counts = merged()
+        found = gathered_ids(at[words.indices.to_numpy()], lists.value_lengths().to_numpy(), ids, counts)
+        if len(known) > CACHED_WORDS:  # those of the last texts stay
+            known.clear()
+            held.clear(), sizes.clear()
+            keep(distinct.tolist(), *gathered_ids(at, np.ones(len(at), np.int64), ids, counts))
+        return found
 
     return encode
 
