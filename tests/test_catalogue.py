@@ -83,7 +83,7 @@ def test_map_frozen_and_session(spark):
     assert not frozen and atlas.header(fitted, frozen, 2).first()["method"] == "collection_pca_v2"
     farthest = max(abs(r["x"]) for r in atlas.transform(reference, projection).collect())
     assert math.isclose(farthest, math.tanh(1), abs_tol=1e-9)
-    with pytest.raises(Exception, match="dimensions"):
+    with pytest.raises(Exception, match="another length"):
         atlas.transform(spark.createDataFrame([(0, [1.0, 0.0])], "id int, vector array<double>"), projection).collect()
 
 
@@ -91,7 +91,7 @@ def test_map_of_equal_vectors(spark):
     rows = spark.createDataFrame([(i, [0.6, 0.8]) for i in range(3)], "id int, vector array<double>")
     fitted = atlas.fit(rows).first()
     assert fitted["axis_1"] == [1.0, 0.0] and fitted["axis_2"] == [0.0, 1.0] and fitted["variance"] == [0.0, 0.0]
-    with pytest.raises(ValueError, match="at least one"):
+    with pytest.raises(ValueError, match="no vector"):
         atlas.fit(rows.limit(0))
 
 
@@ -131,6 +131,19 @@ def test_map_request_limits(spark):
     assert {(r["map_id"], r["rule"]) for r in contract.map_request_problems(rows).collect()} == {(1, "profile_count"), (2, "label_length"), (4, "label_length")}
 
 
+def test_too_large_a_request_is_an_error(spark):
+    rows = [(1, i, r, 0.5, [1.0, 0.1 * i]) for i in range(101) for r in ("global", "cluster_1", "cluster_2")]
+    wide = catalogue.pivoted(spark.createDataFrame(rows, "map_id int, ordinal int, role string, weight double, vector array<double>"), "map_id", "ordinal")
+    with pytest.raises(Exception, match="more than 100 profiles"):
+        catalogue.request_similarities(wide).collect()
+
+
+def test_the_last_of_equal_roles_counts(spark):
+    rows = [(1, "global", 1.0, [1.0, 0.0]), (1, "cluster_1", 0.5, [0.9, 0.1]), (1, "cluster_2", 0.5, [0.0, 1.0]), (1, "cluster_1", 0.2, [0.1, 0.2])]
+    placed = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "place int, id int, role string, weight double, vector array<double>")
+    assert catalogue.pivoted(placed, "id").first()["w1"] == pytest.approx(0.2 / 0.7)
+
+
 def test_tables(spark):
     vectors = spark.createDataFrame([("a", "global"), ("a", "global"), ("b", "global")], "profile_id string, role string")
     held = spark.createDataFrame([("a",)], "profile_id string")

@@ -71,11 +71,50 @@ def test_quality_reasons(spark):
         "one": (np.array([0.1]), None),
     }
     wide = spark.createDataFrame([(k, [float(x) for x in v]) for k, (v, _) in windows.items()], "w string, s array<double>")
-    samples = wide.select("w", F.posexplode("s").alias("n", "x"))
-    found = {r["w"]: r["reason"] for r in quality.analyse(samples, "w").collect()}
+    found = {r["w"]: r["reason"] for r in quality.analyse(wide.withColumnRenamed("s", "samples")).collect()}
     assert found == {k: reason for k, (_, reason) in windows.items()}
 
 
+def test_quality_of_odd_windows(spark):
+    """Signs are compared by their bit, so -0.0 is negative; nothing, nulls and infinities are invalid."""
+    rules = quality.QualityRules(frame=4, stride=1)
+    assert quality.measure([0.5, -0.0, 0.5, -0.0], rules)["zero_crossing_rate"] == 1.0
+    assert quality.measure([0.5], rules)["zero_crossing_rate"] is None and quality.measure([0.5], rules)["active_ratio"] == 1.0
+    rows = [("none", None), ("empty", []), ("null", [0.1, None]), ("infinite", [0.1, float("inf")])]
+    found = quality.analyse(spark.createDataFrame(rows, "w string, samples array<double>"), rules).collect()
+    assert [(r["reason"], r["keep"], r["peak"]) for r in found] == [("invalid", False, None)] * 4
+
+
+def test_one_pass_equals_the_parts(spark):
+    """The grouped summary has what trimming, clustering, axes and diversity give apart."""
+    random = np.random.default_rng(3)
+    groups = {f"p{n}": random.normal(size=(n, 6)) + [3, 0, 0, 0, 0, 0] for n in (1, 2, 7, 8, 40, 200)}
+    rows = clips(spark, {k: v.tolist() for k, v in groups.items()})
+    unit = profiles.normalised(rows)
+    whole = {r["profile_id"]: r for r in profiles.aggregate(rows, 0.1).collect()}
+    trim = density.trimmed(unit, 0.1)
+    kept = density.core(unit, trim)
+    gone = {}
+    for r in sorted(trim.filter("outlier").collect(), key=lambda r: (r["density"], r["clip_ix"])):
+        gone.setdefault(r["profile_id"], []).append(r["clip_ix"])
+    for r in trim.collect():
+        assert (r["threshold"] is None) == (whole[r["profile_id"]]["threshold"] is None)
+        assert r["threshold"] is None or abs(r["threshold"] - whole[r["profile_id"]]["threshold"]) < 1e-12
+    for r in profiles.assignments(kept).collect():
+        assert whole[r["profile_id"]]["assignments"][r["clip_ix"]] == r["cluster"]
+    for r in profiles.representatives(kept).collect():
+        own = {v["role"]: v for v in whole[r["profile_id"]]["vectors"]}[r["role"]]
+        assert abs(own["weight"] - r["weight"]) < 1e-12 and np.allclose(own["vector"], r["vector"])
+    for r in diagnostics.pca(unit).collect():
+        own = whole[r["profile_id"]]
+        assert np.allclose(own["variance"], r["variance"]) and (own["low_clip"], own["high_clip"]) == (r["low_clip"], r["high_clip"])
+    for r in diagnostics.diversity(unit, profiles.global_vectors(unit)).collect():
+        assert abs(whole[r["profile_id"]]["diversity"] - r["diversity"]) < 1e-12
+    for name, row in whole.items():
+        assert row["outliers"] == gone.get(name, []) and row["core_count"] == len(groups[name]) - len(row["outliers"])
+    assert gone
+
+
 def test_spectral_embedder(spark):
     x = np.random.default_rng(42).normal(0, 0.1, 48_000)
     rows = spark.createDataFrame([("a", x.tolist()), ("b", x.tolist()), ("silent", [0.0] * 48_000)], "w string, samples array<double>")
@@ -114,7 +153,7 @@ def test_trim_gate_and_cap(spark):
     found = {(r["profile_id"], r["clip_ix"]) for r in density.trimmed(unit, 0.1).filter("outlier").collect()}
     assert found == {("eight", 7)}
     assert not density.trimmed(unit, 0.1, strict=True).filter("outlier").count()
-    with pytest.raises(ValueError, match="max_outlier_fraction"):
+    with pytest.raises(ValueError, match="trim fraction"):
         density.trimmed(unit, 0.2)
 
 
@@ -135,7 +174,7 @@ def test_minimum_support(spark):
 
 @pytest.mark.parametrize("vectors", [[(0, 0, 0)] * 2, [(1, 0), (-1, 0)], [(float("nan"), 1)], [(float("inf"), 1)]])
 def test_no_direction_is_an_error(spark, vectors):
-    with pytest.raises(Exception, match="zero or non-finite"):
+    with pytest.raises(Exception, match="direction"):
         profiles.aggregate(clips(spark, {"p": vectors})).collect()
 
 

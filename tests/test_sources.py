@@ -1,47 +1,75 @@
 """Recordings, documents, tables, telemetry and streams, written and read."""
 
 import json
-import wave
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecfolio.operators import profiles, quality, sampling
+from vecfolio.operators import contract, jobs, profile_job, profiles, quality
 from vecfolio.plans import queries
 from vecfolio.sources import events, recordings
 from vecfolio.sources import profiles as documents
 from vecfolio.streaming import profiles as streams
 
 
-def write_wave(path, x, rate=8000):
-    with wave.open(str(path), "wb") as w:
-        w.setnchannels(1)
-        w.setsampwidth(2)
-        w.setframerate(rate)
-        w.writeframes((np.asarray(x) * 32767).astype("<i2").tobytes())
-
-
 def test_recordings_to_windows(spark, tmp_path):
     tone = 0.5 * np.sin(np.arange(8000 * 45) / 5)
-    write_wave(tmp_path / "a.wav", tone)
-    write_wave(tmp_path / "short.WAV", tone[:4000])
+    for name, x in (("a.wav", tone), ("short.WAV", tone[:4000]), ("large.wav", np.zeros(400_000))):
+        (tmp_path / name).write_bytes(recordings.wave_bytes(x, 8000, 2))
     (tmp_path / "bad.wav").write_bytes(b"no wave")
+    (tmp_path / "other.mp3").write_bytes(b"no audio")
     (tmp_path / "notes.txt").write_text("x")
-    files = recordings.recordings(spark, str(tmp_path))
-    assert files.count() == 3
-    assert recordings.recordings(spark, str(tmp_path), most_bytes=100).count() == 1
-    lengths = recordings.durations(files)
+    files = recordings.recordings(spark, str(tmp_path), most_bytes=1_500_000)
+    assert files.count() == 5
+    lengths = recordings.durations(files.filter("error is null"))
     by_name = {r["path"].rsplit("/", 1)[1]: r for r in lengths.collect()}
-    assert by_name["a.wav"]["duration_s"] == 45 and by_name["bad.wav"]["error"]
-    good = files.join(lengths.filter("error is null"), "path")
-    planned = good.withColumn("starts", sampling.offsets(F.col("duration_s"), F.lit(20.0)))
-    found = recordings.decode_windows(planned, 10.0).collect()
-    of_a = sorted((r["window_ix"], r["start_s"], len(r["samples"])) for r in found if r["path"].endswith("a.wav"))
-    assert of_a == [(0, 0.0, 80_000), (1, 20.0, 80_000), (2, 35.0, 80_000)]
-    assert [r["error"] for r in found if r["path"].endswith("short.WAV")] == ["the window at 0.0 s is too short"]
-    windows = spark.createDataFrame([("w", [float(x) for x in found[0]["samples"] or tone[:80_000]])], "w string, s array<double>")
-    assert quality.analyse(windows.select("w", F.posexplode("s").alias("n", "x")), "w").first()["keep"]
+    assert by_name["a.wav"]["duration_s"] == 45 and by_name["bad.wav"]["error"] and by_name["other.mp3"]["error"]
+    found = recordings.sampled(files, 20.0).collect()
+    of_a = sorted((r["window_ix"], r["start_s"], r["rate"], len(r["samples"])) for r in found if r["path"].endswith("a.wav"))
+    assert of_a == [(0, 0.0, 48_000, 480_000), (1, 20.0, 48_000, 480_000), (2, 35.0, 48_000, 480_000)]
+    errors = {r["path"].rsplit("/", 1)[1]: r["error"] for r in found if r["error"]}
+    assert set(errors) == {"short.WAV", "large.wav", "bad.wav", "other.mp3"}
+    assert errors["short.WAV"] == "the window at 0.0 s is too short" and errors["large.wav"] == "the file is over 1500000 bytes"
+    # the tone is at the same place after its rate has changed
+    first = next(r["samples"] for r in found if r["path"].endswith("a.wav") and r["window_ix"] == 1)
+    at = np.arange(480_000) / 6 + 160_000
+    assert np.abs(np.array(first) - np.interp(at, np.arange(len(tone)), tone)).max() < 1e-3
+    windows = spark.createDataFrame([("w", first)], "w string, samples array<double>")
+    assert quality.analyse(windows).first()["keep"]
+
+
+@pytest.mark.skipif(bool(recordings.missing_tools()), reason="no ffmpeg here")
+def test_other_formats(tmp_path):
+    content = recordings.wave_bytes(0.25 * np.ones(8000 * 30), 8000)
+    assert recordings.duration_of("/x.flac", content) == pytest.approx(30, abs=0.1)
+    assert [len(x) for _, x in recordings._read_other(content, [0.0, 20.0], 10.0)] == [480_000, 480_000]
+
+
+def test_jobs_do_not_stop_each_other(spark):
+    """Silence, length and missing windows are errors of their own recording; a job's telemetry can't fail it."""
+    tone = (0.2 * np.sin(np.arange(16_384) / 9)).tolist()
+    windows = [("good", i, 25.0 * i, tone) for i in range(3)] + [("silent", 0, 0.0, [0.0] * 16_384), ("long", 0, 0.0, tone), ("good", 3, 75.0, None)]
+    lengths = [("good", 85.0), ("silent", 10.0), ("long", 1e6), ("gone", 10.0), ("broken", None)]
+    made = profile_job.run_jobs(
+        spark.createDataFrame(lengths, "profile_id string, duration_s double"),
+        spark.createDataFrame(windows, "profile_id string, window_ix int, start_s double, samples array<double>"),
+    )
+    found = {r["profile_id"]: r for r in made.collect()}
+    assert {k: r["error"] for k, r in found.items()} == {
+        "good": None, "silent": profile_job.NO_WINDOWS, "long": profile_job.TOO_LONG, "gone": profile_job.UNREADABLE, "broken": profile_job.UNREADABLE
+    }
+    good = found["good"]
+    assert (good["considered"], good["retained"], good["filtered"], good["filter_counts"]) == (4, 3, 1, {"invalid": 1})
+    assert min(good["filter_ms"], good["embed_ms"], good["aggregate_ms"]) > 0
+    export = profile_job.export_rows(made, 0.0)
+    assert contract.violations(export).count() == 0
+    times = export.first()["timing_ms"]
+    assert set(times) == {"filter_compute", "embed", "aggregate", "total"} and times["total"] >= max(times["embed"], times["aggregate"])
+    sink = jobs.outcome_events(made, 25, 0.0, 64)
+    with pytest.raises(Exception, match="/proc"):
+        events.append(sink.withColumn("created_at", F.current_timestamp()), "/proc/nowhere")
+    assert made.count() == 5
 
 
 @pytest.fixture(scope="module")

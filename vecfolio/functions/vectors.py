@@ -40,7 +40,7 @@ def with_unit(df, source: str, target: str, strict: bool = False):
     length = "_length"
     base = df.withColumn(target, as_double(source)).withColumn(length, norm(F.col(target)))
     good = has_direction(F.col(target), F.col(length))
-    none = F.raise_error(F.lit("Cannot normalize a zero or non-finite vector")).cast("array<double>") if strict else F.lit(None)
+    none = F.raise_error(F.lit("a vector without a direction can't be scaled")).cast("array<double>") if strict else F.lit(None)
     return base.withColumn(target, F.when(good, scaled(F.col(target), F.col(length))).otherwise(none)).drop(length)
 
 

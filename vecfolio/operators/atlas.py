@@ -54,7 +54,7 @@ def fit(vectors: DataFrame, column: str = "vector") -> DataFrame:
     """
     unit = with_unit(vectors, column, "unit", strict=True).select("unit")
     if unit.isEmpty():
-        raise ValueError("A projection requires at least one global vector")
+        raise ValueError("there is no vector to fit a projection to")
     n, total, outer = moments(unit)
     center, d = total / n, len(total)
     scatter = outer - n * np.outer(center, center)
@@ -90,7 +90,7 @@ def transform(vectors: DataFrame, projection: DataFrame, column: str = "vector")
     unit = with_unit(vectors, column, "_unit", strict=True)
     met = unit.join(F.broadcast(projection.limit(1).select("center", "axis_1", "axis_2", "scale")))  # one row
     fits = F.when(F.size("_unit") == F.size("center"), F.col("_unit")).otherwise(
-        F.raise_error(F.lit("Map projection dimensions do not match the profile vectors")).cast("array<double>")
+        F.raise_error(F.lit("the projection was fitted to vectors of another length")).cast("array<double>")
     )
     met = met.withColumn("_moved", F.zip_with(fits, "center", lambda x, c: x - c))
     for k, name in enumerate(("x", "y")):

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double, cosine, dot, scaled, norm, has_direction
+from .contract import MOST_PROFILES
 from .profiles import ROLES
 
 GLOBAL_WEIGHT, CLUSTER_WEIGHT = 0.25, 0.75
@@ -22,13 +23,16 @@ BLOCK = 2048
 def pivoted(vectors: DataFrame, *keys: str) -> DataFrame:
     """(keys, g, c1, c2, w1, w2): a profile's three unit vectors in a row, weights scaled to sum 1.
 
-    Of rows (keys, role, weight, vector). A profile without exactly the three
-    roles, or with vectors without direction or of unlike lengths, is an error.
+    Of rows (keys, role, weight, vector); of a role that comes twice the last by
+    ``place`` counts, where there is such a column, else the greatest. A profile
+    without exactly the three roles, or with vectors without direction or of
+    unlike lengths, is an error.
     """
     unit = vectors.withColumn("_v", as_double("vector")).withColumn("_n", norm(F.col("_v")))
     good = has_direction(F.col("_v"), F.col("_n"))
     unit = unit.withColumn("_v", F.when(good, scaled(F.col("_v"), F.col("_n"))))
-    take = {r: F.max(F.when(F.col("role") == r, F.struct("_v", "weight"))) for r in ROLES}
+    fields = [c for c in ("place",) if c in vectors.columns] + ["_v", "weight"]
+    take = {r: F.max(F.when(F.col("role") == r, F.struct(*fields))) for r in ROLES}
     wide = unit.groupBy(*keys).agg(
         F.array_sort(F.collect_set("role")).alias("_roles"),
         F.min(F.col("_v").isNotNull().cast("int")).alias("_good"),
@@ -61,10 +65,15 @@ def blended(whole: Column, clusters: Column) -> Column:
 def request_similarities(profiles: DataFrame) -> DataFrame:
     """(map_id, left, right, global_similarity, cluster_similarity, similarity) of all ordered pairs in a request.
 
-    Profiles are pivoted rows with (map_id, ordinal). Each pair is scored once
-    and given both ways.
+    Profiles are pivoted rows with (map_id, ordinal), at most ``MOST_PROFILES``
+    in a request; more are an error. Each pair is scored once and given both ways.
     """
-    pairs = profiles.alias("a").join(profiles.alias("b"), (F.col("a.map_id") == F.col("b.map_id")) & (F.col("a.ordinal") < F.col("b.ordinal")))
+    sizes = profiles.groupBy("map_id").agg(F.count(F.lit(1)).alias("_n"))
+    small = F.when(F.col("_n") <= MOST_PROFILES, F.col("map_id")).otherwise(
+        F.raise_error(F.lit(f"a map request has more than {MOST_PROFILES} profiles")).cast(profiles.schema["map_id"].dataType)
+    )
+    checked = profiles.join(sizes.select(small.alias("map_id")), "map_id")
+    pairs = checked.alias("a").join(profiles.alias("b"), (F.col("a.map_id") == F.col("b.map_id")) & (F.col("a.ordinal") < F.col("b.ordinal")))
     once = pairs.select(
         F.col("a.map_id").alias("map_id"), F.col("a.ordinal").alias("left"), F.col("b.ordinal").alias("right"),
         dot(F.col("a.g"), F.col("b.g")).alias("global_similarity"), coverage("a", "b").alias("cluster_similarity"),

@@ -106,14 +106,20 @@ def without_deleted(vectors: DataFrame, deleted: DataFrame) -> DataFrame:
     return vectors.join(deleted.select("profile_id"), "profile_id", "left_anti")
 
 
-def map_request_problems(profiles: DataFrame) -> DataFrame:
-    """(map_id, rule) of map requests, rows (map_id, ordinal, label, …): their number of profiles and labels."""
+def map_request_problems(profiles: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """(map_id, rule) of map requests, rows (map_id, ordinal, label, …): their number of profiles and labels.
+
+    ``requests`` (map_id) names all of them, so that one without profiles shows up too.
+    """
     n = profiles.groupBy("map_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.max((~F.coalesce(F.length("label").between(1, MOST_LABEL), F.lit(False))).cast("int")).alias("bad"),
     )
+    if requests is not None:
+        n = requests.select("map_id").distinct().join(n, "map_id", "left")
+    size = F.coalesce("n", F.lit(0))
     rows = F.filter(
-        F.array(F.when(F.col("n") > MOST_PROFILES, F.lit("profile_count")), F.when(F.col("bad") > 0, F.lit("label_length"))),
+        F.array(F.when(~size.between(1, MOST_PROFILES), F.lit("profile_count")), F.when(F.col("bad") > 0, F.lit("label_length"))),
         lambda x: x.isNotNull(),
     )
     return n.select("map_id", F.explode(rows).alias("rule"))

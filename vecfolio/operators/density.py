@@ -32,18 +32,35 @@ def neighbours(n: int) -> int:
     return min(n - 1, max(3, round(np.sqrt(n))))
 
 
+def density_of(unit: np.ndarray) -> np.ndarray:
+    """The mean of each row's largest similarities to other rows; NaN for a single row."""
+    k = neighbours(len(unit))
+    found = np.full(len(unit), np.nan)
+    for at in range(0, len(unit), _BLOCK) if k else ():
+        near = unit[at : at + _BLOCK] @ unit.T
+        near[np.arange(len(near)), np.arange(at, at + len(near))] = -np.inf
+        found[at : at + len(near)] = np.partition(near, -k, axis=1)[:, -k:].mean(axis=1)
+    return found
+
+
+def trim(unit: np.ndarray, fraction: float, strict: bool = False) -> tuple[np.ndarray, float | None]:
+    """Rows to trim, the least dense first, and the threshold, as ``trimmed`` has them for a table."""
+    if not fraction or len(unit) < LEAST_FOR_TRIM:
+        return np.zeros(0, int), None
+    found = density_of(unit)
+    middle = np.median(found)
+    threshold = float(middle - MAD_MULTIPLE * max(MAD_SCALE * np.median(np.abs(found - middle)), LEAST_SCALE))
+    order = np.argsort(found, kind="stable")[: max(0 if strict else 1, int(len(unit) * fraction))]
+    return order[found[order] < threshold], threshold
+
+
 def local_density(clips: DataFrame) -> DataFrame:
     """(profile_id, clip_ix, density): the mean of a clip's largest similarities to others of its profile."""
     kind = clips.schema["profile_id"].dataType.simpleString()
 
     def run(t: pa.Table) -> pa.Table:
         ix, unit = matrix_of(t)
-        k = neighbours(len(ix))
-        found = np.full(len(ix), np.nan)
-        for at in range(0, len(ix), _BLOCK) if k else ():
-            near = unit[at : at + _BLOCK] @ unit.T
-            near[np.arange(len(near)), np.arange(at, at + len(near))] = -np.inf
-            found[at : at + len(near)] = np.partition(near, -k, axis=1)[:, -k:].mean(axis=1)
+        found = density_of(unit)
         names = t.column("profile_id").take(pa.array(np.zeros(len(ix), int)))
         return pa.table([names, pa.array(ix, pa.int32()), pa.array(found, pa.float64(), from_pandas=True)], ["profile_id", "clip_ix", "density"])
 
@@ -62,7 +79,7 @@ def thresholds(density: DataFrame) -> DataFrame:
 
 def check_fraction(fraction: float) -> None:
     if not 0.0 <= fraction <= MOST_FRACTION:
-        raise ValueError("max_outlier_fraction must be between 0 and 0.10")
+        raise ValueError(f"the trim fraction {fraction} is not in 0 to {MOST_FRACTION}")
 
 
 def allowed(n: Column, fraction: float, strict: bool = False) -> Column:

@@ -2,38 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.display import timecode
 from ..functions.vectors import dot
-from .profiles import _grouped
-
-AXES = 3
-
-
-def principal(unit: np.ndarray) -> tuple[list[float], tuple[int, int]]:
-    """Shares of variance of the first axes, and the places of the least and greatest projection on the first.
-
-    By the eigenvectors of the scatter matrix or, if that is smaller, of the
-    clips' inner products. The axis points so that its largest loading is
-    positive. One clip, or equal ones, have no axes.
-    """
-    centred = unit - unit.mean(axis=0)
-    if len(unit) == 1 or np.allclose(centred, 0.0):
-        return [], (0, 0)
-    wide = unit.shape[1] > len(unit)
-    values, axes = np.linalg.eigh(centred @ centred.T if wide else centred.T @ centred)
-    values = np.maximum(values[::-1], 0.0)
-    axis = centred.T @ axes[:, -1] if wide else axes[:, -1]
-    if axis[np.argmax(np.abs(axis))] < 0:
-        axis = -axis
-    along = centred @ axis
-    rank = min(unit.shape)
-    return [float(v / values.sum()) for v in values[: min(AXES, rank)]], (int(np.argmin(along)), int(np.argmax(along)))
-
+from .profiles import _grouped, principal
 
 def pca(clips: DataFrame) -> DataFrame:
     """(profile_id, variance, low_clip, high_clip) over all clips, trimmed ones too."""

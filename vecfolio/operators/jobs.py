@@ -16,7 +16,9 @@ PROBED, SAMPLING, SAMPLED, AGGREGATING, DONE = 0.02, 0.06, 0.84, 0.94, 1.0
 #: Properties of the event kinds.
 PROPERTIES = {
     "job_submitted": "sample_interval_seconds int, max_outlier_fraction double",
-    "job_completed": "duration_seconds double, windows_considered int, windows_retained int, windows_filtered int, timing_ms map<string,int>",
+    "job_completed": "windows_considered int, windows_retained int, windows_filtered int, filter_counts map<string,int>, aggregation_core_clip_count int, "
+    "embedding_outlier_count int, duration_seconds double, timing_ms map<string,int>, model_load_ms int, batch_size int, torch_threads int, "
+    "interval_seconds int, embedding_outlier_max_fraction double",
     "job_failed": "error_type string",
 }
 
@@ -51,5 +53,27 @@ def properties_json(**values: Column) -> Column:
 
 
 def parsed(events: DataFrame, event_name: str) -> DataFrame:
-    """Events of one kind with their properties as a typed struct."""
-    return events.filter(F.col("event_name") == event_name).withColumn("properties", F.from_json("properties", PROPERTIES[event_name]))
+    """Events of one kind with their properties as a typed struct; ``raw`` is the text."""
+    kind = events.filter(F.col("event_name") == event_name).withColumn("raw", F.col("properties"))
+    return kind.withColumn("properties", F.from_json("properties", PROPERTIES[event_name]))
+
+
+def outcome_events(outcomes: DataFrame, interval: int, fraction: float, batch: int) -> DataFrame:
+    """(job_id, event_name, duration_ms, properties) of finished jobs, rows as ``profile_job.run_jobs`` returns."""
+    c = F.col
+    spent = c("filter_ms") + c("embed_ms") + c("aggregate_ms")
+    times = {"filter_compute": c("filter_ms"), "embed": c("embed_ms"), "aggregate": c("aggregate_ms"), "total": spent}
+    timing = F.create_map(*[x for n, ms in times.items() for x in (F.lit(n), F.round(ms).cast("int"))])
+    done = properties_json(
+        windows_considered=c("considered"), windows_retained=c("retained"), windows_filtered=c("filtered"), filter_counts=c("filter_counts"),
+        aggregation_core_clip_count=c("core_count").cast("int"), embedding_outlier_count=F.size("outliers"), duration_seconds=c("duration_s"),
+        timing_ms=timing, model_load_ms=F.lit(0), batch_size=F.lit(batch), torch_threads=F.lit(1), interval_seconds=F.lit(interval),
+        embedding_outlier_max_fraction=F.lit(fraction),
+    )
+    failed = c("error").isNotNull()
+    return outcomes.select(
+        c("profile_id").cast("string").alias("job_id"),
+        F.when(failed, "job_failed").otherwise("job_completed").alias("event_name"),
+        F.coalesce(spent, F.lit(0.0)).alias("duration_ms"),
+        F.when(failed, properties_json(error_type=c("error"))).otherwise(done).alias("properties"),
+    )

@@ -8,6 +8,8 @@ Everything is in double precision.
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,7 +45,7 @@ def unit_mean(rows: np.ndarray) -> np.ndarray:
     mean = rows.mean(axis=0)
     length = np.sqrt(mean @ mean)
     if not np.isfinite(length) or length <= LEAST_NORM:
-        raise ValueError("Cannot normalize a zero or non-finite vector")
+        raise ValueError("the mean of these vectors has no direction")
     return mean / length
 
 
@@ -91,6 +93,27 @@ def two_clusters(unit: np.ndarray) -> dict:
     return {"centres": centres, "second": before, "strategy": name, "rounds": rounds}
 
 
+def principal(unit: np.ndarray, most: int = 3) -> tuple[list[float], tuple[int, int]]:
+    """Shares of variance of the first axes, and the places of the least and greatest projection on the first.
+
+    By the eigenvectors of the scatter matrix or, if that is smaller, of the
+    clips' inner products. The axis points so that its largest loading is
+    positive. One clip, or equal ones, have no axes.
+    """
+    centred = unit - unit.mean(axis=0)
+    if len(unit) == 1 or np.allclose(centred, 0.0):
+        return [], (0, 0)
+    wide = unit.shape[1] > len(unit)
+    values, axes = np.linalg.eigh(centred @ centred.T if wide else centred.T @ centred)
+    values = np.maximum(values[::-1], 0.0)
+    axis = centred.T @ axes[:, -1] if wide else axes[:, -1]
+    if axis[np.argmax(np.abs(axis))] < 0:
+        axis = -axis
+    along = centred @ axis
+    rank = min(unit.shape)
+    return [float(v / values.sum()) for v in values[: min(most, rank)]], (int(np.argmin(along)), int(np.argmax(along)))
+
+
 def _grouped(clips: DataFrame, make, columns: str) -> DataFrame:
     kind = clips.schema["profile_id"].dataType.simpleString()
     narrow = clips.select("profile_id", F.col("clip_ix").cast("int").alias("clip_ix"), "unit")
@@ -148,32 +171,39 @@ def representatives(core: DataFrame) -> DataFrame:
     return whole.unionByName(clusters(core).select("profile_id", role.alias("role"), "weight", "vector"))
 
 
-def aggregate(clips: DataFrame, max_outlier_fraction: float = 0.0) -> DataFrame:
-    """One row for each profile of rows (profile_id, clip_ix, embedding).
+SUMMARY = (
+    "vectors array<struct<role:string,weight:double,vector:array<double>>>, assignments array<int>, strategy string, core_count long, "
+    "outliers array<int>, threshold double, variance array<double>, low_clip int, high_clip int, diversity double, aggregate_ms double"
+)
+_VECTORS = pa.list_(pa.struct([("role", pa.string()), ("weight", pa.float64()), ("vector", pa.list_(pa.float64()))]))
+KINDS = (
+    _VECTORS, pa.list_(pa.int32()), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.float64(),
+    pa.list_(pa.float64()), pa.int32(), pa.int32(), pa.float64(), pa.float64(),
+)
 
-    (profile_id, vectors, assignments, strategy, core_count, outliers,
-    threshold): ``assignments`` follows the clips in order, -1 for a trimmed one.
+
+def summary(ix: np.ndarray, unit: np.ndarray, fraction: float) -> list[pa.Array]:
+    """One row of ``SUMMARY`` columns for the clips of a profile, in clip order.
+
+    ``assignments`` follows the clips, -1 for a trimmed one; axes and diversity are of all clips.
     """
+    began = time.perf_counter()
+    out, threshold = density.trim(unit, fraction)
+    core = np.delete(np.arange(len(unit)), out)
+    found, whole = two_clusters(unit[core]), unit_mean(unit[core])
+    sides = np.full(len(unit), -1)
+    sides[core] = found["second"]
+    share = float(found["second"].mean())
+    vectors = zip(ROLES, (1.0, 1.0 - share, share), (whole, *found["centres"]))
+    shares, (low, high) = principal(unit)
+    row = [
+        [{"role": r, "weight": w, "vector": v} for r, w, v in vectors], sides, found["strategy"], len(core), ix[out], threshold,
+        shares, ix[low], ix[high], float(1.0 - (unit @ unit_mean(unit)).mean()),
+    ]
+    return [pa.array([v], kind) for v, kind in zip([*row, 1000 * (time.perf_counter() - began)], KINDS)]
+
+
+def aggregate(clips: DataFrame, max_outlier_fraction: float = 0.0) -> DataFrame:
+    """(profile_id, and ``SUMMARY``): one row for each profile of rows (profile_id, clip_ix, embedding), in one grouped pass."""
     density.check_fraction(max_outlier_fraction)
-    unit = normalised(clips)
-    trim = density.trimmed(unit, max_outlier_fraction)
-    kept = density.core(unit, trim)
-    each = trim.join(assignments(kept), ["profile_id", "clip_ix"], "left").groupBy("profile_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("clip_ix", F.coalesce("cluster", F.lit(-1)).alias("cluster")))), lambda x: x["cluster"]
-        ).alias("assignments"),
-        F.sum(F.when(~F.col("outlier"), 1).otherwise(0)).alias("core_count"),
-        F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("outlier"), F.struct("density", "clip_ix")))), lambda x: x["clip_ix"]
-        ).alias("outliers"),
-        F.max("threshold").alias("threshold"),
-    )
-    place = F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col("role"))
-    vectors = representatives(kept).groupBy("profile_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct(place.alias("place"), "role", "weight", "vector"))),
-            lambda x: F.struct(x["role"].alias("role"), x["weight"].alias("weight"), x["vector"].alias("vector")),
-        ).alias("vectors")
-    )
-    how = clusters(kept).filter("cluster = 0").select("profile_id", "strategy")
-    return vectors.join(each, "profile_id").join(how, "profile_id")
+    return _grouped(normalised(clips), lambda ix, unit: summary(ix, unit, max_outlier_fraction), SUMMARY)

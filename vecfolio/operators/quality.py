@@ -1,13 +1,13 @@
 """Which windows are usable, and why others are not.
 
-Windows are rows (window keys, n, x): sample number and value. The metrics are
-plain aggregates, so Spark sums before it shuffles; only the spectrum of a
-window is made in an Arrow function, a window at a time. Decisions use
-unrounded values.
+A window is a row with its samples as an array, as decoding gives it. All
+metrics of a window are made in one pass of an Arrow function, so no sample is
+shuffled; decisions use unrounded values.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from ..functions.vectors import shown
+
+METRICS = ("rms_dbfs", "peak", "clipped_ratio", "active_ratio", "dc_offset", "zero_crossing_rate", "spectral_flatness")
+#: Windows that are measured at once.
+TOGETHER = 16
 
 
 @dataclass(frozen=True)
@@ -35,98 +42,77 @@ class QualityRules:
         return 10 ** ((self.min_rms_dbfs - 6) / 20)
 
 
-def _decibels(rms: Column) -> Column:
-    return 20 * F.log10(F.greatest(rms, F.lit(1e-12)))
-
-
-def valid(x: Column) -> Column:
-    return F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False))
-
-
-def time_metrics(samples: DataFrame, key: str, rules: QualityRules = QualityRules()) -> DataFrame:
-    """(key, rms_dbfs, peak, clipped_ratio, dc_offset, n_samples, invalid) of rows (key, n, x)."""
-    clipped = F.abs("x") >= F.lit(rules.clipped_at).cast("float").cast("double")
-    return samples.groupBy(key).agg(
-        _decibels(F.sqrt(F.avg(F.col("x") * F.col("x")))).alias("rms_dbfs"),
-        F.max(F.abs("x")).alias("peak"),
-        F.avg(clipped.cast("double")).alias("clipped_ratio"),
-        F.abs(F.avg("x")).alias("dc_offset"),
-        F.count(F.lit(1)).alias("n_samples"),
-        F.max((~valid(F.col("x"))).cast("int")).alias("invalid"),
-    )
-
-
-def active_ratio(samples: DataFrame, key: str, rules: QualityRules = QualityRules()) -> DataFrame:
-    """(key, active_ratio): the share of whole frames that are loud enough; 1 without a whole frame."""
-    frames = samples.groupBy(key, F.floor(F.col("n") / rules.frame).alias("frame")).agg(
-        F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"), F.count(F.lit(1)).alias("size")
-    )
-    loud = F.when(F.col("size") == rules.frame, (F.col("rms") > rules.active_rms).cast("double"))
-    return frames.groupBy(key).agg(F.coalesce(F.avg(loud), F.lit(1.0)).alias("active_ratio"))
-
-
-def zero_crossings(samples: DataFrame, key: str, rules: QualityRules = QualityRules()) -> DataFrame:
-    """(key, zero_crossing_rate): how often the sign differs between neighbours of every ``stride``-th sample.
-
-    Neighbours meet by a join on the sample number, not in a window over the key.
-    """
-    kept = samples.filter(F.col("n") % rules.stride == 0).select(key, "n", (F.col("x") < 0).alias("low"))
-    after = kept.select(key, (F.col("n") - rules.stride).alias("n"), F.col("low").alias("next"))
-    changed = (F.col("low") != F.col("next")).cast("double")
-    return kept.join(after, [key, "n"], "left").groupBy(key).agg(F.avg(changed).alias("zero_crossing_rate"))
-
-
 def flatness(power: np.ndarray) -> float:
+    """Geometric over arithmetic mean of a power spectrum."""
     return float(np.exp(np.log(power + 1e-12).mean()) / max(power.mean(), 1e-12))
 
 
-def spectral_flatness(windows: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """(key, spectral_flatness) of rows (key, samples): the first column and an array a window."""
-    key = windows.columns[0]
+def measure(samples, rules: QualityRules = QualityRules()) -> dict[str, float | None] | None:
+    """A window's metrics; none for samples that are missing or not finite. A share of nothing is null, but 1 of no whole frame."""
+    x = np.asarray([] if samples is None else samples, float)
+    if not len(x) or not np.isfinite(x).all():
+        return None
+    power, level = x * x, np.abs(x)
+    frames = power[: len(x) // rules.frame * rules.frame].reshape(-1, rules.frame)
+    kept = x[:: rules.stride]
+    low = np.signbit(kept)
+    return {
+        "rms_dbfs": float(20 * np.log10(max(np.sqrt(power.mean()), 1e-12))),
+        "peak": float(level.max()),
+        "clipped_ratio": float((level >= np.float32(rules.clipped_at)).mean()),
+        "active_ratio": float((np.sqrt(frames.mean(axis=1)) > rules.active_rms).mean()) if len(frames) else 1.0,
+        "dc_offset": float(abs(x.mean())),
+        "zero_crossing_rate": float((low[1:] != low[:-1]).mean()) if len(low) > 1 else None,
+        "spectral_flatness": flatness(np.abs(np.fft.rfft(kept[: rules.most_spectrum])) ** 2),
+    }
+
+
+def reason_of(metrics: dict | None, rules: QualityRules = QualityRules()) -> str | None:
+    """The first rule that rejects a window of these metrics; none keeps it."""
+    if metrics is None:
+        return "invalid"
+    noisy = metrics["spectral_flatness"] > rules.noise_flatness and (metrics["zero_crossing_rate"] or 0.0) > rules.noise_crossings
+    checks = {
+        "low_energy": metrics["rms_dbfs"] < rules.min_rms_dbfs,
+        "mostly_silent": metrics["active_ratio"] < rules.least_active,
+        "clipped": metrics["clipped_ratio"] > rules.max_clipped_ratio,
+        "dc_offset": metrics["dc_offset"] > rules.most_offset,
+        "broadband_noise": noisy,
+    }
+    return next((name for name, bad in checks.items() if bad), None)
+
+
+def analyse(windows: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """``windows`` with metrics, ``reason``, ``keep`` and ``filter_ms`` in place of their array column ``samples``."""
+    kept = [c for c in windows.columns if c != "samples"]
+    made = [*METRICS, "reason", "filter_ms"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for x in batch.column(1).to_numpy(zero_copy_only=False):
-                kept = np.asarray(x if x is not None else [], float)[:: rules.stride][: rules.most_spectrum]
-                good = len(kept) and np.isfinite(kept).all()
-                found.append(flatness(np.abs(np.fft.rfft(kept)) ** 2) if good else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], [key, "spectral_flatness"])
-
-    kind = windows.schema[key].dataType.simpleString()
-    return windows.select(key, windows.columns[1]).mapInArrow(run, f"{key} {kind}, spectral_flatness double")
-
-
-def gathered(samples: DataFrame, key: str) -> DataFrame:
-    """(key, samples): a window's samples as an array, for windows of bounded length."""
-    return samples.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda s: s["x"]).alias("samples"))
-
-
-def decision(rules: QualityRules = QualityRules()) -> Column:
-    """The reason for which a row of metrics is rejected, by the first rule that does; null keeps it."""
-    crossings = F.coalesce(F.nanvl("zero_crossing_rate", F.lit(0.0)), F.lit(0.0))
-    return (
-        F.when(F.col("invalid") > 0, "invalid")
-        .when(F.col("rms_dbfs") < rules.min_rms_dbfs, "low_energy")
-        .when(F.col("active_ratio") < rules.least_active, "mostly_silent")
-        .when(F.col("clipped_ratio") > rules.max_clipped_ratio, "clipped")
-        .when(F.col("dc_offset") > rules.most_offset, "dc_offset")
-        .when((F.col("spectral_flatness") > rules.noise_flatness) & (crossings > rules.noise_crossings), "broadband_noise")
-    )
-
-
-def analyse(samples: DataFrame, key: str, rules: QualityRules = QualityRules()) -> DataFrame:
-    """All metrics, ``reason`` and ``keep`` of each window of rows (key, n, x)."""
-    parts = (
-        active_ratio(samples, key, rules),
-        zero_crossings(samples, key, rules),
-        spectral_flatness(gathered(samples, key), rules),
-    )
-    out = time_metrics(samples, key, rules)
-    for part in parts:
-        out = out.join(part, key)
-    out = out.withColumn("reason", decision(rules))
-    return out.withColumn("keep", F.col("reason").isNull())
+            for at in range(0, batch.num_rows, TOGETHER):
+                part, rows = batch.slice(at, TOGETHER), []
+                for x in part.column(len(kept)).to_numpy(zero_copy_only=False):
+                    began = time.perf_counter()
+                    found = measure(x, rules)
+                    reason = reason_of(found, rules)
+                    rows.append([*((found or {}).get(m) for m in METRICS), reason, 1000 * (time.perf_counter() - began)])
+                kinds = [pa.float64()] * len(METRICS) + [pa.string(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], [*kept, *made])
+
+    fields = [windows.schema[c] for c in kept] + [StructField(m, StringType() if m == "reason" else DoubleType()) for m in made]
+    found = windows.select(*kept, "samples").mapInArrow(run, StructType(fields))
+    return found.withColumn("keep", F.col("reason").isNull())
+
+
+def shown_metrics() -> list[Column]:
+    """The metrics rounded for output: decibels to three places, the others to six."""
+    return [shown(F.col(m), 3 if m == "rms_dbfs" else 6).alias(m) for m in METRICS]
+
+
+def gathered(samples: DataFrame, *keys: str, order: str = "n") -> DataFrame:
+    """(keys, samples): a window's samples (keys, n, x) as an array, for windows of bounded length."""
+    pairs = F.array_sort(F.collect_list(F.struct(order, "x")))
+    return samples.groupBy(*keys).agg(F.transform(pairs, lambda s: s["x"]).alias("samples"))
 
 
 def reason_histogram(decided: DataFrame, recording: Column) -> DataFrame:

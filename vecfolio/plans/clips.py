@@ -1,28 +1,44 @@
 """The shared tables as the engine's inputs.
 
-A profile is a label of ``embeddings`` and its clips are that label's vectors by
-vec_id. A recording's length is a document's number of characters. A window of
-samples is a user's events, scaled so that each kind of rejection occurs.
+A profile is a label of ``embeddings``, and its clips are that label's vectors
+by vec_id; of every ``PART`` vec_ids there is a profile of its own, so a
+profile stays bounded as a recording is. A recording's length is a document's
+number of characters. A window of samples is a user's events, scaled so that
+each kind of rejection occurs; every ``EVENTS`` event_ids begin a new window.
+Generated windows are sampled from formulas that SQL can evaluate too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.profiles import normalised
+from ..operators.quality import gathered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Profiles of one part of the vec_ids are numbered from this times the part's number.
+PART, BASE = 5000, 1000
+EVENTS = 100_000
+RATE = 48_000
+
+
+def _clips(spark: SparkSession, sf_dir: str, number: Column) -> DataFrame:
+    part = F.floor(F.col("vec_id") / PART)
+    rows = table(spark, sf_dir, "embeddings").select((number + BASE * part).cast("int").alias("profile_id"), "vec_id", "embedding")
+    order = Window.partitionBy("profile_id").orderBy("vec_id")
+    return rows.select("profile_id", (F.row_number().over(order) - 1).alias("clip_ix"), "embedding")
+
+
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(profile_id, clip_ix, embedding)."""
-    order = Window.partitionBy("label").orderBy("vec_id")
-    return table(spark, sf_dir, "embeddings").select(
-        F.col("label").alias("profile_id"), (F.row_number().over(order) - 1).alias("clip_ix"), "embedding"
-    )
+    return _clips(spark, sf_dir, F.col("label"))
 
 
 def unit_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,22 +47,54 @@ def unit_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def half_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each label as two profiles, 2 * label and 2 * label + 1, by the parity of vec_id."""
-    rows = table(spark, sf_dir, "embeddings").select((F.col("label") * 2 + F.col("vec_id") % 2).cast("int").alias("profile_id"), "vec_id", "embedding")
-    order = Window.partitionBy("profile_id").orderBy("vec_id")
-    return normalised(rows.select("profile_id", (F.row_number().over(order) - 1).alias("clip_ix"), "embedding"))
+    return normalised(_clips(spark, sf_dir, F.col("label") * 2 + F.col("vec_id") % 2))
 
 
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("recording_id"), F.col("n_chars").cast("double").alias("duration_s"))
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, n, x)."""
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, window_ix, samples)."""
     gain = F.element_at(F.array(*[F.lit(g) for g in (1e-5, 1.0, 0.1, 0.3)]), (F.col("user_id") % 4 + 1).cast("int"))
     offset = F.when(F.col("user_id") % 4 == 3, 0.3).otherwise(0.0)
     sign = F.when(F.col("event_id") % 2 == 0, 1.0).otherwise(-1.0)
     raw = sign * F.col("value") / 100.0 * gain + offset
-    order = Window.partitionBy("user_id").orderBy("event_id")
-    return table(spark, sf_dir, "events").select(
-        "user_id", (F.row_number().over(order) - 1).alias("n"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)).alias("x")
+    rows = table(spark, sf_dir, "events").select(
+        "user_id", F.floor(F.col("event_id") / EVENTS).alias("window_ix"), "event_id", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)).alias("x")
     )
+    return gathered(rows, "user_id", "window_ix", order="event_id")
+
+
+def generated(rows: DataFrame, length: int) -> DataFrame:
+    """``rows`` with ``samples`` of ``length`` values for their columns r and w: tones, silence, gaps, clipping, offsets, noise and a NaN."""
+    r, w = F.col("r"), F.col("w")
+    kind = (r * 7 + w) % 8
+    step = F.lit(2 * math.pi) * (200 + 37 * ((r * 31 + w * 17) % 50)) / RATE
+
+    def sample(n: Column) -> Column:
+        s = F.sin(step * n + 0.1)
+        value = (
+            F.when(kind == 3, s * 0.0).when(kind == 4, F.when(n < length / 10, s * 0.2).otherwise(0.0))
+            .when(kind == 5, F.when(s > 0, 1.0).otherwise(-1.0)).when(kind == 6, s * 0.2 + 0.3)
+            .when(kind == 7, ((n.cast("long") * 7919 + (r * 31 + w) * 104_729) % 10_007) / 10_007.0 * 0.4 - 0.2).otherwise(s * 0.2)
+        )
+        return F.when(((r * 7 + w) % 40 == 39) & (n == 7), float("nan")).otherwise(value)
+
+    return rows.withColumn("samples", F.transform(F.sequence(F.lit(0), F.lit(length - 1)), sample))
+
+
+#: Samples, windows and seconds of a generated recording; the last but one is too long, the last is silent.
+JOB_SAMPLES, JOB_WINDOWS, JOB_SECONDS, JOB_LONG = 4096, 12, 285.0, 20_000.0
+
+
+def job_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Recordings (profile_id, duration_s) and their windows (profile_id, window_ix, start_s, samples): one for each nation."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("profile_id"))
+    recordings = nations.select("profile_id", F.when(F.col("profile_id") == 23, JOB_LONG).otherwise(JOB_SECONDS).alias("duration_s"))
+    places = nations.select("profile_id", F.explode(F.sequence(F.lit(0), F.lit(JOB_WINDOWS - 1))).alias("window_ix"))
+    # nation 24 has windows of the silent kind only
+    silent = F.col("profile_id") == 24
+    rows = places.withColumn("r", F.when(silent, 0).otherwise(F.col("profile_id"))).withColumn("w", F.when(silent, 3).otherwise(F.col("window_ix")))
+    windows = generated(rows, JOB_SAMPLES).select("profile_id", "window_ix", (F.col("window_ix") * 25).cast("double").alias("start_s"), "samples")
+    return recordings, windows

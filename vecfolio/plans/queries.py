@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import display
 from ..functions.vectors import dot, shown, shown_vector
 from ..operators import atlas, catalogue, contract, density, diagnostics, embedding, evaluation, jobs, library, profiles, quality, sampling
+from ..operators import profile_job as profile_job_operator
 from ..sources import profiles as documents
+from ..sources import recordings
 from ..streaming import profiles as streams
 from . import clips as data
 
@@ -34,13 +36,15 @@ def query(sql: str | None = None):
 # --- SQL parts -----------------------------------------------------------------
 
 _UNIT = """
-clips AS (SELECT label AS profile_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS clip_ix,
-  CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-unit AS (SELECT profile_id, clip_ix, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM clips)"""
-_HALVES = """
-clips AS (SELECT CAST(label * 2 + vec_id % 2 AS INTEGER) AS profile_id,
-  CAST(row_number() OVER (PARTITION BY label, vec_id % 2 ORDER BY vec_id) - 1 AS INTEGER) AS clip_ix, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+clips AS (SELECT CAST(label + 1000 * (vec_id // 5000) AS INTEGER) AS profile_id,
+  CAST(row_number() OVER (PARTITION BY label, vec_id // 5000 ORDER BY vec_id) - 1 AS INTEGER) AS clip_ix, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 unit AS (SELECT profile_id, clip_ix, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM clips)"""
+_HALVES = _UNIT.replace("label + 1000", "label * 2 + vec_id % 2 + 1000").replace("BY label, vec_id // 5000", "BY label, vec_id % 2, vec_id // 5000")
+
+
+def _of_source(sql: str) -> str:
+    """The SQL over a table ``src`` of named profiles."""
+    return sql.replace("CAST(label + 1000 * (vec_id // 5000) AS INTEGER)", "label").replace("BY label, vec_id // 5000", "BY label").replace("FROM embeddings", "FROM src")
 
 
 def _means(rows: str, keys: str, name: str) -> str:
@@ -110,29 +114,98 @@ done AS (SELECT s.profile_id, s.clip_ix, p.cluster FROM side{last} s JOIN placed
     )
 
 
+def _axes(rows: str, key: str, n_axes: int, squarings: int = 13) -> str:
+    """CTEs: principal axes of vectors u of rows (key, c, u): ``cen`` (key, c, d, x), ``scatter``, and ``axis{k}`` (key, i, x) with ``value{k}`` (key, v, whole).
+
+    The scatter matrix, squared again and again, turns into its first axis; then that is taken out.
+    """
+    sql = f"""
+cen AS MATERIALIZED (SELECT {key}, c, d, x - avg(x) OVER (PARTITION BY {key}, d) AS x FROM (SELECT {key}, c, unnest(u) AS x, unnest(range(len(u))) AS d FROM {rows})),
+scatter0 AS MATERIALIZED (SELECT {key}, a.d AS i, b.d AS j, sum(a.x * b.x) AS v FROM cen a JOIN cen b USING ({key}, c) GROUP BY ALL)"""
+    for k in range(n_axes):
+        before = f"scatter{k}"
+        for q in range(squarings):
+            sql += f""",
+p{k}_{q} AS MATERIALIZED (SELECT {key}, i, j, v / sum(CASE WHEN i = j THEN v ELSE 0 END) OVER (PARTITION BY {key}) AS v FROM
+  (SELECT {key}, a.i, b.j, sum(a.v * b.v) AS v FROM {before} a JOIN {before} b USING ({key}) WHERE a.j = b.i GROUP BY ALL))"""
+            before = f"p{k}_{q}"
+        sql += f""",
+axis{k} AS MATERIALIZED (SELECT {key}, i, v / sqrt(sum(v * v) OVER (PARTITION BY {key})) AS x FROM {before} JOIN
+  (SELECT {key}, arg_max(j, v) AS j FROM {before} WHERE i = j GROUP BY {key}) USING ({key}, j)),
+value{k} AS MATERIALIZED (SELECT {key}, sum(s.v * a.x * b.x) AS v, sum(CASE WHEN s.i = s.j THEN s.v ELSE 0 END) AS left_ FROM scatter{k} s
+  JOIN axis{k} a USING ({key}, i) JOIN (SELECT {key}, i AS j, x FROM axis{k}) b USING ({key}, j) GROUP BY {key}),
+scatter{k + 1} AS MATERIALIZED (SELECT {key}, s.i, j, s.v - l.v * a.x * b.x AS v FROM scatter{k} s
+  JOIN axis{k} a USING ({key}, i) JOIN (SELECT {key}, i AS j, x FROM axis{k}) b USING ({key}, j) JOIN value{k} l USING ({key}))"""
+    return sql + f""",
+whole_value AS (SELECT {key}, sum(v) AS v FROM scatter0 WHERE i = j GROUP BY {key}),
+shares AS (""" + " UNION ALL ".join(f"SELECT {key}, {k} AS axis, greatest(value{k}.v, 0) / w.v AS share FROM value{k} JOIN whole_value w USING ({key})" for k in range(n_axes)) + ")"
+
+
 #: Rounds that the SQL runs; the shared tables settle in 14 at most, and further rounds change nothing.
 _ROUNDS = 16
 _CLUSTERED = _UNIT + _kmeans("unit", _ROUNDS)
 _HALVES_CLUSTERED = _HALVES + _kmeans("unit", _ROUNDS)
 
-_WAVE = """
-raw AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS n,
-  greatest(-1::DOUBLE, least(1::DOUBLE, (CASE WHEN event_id % 2 = 0 THEN 1::DOUBLE ELSE -1::DOUBLE END) * value / 100::DOUBLE
-    * [1e-5::DOUBLE, 1::DOUBLE, 0.1::DOUBLE, 0.3::DOUBLE][user_id % 4 + 1] + CASE WHEN user_id % 4 = 3 THEN 0.3::DOUBLE ELSE 0::DOUBLE END)) AS x FROM events),
-tm AS (SELECT user_id, 20 * log10(greatest(sqrt(avg(x * x)), 1e-12::DOUBLE)) AS rms_dbfs, max(abs(x)) AS peak,
-  avg(CASE WHEN abs(x) >= CAST(0.999 AS FLOAT)::DOUBLE THEN 1::DOUBLE ELSE 0::DOUBLE END) AS clipped_ratio, abs(avg(x)) AS dc_offset, count(*) AS n_samples FROM raw GROUP BY user_id),
-fr AS (SELECT user_id, n // 8 AS f, sqrt(avg(x * x)) AS rms, count(*) AS size FROM raw GROUP BY ALL),
-act AS (SELECT user_id, coalesce(avg(CASE WHEN rms > pow(10::DOUBLE, -2.7::DOUBLE) THEN 1::DOUBLE ELSE 0::DOUBLE END) FILTER (size = 8), 1::DOUBLE) AS active_ratio FROM fr GROUP BY user_id),
-zc AS (SELECT user_id, avg(CASE WHEN low <> next THEN 1::DOUBLE ELSE 0::DOUBLE END) FILTER (next IS NOT NULL) AS zero_crossing_rate FROM
-  (SELECT user_id, x < 0 AS low, lead(x < 0) OVER (PARTITION BY user_id ORDER BY n) AS next FROM raw) GROUP BY user_id),
-len AS (SELECT user_id, count(*) AS m FROM raw GROUP BY user_id),
-freq AS (SELECT user_id, m, unnest(range(m // 2 + 1)) AS k FROM len),
-dft AS (SELECT f.user_id, k, pow(sum(x * cos(2 * pi() * ((k * n) % m) / m)), 2) + pow(sum(x * sin(2 * pi() * ((k * n) % m) / m)), 2) AS p
-  FROM freq f JOIN raw r ON r.user_id = f.user_id GROUP BY ALL),
-fl AS (SELECT user_id, exp(avg(ln(p + 1e-12::DOUBLE))) / greatest(avg(p), 1e-12::DOUBLE) AS spectral_flatness FROM dft GROUP BY user_id),
-decided AS (SELECT *, CASE WHEN rms_dbfs < -48 THEN 'low_energy' WHEN active_ratio < 0.2 THEN 'mostly_silent' WHEN clipped_ratio > 0.02 THEN 'clipped'
+
+def _quality(raw: str, keys: str, frame: int = 2048, stride: int = 8, cap: int = 65_536) -> str:
+    """CTEs: the metrics and reasons ``decided`` of windows named by ``keys``, of rows (keys, n, x)."""
+    red = f"{keys}, n // {stride} AS i, x"
+    return f"""
+every AS ({raw}),
+bad AS (SELECT {keys}, bool_or(isnan(x)) AS bad FROM every GROUP BY {keys}),
+raw AS (SELECT e.* FROM every e JOIN bad USING ({keys}) WHERE NOT bad),
+tm AS (SELECT {keys}, 20 * log10(greatest(sqrt(avg(x * x)), 1e-12::DOUBLE)) AS rms_dbfs, max(abs(x)) AS peak,
+  avg(CASE WHEN abs(x) >= CAST(0.999 AS FLOAT)::DOUBLE THEN 1::DOUBLE ELSE 0::DOUBLE END) AS clipped_ratio, abs(avg(x)) AS dc_offset FROM raw GROUP BY {keys}),
+fr AS (SELECT {keys}, n // {frame} AS f, sqrt(avg(x * x)) AS rms, count(*) AS size FROM raw GROUP BY ALL),
+act AS (SELECT {keys}, coalesce(avg(CASE WHEN rms > pow(10::DOUBLE, -2.7::DOUBLE) THEN 1::DOUBLE ELSE 0::DOUBLE END) FILTER (size = {frame}), 1::DOUBLE) AS active_ratio FROM fr GROUP BY {keys}),
+red AS (SELECT {red} FROM raw WHERE n % {stride} = 0),
+zc AS (SELECT {keys}, avg(CASE WHEN low <> next THEN 1::DOUBLE ELSE 0::DOUBLE END) FILTER (next IS NOT NULL) AS zero_crossing_rate FROM
+  (SELECT {keys}, signbit(x) AS low, lead(signbit(x)) OVER (PARTITION BY {keys} ORDER BY i) AS next FROM red) GROUP BY {keys}),
+len AS (SELECT {keys}, count(*) AS m FROM red WHERE i < {cap} GROUP BY {keys}),
+freq AS (SELECT {keys}, m, unnest(range(m // 2 + 1)) AS k FROM len),
+dft AS (SELECT {keys}, k, pow(sum(x * cos(2 * pi() * ((k * i) % m) / m)), 2) + pow(sum(x * sin(2 * pi() * ((k * i) % m) / m)), 2) AS p
+  FROM freq f JOIN red r USING ({keys}) WHERE i < {cap} GROUP BY ALL),
+fl AS (SELECT {keys}, exp(avg(ln(p + 1e-12::DOUBLE))) / greatest(avg(p), 1e-12::DOUBLE) AS spectral_flatness FROM dft GROUP BY {keys}),
+decided AS (SELECT *, CASE WHEN bad THEN 'invalid' WHEN rms_dbfs < -48 THEN 'low_energy' WHEN active_ratio < 0.2 THEN 'mostly_silent' WHEN clipped_ratio > 0.02 THEN 'clipped'
   WHEN dc_offset > 0.2 THEN 'dc_offset' WHEN spectral_flatness > 0.92 AND coalesce(zero_crossing_rate, 0) > 0.35 THEN 'broadband_noise' END AS reason
-  FROM tm JOIN act USING (user_id) JOIN zc USING (user_id) JOIN fl USING (user_id))"""
+  FROM bad LEFT JOIN tm USING ({keys}) LEFT JOIN act USING ({keys}) LEFT JOIN zc USING ({keys}) LEFT JOIN fl USING ({keys}))"""
+
+
+_WAVE = _quality(
+    """SELECT user_id, event_id // 100000 AS window_ix, row_number() OVER (PARTITION BY user_id, event_id // 100000 ORDER BY event_id) - 1 AS n,
+  greatest(-1::DOUBLE, least(1::DOUBLE, (CASE WHEN event_id % 2 = 0 THEN 1::DOUBLE ELSE -1::DOUBLE END) * value / 100::DOUBLE
+    * [1e-5::DOUBLE, 1::DOUBLE, 0.1::DOUBLE, 0.3::DOUBLE][user_id % 4 + 1] + CASE WHEN user_id % 4 = 3 THEN 0.3::DOUBLE ELSE 0::DOUBLE END)) AS x FROM events""",
+    "user_id, window_ix", frame=8, stride=1,
+)
+
+
+def _generated(places: str, keys: str, length: int) -> str:
+    """Rows (keys, n, x) of generated windows for a table of (keys, r, w)."""
+    return f"""SELECT {keys}, n, CASE WHEN (r * 7 + w) % 40 = 39 AND n = 7 THEN 'nan'::DOUBLE ELSE CASE (r * 7 + w) % 8
+    WHEN 3 THEN s * 0::DOUBLE WHEN 4 THEN CASE WHEN n < {length / 10}::DOUBLE THEN s * 0.2::DOUBLE ELSE 0::DOUBLE END WHEN 5 THEN CASE WHEN s > 0 THEN 1::DOUBLE ELSE -1::DOUBLE END
+    WHEN 6 THEN s * 0.2::DOUBLE + 0.3::DOUBLE WHEN 7 THEN ((n * 7919 + (r * 31 + w) * 104729) % 10007)::DOUBLE / 10007::DOUBLE * 0.4::DOUBLE - 0.2::DOUBLE
+    ELSE s * 0.2::DOUBLE END END AS x
+  FROM (SELECT *, sin((2 * pi()) * (200 + 37 * ((r * 31 + w * 17) % 50)) / 48000::DOUBLE * n + 0.1::DOUBLE) AS s FROM ({places}), range({length}) t(n))"""
+
+
+def _embedded(keys: str) -> str:
+    """CTEs: unit vectors ``unit`` (keys, u) of the kept windows by the spectral embedder's default settings."""
+    return f"""
+few AS (SELECT {keys}, n // 16 AS i, x FROM raw JOIN decided USING ({keys}) WHERE reason IS NULL AND n % 16 = 0),
+bins AS (SELECT b, 1 + b * 4095 // 511 AS k FROM range(512) t(b)),
+mag AS (SELECT {keys}, b, ln(1 + sqrt(pow(sum(x * cos(2 * pi() * ((k * i) % 8192) / 8192)), 2) + pow(sum(x * sin(2 * pi() * ((k * i) % 8192) / 8192)), 2))) AS l FROM few, bins GROUP BY ALL),
+mid AS (SELECT {keys}, b, l - avg(l) OVER (PARTITION BY {keys}) AS l FROM mag),
+unit AS (SELECT {keys}, list(l / n ORDER BY b) AS u FROM (SELECT *, sqrt(sum(l * l) OVER (PARTITION BY {keys})) AS n FROM mid) GROUP BY {keys})"""
+
+
+_DEFAULT = _quality(_generated("SELECT 0 AS r, w FROM range(8) t(w) UNION ALL SELECT 0, 39", "w", 24_000), "w")
+_JOB = (
+    f"""
+recs AS (SELECT CAST(n_nationkey AS INTEGER) AS profile_id, CASE WHEN n_nationkey = 23 THEN {data.JOB_LONG}::DOUBLE ELSE {data.JOB_SECONDS}::DOUBLE END AS duration_s FROM nation),
+places AS (SELECT profile_id, w AS window_ix, CASE WHEN profile_id = 24 THEN 0 ELSE profile_id END AS r, CASE WHEN profile_id = 24 THEN 3 ELSE w END AS w
+  FROM recs, range({data.JOB_WINDOWS}) t(w) WHERE duration_s <= 14400.5),"""
+    + _quality(_generated("SELECT * FROM places", "profile_id, window_ix", data.JOB_SAMPLES), "profile_id, window_ix")
+)
 
 # --- sampling --------------------------------------------------------------------
 
@@ -176,33 +249,36 @@ def request_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- quality ---------------------------------------------------------------------
 
+_KEY = ["user_id", "window_ix"]
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.analyse(data.windows(spark, sf_dir), RULES)
 
-@query(f"WITH {_WAVE} SELECT user_id, round(rms_dbfs, 6) AS rms_dbfs, round(peak, 6) AS peak, round(clipped_ratio, 6) AS clipped_ratio, round(dc_offset, 6) AS dc_offset, n_samples FROM tm")
+
+@query(f"WITH {_WAVE} SELECT user_id, window_ix, round(rms_dbfs, 3) AS rms_dbfs, round(peak, 6) AS peak, round(clipped_ratio, 6) AS clipped_ratio, round(dc_offset, 6) AS dc_offset FROM decided")
 def signal_time_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.time_metrics(data.samples(spark, sf_dir), "user_id", RULES)
-    return found.select("user_id", *[shown(F.col(c)).alias(c) for c in ("rms_dbfs", "peak", "clipped_ratio", "dc_offset")], "n_samples")
+    return _measured(spark, sf_dir).select(*_KEY, *quality.shown_metrics()).select(*_KEY, "rms_dbfs", "peak", "clipped_ratio", "dc_offset")
 
 
-@query(f"WITH {_WAVE} SELECT user_id, round(active_ratio, 6) AS active_ratio FROM act")
+@query(f"WITH {_WAVE} SELECT user_id, window_ix, round(active_ratio, 6) AS active_ratio FROM decided")
 def signal_active_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.active_ratio(data.samples(spark, sf_dir), "user_id", RULES).select("user_id", shown(F.col("active_ratio")).alias("active_ratio"))
+    return _measured(spark, sf_dir).select(*_KEY, shown(F.col("active_ratio")).alias("active_ratio"))
 
 
-@query(f"WITH {_WAVE} SELECT user_id, round(zero_crossing_rate, 6) AS zero_crossing_rate FROM zc")
+@query(f"WITH {_WAVE} SELECT user_id, window_ix, round(zero_crossing_rate, 6) AS zero_crossing_rate FROM decided")
 def signal_zero_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.zero_crossings(data.samples(spark, sf_dir), "user_id", RULES)
-    return found.select("user_id", shown(F.col("zero_crossing_rate")).alias("zero_crossing_rate"))
+    return _measured(spark, sf_dir).select(*_KEY, shown(F.col("zero_crossing_rate")).alias("zero_crossing_rate"))
 
 
-@query(f"WITH {_WAVE} SELECT user_id, round(spectral_flatness, 6) AS spectral_flatness FROM fl")
+@query(f"WITH {_WAVE} SELECT user_id, window_ix, round(spectral_flatness, 6) AS spectral_flatness FROM decided")
 def signal_spectral_flatness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = quality.gathered(data.samples(spark, sf_dir), "user_id")
-    return quality.spectral_flatness(windows, RULES).select("user_id", shown(F.col("spectral_flatness")).alias("spectral_flatness"))
+    return _measured(spark, sf_dir).select(*_KEY, shown(F.col("spectral_flatness")).alias("spectral_flatness"))
 
 
-@query(f"WITH {_WAVE} SELECT user_id, reason, reason IS NULL AS keep FROM decided")
+@query(f"WITH {_WAVE} SELECT user_id, window_ix, reason, reason IS NULL AS keep FROM decided")
 def signal_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.analyse(data.samples(spark, sf_dir), "user_id", RULES).select("user_id", "reason", "keep")
+    return _measured(spark, sf_dir).select(*_KEY, "reason", "keep")
 
 
 @query(f"""WITH {_WAVE} SELECT recording, CAST(sum(n) AS BIGINT) AS considered, CAST(coalesce(sum(n) FILTER (reason IS NULL), 0) AS BIGINT) AS retained,
@@ -210,24 +286,111 @@ def signal_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
   coalesce(string_agg(reason || '=' || n, ',' ORDER BY reason) FILTER (reason IS NOT NULL), '') AS filter_counts
   FROM (SELECT user_id % 10 AS recording, reason, count(*) AS n FROM decided GROUP BY ALL) GROUP BY recording""")
 def reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decided = quality.analyse(data.samples(spark, sf_dir), "user_id", RULES)
-    found = quality.reason_histogram(decided, F.col("user_id") % 10)
-    pairs = F.transform(F.map_entries("filter_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
-    return found.withColumn("filter_counts", F.array_join(pairs, ","))
-
-
-@query(f"""WITH {_WAVE},
-mag AS (SELECT user_id, unnest([1, 3, 5, 7, 9, 11, 13, 16]) AS k FROM len),
-spec AS (SELECT m.user_id, k, ln(1 + sqrt(pow(sum(x * cos(2 * pi() * k * n / 32)), 2) + pow(sum(x * sin(2 * pi() * k * n / 32)), 2))) AS l
-  FROM mag m JOIN raw r ON r.user_id = m.user_id AND n < 32 GROUP BY ALL),
-mid AS (SELECT user_id, k, l - avg(l) OVER (PARTITION BY user_id) AS l FROM spec)
-SELECT user_id, k AS bin, round(l / greatest(sqrt(sum(l * l) OVER (PARTITION BY user_id)), 1e-12::DOUBLE), 6) + 0.0 AS value FROM mid""")
+    found = quality.reason_histogram(_measured(spark, sf_dir), F.col("user_id") % 10)
+    return found.withColumn("filter_counts", _pairs("filter_counts"))
+
+
+def _pairs(column: str) -> Column:
+    """A map from names to counts as sorted text."""
+    each = F.transform(F.array_sort(F.map_entries(column)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return F.array_join(each, ",")
+
+
+def _default_windows(spark: SparkSession) -> DataFrame:
+    return data.generated(spark.sql("SELECT 0L AS r, explode(array(0L, 1L, 2L, 3L, 4L, 5L, 6L, 7L, 39L)) AS w"), 24_000).select("w", "samples")
+
+
+@query(f"""WITH {_DEFAULT} SELECT w, reason, round(rms_dbfs, 3) AS rms_dbfs, round(peak, 6) AS peak, round(clipped_ratio, 6) AS clipped_ratio, round(active_ratio, 6) AS active_ratio,
+  round(dc_offset, 6) AS dc_offset, round(zero_crossing_rate, 6) AS zero_crossing_rate, round(spectral_flatness, 6) AS spectral_flatness FROM decided""")
+def signal_default_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half a second at 48 kHz of each kind of window, by the rules as they are shipped."""
+    return quality.analyse(_default_windows(spark)).select("w", "reason", *quality.shown_metrics())
+
+
+@query(f"WITH {_DEFAULT},{_embedded('w')} SELECT w, i, round(u[i + 1], 6) + 0.0 AS value FROM unit, range(512) t(i)")
+def spectral_embed_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same windows' vectors by the embedder's settings as they are shipped."""
+    rows = embedding.embed_windows(_default_windows(spark).filter("w <> 39 AND w NOT IN (3, 4, 5, 6)"))
+    each = rows.select("w", F.posexplode("embedding").alias("i", "x"))
+    return each.select("w", F.col("i").cast("long").alias("i"), shown(F.col("x")).alias("value"))
+
+
+_WAVE_BINS = """
+mag AS (SELECT user_id, window_ix, unnest([1, 3, 5, 7, 9, 11, 13, 16]) AS k FROM len),
+spec AS (SELECT user_id, window_ix, k, ln(1 + sqrt(pow(sum(x * cos(2 * pi() * k * n / 32)), 2) + pow(sum(x * sin(2 * pi() * k * n / 32)), 2))) AS l
+  FROM mag m JOIN raw r USING (user_id, window_ix) WHERE n < 32 GROUP BY ALL),
+mid AS (SELECT user_id, window_ix, k, l - avg(l) OVER (PARTITION BY user_id, window_ix) AS l FROM spec)"""
+
+
+@query(f"""WITH {_WAVE},{_WAVE_BINS}
+SELECT user_id, window_ix, k AS bin, round(l / greatest(sqrt(sum(l * l) OVER (PARTITION BY user_id, window_ix)), 1e-12::DOUBLE), 6) + 0.0 AS value FROM mid""")
 def spectral_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = quality.gathered(data.samples(spark, sf_dir), "user_id")
-    found = embedding.embed_windows(windows, "spectral", n_fft=32, bins=8, stride=1)
+    found = embedding.embed_windows(data.windows(spark, sf_dir), "spectral", n_fft=32, bins=8, stride=1)
     bins = F.array(*[F.lit(k) for k in (1, 3, 5, 7, 9, 11, 13, 16)])
-    each = found.select("user_id", F.posexplode("embedding").alias("i", "x"))
-    return each.select("user_id", bins[F.col("i")].alias("bin"), shown(F.col("x")).alias("value"))
+    each = found.select(*_KEY, F.posexplode("embedding").alias("i", "x"))
+    return each.select(*_KEY, bins[F.col("i")].alias("bin"), shown(F.col("x")).alias("value"))
+
+
+# --- recordings ------------------------------------------------------------------------
+
+
+@query("""WITH f AS (SELECT CAST(n_nationkey AS INTEGER) AS k, 8000 * (1 + n_nationkey % 3) AS rate, 1 + n_nationkey % 2 AS channels, 5 + n_nationkey * 2 AS seconds FROM nation),
+w AS (SELECT k, 0::DOUBLE AS start_s, seconds FROM f WHERE seconds <= 10 UNION ALL
+  SELECT k, unnest(range(CAST(floor((seconds - 10) / 20) AS BIGINT) + 1)) * 20::DOUBLE, seconds FROM f WHERE seconds > 10 UNION ALL
+  SELECT k, seconds - 10::DOUBLE, seconds FROM f WHERE seconds > 10 AND (seconds - 10) % 20 >= 10)
+SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY start_s) - 1 AS INTEGER) AS window_ix, start_s, 48000 AS rate, CAST(least(10, seconds - start_s) * 48000 AS INTEGER) AS n, 0.25::DOUBLE AS level, CAST(NULL AS VARCHAR) AS error FROM w
+UNION ALL SELECT 100, -1, NULL, -1, -1, NULL, 'not decodable' UNION ALL SELECT 101, -1, NULL, -1, -1, NULL, 'over the size limit'""")
+def decoded_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wave files of several rates and channels, probed, sampled and decoded to 48 kHz mono; one is broken, one too large."""
+    nations = [r["n_nationkey"] for r in data.table(spark, sf_dir, "nation").select("n_nationkey").collect()]  # 25 rows
+    files = [(f"/{k}.wav", recordings.wave_bytes([0.25] * (8000 * (1 + k % 3) * (5 + 2 * k)), 8000 * (1 + k % 3), 1 + k % 2)) for k in nations]
+    files += [("/100.wav", b"RIFF"), ("/101.wav", b"x" * 10_000_000)]
+    rows = spark.createDataFrame(files, "path string, content binary").withColumn("length", F.length("content").cast("long"))
+    found = recordings.sampled(recordings.limited(rows, 9_000_000), 20.0)
+    k = F.regexp_extract("path", r"(\d+)", 1).cast("int")
+    level = F.round(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x) / F.size("samples"), 3)
+    missing = F.col("samples").isNull()
+    error = F.when(F.col("error").startswith("the file is over"), "over the size limit").when(F.col("error").isNotNull(), "not decodable")
+    n = F.when(~missing, F.size("samples"))
+    return found.select(k.alias("k"), "window_ix", "start_s", "rate", n.alias("n"), level.alias("level"), error.alias("error")).fillna(-1, ["window_ix", "rate", "n"])
+
+
+@query("""SELECT doc_id, lower(regexp_extract(name, '\\.([^./]+)$', 1)) IN ('mp3', 'wav', 'flac', 'm4a', 'aac', 'ogg', 'opus') AS audio FROM
+  (SELECT doc_id, '/in/Set ' || doc_id || ['.MP3', '.txt', '.opus', '', '.mp3.zip', '.Wav'][doc_id % 6 + 1] AS name FROM documents)""")
+def audio_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ending = F.array(*[F.lit(x) for x in (".MP3", ".txt", ".opus", "", ".mp3.zip", ".Wav")])[(F.col("doc_id") % 6).cast("int")]
+    name = F.concat(F.lit("/in/Set "), F.col("doc_id").cast("string"), ending)
+    return data.table(spark, sf_dir, "documents").select("doc_id", display.is_audio(name).alias("audio"))
+
+
+# --- the whole job -------------------------------------------------------------------
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile_job_operator.run_jobs(*data.job_tables(spark, sf_dir))
+
+
+@query(f"""WITH {_JOB},
+counted AS (SELECT profile_id, count(*) AS considered, count(*) FILTER (reason IS NULL) AS retained, count(reason) AS filtered FROM decided GROUP BY profile_id),
+named AS (SELECT profile_id, string_agg(reason || '=' || n, ',' ORDER BY reason) AS filter_counts FROM
+  (SELECT profile_id, reason, count(*) AS n FROM decided WHERE reason IS NOT NULL GROUP BY ALL) GROUP BY profile_id)
+SELECT profile_id, CASE WHEN duration_s > 14400.5 THEN 'the recording is too long' WHEN retained = 0 THEN 'no window is usable' END AS error,
+  CAST(coalesce(considered, 0) AS INTEGER) AS considered, CAST(coalesce(retained, 0) AS INTEGER) AS retained, CAST(coalesce(filtered, 0) AS INTEGER) AS filtered,
+  CASE WHEN considered IS NOT NULL THEN coalesce(filter_counts, '') END AS filter_counts, CASE WHEN retained > 0 THEN 512 ELSE 0 END AS dimensions, coalesce(retained, 0) AS core_count
+FROM recs LEFT JOIN counted USING (profile_id) LEFT JOIN named USING (profile_id)""")
+def profile_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From decoded windows to a profile: what each recording's job counted, or why it has no profile."""
+    found = _jobs(spark, sf_dir).fillna(0, ["considered", "retained", "filtered", "dimensions", "core_count"])
+    return found.select("profile_id", "error", "considered", "retained", "filtered", _pairs("filter_counts").alias("filter_counts"), "dimensions", "core_count")
+
+
+@query(f"""WITH {_JOB},{_embedded('profile_id, window_ix')},{_means('unit', 'profile_id', 'whole')}
+SELECT CAST(profile_id AS VARCHAR) AS profile_id, i, round(round(g[i + 1], 8), 6) + 0.0 AS value FROM whole, (SELECT unnest([0, 1, 100, 255, 400, 511]) AS i)""")
+def profile_job_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some coordinates of the global vectors in the jobs' exports."""
+    rows = documents.vector_rows(profile_job_operator.export_rows(_jobs(spark, sf_dir), 0.0)).filter("role = 'global'")
+    picked = F.explode(F.array(*[F.lit(i) for i in (0, 1, 100, 255, 400, 511)])).alias("i")
+    return rows.select("profile_id", picked, "vector").select("profile_id", "i", shown(F.expr("vector[i]")).alias("value"))
 
 
 # --- vectors and profiles ------------------------------------------------------
@@ -271,7 +434,7 @@ def _vector_rows(spark: SparkSession, groups: dict[str, list[list[float]]]) -> D
     return spark.createDataFrame(rows, "profile_id string, clip_ix int, embedding array<double>")
 
 
-@query(f"""WITH {_TRIM_SQL},{_DENSITY.replace('FROM embeddings', 'FROM src')},
+@query(f"""WITH {_TRIM_SQL},{_of_source(_DENSITY)},
 ordered AS (SELECT d.profile_id, d.clip_ix, d.density, d.n, CASE WHEN d.n >= 8 THEN threshold END AS threshold,
   row_number() OVER (PARTITION BY d.profile_id ORDER BY d.density, d.clip_ix) AS r FROM density d JOIN limits USING (profile_id))
 SELECT profile_id, clip_ix, round(threshold, 6) AS threshold, coalesce(density < threshold AND r <= greatest(1, floor(n * 0.1)), false) AS outlier FROM ordered""")
@@ -329,7 +492,7 @@ src AS (SELECT 'long' AS label, i AS vec_id, [1::DOUBLE, i * 0.001::DOUBLE, 0] A
   UNION ALL SELECT 'dozen', i, [1::DOUBLE, 0, 0] FROM range(12) t(i) UNION ALL SELECT 'pair', i, [1::DOUBLE, 0, 0] FROM range(2) t(i))"""
 
 
-@query(f"""WITH {_SUPPORT_SQL},{_UNIT.replace('FROM embeddings', 'FROM src')}{_kmeans('unit', 8)}
+@query(f"""WITH {_SUPPORT_SQL},{_of_source(_UNIT)}{_kmeans('unit', 8)}
 SELECT profile_id, CAST(cluster AS INTEGER) AS cluster, n AS size, round(n / sum(n) OVER (PARTITION BY profile_id), 6) AS weight,
   CASE WHEN bool_or(forced) OVER (PARTITION BY profile_id) THEN 'minimum_support_spherical_kmeans' ELSE 'spherical_kmeans' END AS strategy FROM placed""")
 def min_support_injected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,13 +507,19 @@ def min_support_injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("profile_id", "cluster", size.alias("size"), shown(F.col("weight")).alias("weight"), "strategy")
 
 
-@query()
+_PCA = f"WITH {_UNIT}, named AS (SELECT profile_id, clip_ix AS c, u FROM unit)," + _axes("named", "profile_id", 3)
+
+
+@query(f"{_PCA} SELECT profile_id, CAST(axis AS INTEGER) AS axis, round(share, 6) AS share FROM shares")
 def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = diagnostics.pca(data.unit_clips(spark, sf_dir))
     return found.select("profile_id", F.posexplode("variance").alias("axis", "x")).select("profile_id", "axis", shown(F.col("x")).alias("share"))
 
 
-@query()
+@query(f"""{_PCA},
+turned AS (SELECT profile_id, i AS d, x * (SELECT sign(arg_max(x, abs(x))) FROM axis0 b WHERE b.profile_id = a.profile_id) AS x FROM axis0 a),
+along AS (SELECT profile_id, c, sum(n.x * t.x) AS p FROM cen n JOIN turned t USING (profile_id, d) GROUP BY profile_id, c)
+SELECT profile_id, CAST(arg_min(c, p) AS INTEGER) AS low_clip, CAST(arg_max(c, p) AS INTEGER) AS high_clip FROM along GROUP BY profile_id""")
 def pca_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.pca(data.unit_clips(spark, sf_dir)).select("profile_id", "low_clip", "high_clip")
 
@@ -361,49 +530,27 @@ def profile_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.diversity(unit, profiles.global_vectors(unit)).select("profile_id", shown(F.col("diversity")).alias("diversity"))
 
 
+@query(ORACLE_SQL["pca_extremes"].replace("SELECT profile_id, CAST(arg_min(c, p) AS INTEGER) AS low_clip, CAST(arg_max(c, p) AS INTEGER) AS high_clip FROM along GROUP BY profile_id", """,
+ends AS (SELECT profile_id, 'low' AS side, arg_min(c, p) AS clip_ix FROM along GROUP BY profile_id UNION ALL SELECT profile_id, 'high', arg_max(c, p) FROM along GROUP BY profile_id)
+SELECT profile_id, side, CAST(clip_ix AS INTEGER) AS clip_ix, clip_ix * 25::DOUBLE AS start_s, printf('%02d:%02d:%02d', clip_ix * 25 // 3600, clip_ix * 25 // 60 % 60, clip_ix * 25 % 60) AS timecode FROM ends"""))
+def extreme_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = data.unit_clips(spark, sf_dir)
+    starts = unit.select("profile_id", "clip_ix", (F.col("clip_ix") * 25).cast("double").alias("start_s"))
+    found = diagnostics.extreme_snippets(diagnostics.pca(unit), starts)
+    return found.select("profile_id", "side", "clip_ix", "start_s", "timecode")
+
+
 # --- export ----------------------------------------------------------------------
 
 
 def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Export rows of the labels' profiles; every clip counts as a retained window every 25 s."""
-    unit = data.unit_clips(spark, sf_dir)
-    whole = profiles.aggregate(data.clips(spark, sf_dir), 0.1)
-    spread = diagnostics.diversity(unit, profiles.global_vectors(unit))
-    rows = whole.join(diagnostics.pca(unit), "profile_id").join(spread, "profile_id")
-    n = F.size("assignments")
-
-    def snippet(side: str):
-        start = (F.col(f"{side}_clip") * 25).cast("double")
-        return F.struct(
-            F.lit(side).alias("side"), F.col(f"{side}_clip").alias("retained_clip_index"), start.alias("start_seconds"), display.timecode(start).alias("timecode")
-        )
-
-    vectors = F.transform("vectors", lambda v: F.struct(v["role"].alias("role"), F.round(v["weight"], 6).alias("weight"), shown_vector(v["vector"], 8).alias("vector")))
-    made = rows.select(
-        F.col("profile_id").cast("string").alias("profile_id"),
-        F.lit("1.0").alias("schema_version"),
-        F.struct(
-            F.lit("spectral").alias("id"), F.lit("spectral-1").alias("revision"), F.size(F.col("vectors")[0]["vector"]).alias("dimensions"),
-            F.lit("cpu").alias("device"), F.lit("fake").alias("backend"), F.lit(0).alias("load_duration_ms"),
-        ).alias("model"),
-        F.struct(
-            (n * 25).cast("double").alias("duration_seconds"), F.lit(25).alias("sample_interval_seconds"), F.lit(10.0).alias("window_seconds"),
-            n.alias("windows_considered"), n.alias("windows_retained"), F.lit(0).alias("windows_filtered"),
-            F.create_map().cast("map<string,int>").alias("filter_counts"),
-        ).alias("source"),
-        F.struct(
-            F.lit("robust_spherical_kmeans").alias("method"), F.lit("3").alias("version"), F.col("strategy").alias("cluster_strategy"),
-            F.lit("knn_density_mad_3.5").alias("outlier_method"), F.lit(0.1).alias("max_outlier_fraction"), n.alias("input_clip_count"),
-            F.col("core_count").cast("int").alias("core_clip_count"), F.size("outliers").alias("embedding_outlier_count"),
-            F.round("threshold", 8).alias("local_density_threshold"), vectors.alias("vectors"),
-        ).alias("aggregation"),
-        F.struct(
-            F.transform("variance", lambda x: F.round(x, 6)).alias("pca_explained_variance_ratio"),
-            F.array(snippet("low"), snippet("high")).alias("pca_extreme_snippets"), F.round("diversity", 6).alias("diversity"),
-        ).alias("diagnostics"),
-        F.create_map(F.lit("total"), F.lit(0)).alias("timing_ms"),
+    """Export rows of the labels' profiles: each clip is a usable window, every 25 s, that was embedded before."""
+    rows = data.clips(spark, sf_dir).select(
+        "profile_id", F.col("clip_ix").alias("window_ix"), (F.col("clip_ix") * 25).cast("double").alias("start_s"), F.lit(None).cast("string").alias("reason"),
+        F.lit(0.0).alias("filter_ms"), F.lit(0.0).alias("embed_ms"), F.col("embedding").cast("array<double>").alias("embedding"),
     )
-    return made
+    found = profile_job_operator.outcomes(rows, 0.1)
+    return profile_job_operator.export_rows(found.withColumn("duration_s", (F.col("considered") * 25).cast("double")), 0.1)
 
 
 @query(f"""WITH {_CLUSTERED}
@@ -415,28 +562,112 @@ def profile_export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("profile_id", "role", "weight", shown(F.col("vector")[0]).alias("head"))
 
 
-@query("""WITH t(profile_id, rule, severity) AS (VALUES ('1', 'role_order', 'error'), ('2', 'weights_sum', 'error'), ('3', 'counts_reconcile', 'error'),
-  ('4', 'vector_length', 'error'), ('5', 'windows_reconcile', 'warning'))
-SELECT t.* FROM t WHERE profile_id IN (SELECT CAST(label AS VARCHAR) FROM embeddings)""")
+#: Fields of made-up exports by their number i: name, value that is right, and a wrong one in SQL that Spark and DuckDB share.
+#: Export i has the fields wrong whose place is i modulo the number of fields, or whose place divides i beyond them.
+_FIELDS = {
+    "schema_version": ("'1.0'", "'2.0'"), "dimensions": ("3", "0"), "device": ("'cpu'", "'gpu'"), "backend": ("'clap'", "'other'"),
+    "load_ms": ("0", "-1"), "duration": ("100.0", "0.0"), "interval": ("25", "26"), "win": ("10.0", "0.0"), "considered": ("5", "0"),
+    "retained": ("4", "0"), "filtered": ("1", "-1"), "counted": ("1", "2"), "method": ("'robust_spherical_kmeans'", "'kmeans'"), "version": ("'3'", "'4'"),
+    "strategy": ("'spherical_kmeans'", "'none'"), "outlier_method": ("'disabled'", "'all'"), "fraction": ("0.05", "0.2"), "clips": ("4", "0"),
+    "core": ("4", "0"), "outliers": ("0", "-1"), "n_vectors": ("3", "2"), "size": ("3", "0"), "weight": ("0.5", "1.5"), "role": ("'cluster_1'", "'cluster_2'"),
+    "n_extremes": ("2", "1"), "side": ("'low'", "'left'"), "clip_ix": ("0", "-1"), "start_s": ("0.0", "-1.0"), "diversity": ("0.1", "-0.1"),
+}
+_N_EXPORTS = 3 * len(_FIELDS)
+_FIELD_SQL = [
+    f"CASE WHEN i % {len(_FIELDS)} = {k} OR (i >= {2 * len(_FIELDS)} AND i % {k + 2} = 0) THEN {bad} ELSE {good} END AS {name}"
+    for k, (name, (good, bad)) in enumerate(_FIELDS.items())
+]
+#: What must hold, over the flat fields; vectors are the first n of (global, weight 1), (role, weight), (cluster_2, weight 0.5), each of size zeros.
+_RULES_SQL = {
+    "schema_version": "schema_version = '1.0'", "positive_dimensions": "dimensions > 0", "device": "device = 'cpu'", "backend": "backend IN ('clap', 'fake')",
+    "load_duration": "load_ms >= 0", "positive_duration": "duration > 0", "sample_interval": "interval IN (20, 25, 30)", "positive_window": "win > 0",
+    "window_counts": "considered > 0 AND retained > 0 AND filtered >= 0", "method": "method = 'robust_spherical_kmeans' AND version = '3'",
+    "cluster_strategy": "strategy IN ('spherical_kmeans', 'minimum_support_spherical_kmeans', 'single_embedding_duplicate')",
+    "outlier_method": "outlier_method IN ('disabled', 'knn_density_mad_3.5')", "outlier_fraction": "fraction BETWEEN 0 AND 0.1",
+    "clip_counts": "clips > 0 AND core > 0 AND outliers >= 0", "three_vectors": "n_vectors = 3", "vectors_not_empty": "size > 0",
+    "weight_range": "weight BETWEEN 0 AND 1", "role_order": "n_vectors = 3 AND role = 'cluster_1'", "vector_length": "size = dimensions",
+    "weights_sum": "abs(weight + CASE WHEN n_vectors = 3 THEN 0.5 ELSE 0 END - 1) <= 1e-5", "counts_reconcile": "core + outliers = clips",
+    "two_extremes": "n_extremes = 2", "extremes": "side IN ('low', 'high') AND clip_ix >= 0 AND start_s >= 0", "diversity": "diversity >= 0",
+}
+_WARNINGS_SQL = {"windows_reconcile": "retained + filtered = considered", "filter_counts_reconcile": "counted = filtered"}
+
+
+@query(
+    f"WITH flat AS (SELECT i, {', '.join(_FIELD_SQL)} FROM range({_N_EXPORTS}) t(i)) "
+    + " UNION ALL ".join(
+        f"SELECT CAST(i AS VARCHAR) AS profile_id, '{name}' AS rule, '{severity}' AS severity FROM flat WHERE NOT ({ok})"
+        for severity, group in (("error", _RULES_SQL), ("warning", _WARNINGS_SQL))
+        for name, ok in group.items()
+    )
+)
 def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exports of which five are spoiled, each in its own way."""
-    rows = _exports(spark, sf_dir)
-    a, who = F.col("aggregation"), F.col("profile_id")
-    vectors = a["vectors"]
-    swapped = F.array(vectors[0], vectors[2], vectors[1])
-    light = F.transform(vectors, lambda v: v.withField("weight", v["weight"] * F.when(v["role"] == "global", 1.0).otherwise(0.9)))
-    spoiled = (
-        F.when(who == "1", a.withField("vectors", swapped))
-        .when(who == "2", a.withField("vectors", light))
-        .when(who == "3", a.withField("core_clip_count", a["core_clip_count"] + 1))
-        .otherwise(a)
+    """Every rule of the contract over exports with one wrong field, and with many."""
+    flat = spark.range(_N_EXPORTS).select(F.col("id").alias("i")).selectExpr("i", *_FIELD_SQL)
+    for name in ("duration", "win", "fraction", "weight", "start_s", "diversity"):
+        flat = flat.withColumn(name, F.col(name).cast("double"))
+    c = F.col
+
+    def vector(role: Column, weight: Column) -> Column:
+        return F.struct(role.alias("role"), weight.cast("double").alias("weight"), F.array_repeat(F.lit(0.0), c("size")).alias("vector"))
+
+    vectors = F.slice(F.array(vector(F.lit("global"), F.lit(1.0)), vector(c("role"), c("weight")), vector(F.lit("cluster_2"), F.lit(0.5))), F.lit(1), c("n_vectors"))
+    extreme = F.struct(c("side").alias("side"), c("clip_ix").alias("retained_clip_index"), c("start_s").alias("start_seconds"), F.lit("00:00:00").alias("timecode"))
+    rows = flat.select(
+        c("i").cast("string").alias("profile_id"), "schema_version",
+        F.struct("dimensions", "device", "backend", c("load_ms").alias("load_duration_ms")).alias("model"),
+        F.struct(
+            c("duration").alias("duration_seconds"), c("interval").alias("sample_interval_seconds"), c("win").alias("window_seconds"), c("considered").alias("windows_considered"),
+            c("retained").alias("windows_retained"), c("filtered").alias("windows_filtered"), F.create_map(F.lit("clipped"), c("counted")).alias("filter_counts"),
+        ).alias("source"),
+        F.struct(
+            "method", "version", c("strategy").alias("cluster_strategy"), "outlier_method", c("fraction").alias("max_outlier_fraction"), c("clips").alias("input_clip_count"),
+            c("core").alias("core_clip_count"), c("outliers").alias("embedding_outlier_count"), vectors.alias("vectors"),
+        ).alias("aggregation"),
+        F.struct(F.array_repeat(extreme, c("n_extremes")).alias("pca_extreme_snippets"), "diversity").alias("diagnostics"),
+    )
+    return contract.violations(rows)
+
+
+@query("SELECT '' AS profile_id, '' AS rule, '' AS severity WHERE false UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'no_profile', 'job' FROM nation WHERE n_nationkey IN (23, 24)")
+def profile_job_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The jobs' exports hold the whole contract; the recordings without one are listed."""
+    jobs_ = _jobs(spark, sf_dir)
+    failed = jobs_.filter("error is not null").select(F.col("profile_id").cast("string").alias("profile_id"), F.lit("no_profile").alias("rule"), F.lit("job").alias("severity"))
+    return contract.violations(profile_job_operator.export_rows(jobs_, 0.0)).unionByName(failed)
+
+
+@query("""WITH v AS (SELECT CAST(o_orderkey % 50 AS INTEGER) AS map_id, CAST(o_orderkey AS INTEGER) AS ordinal, repeat('x', CAST(o_orderkey % 203 AS INTEGER)) AS label FROM orders)
+SELECT map_id, 'profile_count' AS rule FROM (SELECT map_id FROM v GROUP BY map_id HAVING count(*) > 100) UNION ALL
+SELECT map_id, 'label_length' FROM (SELECT map_id FROM v GROUP BY map_id HAVING bool_or(length(label) NOT BETWEEN 1 AND 200))
+UNION ALL SELECT 50, 'profile_count'""")
+def map_request_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as map requests, and request 50 that has no profiles."""
+    key = F.col("o_orderkey")
+    rows = data.table(spark, sf_dir, "orders").select(
+        (key % 50).cast("int").alias("map_id"), key.cast("int").alias("ordinal"), F.repeat(F.lit("x"), (key % 203).cast("int")).alias("label")
     )
-    model = F.when(who == "4", F.col("model").withField("dimensions", F.lit(512))).otherwise(F.col("model"))
-    source = F.when(who == "5", F.col("source").withField("windows_considered", F.col("source.windows_considered") + 1)).otherwise(F.col("source"))
-    return contract.violations(rows.withColumn("aggregation", spoiled).withColumn("model", model).withColumn("source", source))
+    asked = spark.range(51).select(F.col("id").cast("int").alias("map_id"))
+    return contract.map_request_problems(rows, asked.filter("map_id = 50").unionByName(rows.select("map_id").distinct()))
+
+
+@query("""WITH v AS (SELECT l_orderkey AS profile_id, l_linenumber % 3 AS role FROM lineitem)
+SELECT 'duplicate_role' AS problem, count(*) AS n FROM (SELECT 1 FROM v GROUP BY profile_id, role HAVING count(*) > 1) UNION ALL
+SELECT 'orphan', count(*) FROM v WHERE profile_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0) UNION ALL
+SELECT 'left_after_delete', count(*) FROM v WHERE profile_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0)""")
+def catalogue_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue's keys over order lines as vectors: roles twice, vectors without a profile, and what a cascade leaves."""
+    vectors = data.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("profile_id"), (F.col("l_linenumber") % 3).alias("role"))
+    orders = data.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("profile_id"))
+    parts = {
+        "duplicate_role": contract.duplicate_roles(vectors),
+        "orphan": contract.orphan_vectors(vectors, orders.filter("profile_id % 7 <> 0")),
+        "left_after_delete": contract.without_deleted(vectors, orders.filter("profile_id % 5 = 0")),
+    }
+    counts = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("problem"), "n") for name, rows in parts.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-@query("SELECT CAST(label AS VARCHAR) AS profile_id, 64 AS dimensions, count(*) AS windows FROM embeddings GROUP BY label")
+@query("SELECT CAST(label + 1000 * (vec_id // 5000) AS VARCHAR) AS profile_id, 64 AS dimensions, count(*) AS windows FROM embeddings GROUP BY label, vec_id // 5000")
 def export_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exports written as JSON documents and parsed again by the contract's schema."""
     body = "struct<" + ",".join(p.replace(" ", ":", 1) for p in contract.SCHEMA.split(", ")[1:]) + ">"
@@ -448,9 +679,9 @@ def export_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _catalogue(spark: SparkSession, sf_dir: str, halves: bool = False) -> DataFrame:
-    """Pivoted profiles of one map request, ordinals by profile."""
+    """Pivoted profiles, ordinals by profile; those of one part of the vec_ids are one map request."""
     unit = data.half_clips(spark, sf_dir) if halves else data.unit_clips(spark, sf_dir)
-    rows = profiles.representatives(unit).withColumn("map_id", F.lit(1)).withColumnRenamed("profile_id", "ordinal")
+    rows = profiles.representatives(unit).withColumn("map_id", F.floor(F.col("profile_id") / data.BASE)).withColumnRenamed("profile_id", "ordinal")
     return catalogue.pivoted(rows, "map_id", "ordinal")
 
 
@@ -460,7 +691,7 @@ prof AS (SELECT g.profile_id, g.g, any_value(p.g) FILTER (cluster = 0) AS c1, an
   FROM whole g JOIN placed p ON p.profile_id = g.profile_id GROUP BY g.profile_id, g.g),
 cos4 AS (SELECT a.profile_id AS l, b.profile_id AS r, list_dot_product(a.g, b.g) AS gs, a.w1 AS aw1, a.w2 AS aw2, b.w1 AS bw1, b.w2 AS bw2,
   list_dot_product(a.c1, b.c1) AS s11, list_dot_product(a.c1, b.c2) AS s12, list_dot_product(a.c2, b.c1) AS s21, list_dot_product(a.c2, b.c2) AS s22
-  FROM prof a JOIN prof b ON a.profile_id <> b.profile_id),
+  FROM prof a JOIN prof b ON a.profile_id <> b.profile_id AND a.profile_id // 1000 = b.profile_id // 1000),
 cov AS (SELECT l, r, gs, 0.5::DOUBLE * (aw1 * greatest(s11, s12) + aw2 * greatest(s21, s22) + bw1 * greatest(s11, s21) + bw2 * greatest(s12, s22)) AS cs FROM cos4),
 pairs AS (SELECT l, r, gs, cs, 0.25::DOUBLE * gs + 0.75::DOUBLE * cs AS bs FROM cov),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY bs DESC, r) AS k FROM pairs) WHERE k = 1)"""
@@ -539,26 +770,65 @@ def rerank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("profile_id", *[shown(F.col(c)).alias(c) for c in ("similarity", "global_similarity", "cluster_similarity")], "rank")
 
 
-@query()
+_ATLAS = (
+    f"WITH {_CLUSTERED}{_PAIRS}, named AS (SELECT 0 AS one, profile_id AS c, g AS u FROM whole),"
+    + _axes("named", "one", 2)
+    + """,
+spots AS (SELECT k, c, sum(n.x * a.x) AS p FROM cen n JOIN (SELECT 0 AS k, i AS d, x FROM axis0 UNION ALL SELECT 1, i, x FROM axis1) a USING (d) GROUP BY k, c),
+far AS (SELECT k, arg_max(p, abs(p)) AS p FROM spots GROUP BY k),
+xy AS (SELECT c AS profile_id, max(CASE WHEN k = 0 THEN tanh(s.p / f.p) END) AS x, max(CASE WHEN k = 1 THEN tanh(s.p / f.p) END) AS y FROM spots s JOIN far f USING (k) GROUP BY c)"""
+)
+
+
+@query(f"{_ATLAS} SELECT profile_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM xy")
 def map_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = profiles.global_vectors(data.unit_clips(spark, sf_dir)).select("profile_id", "vector")
     found = atlas.transform(vectors, atlas.fit(vectors))
     return found.select("profile_id", shown(F.col("x")).alias("x"), shown(F.col("y")).alias("y"))
 
 
-@query()
+@query(f"""{_ATLAS},
+numbers AS (SELECT 0 AS part, d AS place, avg(x) AS v FROM (SELECT unnest(u) AS x, unnest(range(len(u))) AS d FROM named) GROUP BY d
+  UNION ALL SELECT 1, i, x * sign(p) FROM axis0, far WHERE k = 0 UNION ALL SELECT 2, i, x * sign(p) FROM axis1, far WHERE k = 1 UNION ALL SELECT 3, k, greatest(abs(p), 1e-6) FROM far),
+texts AS (SELECT part, string_agg(replace(printf('%.6f', v), '-0.000000', '0.000000'), ',' ORDER BY place) AS t FROM numbers GROUP BY part),
+name AS (SELECT 'pca-' || left(sha256(string_agg(t, ';' ORDER BY part) || ';' || (SELECT count(*) FROM named)), 12) AS version FROM texts)
+SELECT 'frozen_reference_pca_v1' AS method, version AS projection_version, true AS projection_is_stable, (SELECT count(*) FROM named) AS reference_profile_count,
+  'quarter_global_three_quarter_weighted_cluster_v1' AS similarity_method, (SELECT count(*) FROM named) AS relative_to_profile_count,
+  (SELECT round(share, 6) FROM shares WHERE axis = 0) AS axis_1_share, (SELECT round(share, 6) FROM shares WHERE axis = 1) AS axis_2_share FROM name""")
 def map_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = profiles.global_vectors(data.unit_clips(spark, sf_dir)).select("profile_id", "vector")
     projection, frozen = atlas.projection_for(vectors, vectors)
-    return atlas.header(projection, frozen, vectors.count())
+    found = atlas.header(projection, frozen, vectors.count())
+    shares = [F.col("axis_explained_variance_ratio")[k].alias(f"axis_{k + 1}_share") for k in (0, 1)]
+    return found.select("*", *shares).drop("axis_explained_variance_ratio")
 
 
-@query()
+@query(f"""{_ATLAS} SELECT x.profile_id // 1000 AS map_id, x.profile_id AS ordinal, CAST(x.profile_id AS VARCHAR) AS id, 'Set ' || x.profile_id AS label, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y,
+  CAST(r AS VARCHAR) AS nearest_id, 'Set ' || r AS nearest_label, round(bs, 6) AS similarity FROM xy x LEFT JOIN near n ON n.l = x.profile_id""")
 def map_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map's JSON, read back."""
     rows = _catalogue(spark, sf_dir)
     points = atlas.transform(rows.select("map_id", "ordinal", "g"), atlas.fit(rows, "g"), "g")
     points = points.select("map_id", "ordinal", F.col("ordinal").cast("string").alias("id"), F.concat(F.lit("Set "), "ordinal").alias("label"), "x", "y")
-    return atlas.payload(points, catalogue.request_nearest(rows))
+    shape = "id string, label string, points struct<global:struct<x:double,y:double>>, nearest struct<id:string,label:string,similarity:double>"
+    read = atlas.payload(points, catalogue.request_nearest(rows)).select("map_id", "ordinal", F.from_json("json", shape).alias("j"))
+    return read.select(
+        "map_id", "ordinal", "j.id", "j.label", shown(F.col("j.points.global.x")).alias("x"), shown(F.col("j.points.global.y")).alias("y"),
+        F.col("j.nearest.id").alias("nearest_id"), F.col("j.nearest.label").alias("nearest_label"), "j.nearest.similarity",
+    )
+
+
+@query("SELECT * FROM (VALUES ('equal', 'collection_pca_v2', 0, 0::DOUBLE, 0::DOUBLE), ('equal', 'collection_pca_v2', 1, 0::DOUBLE, 0::DOUBLE), ('one', 'collection_pca_v2', 0, 0::DOUBLE, 0::DOUBLE), ('two', 'collection_pca_v2', 0, -round(tanh(1::DOUBLE), 6), 0::DOUBLE), ('two', 'collection_pca_v2', 1, round(tanh(1::DOUBLE), 6), 0::DOUBLE)) t(name, method, n, x, y)")
+def map_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps of one profile, of equal ones, and of two: no axes, or one."""
+    groups = {"one": [[0.6, 0.8, 0.0]], "equal": [[0.0, 1.0, 0.0]] * 2, "two": [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0]]}
+    maps = []
+    for name, vectors in groups.items():
+        rows = spark.createDataFrame(list(enumerate(vectors)), "n int, vector array<double>")
+        projection, frozen = atlas.projection_for(rows, rows)
+        at = atlas.transform(rows, projection).select(F.lit(name).alias("name"), "n", shown(F.col("x")).alias("x"), shown(F.col("y")).alias("y"))
+        maps.append(at.join(atlas.header(projection, frozen, len(vectors)).select("method")))
+    return maps[0].unionByName(maps[1]).unionByName(maps[2]).select("name", "method", "n", "x", "y")
 
 
 # --- evaluation --------------------------------------------------------------------
@@ -623,6 +893,37 @@ def latest_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.latest(_events(spark, sf_dir)).select("job_id", "event_name", "event_id", "n_events")
 
 
+@query("""SELECT user_id AS job_id, stage, round(CASE stage WHEN 'probe' THEN 0.02 WHEN 'sample' THEN 0.06 + 0.84 * least(n, 100) / 100.0::DOUBLE WHEN 'aggregate' THEN 0.94 ELSE 1.0 END, 6) AS progress,
+  CASE WHEN stage = 'complete' THEN 'r' || user_id END AS result FROM
+  (SELECT user_id, count(*) AS n, ['probe', 'sample', 'aggregate', 'complete'][user_id % 4 + 1] AS stage FROM events GROUP BY user_id)""")
+def public_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as jobs at a stage: how far they are, and what is shown of them."""
+    stages = F.array(*[F.lit(s) for s in ("probe", "sample", "aggregate", "complete")])
+    rows = _events(spark, sf_dir).groupBy("job_id").agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("created_at"))
+    rows = rows.withColumn("stage", stages[(F.col("job_id") % 4).cast("int")]).withColumn("status", F.when(F.col("stage") == "complete", "complete").otherwise("processing"))
+    shown_jobs = jobs.public(rows.withColumn("result", F.concat(F.lit("r"), F.col("job_id").cast("string"))))
+    done = shown(jobs.progress(F.col("stage"), F.least("n", F.lit(100)), F.lit(100)))
+    return shown_jobs.select("job_id", "stage", done.alias("progress"), "result")
+
+
+@query(f"""WITH {_JOB},
+counted AS (SELECT profile_id, count(*) AS considered, count(*) FILTER (reason IS NULL) AS retained FROM decided GROUP BY profile_id)
+SELECT CAST(profile_id AS VARCHAR) AS job_id, CASE WHEN retained > 0 THEN 'job_completed' ELSE 'job_failed' END AS event_name,
+  CASE WHEN retained > 0 THEN CAST(considered AS INTEGER) ELSE 0 END AS windows_considered, CASE WHEN retained > 0 THEN CAST(considered - retained AS INTEGER) ELSE 0 END AS windows_filtered,
+  CASE WHEN retained > 0 THEN 25 ELSE 0 END AS interval_seconds, CASE WHEN retained > 0 THEN 13 ELSE 1 END AS n_properties,
+  CASE WHEN retained > 0 THEN NULL WHEN duration_s > 14400.5 THEN 'the recording is too long' ELSE 'no window is usable' END AS error_type
+FROM recs LEFT JOIN counted USING (profile_id)""")
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The jobs' telemetry, written as JSON properties and parsed again by kind."""
+    made = jobs.outcome_events(_jobs(spark, sf_dir), 25, 0.0, 64)
+    n = F.size(F.json_object_keys("raw")).alias("n_properties")
+    done = jobs.parsed(made, "job_completed").select(
+        "job_id", "event_name", *[f"properties.{c}" for c in ("windows_considered", "windows_filtered", "interval_seconds")], n, F.lit(None).cast("string").alias("error_type")
+    )
+    failed = jobs.parsed(made, "job_failed").select("job_id", "event_name", *[F.lit(0).alias(c) for c in done.columns[2:5]], n, "properties.error_type")
+    return done.unionByName(failed)
+
+
 def _library_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as library entries whose names and lengths repeat."""
     c = F.col
@@ -682,11 +983,15 @@ def display_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drained(stream: DataFrame, name: str) -> DataFrame:
-    """All that a stream has to offer, as its complete result."""
-    started = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
-    running = started.option("checkpointLocation", _checkpoint(stream.sparkSession, name)).start()
-    running.awaitTermination()
-    return stream.sparkSession.table(name)
+    """All that a stream has to offer, as its complete result; each batch replaces the table before it."""
+    root = _checkpoint(stream.sparkSession, name)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/result")
+
+    started = stream.writeStream.outputMode("complete").foreachBatch(keep).queryName(name).trigger(availableNow=True)
+    started.option("checkpointLocation", f"{root}/progress").start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/result")
 
 
 def _checkpoint(spark: SparkSession, name: str) -> str:

@@ -1,16 +1,20 @@
-"""Recordings: files in, windows of samples out.
+"""Recordings: files in, windows of samples out, at one rate and in one channel.
 
 Files come through Spark's ``binaryFile`` reader, so any store that Spark can
-read will do. PCM wave files are decoded here; other formats need ``ffmpeg`` on
-the executors, and without it such a file gives an error row. A file is decoded
-window by window and never as a whole.
+read will do; Spark hands a file over as one value, so ``MOST_BYTES`` bounds
+what a task holds, and a larger file gets an error row. PCM wave files are
+decoded here; other formats need ``ffmpeg`` and ``ffprobe`` on the executors,
+and without them such a file gives an error row. A file is decoded once, from
+front to back, and one window is held at a time.
 """
 
 from __future__ import annotations
 
 import io
+import json
 import shutil
 import subprocess
+import tempfile
 import wave
 from collections.abc import Iterator
 
@@ -20,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.display import is_audio
+from ..operators.sampling import offsets
 
 RATE = 48_000
 MOST_BYTES = 1 << 30
 LEAST_WINDOW_SECONDS = 1.0
+_FAILURES = (ValueError, EOFError, OSError, wave.Error, ZeroDivisionError, subprocess.SubprocessError)
 
 
 def missing_tools(names: tuple[str, ...] = ("ffmpeg", "ffprobe")) -> list[str]:
@@ -31,14 +37,34 @@ def missing_tools(names: tuple[str, ...] = ("ffmpeg", "ffprobe")) -> list[str]:
     return [n for n in names if shutil.which(n) is None]
 
 
+def limited(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Rows (path, length, content, error): contents of files over the limit are left out and named in ``error``."""
+    large = F.col("length") > most_bytes
+    return files.select(
+        "path", "length", F.when(~large, F.col("content")).alias("content"), F.when(large, F.lit(f"the file is over {most_bytes} bytes")).alias("error")
+    )
+
+
 def recordings(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """(path, length, content) of audio files of up to ``most_bytes``; both filters come before contents are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.filter(is_audio(F.col("path")) & (F.col("length") <= most_bytes)).select("path", "length", "content")
+    """(path, length, content, error) of audio files.
 
+    Larger files are listed without being read: only the others' contents are asked for.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(is_audio(F.col("path")))
+    small = limited(files.filter(F.col("length") <= most_bytes), most_bytes)
+    large = files.filter(F.col("length") > most_bytes).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return small.unionByName(large.withColumn("error", F.lit(f"the file is over {most_bytes} bytes")))
 
-def _wave(content: bytes) -> wave.Wave_read:
-    return wave.open(io.BytesIO(content))
+
+def wave_bytes(samples, rate: int = RATE, channels: int = 1) -> bytes:
+    """A 16-bit wave file of samples in [-1, 1], the same in each channel."""
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(channels)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes(np.repeat((np.asarray(samples, float) * 32767).astype("<i2"), channels).tobytes())
+    return out.getvalue()
 
 
 def _scaled(raw: bytes, width: int, channels: int) -> np.ndarray:
@@ -50,45 +76,90 @@ def _scaled(raw: bytes, width: int, channels: int) -> np.ndarray:
         x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8) / float(1 << 23)
     else:
         x = np.frombuffer(raw, f"<i{width}").astype(float) / float(1 << (8 * width - 1))
-    return x.reshape(-1, channels).mean(axis=1).astype(np.float32)
+    return x.reshape(-1, channels).mean(axis=1)
 
 
-def duration_of(content: bytes) -> float:
-    """Seconds of a wave file; an error if there are none."""
-    with _wave(content) as w:
-        seconds = w.getnframes() / w.getframerate()
-    if not np.isfinite(seconds) or seconds <= 0:
-        raise ValueError("the duration isn't positive")
-    return seconds
+def _resampled(x: np.ndarray, rate: int, n: int) -> np.ndarray:
+    """``n`` samples at ``RATE`` of samples at another rate, on straight lines between them."""
+    if rate == RATE:
+        return x[:n].astype(np.float32)
+    return np.interp(np.arange(n) * (rate / RATE), np.arange(len(x)), x).astype(np.float32) if len(x) else np.zeros(0, np.float32)
 
 
-def _read_wave(content: bytes, starts: list[float], seconds: float) -> Iterator[tuple[float, np.ndarray, int]]:
-    with _wave(content) as w:
+def _read_wave(content: bytes, starts: list[float], seconds: float) -> Iterator[tuple[float, np.ndarray]]:
+    with wave.open(io.BytesIO(content)) as w:
         rate = w.getframerate()
         for start in starts:
-            w.setpos(min(round(start * rate), w.getnframes()))
-            yield start, _scaled(w.readframes(round(seconds * rate)), w.getsampwidth(), w.getnchannels()), rate
-
-
-def _read_other(content: bytes, starts: list[float], seconds: float) -> Iterator[tuple[float, np.ndarray, int]]:
+            at = min(round(start * rate), w.getnframes())
+            w.setpos(at)
+            x = _scaled(w.readframes(round(seconds * rate) + 1), w.getsampwidth(), w.getnchannels())
+            n = min(round(seconds * RATE), int((w.getnframes() - at) * RATE / rate))
+            yield start, _resampled(x, rate, n)
+
+
+def _exactly(stream, size: int) -> bytes:
+    """Up to ``size`` bytes of a stream, fewer only at its end."""
+    parts = []
+    while size:
+        part = stream.read(min(size, 1 << 18))
+        if not part:
+            break
+        parts.append(part)
+        size -= len(part)
+    return b"".join(parts)
+
+
+def _read_other(content: bytes, starts: list[float], seconds: float) -> Iterator[tuple[float, np.ndarray]]:
+    """One decoder run; what lies between windows is read and dropped."""
     if missing_tools(("ffmpeg",)):
         raise ValueError("ffmpeg isn't installed")
-    for start in starts:
-        command = ["ffmpeg", "-v", "error", "-i", "pipe:0", "-ss", str(start), "-t", str(seconds), "-ac", "1", "-ar", str(RATE), "-f", "f32le", "pipe:1"]
-        done = subprocess.run(command, input=content, capture_output=True, timeout=600, check=True)
-        yield start, np.frombuffer(done.stdout, "<f4"), RATE
+    with tempfile.NamedTemporaryFile() as f:  # a task's own copy: some formats can't be read from a pipe
+        f.write(content)
+        f.flush()
+        command = ["ffmpeg", "-v", "error", "-i", f.name, "-vn", "-ac", "1", "-ar", str(RATE), "-f", "f32le", "pipe:1"]
+        with subprocess.Popen(command, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL) as decoder:
+            try:
+                at, n = 0, round(seconds * RATE)
+                for start in starts:
+                    gap = max(0, round(start * RATE) - at)
+                    while gap and (dropped := len(_exactly(decoder.stdout, 4 * min(gap, 1 << 20))) // 4):
+                        at, gap = at + dropped, gap - dropped
+                    raw = _exactly(decoder.stdout, 4 * n)
+                    at += len(raw) // 4
+                    yield start, np.frombuffer(raw[: len(raw) // 4 * 4], "<f4")
+            finally:
+                decoder.terminate()
+
+
+def duration_of(path: str, content: bytes) -> float:
+    """Seconds of a recording; an error if there are none."""
+    if path.lower().endswith(".wav"):
+        with wave.open(io.BytesIO(content)) as w:
+            seconds = w.getnframes() / w.getframerate()
+    else:
+        if missing_tools(("ffprobe",)):
+            raise ValueError("ffprobe isn't installed")
+        with tempfile.NamedTemporaryFile() as f:
+            f.write(content)
+            f.flush()
+            command = ["ffprobe", "-v", "error", "-show_entries", "format=duration", "-of", "json", f.name]
+            done = subprocess.run(command, capture_output=True, timeout=60, check=True)
+        seconds = float(json.loads(done.stdout).get("format", {}).get("duration", "nan"))
+    if not np.isfinite(seconds) or seconds <= 0:
+        raise ValueError("the duration isn't positive")
+    return seconds
 
 
 def durations(files: DataFrame) -> DataFrame:
-    """(path, duration_s, error) of wave files."""
+    """(path, duration_s, error) of rows (path, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for path, content in zip(batch.column(0), batch.column(1)):
                 try:
-                    rows.append((path.as_py(), duration_of(content.as_py()), None))
-                except (ValueError, EOFError, wave.Error, ZeroDivisionError) as e:
+                    rows.append((path.as_py(), duration_of(path.as_py(), content.as_py() or b""), None))
+                except _FAILURES as e:
                     rows.append((path.as_py(), None, str(e) or type(e).__name__))
             columns = list(zip(*rows)) or [(), (), ()]
             types = (pa.string(), pa.float64(), pa.string())
@@ -97,6 +168,9 @@ def durations(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, duration_s double, error string")
 
 
+_WINDOWS = "path string, window_ix int, start_s double, rate int, samples array<float>, error string"
+
+
 def decode_windows(files: DataFrame, seconds: float = 10.0) -> DataFrame:
     """(path, window_ix, start_s, rate, samples, error) of rows (path, content, starts).
 
@@ -105,7 +179,7 @@ def decode_windows(files: DataFrame, seconds: float = 10.0) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "window_ix", "start_s", "rate", "samples", "error"]
+        names = [c.split()[0] for c in _WINDOWS.split(", ")]
         types = (pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.list_(pa.float32()), pa.string())
 
         def row(*values):
@@ -116,12 +190,22 @@ def decode_windows(files: DataFrame, seconds: float = 10.0) -> DataFrame:
                 path, content, starts = (batch.column(c)[i].as_py() for c in range(3))
                 read = _read_wave if path.lower().endswith(".wav") else _read_other
                 try:
-                    for ix, (start, samples, rate) in enumerate(read(content, starts, seconds)):
-                        if len(samples) < LEAST_WINDOW_SECONDS * rate:
+                    for ix, (start, samples) in enumerate(read(content or b"", starts or [], seconds)):
+                        if len(samples) < LEAST_WINDOW_SECONDS * RATE:
                             raise ValueError(f"the window at {start} s is too short")
-                        yield row(path, ix, start, rate, samples, None)
-                except (ValueError, EOFError, wave.Error, subprocess.SubprocessError) as e:
+                        yield row(path, ix, start, RATE, samples, None)
+                except _FAILURES as e:
                     yield row(path, None, None, None, None, str(e) or type(e).__name__)
 
-    schema = "path string, window_ix int, start_s double, rate int, samples array<float>, error string"
-    return files.select("path", "content", F.col("starts").cast("array<double>")).mapInArrow(run, schema)
+    return files.select("path", "content", F.col("starts").cast("array<double>")).mapInArrow(run, _WINDOWS)
+
+
+def sampled(files: DataFrame, interval: float, seconds: float = 10.0) -> DataFrame:
+    """The windows of files (path, content, error) by ``decode_windows``: every ``interval`` seconds, error rows kept."""
+    none = F.lit(None)
+    lengths = durations(files.filter("error is null"))
+    good = files.filter("error is null").select("path", "content").join(lengths.filter("error is null"), "path")
+    found = decode_windows(good.withColumn("starts", offsets(F.col("duration_s"), F.lit(float(interval)), seconds)), seconds)
+    failed = files.filter("error is not null").select("path", "error").unionByName(lengths.filter("error is not null").select("path", "error"))
+    types = dict(c.split() for c in _WINDOWS.split(", "))
+    return found.unionByName(failed.select("path", *[none.cast(types[n]).alias(n) for n in ("window_ix", "start_s", "rate", "samples")], "error"))
