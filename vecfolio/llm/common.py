@@ -12,7 +12,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space; a word is a run of anything else.
@@ -70,6 +70,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_order(rows: DataFrame, order: list[Column], value: str) -> DataFrame:
+    """``rows`` with ``place``, their number from 0 in the order, and ``before``, the sum of ``value`` over those before.
+
+    Rows are dealt to ranges, so no task holds them all; only a row a range is summed in one place.
+    """
+    parted = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+    parted = materialise(parted.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("v"))
+    parts = parts.select("_part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in ("n", "v")])
+    inside = Window.partitionBy("_part").orderBy("_at")
+    local = parted.withColumn("_rank", F.row_number().over(inside) - 1).withColumn(
+        "_sum", F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
+    )
+    met = local.join(F.broadcast(parts), "_part")  # a row a range
+    return met.withColumn("place", F.col("_n") + F.col("_rank")).withColumn("before", F.col("_v") + F.col("_sum")).select(*rows.columns, "place", "before")
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

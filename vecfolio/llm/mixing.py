@@ -7,42 +7,46 @@ them to positions, so that the counts of sources in a shard are a multinomial
 draw on the condition that the shards together meet each source's total. Slot j
 of a source reads, in pass j / blocks, the block to which that pass's own index
 permutation maps j mod blocks; no pass reads a block twice. Slots and blocks
-meet by index.
+meet by index. The last slot of a source takes only the first words of its
+block, so that a source's words meet its target, rounded to a whole word.
 
 Defined results: a null text has no words; a document without words, or a
 source without any, is taken 0 times; a null source is a source of its own;
-documents lie in their source by (bucket of the id's hash, doc_id, hash of the
+documents lie in their source by (bucket of the row's hash, doc_id, hash of the
 row), so reruns agree; repeated rows are documents of their own; other columns
 are carried only by ``mixed_documents``; no rows give no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, packed, shuffle_partitions, table, unpacked
+from .common import WORD, in_order, materialise, packed, shuffle_partitions, table, unpacked
 
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
 BLOCK_WORDS = 32
 SHARD_SLOTS = 4096
 SEED = 17
-#: Documents that a bucket of a source holds, about.
-BUCKET_DOCS = 2000
+#: Documents that a bucket holds at least; of more documents, a bucket holds the square root of their number.
+BUCKET_DOCS = 500
 #: Slots that one row of the slot generator makes.
 SLOT_CHUNK = 50_000
 
 
-def permuted(i: Column, n: Column, *key: Column, rounds: int = 8) -> Column:
-    """A pseudorandom permutation of 0..n-1 at i: the swap-or-not shuffle."""
+def permuted(i: Column, n: Column, *key: Column, rounds: int = 8, back: bool = False) -> Column:
+    """A pseudorandom permutation of 0..n-1 at i, or its inverse: the swap-or-not shuffle."""
 
     def step(x: Column, r: Column) -> Column:
         partner = F.pmod(F.pmod(F.xxhash64(r, *key), n) - x, n)
         swap = F.xxhash64(r, F.greatest(x, partner), *key).bitwiseAND(F.lit(1)) == 1
         return F.when(swap, partner).otherwise(x)
 
-    return F.aggregate(F.array(*[F.lit(r).cast("long") for r in range(rounds)]), i.cast("long"), step)
+    order = range(rounds)[::-1] if back else range(rounds)
+    return F.aggregate(F.array(*[F.lit(r).cast("long") for r in order]), i.cast("long"), step)
 
 
 def size_in_words(text: Column) -> Column:
@@ -54,26 +58,26 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
     Sources by code point, null last, take the weights in turn and share all
     words; a target stops at ``most`` times its source's words and what is over
-    goes to the others by weight. That ends where every target is
-    min(cap, level * weight); the level follows from running sums over the
-    sources by cap / weight.
+    goes to the others by weight, in rounds, until none is above: every target
+    is then min(cap, level * weight). A round is one sum over the sources.
     """
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    named = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sources.withColumn("source_ix", F.row_number().over(named) - 1)
+    ranked = in_order(sources, [F.col("source").asc_nulls_last()], "source_size")
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = ranked.withColumn("weight", cycle[F.col("source_ix") % len(weights)])
+    ranked = ranked.withColumn("weight", cycle[(F.col("place") % len(weights)).cast("int")])
     ranked = ranked.withColumn("cap", F.lit(float(most)) * F.col("source_size"))
-    before = Window.orderBy(F.col("cap") / F.col("weight"), "source_ix").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    free = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (
-        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    )
-    levels = ranked.withColumn("free", free)
-    level = F.min(F.when(F.col("cap") / F.col("weight") >= F.col("free"), F.struct(F.col("cap") / F.col("weight"), "free"))).over(everything)["free"]
-    return levels.withColumn("target", F.least("cap", F.coalesce(level, F.lit(0.0)) * F.col("weight"))).select(
-        "source", "source_ix", "source_size", "target"
-    )
+    level, capped = 0.0, -1
+    while True:
+        over = F.col("cap") <= level * F.col("weight")
+        sums = ranked.agg(
+            F.sum("source_size").alias("words"), F.sum(F.when(over, F.col("cap")).otherwise(0.0)).alias("caps"),
+            F.sum(F.when(over, 0.0).otherwise(F.col("weight"))).alias("free"), F.sum(over.cast("long")).alias("capped"),
+        ).first()
+        if not sums["free"] or sums["capped"] == capped:
+            break
+        capped, level = sums["capped"], (sums["words"] - sums["caps"]) / sums["free"]
+    target = F.least("cap", F.lit(level) * F.col("weight"))
+    return ranked.select("source", F.col("place").alias("source_ix"), "source_size", target.alias("target"))
 
 
 def placed(sized: DataFrame, plan: DataFrame, n_docs: int) -> DataFrame:
@@ -82,10 +86,10 @@ def placed(sized: DataFrame, plan: DataFrame, n_docs: int) -> DataFrame:
     Running sums in two steps, over documents in a bucket and over buckets in a
     source, so that no window holds the documents of a hot source.
     """
-    n_buckets = n_docs // BUCKET_DOCS + 1
+    n_buckets = n_docs // max(BUCKET_DOCS, math.isqrt(n_docs)) + 1
     keyed = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).select(
         "doc_id", "row_hash", "size", "source_ix", "source_size", "target",
-        F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets)).alias("bucket"),
+        F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(n_buckets)).alias("bucket"),
     )
     inside = Window.partitionBy("source_ix", "bucket").orderBy("doc_id", "row_hash")
     over = Window.partitionBy("source_ix").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,27 +104,34 @@ def placed(sized: DataFrame, plan: DataFrame, n_docs: int) -> DataFrame:
 
 
 def slots(plan: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """(position, shard, source_ix, pass, block), one row for each block of the mix."""
-    blocks = F.ceil(F.col("source_size") / block)
-    passes = F.floor(F.col("target") / F.col("source_size"))
-    rest = F.col("target") - passes * F.col("source_size")
+    """(position, shard, source_ix, pass, block, most), one row for each block of the mix; it takes ``most`` words at most."""
+    words = F.round("target").cast("long")
+    # Spark may count before it filters, so a source without words has null blocks
     counted = plan.filter("source_size > 0").select(
-        "source_ix", blocks.alias("blocks"),
-        (passes * blocks + F.least(blocks, F.round(rest / block).cast("long"))).alias("slots"),
-    )
-    before = Window.orderBy("source_ix").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = counted.withColumn("first", F.coalesce(F.sum("slots").over(before), F.lit(0))).withColumn(
-        "all", F.sum("slots").over(Window.partitionBy())
-    )
-    chunks = numbered.filter("slots > 0").withColumn(
+        "source_ix", "source_size", "target", F.nullif(F.ceil(F.col("source_size") / block), F.lit(0).cast("long")).alias("blocks"),
+        F.expr("cast(round(target) as long) div nullif(source_size, 0L)").alias("passes"),
+    ).withColumn("rest", words - F.col("passes") * F.col("source_size"))
+    # a source's last block may be short by some words; in the last pass it is read at this slot
+    short = F.col("blocks") * block - F.col("source_size")
+    key = (F.lit(seed), F.col("source_ix"), F.col("passes"))
+    counted = counted.withColumn("short", short).withColumn("late", permuted(F.col("blocks") - 1, F.col("blocks"), *key, back=True))
+    even = F.ceil(F.col("rest") / block)
+    more = F.when(F.col("late") < even, F.ceil((F.col("rest") + F.col("short")) / block)).otherwise(even)
+    numbered = in_order(counted.withColumn("slots", F.col("passes") * F.col("blocks") + more).filter("slots > 0"), [F.col("source_ix")], "slots")
+    numbered = materialise(numbered.withColumnRenamed("before", "first").drop("place"))
+    n = numbered.agg(F.sum("slots")).first()[0] or 0
+    chunks = numbered.withColumn(
         "from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(SLOT_CHUNK).cast("long")))
     )
     spread = chunks.repartition(shuffle_partitions(plan.sparkSession), "source_ix", "from")
     each = spread.withColumn("j", F.explode(F.sequence("from", F.least(F.col("from") + SLOT_CHUNK, F.col("slots")) - 1)))
     each = each.withColumn("pass", F.expr("j div blocks"))
-    position = permuted(F.col("first") + F.col("j"), F.col("all"), F.lit(seed))
+    position = permuted(F.col("first") + F.col("j"), F.lit(n).cast("long"), F.lit(seed))
     index = permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("source_ix"), F.col("pass"))
-    return each.select(position.alias("position"), "source_ix", "pass", index.alias("block")).withColumn(
+    place = F.col("j") % F.col("blocks")
+    had = place * block - F.when(F.col("late") < place, F.col("short")).otherwise(0)
+    limit = F.when(F.col("pass") == F.col("passes"), F.least(F.lit(block), F.col("rest") - had)).otherwise(block)
+    return each.select(position.alias("position"), "source_ix", "pass", index.alias("block"), limit.cast("long").alias("most")).withColumn(
         "shard", F.expr(f"position div {shard_slots}")
     )
 
@@ -154,6 +165,11 @@ def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed(sized, plan, sized.count()), plan
 
 
+def _got(block: int = BLOCK_WORDS) -> Column:
+    """Words of a piece among the first ``most`` of its block."""
+    return F.greatest(F.lit(0), F.least(F.col("words"), F.col("most") - (F.col("start") + F.col("skip") - F.col("block") * block)))
+
+
 def taken_words(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken, first_position, first_shard, last_shard) for each row of ``docs``.
 
@@ -161,18 +177,20 @@ def taken_words(docs: DataFrame) -> DataFrame:
     its blocks in the mix, and the least and largest shard; null if none is taken.
     """
     where, plan = _prepared(docs)
-    times = slots(plan).groupBy("source_ix", "block").agg(
-        F.count(F.lit(1)).alias("times"), F.min("position").alias("first_position"),
-        F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"),
-    )
+    # at most one slot of a source takes only a part of its block
+    part = F.col("most") < BLOCK_WORDS
+    places = (F.min("position").alias("position"), F.min("shard").alias("low"), F.max("shard").alias("high"))
+    times = slots(plan).groupBy("source_ix", "block", F.when(part, F.col("most")).alias("most")).agg(F.count(F.lit(1)).alias("times"), *places)
+    times = times.withColumn("most", F.coalesce("most", F.lit(BLOCK_WORDS).cast("long")))
     row = ["source_ix", "bucket", "rank", "doc_id", "size", "source_size", "target"]
     # the optimizer can't see how many slots a plan's few rows make, so it isn't to broadcast them
-    met = pieces(where).join(times.hint("merge"), ["source_ix", "block"], "left")
+    met = pieces(where).join(times.hint("merge"), ["source_ix", "block"], "left").withColumn("got", F.coalesce(_got() * F.col("times"), F.lit(0)))
+    some = F.col("got") > 0
     return (
         met.groupBy(*row)
         .agg(
-            F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"), F.min("first_position").alias("first_position"),
-            F.min("first_shard").alias("first_shard"), F.max("last_shard").alias("last_shard"),
+            F.sum("got").alias("taken"), F.min(F.when(some, F.col("position"))).alias("first_position"),
+            F.min(F.when(some, F.col("low"))).alias("first_shard"), F.max(F.when(some, F.col("high"))).alias("last_shard"),
         )
         .select("doc_id", "size", "source_size", "target", "taken", "first_position", "first_shard", "last_shard")
     )
@@ -198,15 +216,17 @@ def mixed_blocks(docs: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SE
     cut = F.expr(
         rf"""transform(array(regexp_extract_all(text, '{WORD.replace(chr(92), chr(92) * 2)}', 0)),
               w -> transform(parts, p -> struct(p.block as block, p.at as at, p.words as words,
-                array_join(slice(w, cast(p.skip as int) + 1, cast(p.words as int)), ' ') as text)))[0]"""
+                slice(w, cast(p.skip as int) + 1, cast(p.words as int)) as part)))[0]"""
     )
     filled = (
         met.select("source", "source_ix", F.explode(cut).alias("p"))
         .groupBy("source", "source_ix", "p.block")
-        .agg(F.sum("p.words").alias("n_words"), F.array_sort(F.collect_list(F.struct("p.at", "p.text"))).alias("has"))
-        .select("source", "source_ix", "block", "n_words", F.array_join("has.text", " ").alias("text"))
+        .agg(F.sum("p.words").alias("n_words"), F.array_sort(F.collect_list(F.struct("p.at", "p.part"))).alias("has"))
+        .select("source", "source_ix", "block", "n_words", F.flatten("has.part").alias("all"))
     )
-    return drawn.hint("merge").join(filled, ["source_ix", "block"]).select("position", "shard", "source", "pass", "block", "n_words", "text")
+    both = drawn.hint("merge").join(filled, ["source_ix", "block"]).withColumn("n_words", F.least("n_words", "most"))
+    text = F.array_join(F.slice("all", F.lit(1), F.col("n_words").cast("int")), " ")
+    return both.select("position", "shard", "source", "pass", "block", "n_words", text.alias("text"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -220,10 +240,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     where, plan = _prepared(docs)
     row = ["source_ix", "bucket", "rank", "doc_id", "row_hash", "size"]
     took = (
-        pieces(where).join(slots(plan).select("source_ix", "pass", "block").hint("merge"), ["source_ix", "block"])
+        pieces(where).join(slots(plan).select("source_ix", "pass", "block", "most").hint("merge"), ["source_ix", "block"])
+        .withColumn("got", _got()).filter("got > 0")
         .groupBy(*row, "pass")
-        .agg(F.array_sort(F.collect_list(F.struct("skip", "words"))).alias("parts"), F.sum("words").alias("got"))
-        .filter("got > 0")
+        .agg(F.array_sort(F.collect_list(F.struct("skip", F.col("got").alias("words")))).alias("parts"), F.sum("got").alias("got"))
         .select("doc_id", "row_hash", "size", "parts", "got")
         .withColumnRenamed("doc_id", "_id")
     )
