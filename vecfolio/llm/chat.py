@@ -29,12 +29,19 @@ def _unescape(sql: str) -> str:
     return f"replace(replace(replace({sql}, '&gt;', '>'), '&lt;', '<'), '&amp;', '&')"
 
 
+#: Pieces whose lengths are summed at once.
+STEP = 256
+
+
 def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """(conv_id, formatted, loss_spans) of rows (conv_id, turn, role, text).
 
     ``loss_spans`` lists (start, len) in code points, from 0, of the escaped
-    texts of ``loss_role``, one for each turn.
+    texts of ``loss_role``, one for each turn. Time grows with a conversation's
+    turns, not with their square: blocks are slices of the sorted turns, and
+    places are sums over whole steps of ``STEP`` pieces and a part of one.
     """
+    role = loss_role.replace("\\", "\\\\").replace("'", "\\'")
     sorted_turns = turns.groupBy("conv_id").agg(
         F.array_sort(
             F.collect_list(
@@ -46,43 +53,51 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
             )
         ).alias("turns")
     )
-    block = "struct<role:string,parts:array<string>>"
-    role = loss_role.replace("\\", "\\\\").replace("'", "\\'")
-    blocks = sorted_turns.select(
+    # where a block begins, and one place beyond the last
+    begins = sorted_turns.select(
+        "conv_id",
+        "turns",
+        F.expr(
+            """concat(filter(sequence(0, size(turns) - 1), i -> i = 0 OR turns[i].role <> turns[if(i = 0, 0, i - 1)].role),
+                      array(size(turns)))"""
+        ).alias("begins"),
+    )
+    blocks = begins.select(
         "conv_id",
         F.expr(
-            f"""aggregate(turns, cast(array() as array<{block}>), (done, t) ->
-                  if(size(done) > 0 and element_at(done, -1).role = t.role,
-                     concat(slice(done, 1, size(done) - 1), array(named_struct(
-                       'role', t.role, 'parts', concat(element_at(done, -1).parts, array({_escape('t.text')}))))),
-                     concat(done, array(named_struct('role', t.role, 'parts', array({_escape('t.text')}))))))"""
+            f"""transform(slice(begins, 1, size(begins) - 1), (b, k) -> named_struct(
+                  'open', concat('{OPEN}', {_escape('turns[b].role')}, '>'),
+                  'loss', turns[b].role = '{role}',
+                  'parts', transform(slice(turns, b + 1, begins[k + 1] - b), t -> {_escape('t.text')})))"""
         ).alias("blocks"),
     )
-    opening = f"concat('{OPEN}', {_escape('b.role')}, '>')"
     pieces = blocks.select(
         "conv_id",
-        F.expr(
-            f"""array_join(transform(blocks, b ->
-                  concat({opening}, array_join(b.parts, '{PART}'), '</turn>\\n')), '')"""
-        ).alias("formatted"),
+        F.expr(f"array_join(transform(blocks, b -> concat(b.open, array_join(b.parts, '{PART}'), '</turn>\\n')), '')").alias("formatted"),
         F.expr(
             f"""flatten(transform(blocks, b -> transform(b.parts, (p, i) -> named_struct(
-                  'lead', if(i = 0, length({opening}), {len(PART)}),
+                  'lead', if(i = 0, length(b.open), {len(PART)}),
                   'len', length(p),
-                  'tail', if(i = size(b.parts) - 1, {len(CLOSE)}, 0),
-                  'loss', b.role = '{role}'))))"""
+                  'all', if(i = 0, length(b.open), {len(PART)}) + length(p) + if(i = size(b.parts) - 1, {len(CLOSE)}, 0),
+                  'loss', b.loss))))"""
         ).alias("pieces"),
     )
-    spans = "array<struct<start:bigint,len:bigint>>"
-    return pieces.select(
+
+    def total(array: str) -> str:
+        return f"aggregate({array}, 0L, (a, x) -> a + x)"
+
+    steps = pieces.select(
+        "conv_id", "formatted", "pieces",
+        F.expr(f"transform(sequence(0, (size(pieces) - 1) div {STEP}), c -> {total(f'slice(pieces.all, cast(c * {STEP} + 1 as int), {STEP})')})").alias("sums"),
+    )
+    steps = steps.withColumn("bases", F.expr(f"transform(sequence(0, size(sums) - 1), c -> {total('slice(sums, 1, c)')})"))
+    return steps.select(
         "conv_id",
         "formatted",
         F.expr(
-            f"""aggregate(pieces, named_struct('at', 0L, 'spans', cast(array() as {spans})),
-                  (a, p) -> named_struct('at', a.at + p.lead + p.len + p.tail,
-                    'spans', if(p.loss, concat(a.spans, array(named_struct(
-                      'start', a.at + p.lead, 'len', cast(p.len as bigint)))), a.spans)),
-                  a -> a.spans)"""
+            f"""transform(filter(transform(pieces, (p, i) -> named_struct('p', p, 'i', i)), x -> x.p.loss), x -> named_struct(
+                  'start', bases[x.i div {STEP}] + {total(f'slice(pieces.all, cast((x.i div {STEP}) * {STEP} + 1 as int), x.i % {STEP})')} + x.p.lead,
+                  'len', cast(x.p.len as bigint)))"""
         ).alias("loss_spans"),
     )
 

@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Scratch tables of this driver, in the order in which they were asked for.
+_MADE: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,13 +42,35 @@ def scratch(spark: SparkSession) -> str:
 
     Only where a local session names none (tests) is a folder of our own set.
     """
-    return f"{_scratch_root(spark)}/{uuid.uuid4().hex}"
+    _MADE.append(f"{_scratch_root(spark)}/{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes what this application wrote there; frames that read it can't be used any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _scratch_root(spark))
+
+
+def settled(make: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
+    """What ``make`` returns, written and read again, and where; the tables written on the way are deleted."""
+    first = len(_MADE)
+    out = materialise(make())
+    for name in _MADE[first:-1]:
+        _delete(out.sparkSession, name)
+    path = _MADE[-1]
+    del _MADE[first:]
+    return out, path
+
+
+def forget(spark: SparkSession, path: str | None) -> None:
+    """Deletes a table that ``settled`` wrote."""
+    if path:
+        _delete(spark, path)
 
 
 def materialise(df: DataFrame) -> DataFrame:

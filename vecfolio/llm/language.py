@@ -8,7 +8,8 @@ regularised-leader with L1 and L2 penalties; a temperature fitted on rows that
 training left out calibrates its probabilities.
 
 It is fitted on at most ``SAMPLE`` labelled rows of a language, those of the
-smallest id hashes, and ``SAMPLE_ALL`` in all; executors make the features.
+smallest id hashes, and ``SAMPLE_ALL`` in all (one of each language at least);
+executors make the features.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 rows of null text or language, or of a text without letters, are not learned
@@ -34,8 +35,8 @@ SPACE = 1 << 15
 SAMPLE = 1500
 SAMPLE_ALL = 12_000
 EPOCHS = 3
-#: Languages that are learned, the most frequent first.
-MOST_LANGUAGES = 1000
+#: Parts of a language that are ranked apart where its id hashes are uneven.
+PARTS = 64
 UNKNOWN = "und"
 _CHUNK = 1 << 20
 
@@ -78,13 +79,24 @@ def counts(text: str | None, letters: np.ndarray) -> np.ndarray | None:
 def training_rows(docs: DataFrame, usable: Column) -> DataFrame:
     """(lang, text) of a bounded sample of the usable rows (doc_id, text, lang)."""
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("doc_id"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    sizes = F.broadcast(materialise(sizes))  # MOST_LANGUAGES rows at most
+    sizes = materialise(rows.groupBy("lang").count())
     n = max(1, min(SAMPLE, SAMPLE_ALL // max(1, sizes.count())))
     # hashes are even, so twice the share asked for holds enough but by a rare chance; the rank then bounds it
     near = rows.join(sizes, "lang").filter(F.col("h").cast("double") / 2.0**63 < -1 + 4.0 * n / F.col("count"))
     ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
-    return ranked.filter(F.col("k") <= n).select("lang", "text")
+    found = materialise(ranked.filter(F.col("k") <= n).select("lang", "text"))
+    # ids that repeat have uneven hashes: a language that got too few is ranked as a whole, in parts first
+    got = found.groupBy("lang").agg(F.count(F.lit(1)).alias("got"))
+    lacking = sizes.join(got, "lang", "left").filter(F.coalesce("got", F.lit(0)) < F.least("count", F.lit(n))).select("lang")
+    if lacking.isEmpty():
+        return found
+    lacking = materialise(lacking)
+    order = ["h", "doc_id", "text"]
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARTS))
+    few = rows.join(lacking, "lang", "left_semi").groupBy("lang", *order).agg(F.count(F.lit(1)).alias("copies")).withColumn("part", part)
+    few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("k") <= n)
+    few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("k") <= n)
+    return found.join(lacking, "lang", "left_anti").unionByName(few.select("lang", "text"))
 
 
 def features(rows: DataFrame) -> DataFrame:

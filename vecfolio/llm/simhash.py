@@ -343,8 +343,8 @@ SHINGLE = 5
 BANDS, BAND_HASHES = 20, 5
 #: SimHash bits in which documents of similarity 0.8 may differ: 9.7 are expected, with a deviation of 2.9.
 WIDE_DISTANCE = 24
-#: Shingle sets that one task compares at once.
-BLOCK_SETS = 512
+#: Shingle sets that one task compares at once from each of two blocks, and their bytes, about.
+BLOCK_SETS, BLOCK_BYTES = 512, 48_000_000
 
 
 def shingle_set(text: str | None, width: int = SHINGLE) -> tuple[int, np.ndarray]:
@@ -403,7 +403,8 @@ def verified_links(sets: DataFrame, similarity: float = SIMILARITY, width: int =
     """Links (a, b) of nodes of one group whose shingle sets have that Jaccard similarity, as spanning forests.
 
     ``sets`` are (group, node, text), a row a node. A group of over
-    ``BLOCK_SETS`` nodes is cut into blocks, and pairs of blocks are compared.
+    ``BLOCK_SETS`` nodes or ``BLOCK_BYTES`` is cut into blocks, and pairs of
+    blocks are compared.
     """
 
     def hashed(batches):
@@ -418,7 +419,9 @@ def verified_links(sets: DataFrame, similarity: float = SIMILARITY, width: int =
 
     rows = sets.select("group", "node", "text").mapInArrow(hashed, "group long, node long, hashes binary")
     rows = materialise(rows.dropDuplicates(["group", "node"]))
-    sizes = rows.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("n"))
+    many, large = F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum(F.octet_length("hashes")) / BLOCK_BYTES)
+    # no more blocks than sets
+    sizes = rows.groupBy("group").agg(F.greatest(F.lit(1), F.least(F.count(F.lit(1)), F.greatest(many, large))).cast("int").alias("n"))
     cut = rows.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
         "group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "hashes"

@@ -11,7 +11,8 @@ fitted on the training rows turns the sum into a probability.
 
 The model is fitted on at most ``SAMPLE`` labelled rows of each label, those of
 the smallest id hashes; equal texts among them count once. Counting runs on
-Spark; the model holds at most ``VOCABULARY`` tokens.
+Spark, once for the model and for the lexicons that leave a fold out; the model
+holds every significant token of the sample.
 
 Defined results: a null or empty text scores as one without passages; labels
 other than 0 and 1, null labels and labels of absent documents are not used; of
@@ -36,7 +37,6 @@ from pyspark.sql import functions as F
 from .common import crc_mod, materialise, packed, table, unpacked
 
 SAMPLE = 20_000
-VOCABULARY = 50_000
 DRIFT = 0.05
 #: Prior mass: of each token, and of all tokens together by their shares.
 PRIOR_EACH, PRIOR_SHARED = 0.5, 1000.0
@@ -137,15 +137,36 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE)
     return materialise(texts.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))), totals
 
 
-def log_odds(counts: DataFrame) -> DataFrame:
-    """(token, odds, z, toxic, clean) under the Dirichlet prior."""
-    sums = counts.agg(F.sum("toxic").alias("nt"), F.sum("clean").alias("nc"), F.count(F.lit(1)).alias("v")).first()
-    nt, nc, v = (float(sums[x] or 0) for x in ("nt", "nc", "v"))
-    prior = F.lit(PRIOR_EACH) + PRIOR_SHARED * (F.col("toxic") + F.col("clean")) / max(nt + nc, 1.0)
-    mass = PRIOR_EACH * v + PRIOR_SHARED
-    t, c = F.col("toxic") + prior, F.col("clean") + prior
-    odds = F.log(t / (nt + mass - t)) - F.log(c / (nc + mass - c))
-    return counts.withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / t + 1 / c))
+def lexicons(counts: DataFrame) -> tuple[list, list[dict[str, float]], int]:
+    """Rows (token, odds, clean) of the significant and strong tokens, the same as dictionaries without each fold, and all clean counts.
+
+    ``counts`` are (token, fold, toxic, clean). Log-odds are those under the
+    Dirichlet prior; a lexicon without a fold subtracts its counts.
+    """
+    sides = ("toxic", "clean")
+    wide = materialise(
+        counts.groupBy("token").agg(*[F.sum(F.when(F.col("fold") == f, F.col(x)).otherwise(0)).alias(f"{x}{f}") for x in sides for f in range(FOLDS)])
+    )
+    total = {x: sum((F.col(f"{x}{f}") for f in range(1, FOLDS)), F.col(f"{x}0")) for x in sides}
+    # the whole comes last
+    each = [{x: total[x] - F.col(f"{x}{f}") for x in sides} for f in range(FOLDS)] + [total]
+    sums = wide.agg(
+        *[F.sum(n[x]).alias(f"{x}{m}") for m, n in enumerate(each) for x in sides],
+        *[F.sum((n["toxic"] + n["clean"] > 0).cast("long")).alias(f"v{m}") for m, n in enumerate(each)],
+    ).first()
+    kept = []
+    for m, n in enumerate(each):
+        nt, nc, v = (float(sums[f"{x}{m}"] or 0) for x in ("toxic", "clean", "v"))
+        prior = F.lit(PRIOR_EACH) + PRIOR_SHARED * (n["toxic"] + n["clean"]) / max(nt + nc, 1.0)
+        mass = PRIOR_EACH * v + PRIOR_SHARED
+        t, c = n["toxic"] + prior, n["clean"] + prior
+        odds = F.log(t / (nt + mass - t)) - F.log(c / (nc + mass - c))
+        strong = (n["toxic"] + n["clean"] > 0) & (F.abs(odds / F.sqrt(1 / t + 1 / c)) >= LEAST_Z) & (F.abs(odds) >= LEAST_ODDS)
+        kept.append(F.when(strong, odds).alias(f"odds{m}"))
+    found = wide.select("token", total["clean"].alias("clean"), *kept)
+    rows = found.filter(F.coalesce(*[f"odds{m}" for m in range(FOLDS + 1)]).isNotNull()).orderBy("token").collect()  # significant tokens of the sample
+    whole = [(r["token"], r[f"odds{FOLDS}"], r["clean"]) for r in rows if r[f"odds{FOLDS}"] is not None]
+    return whole, [{r["token"]: r[f"odds{f}"] for r in rows if r[f"odds{f}"] is not None} for f in range(FOLDS)], int(sums[f"clean{FOLDS}"] or 0)
 
 
 def karlin_altschul(scores: np.ndarray, shares: np.ndarray) -> float:
@@ -163,14 +184,7 @@ def karlin_altschul(scores: np.ndarray, shares: np.ndarray) -> float:
     return max(high, 1e-3)
 
 
-def lexicon(counts: DataFrame, vocabulary: int) -> list:
-    """The rows of ``log_odds`` that are significant and strong, the most significant first."""
-    summed = counts.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    strong = (F.abs("z") >= LEAST_Z) & (F.abs("odds") >= LEAST_ODDS)
-    return log_odds(summed).filter(strong).orderBy(F.abs("z").desc(), "token").limit(vocabulary).collect()
-
-
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE, vocabulary: int = VOCABULARY) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> ToxicityModel:
     """A model of rows (doc_id, text) with labels (doc_id, label).
 
     K and the curve are fitted to evidence by lexicons that left the text's own fold out.
@@ -181,13 +195,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE, vocabulary:
         share = totals.get(1, 0) / max(sum(totals.values()), 1)
         model.base = math.log((share + 1e-12) / (1 - share + 1e-12))
         return model
-    counts = materialise(token_counts(sample))
-    rows = lexicon(counts, vocabulary)
-    model.scores = {r["token"]: r["odds"] for r in rows}
-    folds = [{r["token"]: r["odds"] for r in lexicon(counts.filter(F.col("fold") != f), vocabulary)} for f in range(FOLDS)]
-    clean_all = counts.agg(F.sum("clean").alias("n")).first()["n"] or 0
-    share = np.array([(r["clean"] + PRIOR_EACH) / (clean_all + PRIOR_EACH * len(rows)) for r in rows])
-    odds = np.array([r["odds"] for r in rows])
+    rows, folds, clean_all = lexicons(token_counts(sample))
+    model.scores = {token: odds for token, odds, _ in rows}
+    share = np.array([(clean + PRIOR_EACH) / (clean_all + PRIOR_EACH * len(rows)) for _, _, clean in rows])
+    odds = np.array([odds for _, odds, _ in rows])
     model.lam = karlin_altschul(np.append(odds, -DRIFT), np.append(share, max(0.0, 1 - share.sum())))
     # K by maximum likelihood from the best segment of each clean text
     tops = _evidence(sample, folds, None).filter("label = 0")
