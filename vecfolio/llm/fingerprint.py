@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table
+from .common import materialise, shuffle_partitions, table
 
 #: The characters of Unicode's White_Space property.
 SPACES = "[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
@@ -115,6 +115,7 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("class_size").alias("class_size"),
         F.count(F.lit(1)).alias("bucket_texts"),
     )
-    return digests.join(classes, "fingerprint", "left").select(
+    # a table of its own, so that the join reads two shuffles and a hot fingerprint's rows can be dealt to several tasks
+    return digests.join(materialise(classes), "fingerprint", "left").select(
         *digests.columns, "class_id", "class_size", "bucket_texts"
     )

@@ -60,7 +60,8 @@ def removed_lines(docs: DataFrame, long_line: int = LONG_LINE, edges: bool = Fal
         "n > 1 and variants = 1"
     )
     narrow = each.select("doc_id", "row_hash", "line_no", "pos", "upto", h.alias("h"), F.regexp_count("line", F.lit(WORD)).alias("words"))
-    found = narrow.join(repeated.select("h"), "h", "left_semi")
+    # a table of its own, so that the join reads two shuffles and a hot line's rows can be dealt to several tasks
+    found = narrow.join(materialise(repeated.select("h")), "h", "left_semi")
     doc = ["doc_id", "row_hash"]
     # equal rows are one document
     found = found.groupBy(*doc, "line_no", "pos", "upto", "h", "words").agg(F.count(F.lit(1)).alias("copies"))
