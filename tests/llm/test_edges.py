@@ -42,7 +42,7 @@ def test_pipeline_stages(spark, nasty, empty):
         docs = spark.read.parquet(f"{folder}/documents.parquet")
         columns = docs.columns
         for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            docs = corpus_pipeline.materialise(stage(spark, docs, folder))
+            docs = common.materialise(stage(spark, docs, folder))
             if i < len(corpus_pipeline.STAGES) - 1:
                 assert docs.columns == columns
         assert (docs.count() > 0) == (folder == nasty)
@@ -59,6 +59,14 @@ def test_scratch_is_cleared(spark):
     assert not os.path.isdir(root)
 
 
+def test_pipeline_leaves_its_last_input_only(spark, nasty):
+    first = common.scratch(spark)
+    root = first.rsplit("/", 1)[0].removeprefix("file:")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    rows = corpus_pipeline.run(spark, nasty)
+    assert len(set(os.listdir(root)) - before) == 1 and rows.count()
+
+
 def test_pipeline_keeps_and_drops(spark, nasty):
     docs = spark.read.parquet(f"{nasty}/documents.parquet")
     near = corpus_pipeline.near_dedup(spark, docs, nasty).collect()
