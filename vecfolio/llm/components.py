@@ -11,7 +11,8 @@ from .common import materialise
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Edges (u, v), v < u, with the larger (or smaller) neighbours of each node moved to its least one."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    # a table of its own, so that the join reads two shuffles and a hub's edges can be dealt to several tasks
+    least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
     joined = both.join(least, "u")
     if large:
         moved = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
