@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import display
-from ..functions.vectors import dot, shown, shown_vector
+from ..functions.vectors import dot, shown
 from ..operators import atlas, catalogue, contract, density, diagnostics, embedding, evaluation, jobs, library, profiles, quality, sampling
 from ..operators import profile_job as profile_job_operator
 from ..sources import profiles as documents
