@@ -233,18 +233,20 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as rows of ``docs``: one for each document and pass that took words of it.
 
     Its text is what the pass took, in order; all of the text if it took all
-    words. n_chars, where there is one, is that text's length.
+    words. n_chars, where there is one, is that text's length. The rows of a
+    partition, and so of a written file, come in the order of the draw: by the
+    shard and position of the first slot that took words of them.
     """
     need = ["doc_id", "source", "text"] + ["n_chars"] * ("n_chars" in docs.columns)
     columns, docs = docs.columns, packed(docs, need)
     where, plan = _prepared(docs)
     row = ["source_ix", "bucket", "rank", "doc_id", "row_hash", "size"]
     took = (
-        pieces(where).join(slots(plan).select("source_ix", "pass", "block", "most").hint("merge"), ["source_ix", "block"])
+        pieces(where).join(slots(plan).select("source_ix", "pass", "block", "most", "shard", "position").hint("merge"), ["source_ix", "block"])
         .withColumn("got", _got()).filter("got > 0")
         .groupBy(*row, "pass")
-        .agg(F.array_sort(F.collect_list(F.struct("skip", F.col("got").alias("words")))).alias("parts"), F.sum("got").alias("got"))
-        .select("doc_id", "row_hash", "size", "parts", "got")
+        .agg(F.array_sort(F.collect_list(F.struct("skip", F.col("got").alias("words")))).alias("parts"), F.sum("got").alias("got"), F.min(F.struct("shard", "position")).alias("_drawn"))
+        .select("doc_id", "row_hash", "size", "parts", "got", "_drawn")
         .withColumnRenamed("doc_id", "_id")
     )
     # equal rows are one row here and meet each of their places in the mix
@@ -260,7 +262,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     met = met.withColumn("text", F.when(F.col("got") == F.col("size"), F.col("text")).otherwise(some))
     if "n_chars" in docs.columns:
         met = met.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return unpacked(met, columns, need)
+    return unpacked(met.sortWithinPartitions("_drawn"), columns, need)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
