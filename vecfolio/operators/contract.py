@@ -106,6 +106,30 @@ def without_deleted(vectors: DataFrame, deleted: DataFrame) -> DataFrame:
     return vectors.join(deleted.select("profile_id"), "profile_id", "left_anti")
 
 
+def table_violations(profiles: DataFrame, vectors: DataFrame, dimensions: int) -> DataFrame:
+    """(profile_id, problem) of the catalogue's tables: their columns' checks, a role twice, a vector without a profile.
+
+    ``profiles`` and ``vectors`` are as ``sources.profiles.profile_rows`` and ``vector_rows`` return; a null breaks a check.
+    """
+    c = F.col
+    checks = {
+        "dimensions": c("dimensions") == dimensions,
+        "duration_seconds": c("duration_seconds") > 0,
+        "windows_considered": c("windows_considered") > 0,
+        "windows_retained": c("windows_retained") > 0,
+        "windows_filtered": c("windows_filtered") >= 0,
+    }
+    of_vectors = {"role": c("role").isin(*ROLES), "weight": c("weight").between(0, 1), "vector": F.size("vector") == dimensions}
+
+    def broken(rows: DataFrame, group: dict[str, Column]) -> DataFrame:
+        found = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in group.items()])
+        return rows.select("profile_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("problem"))
+
+    twice = duplicate_roles(vectors).select("profile_id", F.lit("role_twice").alias("problem"))
+    lost = orphan_vectors(vectors, profiles).select("profile_id", F.lit("no_profile").alias("problem"))
+    return broken(profiles, checks).unionByName(broken(vectors, of_vectors)).unionByName(twice).unionByName(lost)
+
+
 def map_request_problems(profiles: DataFrame, requests: DataFrame | None = None) -> DataFrame:
     """(map_id, rule) of map requests, rows (map_id, ordinal, label, …): their number of profiles and labels.
 

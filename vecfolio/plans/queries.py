@@ -667,6 +667,28 @@ def catalogue_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
+@query("""WITH p AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN 65 ELSE 64 END AS dims, o_orderkey % 13 AS duration, o_orderkey % 17 AS considered, o_orderkey % 19 AS retained,
+  o_orderkey % 23 - 1 AS filtered FROM orders WHERE o_orderkey % 7 <> 0),
+v AS (SELECT l_orderkey AS id, ['global', 'cluster_1', 'cluster_2', 'other'][l_linenumber % 4 + 1] AS role, l_quantity % 13 / 10 AS weight, CASE WHEN l_partkey % 29 = 0 THEN 63 ELSE 64 END AS size FROM lineitem)
+SELECT id AS profile_id, problem FROM (SELECT id, unnest([CASE WHEN dims <> 64 THEN 'dimensions' END, CASE WHEN duration <= 0 THEN 'duration_seconds' END, CASE WHEN considered <= 0 THEN 'windows_considered' END,
+  CASE WHEN retained <= 0 THEN 'windows_retained' END, CASE WHEN filtered < 0 THEN 'windows_filtered' END]) AS problem FROM p) WHERE problem IS NOT NULL UNION ALL
+SELECT id, problem FROM (SELECT id, unnest([CASE WHEN role = 'other' THEN 'role' END, CASE WHEN weight > 1 THEN 'weight' END, CASE WHEN size <> 64 THEN 'vector' END]) AS problem FROM v) WHERE problem IS NOT NULL UNION ALL
+SELECT id, 'role_twice' FROM v GROUP BY id, role HAVING count(*) > 1 UNION ALL SELECT id, 'no_profile' FROM v WHERE id NOT IN (SELECT id FROM p)""")
+def catalogue_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables' constraints over orders as profiles and order lines as vectors."""
+    key = F.col("o_orderkey")
+    held = data.table(spark, sf_dir, "orders").filter(key % 7 != 0).select(
+        key.alias("profile_id"), F.when(key % 11 == 0, 65).otherwise(64).alias("dimensions"), (key % 13).alias("duration_seconds"),
+        (key % 17).alias("windows_considered"), (key % 19).alias("windows_retained"), (key % 23 - 1).alias("windows_filtered"),
+    )
+    roles = F.array(*[F.lit(r) for r in ("global", "cluster_1", "cluster_2", "other")])
+    vectors = data.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("profile_id"), roles[(F.col("l_linenumber") % 4).cast("int")].alias("role"), (F.col("l_quantity") % 13 / 10).alias("weight"),
+        F.array_repeat(F.lit(0.0), F.when(F.col("l_partkey") % 29 == 0, 63).otherwise(64)).alias("vector"),
+    )
+    return contract.table_violations(held, vectors, 64)
+
+
 @query("SELECT CAST(label + 1000 * (vec_id // 5000) AS VARCHAR) AS profile_id, 64 AS dimensions, count(*) AS windows FROM embeddings GROUP BY label, vec_id // 5000")
 def export_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exports written as JSON documents and parsed again by the contract's schema."""
