@@ -56,8 +56,9 @@ def wide(text):
     return f"{xxhash.xxh64_intdigest(raw, 42):016x}{xxhash.xxh64_intdigest(raw, xxhash.xxh64_intdigest(b'wide', 42)):016x}"
 
 
-@pytest.mark.parametrize("which", ["small", "nasty"])
-def test_fingerprints(spark, request, which):
+@pytest.mark.parametrize("which, sent", [("small", 0), ("nasty", 0), ("nasty", 200_000)])
+def test_fingerprints(spark, request, monkeypatch, which, sent):
+    monkeypatch.setattr(fingerprint, "MOST_SENT", sent)
     folder = request.getfixturevalue(which)
     docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     docs.sort(key=lambda d: (d[0] is None, -(d[0] or 0), d[1].encode()))
@@ -75,7 +76,11 @@ def test_fingerprints(spark, request, which):
         if i is not None:
             classes[canonical(text)] = min(classes.get(canonical(text), i), i)
     by_print = {wide(t): classes.get(canonical(t)) for _, t in docs}
-    assert all(r["class_id"] == by_print[r["fingerprint"]] and r["bucket_texts"] == 1 for r in rows.collect())
+    sizes = {}
+    for _, text in docs:
+        sizes[wide(text)] = sizes.get(wide(text), 0) + 1
+    for r in rows.collect():
+        assert (r["class_id"], r["class_size"], r["bucket_texts"]) == (by_print[r["fingerprint"]], sizes[r["fingerprint"]], 1)
 
 
 def test_case_and_space_folding(spark):

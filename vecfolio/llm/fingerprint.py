@@ -21,6 +21,9 @@ from .common import materialise, shuffle_partitions, table
 #: The characters of Unicode's White_Space property.
 SPACES = "[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
 
+#: Ids that are broadcast at most; each is a long.
+MOST_SENT = 200_000
+
 
 def _nfkc(text: Column) -> Column:
     return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
@@ -49,6 +52,26 @@ def exact_groups(texts: DataFrame) -> DataFrame:
     )
 
 
+def repeated_classes(docs: DataFrame, digests: DataFrame) -> DataFrame:
+    """(fingerprint, class_id, class_size, bucket_texts) of the fingerprints that several rows have.
+
+    Only their rows' texts are fetched, and their bytes compared. ``docs`` has
+    (doc_id, text), ``digests`` (doc_id, fingerprint); other rows of the same ids come along and do no harm.
+    """
+    often = digests.groupBy("fingerprint").count().filter("count > 1").select("fingerprint")
+    ids = materialise(digests.join(often, "fingerprint", "left_semi").select(F.col("doc_id").alias("_id")).distinct())
+    # a list of ids is sent to the texts as long as it is short; a longer one meets them in a shuffle
+    ids = F.broadcast(ids) if ids.count() <= MOST_SENT else ids.hint("merge")
+    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("doc_id", canonical(F.col("text")).alias("canonical"))
+    groups = exact_groups(texts.withColumn("fingerprint", wide_hash(F.col("canonical"))))
+    # a table of its own, so that joins with it read two shuffles and a hot fingerprint's rows can be dealt to several tasks
+    return materialise(
+        groups.groupBy("fingerprint").agg(
+            F.min("class_id").alias("class_id"), F.sum("class_size").alias("class_size"), F.count(F.lit(1)).alias("bucket_texts")
+        )
+    )
+
+
 def _below(cuts: list[int], x: Column) -> Column:
     """How many of the sorted cuts are below x: first among every step-th one, then in the stretch that follows."""
     step = max(1, int(len(cuts) ** 0.5))
@@ -99,23 +122,22 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("_edited"),
     )
     pairs = pairs.withColumn("_edited_own", canonical(F.col("_edited")))
-    digests = pairs.select(
-        "doc_id",
-        "n_chars",
-        F.sha2("_edited", 256).alias("edited_sha256"),
-        wide_hash(F.col("_own")).alias("fingerprint"),
-        wide_hash(F.col("_edited_own")).alias("edited_fingerprint"),
-        (F.col("_own") == F.col("_edited_own")).cast("double").alias("near_edited"),
-        (F.col("_own") == F.col("_next")).cast("double").alias("near_next"),
-    )
-    own = docs.select("doc_id", canonical(F.col("text")).alias("canonical"))
-    groups = exact_groups(own.withColumn("fingerprint", wide_hash(F.col("canonical"))))
-    classes = groups.groupBy("fingerprint").agg(
-        F.min("class_id").alias("class_id"),
-        F.sum("class_size").alias("class_size"),
-        F.count(F.lit(1)).alias("bucket_texts"),
+    digests = materialise(
+        pairs.select(
+            "doc_id",
+            "n_chars",
+            F.sha2("_edited", 256).alias("edited_sha256"),
+            wide_hash(F.col("_own")).alias("fingerprint"),
+            wide_hash(F.col("_edited_own")).alias("edited_fingerprint"),
+            (F.col("_own") == F.col("_edited_own")).cast("double").alias("near_edited"),
+            (F.col("_own") == F.col("_next")).cast("double").alias("near_next"),
+        )
     )
-    # a table of its own, so that the join reads two shuffles and a hot fingerprint's rows can be dealt to several tasks
-    return digests.join(materialise(classes), "fingerprint", "left").select(
-        *digests.columns, "class_id", "class_size", "bucket_texts"
+    classes = repeated_classes(docs, digests)
+    alone = F.col("class_size").isNull()
+    return digests.join(classes, "fingerprint", "left").select(
+        *digests.columns,
+        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("class_size", F.lit(1)).alias("class_size"),
+        F.coalesce("bucket_texts", F.lit(1)).alias("bucket_texts"),
     )
