@@ -252,6 +252,15 @@ def test_pieces_any_text(codec, text):
     assert codec.encode(text).tolist() == codec.library.encode(text)
 
 
+def test_text_without_blanks(codec):
+    """Long stretches of many scripts, with and without places where no piece goes across."""
+    random = np.random.default_rng(4)
+    letters = [chr(c) for c in random.integers(0x4E00, 0x5400, 300)] + list("，。的是ab😀")
+    texts = ["".join(random.choice(letters, n)) for n in (511, 513, 20_000)] + ["的" * 2000, "ab" * 2000, "=-" * 700]
+    ids, counts = codec.encode_all(pa.array(texts, pa.large_string()))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == codec.library.encode(texts)
+
+
 def test_the_scan_keeps_a_window(codec, monkeypatch):
     """However long a stretch is, a window of twice the longest piece is held, and each window commits ids."""
     text = "thereforenotwithstanding" * 400

@@ -14,8 +14,9 @@ stretch without blanks is.
 
 No piece holds a blank after another character, so all paths meet at each
 blank. The stretches between blanks are scanned side by side, each distinct one
-of some megabytes of text once, by numpy; no words are kept for later. A very
-long stretch is scanned by itself, character by character.
+of some megabytes of text once, by numpy; no words are kept for later. A long
+stretch is parted where no piece has both neighbours; what is still long is
+scanned by itself, character by character.
 
 Defined results: a null or empty text has no ids; characters that the model
 lacks become its byte pieces, or its unknown piece if it has none; repeated rows
@@ -108,6 +109,9 @@ class PieceCodec:
                     nodes[piece[:n]] = len(nodes)
                     keys.append(nodes[piece[: n - 1]] * self.letters + int(self.letter[ord(piece[n - 1])]))
         self.children = IdTable(np.array(keys), np.arange(1, len(nodes)))
+        #: Neighbouring characters in pieces; between any others all paths meet.
+        inner = sorted({p[i : i + 2] for p in self.vocabulary for i in range(len(p) - 1)})
+        self.inner = IdTable(np.array([int(self.letter[ord(a)]) * self.letters + int(self.letter[ord(b)]) for a, b in inner]), np.zeros(len(inner), np.int64))
         #: The nodes of first characters.
         self.firsts = self.children.get(np.arange(self.letters))
         self.piece_of_node = np.array([self.vocabulary.get(p, -1) for p in nodes], np.int32)
@@ -332,6 +336,19 @@ class PieceCodec:
 
     # --- ids
 
+    def _parted(self, chars: np.ndarray, bases: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where stretches begin and their sizes, long ones parted wherever no piece has both neighbours."""
+        first, size = [bases], [sizes.copy()]
+        for i in np.flatnonzero(sizes > LONG_STRETCH):
+            own = chars[bases[i] : bases[i] + sizes[i]].astype(np.int64)
+            at = np.append(0, np.flatnonzero(self.inner.get(own[:-1] * self.letters + own[1:]) < 0) + 1)
+            first.append(bases[i] + at[1:])
+            size.append(np.diff(np.append(at, sizes[i]))[1:])
+            size[0][i] = at[1] if len(at) > 1 else sizes[i]
+        first, size = np.concatenate(first), np.concatenate(size)
+        order = np.argsort(first, kind="stable")
+        return first[order], size[order]
+
     def _encode(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct stretches, one after the other, and how many each has."""
         sizes = pc.utf8_length(stretches).to_numpy().astype(np.int64)
@@ -340,15 +357,16 @@ class PieceCodec:
         ends = np.cumsum(sizes)
         bases = ends - sizes
         begun = np.full(len(chars), _NONE, np.int32)
-        usual = np.flatnonzero((sizes > 0) & (sizes <= LONG_STRETCH))
+        first, size = self._parted(chars, bases, sizes)
+        usual = np.flatnonzero((size > 0) & (size <= LONG_STRETCH))
         for at in range(0, len(usual), LANES):
             some = usual[at : at + LANES]
-            low, high = int(bases[some[0]]), int(ends[some[-1]])
-            found = self.scan(chars[low:high], bases[some] - low, sizes[some].copy())
+            low, high = int(first[some[0]]), int(first[some[-1]] + size[some[-1]])
+            found = self.scan(chars[low:high], first[some] - low, size[some])
             part = begun[low:high]
             part[found != _NONE] = found[found != _NONE]
-        for i in np.flatnonzero(sizes > LONG_STRETCH):
-            self._slowly(chars, int(bases[i]), int(sizes[i]), len(self.scores), begun)
+        for i in np.flatnonzero(size > LONG_STRETCH):
+            self._slowly(chars, int(first[i]), int(size[i]), len(self.scores), begun)
         where = np.flatnonzero(begun != _NONE)
         ids, each = begun[where], np.ones(len(where), np.int64)
         odd = np.flatnonzero(ids < 0)
