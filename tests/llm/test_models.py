@@ -109,6 +109,19 @@ def test_language_cases(spark):
     assert language.predict("whatever", one, letters) == ("aa", 1.0)
 
 
+def test_language_sample_is_bounded_in_bytes(spark):
+    """Each language's first rows stay; none is lost however uneven the ids' hashes are."""
+    rows = [(lang, k, b"x" * 4 * n, b"y" * 4 * n) for lang, n in (("aa", 10), ("bb", 100), ("cc", 5)) for k in range(1, 21)]
+    found = spark.createDataFrame(rows, "lang string, k int, ids binary, values binary")
+    kept = {(r["lang"], r["k"]) for r in language.bounded(found, 8 * 115 * 3 + 8 * 10).collect()}
+    assert kept == {(lang, k) for lang in ("aa", "bb", "cc") for k in (1, 2, 3)} | {("aa", 4)}
+    assert len(language.bounded(found, 1).collect()) == 1 and not language.bounded(found.limit(0)).collect()
+    docs = [(7, f"text {i % 3}", "rare") for i in range(300)] + [(i, f"words {i}", "usual") for i in range(3000)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    counts = {r["lang"]: r["count"] for r in language.training_rows(table, F.lit(True)).groupBy("lang").count().collect()}
+    assert counts["usual"] == 1500 and counts["rare"] >= 3
+
+
 def sparse(text, letters):
     c = language.counts(text, letters)
     return np.flatnonzero(c), c[np.flatnonzero(c)]

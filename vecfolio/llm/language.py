@@ -8,8 +8,9 @@ regularised-leader with L1 and L2 penalties; a temperature fitted on rows that
 training left out calibrates its probabilities.
 
 It is fitted on at most ``SAMPLE`` labelled rows of a language, those of the
-smallest id hashes, and ``SAMPLE_ALL`` in all (one of each language at least);
-executors make the features.
+smallest id hashes, ``SAMPLE_ALL`` in all (one of each language at least) and
+``SAMPLE_BYTES`` of features, which executors make; every language's first rows
+come before any one's later rows.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 rows of null text or language, or of a text without letters, are not learned
@@ -28,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialise, per_worker, table
+from .common import crc_mod, in_order, materialise, per_worker, table
 
 ORDER = 3
 SPACE = 1 << 15
 SAMPLE = 1500
 SAMPLE_ALL = 12_000
+SAMPLE_BYTES = 256_000_000
 EPOCHS = 3
 #: Parts of a language that are ranked apart where its id hashes are uneven.
 PARTS = 64
@@ -77,14 +79,14 @@ def counts(text: str | None, letters: np.ndarray) -> np.ndarray | None:
 
 
 def training_rows(docs: DataFrame, usable: Column) -> DataFrame:
-    """(lang, text) of a bounded sample of the usable rows (doc_id, text, lang)."""
+    """(lang, k, text) of a bounded sample of the usable rows (doc_id, text, lang); k numbers a language's rows."""
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("doc_id"))
     sizes = materialise(rows.groupBy("lang").count())
     n = max(1, min(SAMPLE, SAMPLE_ALL // max(1, sizes.count())))
     # hashes are even, so twice the share asked for holds enough but by a rare chance; the rank then bounds it
     near = rows.join(sizes, "lang").filter(F.col("h").cast("double") / 2.0**63 < -1 + 4.0 * n / F.col("count"))
     ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
-    found = materialise(ranked.filter(F.col("k") <= n).select("lang", "text"))
+    found = materialise(ranked.filter(F.col("k") <= n).select("lang", "k", "text"))
     # ids that repeat have uneven hashes: a language that got too few is ranked as a whole, in parts first
     got = found.groupBy("lang").agg(F.count(F.lit(1)).alias("got"))
     lacking = sizes.join(got, "lang", "left").filter(F.coalesce("got", F.lit(0)) < F.least("count", F.lit(n))).select("lang")
@@ -96,25 +98,34 @@ def training_rows(docs: DataFrame, usable: Column) -> DataFrame:
     few = rows.join(lacking, "lang", "left_semi").groupBy("lang", *order).agg(F.count(F.lit(1)).alias("copies")).withColumn("part", part)
     few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("k") <= n)
     few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("k") <= n)
-    return found.join(lacking, "lang", "left_anti").unionByName(few.select("lang", "text"))
+    return found.join(lacking, "lang", "left_anti").unionByName(few.select("lang", "k", "text"))
 
 
 def features(rows: DataFrame) -> DataFrame:
-    """(lang, ids, values): n-gram counts of rows (lang, text), made on the executors."""
+    """(lang, k, ids, values): n-gram counts of rows (lang, k, text), made on the executors."""
 
     def run(batches):
         letters = _letters()
         for batch in batches:
             out = []
-            for lang, text in zip(batch.column(0), batch.column(1)):
+            for lang, k, text in zip(*(batch.column(i) for i in range(3))):
                 c = counts(text.as_py(), letters)
                 if c is not None:
                     ids = np.flatnonzero(c)
-                    out.append((lang.as_py(), ids.astype("<i4").tobytes(), c[ids].astype("<i4").tobytes()))
-            columns = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(x, pa.binary()) for x in columns[1:])], ["lang", "ids", "values"])
+                    out.append((lang.as_py(), k.as_py(), ids.astype("<i4").tobytes(), c[ids].astype("<i4").tobytes()))
+            columns = list(zip(*out)) or [(), (), (), ()]
+            types = (pa.string(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], ["lang", "k", "ids", "values"])
 
-    return rows.mapInArrow(run, "lang string, ids binary, values binary")
+    return rows.select("lang", "k", "text").mapInArrow(run, "lang string, k int, ids binary, values binary")
+
+
+def bounded(found: DataFrame, most: int = SAMPLE_BYTES) -> DataFrame:
+    """The feature rows that come first by (k, lang) and hold so many bytes together; the first row in any case."""
+    sizes = found.select("k", "lang", (2 * F.octet_length("ids")).cast("long").alias("bytes"))
+    placed = in_order(sizes, [F.col("k"), F.col("lang")], "bytes")
+    last = placed.filter((F.col("before") + F.col("bytes") <= most) | (F.col("place") == 0)).agg(F.max(F.struct("k", "lang")).alias("x")).first()["x"]
+    return found.filter(F.struct("k", "lang") <= F.struct(F.lit(last["k"]), F.lit(last["lang"]))) if last else found
 
 
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], alpha=0.5, beta=1.0, l1=0.02, l2=0.5, seed=7) -> LanguageModel | None:
@@ -170,7 +181,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, usable: Column) -> LanguageModel | None:
-    rows = features(training_rows(docs, usable)).collect()  # SAMPLE_ALL rows at most
+    rows = bounded(materialise(features(training_rows(docs, usable)))).collect()  # SAMPLE_BYTES at most
     sparse = [(r["lang"], np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["values"], "<i4")) for r in rows]
     return train(sorted(sparse, key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes())))
 
