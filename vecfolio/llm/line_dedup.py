@@ -63,6 +63,8 @@ def removed_lines(docs: DataFrame, long_line: int = LONG_LINE, edges: bool = Fal
     # a table of its own, so that the join reads two shuffles and a hot line's rows can be dealt to several tasks
     found = narrow.join(materialise(repeated.select("h")), "h", "left_semi")
     doc = ["doc_id", "row_hash"]
+    # dealt by document from here on; else the sum below would stay with the join's lines and keep a hot one whole
+    found = found.repartition(*doc)
     # equal rows are one document
     found = found.groupBy(*doc, "line_no", "pos", "upto", "h", "words").agg(F.count(F.lit(1)).alias("copies"))
     in_doc = Window.partitionBy(*doc).orderBy("line_no")
