@@ -87,7 +87,7 @@ def removed_lines(docs: DataFrame, long_line: int = LONG_LINE, edges: bool = Fal
     )
     in_run = Window.partitionBy(*doc, "run")
     found = found.withColumn("run_lines", F.count(F.lit(1)).over(in_run)).withColumn("run_words", F.sum("words").over(in_run))
-    chunks = (
+    chunks = materialise(
         found.filter((F.col("run_lines") > 1) | (F.col("run_words") >= long_line))
         .groupBy(*doc, "chunk")
         .agg(
@@ -103,7 +103,8 @@ def removed_lines(docs: DataFrame, long_line: int = LONG_LINE, edges: bool = Fal
         )
     )
     first = chunks.groupBy("key").agg(F.min(F.struct(*doc, "first_line")).alias("first"), F.count(F.lit(1)).alias("n"))
-    again = chunks.join(first.filter("n > 1").drop("n"), "key").filter(~F.struct(*doc, "first_line").eqNullSafe(F.col("first")))
+    # a table of its own for the same reason
+    again = chunks.join(materialise(first.filter("n > 1").drop("n")), "key").filter(~F.struct(*doc, "first_line").eqNullSafe(F.col("first")))
     return again.groupBy(*doc).agg(
         F.flatten(F.collect_list("places")).alias("removed"), F.sum("chunk_lines").alias("n_removed")
     )
