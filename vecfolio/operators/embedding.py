@@ -44,7 +44,7 @@ def spectral(n_fft: int = 8192, bins: int = 512, stride: int = 16):
     def embed(windows: list[np.ndarray]) -> np.ndarray:
         found = np.zeros((len(windows), bins))
         for i, x in enumerate(windows):
-            levels = np.log1p(np.abs(np.fft.rfft(x[::stride], n=n_fft)))[picked]
+            levels = np.log1p(np.abs(np.fft.rfft(np.asarray(x[::stride], float), n=n_fft)))[picked]
             levels = levels - levels.mean()
             found[i] = levels / max(np.sqrt((levels**2).sum()), 1e-12)
         return found
@@ -67,7 +67,7 @@ def embed_windows(windows: DataFrame, name: str = "spectral", batch: int = BATCH
         for part in batches:
             for at in range(0, part.num_rows, batch):
                 some = part.slice(at, batch)
-                samples = [np.asarray(x, float) for x in some.column(len(kept)).to_numpy(zero_copy_only=False)]
+                samples = list(some.column(len(kept)).to_numpy(zero_copy_only=False))
                 vectors = pa.array(list(embed(samples)), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*some.columns[: len(kept)], vectors], [*kept, "embedding"])
 

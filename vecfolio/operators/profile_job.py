@@ -53,7 +53,7 @@ def embedded(windows: DataFrame, rules: QualityRules = QualityRules(), embedder:
                 for first in range(0, len(good), batch):
                     some = good[first : first + batch]
                     began = time.perf_counter()
-                    for i, v in zip(some, embed([np.asarray(samples[i], float) for i in some])):
+                    for i, v in zip(some, embed([samples[i] for i in some])):
                         vectors[i] = v
                     for i in some:
                         spent[i] = 1000 * (time.perf_counter() - began) / len(some)
