@@ -74,7 +74,8 @@ def removed_lines(docs: DataFrame, long_line: int = LONG_LINE, edges: bool = Fal
         found = materialise(found.withColumn("before", F.when(~F.col("starts_run"), F.lag("h").over(in_doc))))
         pairs = found.filter("before <> h").groupBy("before", "h").agg(F.count(F.lit(1)).alias("n"))
         # a chunk with a pair that occurs once can't occur again
-        found = found.join(pairs.filter("n > 1").select("before", "h", F.lit(False).alias("parted")), ["before", "h"], "left")
+        often = materialise(pairs.filter("n > 1").select("before", "h", F.lit(False).alias("parted")))
+        found = found.join(often, ["before", "h"], "left")
         found = found.withColumn("edge", F.coalesce("parted", F.lit(True)))
     before = F.when(F.col("edge"), F.lit("")).otherwise(F.lower(F.hex(F.lag("h").over(in_doc))))
     rolling = F.md5(F.concat(before, F.lower(F.hex("h"))))

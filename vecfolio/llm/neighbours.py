@@ -283,7 +283,9 @@ def _search(index: DataFrame, queries: DataFrame, hashing: Hashing, k: int) -> D
             found.append(best_of(some, x, candidates(hashing, tab, some[1], codes), k))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*found)], ["query_id", "vec_id", "score"])
 
-    return cut.groupBy(*key, "part", "slice").applyInArrow(run, "query_id long, vec_id long, score double")
+    # dealt by pieces; else those of one cell would stay in one task
+    piece = [*key, "part", "slice"]
+    return cut.repartition(*piece).groupBy(*piece).applyInArrow(run, "query_id long, vec_id long, score double")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:

@@ -446,7 +446,8 @@ def verified_links(sets: DataFrame, similarity: float = SIMILARITY, width: int =
         a, b = spanning_forest(len(nodes), own if apart else None, near)
         return pa.table([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
 
-    return met.groupBy("group", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    # dealt by pairs of blocks; else those of one group would stay in one task
+    return met.repartition("group", "i", "j").groupBy("group", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
