@@ -58,7 +58,7 @@ def repeated_classes(docs: DataFrame, digests: DataFrame) -> DataFrame:
     Only their rows' texts are fetched, and their bytes compared. ``docs`` has
     (doc_id, text), ``digests`` (doc_id, fingerprint); other rows of the same ids come along and do no harm.
     """
-    often = digests.groupBy("fingerprint").count().filter("count > 1").select("fingerprint")
+    often = materialise(digests.groupBy("fingerprint").count().filter("count > 1").select("fingerprint"))
     ids = materialise(digests.join(often, "fingerprint", "left_semi").select(F.col("doc_id").alias("_id")).distinct())
     # a list of ids is sent to the texts as long as it is short; a longer one meets them in a shuffle
     ids = F.broadcast(ids) if ids.count() <= MOST_SENT else ids.hint("merge")
