@@ -17,6 +17,7 @@ CONTRACT = {
     "op8_chat_formatting": {"conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"},
     "op9_document_fingerprints": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
     "op10_language_id": {"doc_id", "held_out", "lang_pred", "score"},
+    "op11_bpe_encoding": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
 }
 PER_ROW = {n for n in QUERIES if n not in ("op7_nearest_neighbours", "op8_chat_formatting")}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op11_bpe_encoding
 from .chat import OP8_SQL, op8_chat_formatting
 from .fingerprint import op9_document_fingerprints
 from .language import op10_language_id
@@ -26,6 +27,7 @@ QUERIES = {
         op8_chat_formatting,
         op9_document_fingerprints,
         op10_language_id,
+        op11_bpe_encoding,
     )
 }
 

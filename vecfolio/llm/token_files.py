@@ -80,9 +80,11 @@ def _safe_letters() -> str:
     return "A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
 
 
-def word_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+def word_encoder(path: str, own: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """Texts to 32-bit ids by a tokenizers file: all ids, and how many each text has.
 
+    Words go to ``own``, if given, else to the library.
+
     For tokenizers that put text into NFC and lower case, drop white space,
     and part runs of letters from all else (but after an apostrophe). A text's
     ids are then those of its words between ASCII white space. Each distinct
@@ -143,7 +145,7 @@ def word_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray
             for p in parts:
                 if p not in known:
                     (runs if starts_letter.match(p) else others)[p] = None
-        for group, encode_ in ((list(runs), together), (list(others), alone)):
+        for group, encode_ in ((list(runs), own or together), (list(others), own or alone)):
             if group:
                 keep(group, *encode_(group))
         if mixed:
