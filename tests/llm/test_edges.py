@@ -18,8 +18,10 @@ CONTRACT = {
     "op9_document_fingerprints": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
     "op10_language_id": {"doc_id", "held_out", "lang_pred", "score"},
     "op11_bpe_encoding": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
+    "op12_prefix_trie": {"conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"},
+    "op13_structure_repair": {"conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"},
 }
-PER_ROW = {n for n in QUERIES if n not in ("op7_nearest_neighbours", "op8_chat_formatting")}
+PER_ROW = {n for n in QUERIES if n not in ("op7_nearest_neighbours", "op8_chat_formatting", "op12_prefix_trie", "op13_structure_repair")}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
