@@ -1,17 +1,21 @@
 """Trimming of isolated clips by local density.
 
-Clips are rows (profile_id, clip_ix, unit). A recording has at most
-``MOST_CLIPS`` clips (four hours of windows every 20 s are 721), so one profile
-is one bounded group; more is an error.
+Clips are rows (profile_id, clip_ix, unit). A profile of at most ``MOST_CLIPS``
+clips (four hours of windows every 20 s are 721) is one group in one task; larger
+ones are worked on in blocks, with the same results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
+
 MOST_CLIPS = 20_000
 LEAST_FOR_TRIM = 8
 MOST_FRACTION = 0.10
@@ -21,8 +25,6 @@ _BLOCK = 1024
 
 def matrix_of(clips: pa.Table, column: str = "unit") -> tuple[np.ndarray, np.ndarray]:
     """Clip numbers in order, and the vectors in that order as a matrix."""
-    if clips.num_rows > MOST_CLIPS:
-        raise ValueError(f"a profile has {clips.num_rows} clips; at most {MOST_CLIPS} are allowed")
     ix = clips.column("clip_ix").to_numpy()
     order = np.argsort(ix, kind="stable")
     return ix[order], np.stack(clips.column(column).to_numpy())[order]
@@ -54,8 +56,22 @@ def trim(unit: np.ndarray, fraction: float, strict: bool = False) -> tuple[np.nd
     return order[found[order] < threshold], threshold
 
 
+def by_size(clips: DataFrame, grouped: Callable[[DataFrame], DataFrame], in_blocks: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``grouped`` for profiles that fit into a task, and of ``in_blocks`` (given their blocks) for larger ones."""
+    large = blocks.larger(clips, MOST_CLIPS)
+    if large is None:
+        return grouped(clips)
+    found = in_blocks(blocks.blocked(clips.join(large, "profile_id", "left_semi")))
+    few = grouped(clips.join(large, "profile_id", "left_anti"))
+    return few.unionByName(found.select(*[F.col(f.name).cast(f.dataType) for f in few.schema]))
+
+
 def local_density(clips: DataFrame) -> DataFrame:
     """(profile_id, clip_ix, density): the mean of a clip's largest similarities to others of its profile."""
+    return by_size(clips, _grouped_density, blocks.density)
+
+
+def _grouped_density(clips: DataFrame) -> DataFrame:
     kind = clips.schema["profile_id"].dataType.simpleString()
 
     def run(t: pa.Table) -> pa.Table:
@@ -95,7 +111,11 @@ def trimmed(clips: DataFrame, fraction: float, strict: bool = False) -> DataFram
     profiles of under ``LEAST_FOR_TRIM`` clips.
     """
     check_fraction(fraction)
-    density = local_density(clips)
+    return outliers(local_density(clips), fraction, strict)
+
+
+def outliers(density: DataFrame, fraction: float, strict: bool = False) -> DataFrame:
+    """``trimmed`` of clips whose density is known."""
     with_limit = density.join(thresholds(density).select("profile_id", "n", "threshold"), "profile_id")
     applies = (F.col("n") >= LEAST_FOR_TRIM) & F.lit(fraction > 0)
     with_limit = with_limit.withColumn("threshold", F.when(applies, F.col("threshold")))

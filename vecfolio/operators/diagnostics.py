@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.display import timecode
 from ..functions.vectors import dot
+from . import blocks, density
 from .profiles import _grouped, principal
 
 def pca(clips: DataFrame) -> DataFrame:
@@ -17,7 +18,8 @@ def pca(clips: DataFrame) -> DataFrame:
         shares, (low, high) = principal(unit)
         return pa.array([shares], pa.list_(pa.float64())), pa.array(ix[[low]], pa.int32()), pa.array(ix[[high]], pa.int32())
 
-    return _grouped(clips, make, "variance array<double>, low_clip int, high_clip int")
+    columns = "variance array<double>, low_clip int, high_clip int"
+    return density.by_size(clips, lambda c: _grouped(c, make, columns), blocks.principal)
 
 
 def diversity(clips: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 The global vector is a grouped mean. Two-centre spherical clustering iterates
 over a profile's clips, so it runs where they are: one Arrow group for each
-profile, of bounded size (see ``density.MOST_CLIPS``), one shuffle for all.
+profile of up to ``density.MOST_CLIPS`` clips, one shuffle for all; larger ones
+are clustered in rounds over their blocks.
 Everything is in double precision.
 """
 
@@ -12,17 +13,19 @@ import time
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import LEAST_NORM, mean_vector, with_unit
-from . import density
+from ..scratch import written
+from . import blocks, density
 
 ROUNDS = 50
 #: A cluster holds at least one clip in so many.
 SUPPORT = 10
 #: Coordinates of a centre that order clusters of equal size.
 ORDERING = 8
+FORCED, PLAIN = "minimum_support_spherical_kmeans", "spherical_kmeans"
 ROLES = ("global", "cluster_1", "cluster_2")
 
 
@@ -89,7 +92,7 @@ def two_clusters(unit: np.ndarray) -> dict:
     sizes = (int((~before).sum()), int(before.sum()))
     if (-sizes[1], *centres[1][:ORDERING]) < (-sizes[0], *centres[0][:ORDERING]):
         centres, before = centres[::-1], ~before
-    name = "minimum_support_spherical_kmeans" if forced else "spherical_kmeans"
+    name = FORCED if forced else PLAIN
     return {"centres": centres, "second": before, "strategy": name, "rounds": rounds}
 
 
@@ -133,7 +136,18 @@ def assignments(core: DataFrame) -> DataFrame:
     def make(ix, unit):
         return pa.array(ix, pa.int32()), pa.array(two_clusters(unit)["second"].astype(np.int32))
 
-    return _grouped(core, make, "clip_ix int, cluster int")
+    def in_blocks(b: DataFrame) -> DataFrame:
+        return blocks.sides(b, _states(b))
+
+    return density.by_size(core, lambda c: _grouped(c, make, "clip_ix int, cluster int"), in_blocks)
+
+
+def _states(b: DataFrame) -> DataFrame:
+    return blocks.cluster_states(b, ROUNDS, SUPPORT, ORDERING)
+
+
+def _strategy() -> Column:
+    return F.when(F.col("forced"), FORCED).otherwise(PLAIN)
 
 
 def clusters(core: DataFrame) -> DataFrame:
@@ -151,7 +165,13 @@ def clusters(core: DataFrame) -> DataFrame:
             pa.array([found["rounds"]] * 2, pa.int32()),
         )
 
-    return _grouped(core, make, "cluster int, weight double, vector array<double>, n long, strategy string, rounds int")
+    columns = "cluster int, weight double, vector array<double>, n long, strategy string, rounds int"
+
+    def in_blocks(b: DataFrame) -> DataFrame:
+        two = [F.struct(F.lit(k).alias("cluster"), (F.col(f"n{k}") / F.col("n")).alias("weight"), F.col(f"c{k}").alias("vector")) for k in (0, 1)]
+        return _states(b).select("profile_id", F.explode(F.array(*two)).alias("x"), "n", _strategy().alias("strategy"), "rounds").select("profile_id", "x.*", "n", "strategy", "rounds")
+
+    return density.by_size(core, lambda c: _grouped(c, make, columns), in_blocks)
 
 
 def seed_clips(core: DataFrame) -> DataFrame:
@@ -161,7 +181,7 @@ def seed_clips(core: DataFrame) -> DataFrame:
         first, second = seeds(unit)
         return pa.array(ix[[first]], pa.int32()), pa.array(ix[[second]], pa.int32())
 
-    return _grouped(core, make, "first_clip int, second_clip int")
+    return density.by_size(core, lambda c: _grouped(c, make, "first_clip int, second_clip int"), blocks.seeds)
 
 
 def representatives(core: DataFrame) -> DataFrame:
@@ -185,7 +205,8 @@ KINDS = (
 def summary(ix: np.ndarray, unit: np.ndarray, fraction: float) -> list[pa.Array]:
     """One row of ``SUMMARY`` columns for the clips of a profile, in clip order.
 
-    ``assignments`` follows the clips, -1 for a trimmed one; axes and diversity are of all clips.
+    ``assignments`` follows the clips, -1 for a trimmed one; axes are of all
+    clips, diversity is theirs too, to the global vector of those kept.
     """
     began = time.perf_counter()
     out, threshold = density.trim(unit, fraction)
@@ -198,12 +219,49 @@ def summary(ix: np.ndarray, unit: np.ndarray, fraction: float) -> list[pa.Array]
     shares, (low, high) = principal(unit)
     row = [
         [{"role": r, "weight": w, "vector": v} for r, w, v in vectors], sides, found["strategy"], len(core), ix[out], threshold,
-        shares, ix[low], ix[high], float(1.0 - (unit @ unit_mean(unit)).mean()),
+        shares, ix[low], ix[high], float(1.0 - (unit @ whole).mean()),
     ]
     return [pa.array([v], kind) for v, kind in zip([*row, 1000 * (time.perf_counter() - began)], KINDS)]
 
 
 def aggregate(clips: DataFrame, max_outlier_fraction: float = 0.0) -> DataFrame:
-    """(profile_id, and ``SUMMARY``): one row for each profile of rows (profile_id, clip_ix, embedding), in one grouped pass."""
+    """(profile_id, and ``SUMMARY``): one row for each profile of rows (profile_id, clip_ix, embedding).
+
+    One grouped pass, but for profiles too large for it; theirs takes many tasks, so ``aggregate_ms`` is null.
+    """
     density.check_fraction(max_outlier_fraction)
-    return _grouped(normalised(clips), lambda ix, unit: summary(ix, unit, max_outlier_fraction), SUMMARY)
+
+    def grouped(c: DataFrame) -> DataFrame:
+        return _grouped(c, lambda ix, unit: summary(ix, unit, max_outlier_fraction), SUMMARY)
+
+    return density.by_size(normalised(clips), grouped, lambda b: _summary_of_blocks(b, max_outlier_fraction))
+
+
+def _summary_of_blocks(whole: DataFrame, fraction: float) -> DataFrame:
+    """``summary`` of the profiles in blocks."""
+    none = F.lit(None)
+    core, limits = whole, whole.select("profile_id", F.array().cast("array<int>").alias("outliers"), none.cast("double").alias("threshold")).distinct()
+    gone = None
+    if fraction:
+        trim = written(density.outliers(blocks.density(whole), fraction))
+        order = F.array_sort(F.collect_list(F.when(F.col("outlier"), F.struct("density", "clip_ix"))))
+        limits = trim.groupBy("profile_id").agg(F.transform(order, lambda x: x["clip_ix"]).alias("outliers"), F.max("threshold").alias("threshold"))
+        gone = trim.filter("outlier").select("profile_id", "clip_ix")
+        each = whole.select("profile_id", F.explode("clips").alias("x")).select("profile_id", "x.*")
+        core = blocks.blocked(each.join(gone, ["profile_id", "clip_ix"], "left_anti"))
+    states, middle = _states(core), written(blocks.means(core).select("profile_id", "vector"))
+    sides = blocks.sides(core, states)
+    if gone is not None:
+        sides = sides.unionByName(gone.withColumn("cluster", F.lit(-1)))
+    # a number a clip, as an export row has it
+    sides = sides.groupBy("profile_id").agg(F.array_sort(F.collect_list(F.struct("clip_ix", "cluster"))).alias("s")).select("profile_id", F.expr("s.cluster").alias("assignments"))
+    spread = blocks.closeness(blocks.means(whole), middle)
+    met = states
+    for other in (middle, sides, limits, blocks.principal(whole), spread):
+        met = met.join(other, "profile_id")
+    roles = zip(ROLES, (F.lit(1.0), F.col("n0") / F.col("n"), F.col("n1") / F.col("n")), ("vector", "c0", "c1"))
+    vectors = F.array(*[F.struct(F.lit(r).alias("role"), w.alias("weight"), F.col(v).alias("vector")) for r, w, v in roles])
+    return met.select(
+        "profile_id", vectors.alias("vectors"), "assignments", _strategy().alias("strategy"), F.col("n").alias("core_count"),
+        "outliers", "threshold", "variance", "low_clip", "high_clip", "diversity", none.cast("double").alias("aggregate_ms"),
+    )

@@ -1,8 +1,7 @@
 """The shared tables as the engine's inputs.
 
 A profile is a label of ``embeddings``, and its clips are that label's vectors
-by vec_id; of every ``PART`` vec_ids there is a profile of its own, so a
-profile stays bounded as a recording is. A recording's length is a document's
+by vec_id, however many they are. A recording's length is a document's
 number of characters. A window of samples is a user's events, scaled so that
 each kind of rejection occurs; every ``EVENTS`` event_ids begin a new window.
 Generated windows are sampled from formulas that SQL can evaluate too.
@@ -23,15 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Profiles of one part of the vec_ids are numbered from this times the part's number.
-PART, BASE = 5000, 1000
 EVENTS = 100_000
 RATE = 48_000
 
 
 def _clips(spark: SparkSession, sf_dir: str, number: Column) -> DataFrame:
-    part = F.floor(F.col("vec_id") / PART)
-    rows = table(spark, sf_dir, "embeddings").select((number + BASE * part).cast("int").alias("profile_id"), "vec_id", "embedding")
+    rows = table(spark, sf_dir, "embeddings").select(number.cast("int").alias("profile_id"), "vec_id", "embedding")
     order = Window.partitionBy("profile_id").orderBy("vec_id")
     return rows.select("profile_id", (F.row_number().over(order) - 1).alias("clip_ix"), "embedding")
 

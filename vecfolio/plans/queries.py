@@ -27,7 +27,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = sql
+            ORACLE_SQL[f.__name__] = sql.replace("WITH ", "WITH RECURSIVE ", 1) if "UNION ALL" in sql and sql.startswith("WITH ") else sql
         return f
 
     return add
@@ -36,15 +36,15 @@ def query(sql: str | None = None):
 # --- SQL parts -----------------------------------------------------------------
 
 _UNIT = """
-clips AS (SELECT CAST(label + 1000 * (vec_id // 5000) AS INTEGER) AS profile_id,
-  CAST(row_number() OVER (PARTITION BY label, vec_id // 5000 ORDER BY vec_id) - 1 AS INTEGER) AS clip_ix, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+clips AS (SELECT CAST(label AS INTEGER) AS profile_id,
+  CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS clip_ix, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 unit AS (SELECT profile_id, clip_ix, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM clips)"""
-_HALVES = _UNIT.replace("label + 1000", "label * 2 + vec_id % 2 + 1000").replace("BY label, vec_id // 5000", "BY label, vec_id % 2, vec_id // 5000")
+_HALVES = _UNIT.replace("CAST(label AS", "CAST(label * 2 + vec_id % 2 AS").replace("BY label", "BY label, vec_id % 2")
 
 
 def _of_source(sql: str) -> str:
     """The SQL over a table ``src`` of named profiles."""
-    return sql.replace("CAST(label + 1000 * (vec_id // 5000) AS INTEGER)", "label").replace("BY label, vec_id // 5000", "BY label").replace("FROM embeddings", "FROM src")
+    return sql.replace("CAST(label AS INTEGER)", "label").replace("FROM embeddings", "FROM src")
 
 
 def _means(rows: str, keys: str, name: str) -> str:
@@ -80,38 +80,42 @@ second_ AS (SELECT profile_id, any_value(first_clip) AS first_clip, arg_min(clip
   (SELECT u.profile_id, u.clip_ix, f.first_clip, list_dot_product(u.u, c.u) AS s FROM {unit} u JOIN first_ f USING (profile_id)
    JOIN {unit} c ON c.profile_id = u.profile_id AND c.clip_ix = f.first_clip) GROUP BY profile_id),
 state AS (
-  SELECT 0 AS k, s.profile_id, a.u AS c0, b.u AS c1, false AS forced FROM second_ s
-    JOIN {unit} a ON a.profile_id = s.profile_id AND a.clip_ix = s.first_clip JOIN {unit} b ON b.profile_id = s.profile_id AND b.clip_ix = s.second_clip),
-"""
+  SELECT 0 AS k, s.profile_id, a.u AS c0, b.u AS c1, false AS forced, CAST(NULL AS INT[]) AS sides, CAST(0 AS BIGINT) AS n0, CAST(0 AS BIGINT) AS n, false AS settled FROM second_ s
+    JOIN {unit} a ON a.profile_id = s.profile_id AND a.clip_ix = s.first_clip JOIN {unit} b ON b.profile_id = s.profile_id AND b.clip_ix = s.second_clip"""
 )
 
 
-def _kmeans(unit: str, rounds: int) -> str:
-    """CTEs: two-centre clustering by so many plain rounds; ``done`` has (profile_id, clip_ix, side, forced), sides named by the seeds."""
-    sql = _KMEANS_TAIL.replace("{unit}", unit)
-    before = "state"
-    for k in range(rounds):
-        sql += f"""
-lean{k} AS (SELECT u.profile_id, u.clip_ix, u.u, forced, list_dot_product(u.u, c0) - list_dot_product(u.u, c1) AS p FROM {unit} u JOIN {before} USING (profile_id)),
-cnt{k} AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (p >= 0) OVER w AS n0,
-  row_number() OVER (PARTITION BY profile_id ORDER BY p DESC, clip_ix) AS r FROM lean{k} WINDOW w AS (PARTITION BY profile_id)),
-side{k} AS (SELECT profile_id, clip_ix, u, CASE WHEN least(n0, n - n0) >= (n + 9) // 10 THEN CAST(p < 0 AS INT)
-  WHEN n0 < (n + 9) // 10 THEN CAST(r > (n + 9) // 10 AS INT) ELSE CAST(r > n - (n + 9) // 10 AS INT) END AS side,
-  forced OR least(n0, n - n0) < (n + 9) // 10 AS forced FROM cnt{k}),"""
-        sql += _means(f"side{k}", "profile_id, side", f"cen{k}") + ","
-        sql += f"""
-state{k} AS (SELECT profile_id, any_value(g) FILTER (side = 0) AS c0, any_value(g) FILTER (side = 1) AS c1,
-  (SELECT bool_or(forced) FROM side{k} s WHERE s.profile_id = c.profile_id) AS forced FROM cen{k} c GROUP BY profile_id),"""
-        before = f"state{k}"
-    last = rounds - 1
-    return (
-        sql
-        + f"""
-sized AS (SELECT profile_id, side, count(*) AS n, bool_or(forced) AS forced FROM side{last} GROUP BY profile_id, side),
-placed AS (SELECT z.*, g, row_number() OVER (PARTITION BY z.profile_id ORDER BY n DESC, g[1:8]) - 1 AS cluster
-  FROM sized z JOIN cen{last} c ON z.profile_id = c.profile_id AND z.side = c.side),
-done AS (SELECT s.profile_id, s.clip_ix, p.cluster FROM side{last} s JOIN placed p ON s.profile_id = p.profile_id AND s.side = p.side)"""
-    )
+#: The sum of the vectors of a side, in clip order.
+_SIDE_SUM = "list_reduce(list(u ORDER BY clip_ix) FILTER (side = {k}), lambda a, b: list_transform(list_zip(a, b), lambda x: x[1] + x[2]))"
+
+
+def _near(a: str, b: str) -> str:
+    return f"list_bool_and(list_transform(list_zip({a}, {b}), lambda x: abs(x[1] - x[2]) <= 1e-8::DOUBLE + 1e-5::DOUBLE * abs(x[2])))"
+
+
+def _kmeans(unit: str) -> str:
+    """CTEs: two-centre clustering by plain rounds until its stop rule; ``done`` has (profile_id, clip_ix, cluster) and ``placed`` the centres."""
+    unit_of = "list_transform({0}, lambda x: x / sqrt(list_dot_product({0}, {0})))"
+    return _KMEANS_TAIL.replace("{unit}", unit) + f"""
+  UNION ALL
+  SELECT k, profile_id, m0, m1, forced, sides, n0, n, coalesce(sides = before AND {_near('m0', 'c0')} AND {_near('m1', 'c1')}, false) FROM (
+    SELECT *, {unit_of.format('s0')} AS m0, {unit_of.format('s1')} AS m1 FROM (
+      SELECT profile_id, any_value(k) + 1 AS k, any_value(c0) AS c0, any_value(c1) AS c1, any_value(before) AS before, bool_or(forced) AS forced,
+        list(side ORDER BY clip_ix) AS sides, count(*) FILTER (side = 0) AS n0, count(*) AS n, {_SIDE_SUM.format(k=0)} AS s0, {_SIDE_SUM.format(k=1)} AS s1 FROM (
+        SELECT *, CASE WHEN least(on0, size - on0) >= (size + 9) // 10 THEN CAST(p < 0 AS INT)
+            WHEN on0 < (size + 9) // 10 THEN CAST(r > (size + 9) // 10 AS INT) ELSE CAST(r > size - (size + 9) // 10 AS INT) END AS side,
+          before_forced OR least(on0, size - on0) < (size + 9) // 10 AS forced FROM (
+          SELECT *, count(*) OVER w AS size, count(*) FILTER (p >= 0) OVER w AS on0, row_number() OVER (PARTITION BY profile_id ORDER BY p DESC, clip_ix) AS r FROM (
+            SELECT u.profile_id, u.clip_ix, u.u, s.k, s.c0, s.c1, s.sides AS before, s.forced AS before_forced, list_dot_product(u.u, s.c0) - list_dot_product(u.u, s.c1) AS p
+            FROM {unit} u JOIN state s USING (profile_id) WHERE NOT s.settled AND s.k < 50)
+          WINDOW w AS (PARTITION BY profile_id)))
+      GROUP BY profile_id))),
+last_ AS MATERIALIZED (SELECT * FROM state WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY k DESC) = 1),
+each_ AS (SELECT profile_id, 0 AS side, n0 AS n, c0 AS g, forced FROM last_ UNION ALL SELECT profile_id, 1, n - n0, c1, forced FROM last_),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY n DESC, g[1:8]) - 1 AS cluster FROM each_),
+listed AS (SELECT profile_id, unnest(sides) AS side, unnest(range(len(sides))) AS i FROM last_),
+done AS (SELECT l.profile_id, c.clip_ix, cluster FROM listed l JOIN placed p USING (profile_id, side)
+  JOIN (SELECT profile_id, clip_ix, row_number() OVER (PARTITION BY profile_id ORDER BY clip_ix) - 1 AS i FROM {unit}) c ON c.profile_id = l.profile_id AND c.i = l.i)"""
 
 
 def _axes(rows: str, key: str, n_axes: int, squarings: int = 13) -> str:
@@ -141,10 +145,8 @@ whole_value AS (SELECT {key}, sum(v) AS v FROM scatter0 WHERE i = j GROUP BY {ke
 shares AS (""" + " UNION ALL ".join(f"SELECT {key}, {k} AS axis, greatest(value{k}.v, 0) / w.v AS share FROM value{k} JOIN whole_value w USING ({key})" for k in range(n_axes)) + ")"
 
 
-#: Rounds that the SQL runs; the shared tables settle in 14 at most, and further rounds change nothing.
-_ROUNDS = 16
-_CLUSTERED = _UNIT + _kmeans("unit", _ROUNDS)
-_HALVES_CLUSTERED = _HALVES + _kmeans("unit", _ROUNDS)
+_CLUSTERED = _UNIT + _kmeans("unit")
+_HALVES_CLUSTERED = _HALVES + _kmeans("unit")
 
 
 def _quality(raw: str, keys: str, frame: int = 2048, stride: int = 8, cap: int = 65_536) -> str:
@@ -458,7 +460,7 @@ def core_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.join(unit.groupBy("profile_id").agg(F.count(F.lit(1)).alias("input_count")), "profile_id")
 
 
-@query(f"WITH {_UNIT}{_KMEANS_TAIL.replace('{unit}', 'unit').rstrip().rstrip(',')} SELECT profile_id, first_clip, second_clip FROM second_")
+@query(f"WITH {_UNIT}{_KMEANS_TAIL.replace('{unit}', 'unit')}) SELECT profile_id, first_clip, second_clip FROM second_")
 def kmeans_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.seed_clips(data.unit_clips(spark, sf_dir))
 
@@ -492,7 +494,7 @@ src AS (SELECT 'long' AS label, i AS vec_id, [1::DOUBLE, i * 0.001::DOUBLE, 0] A
   UNION ALL SELECT 'dozen', i, [1::DOUBLE, 0, 0] FROM range(12) t(i) UNION ALL SELECT 'pair', i, [1::DOUBLE, 0, 0] FROM range(2) t(i))"""
 
 
-@query(f"""WITH {_SUPPORT_SQL},{_of_source(_UNIT)}{_kmeans('unit', 8)}
+@query(f"""WITH {_SUPPORT_SQL},{_of_source(_UNIT)}{_kmeans('unit')}
 SELECT profile_id, CAST(cluster AS INTEGER) AS cluster, n AS size, round(n / sum(n) OVER (PARTITION BY profile_id), 6) AS weight,
   CASE WHEN bool_or(forced) OVER (PARTITION BY profile_id) THEN 'minimum_support_spherical_kmeans' ELSE 'spherical_kmeans' END AS strategy FROM placed""")
 def min_support_injected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -553,7 +555,15 @@ def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_job_operator.export_rows(found.withColumn("duration_s", (F.col("considered") * 25).cast("double")), 0.1)
 
 
-@query(f"""WITH {_CLUSTERED}
+#: CTEs of a table of clips: the clips that trimming at a tenth leaves, ``core``, and their clusters.
+_TRIMMED = """,
+ordered AS (SELECT d.profile_id, d.clip_ix, d.density, d.n, CASE WHEN d.n >= 8 THEN threshold END AS threshold,
+  row_number() OVER (PARTITION BY d.profile_id ORDER BY d.density, d.clip_ix) AS r FROM density d JOIN limits USING (profile_id)),
+judged AS MATERIALIZED (SELECT *, coalesce(density < threshold AND r <= greatest(1, floor(n * 0.1)), false) AS outlier FROM ordered),
+core AS MATERIALIZED (SELECT u.* FROM unit u JOIN judged USING (profile_id, clip_ix) WHERE NOT outlier)"""
+
+
+@query(f"""WITH {_DENSITY}{_TRIMMED}{_kmeans('core')}
 SELECT CAST(profile_id AS VARCHAR) AS profile_id, role, round(weight, 6) AS weight, round(round(g[1], 8), 6) + 0.0 AS head FROM (
   SELECT profile_id, 'global' AS role, 1::DOUBLE AS weight, g FROM whole UNION ALL
   SELECT profile_id, 'cluster_' || (cluster + 1), n / sum(n) OVER (PARTITION BY profile_id), g FROM placed)""")
@@ -689,7 +699,7 @@ def catalogue_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contract.table_violations(held, vectors, 64)
 
 
-@query("SELECT CAST(label + 1000 * (vec_id // 5000) AS VARCHAR) AS profile_id, 64 AS dimensions, count(*) AS windows FROM embeddings GROUP BY label, vec_id // 5000")
+@query("SELECT CAST(label AS VARCHAR) AS profile_id, 64 AS dimensions, count(*) AS windows FROM embeddings GROUP BY label")
 def export_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exports written as JSON documents and parsed again by the contract's schema."""
     body = "struct<" + ",".join(p.replace(" ", ":", 1) for p in contract.SCHEMA.split(", ")[1:]) + ">"
@@ -701,9 +711,9 @@ def export_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _catalogue(spark: SparkSession, sf_dir: str, halves: bool = False) -> DataFrame:
-    """Pivoted profiles, ordinals by profile; those of one part of the vec_ids are one map request."""
+    """Pivoted profiles, ordinals by profile; all are one map request."""
     unit = data.half_clips(spark, sf_dir) if halves else data.unit_clips(spark, sf_dir)
-    rows = profiles.representatives(unit).withColumn("map_id", F.floor(F.col("profile_id") / data.BASE)).withColumnRenamed("profile_id", "ordinal")
+    rows = profiles.representatives(unit).withColumn("map_id", F.lit(0).cast("long")).withColumnRenamed("profile_id", "ordinal")
     return catalogue.pivoted(rows, "map_id", "ordinal")
 
 
@@ -713,7 +723,7 @@ prof AS (SELECT g.profile_id, g.g, any_value(p.g) FILTER (cluster = 0) AS c1, an
   FROM whole g JOIN placed p ON p.profile_id = g.profile_id GROUP BY g.profile_id, g.g),
 cos4 AS (SELECT a.profile_id AS l, b.profile_id AS r, list_dot_product(a.g, b.g) AS gs, a.w1 AS aw1, a.w2 AS aw2, b.w1 AS bw1, b.w2 AS bw2,
   list_dot_product(a.c1, b.c1) AS s11, list_dot_product(a.c1, b.c2) AS s12, list_dot_product(a.c2, b.c1) AS s21, list_dot_product(a.c2, b.c2) AS s22
-  FROM prof a JOIN prof b ON a.profile_id <> b.profile_id AND a.profile_id // 1000 = b.profile_id // 1000),
+  FROM prof a JOIN prof b ON a.profile_id <> b.profile_id),
 cov AS (SELECT l, r, gs, 0.5::DOUBLE * (aw1 * greatest(s11, s12) + aw2 * greatest(s21, s22) + bw1 * greatest(s11, s21) + bw2 * greatest(s12, s22)) AS cs FROM cos4),
 pairs AS (SELECT l, r, gs, cs, 0.25::DOUBLE * gs + 0.75::DOUBLE * cs AS bs FROM cov),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY bs DESC, r) AS k FROM pairs) WHERE k = 1)"""
@@ -825,7 +835,7 @@ def map_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("*", *shares).drop("axis_explained_variance_ratio")
 
 
-@query(f"""{_ATLAS} SELECT x.profile_id // 1000 AS map_id, x.profile_id AS ordinal, CAST(x.profile_id AS VARCHAR) AS id, 'Set ' || x.profile_id AS label, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y,
+@query(f"""{_ATLAS} SELECT CAST(0 AS BIGINT) AS map_id, x.profile_id AS ordinal, CAST(x.profile_id AS VARCHAR) AS id, 'Set ' || x.profile_id AS label, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y,
   CAST(r AS VARCHAR) AS nearest_id, 'Set ' || r AS nearest_label, round(bs, 6) AS similarity FROM xy x LEFT JOIN near n ON n.l = x.profile_id""")
 def map_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The map's JSON, read back."""
