@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecfolio import config
-from vecfolio.operators import atlas, catalogue, contract, evaluation, jobs, library
+from vecfolio.operators import atlas, catalogue, contract, evaluation, jobs, library, nearest
 
 VECTORS = "map_id int, ordinal int, id string, role string, weight double, vector array<double>"
 
@@ -33,7 +33,7 @@ def test_nearest_and_alone(spark):
     rows = pivot(spark, profile(0, 0.0), profile(1, 0.1), profile(2, 2.0), profile(0, 1.0, map_id=2))
     found = {(r["map_id"], r["ordinal"]): r["nearest"] for r in catalogue.request_nearest(rows).collect()}
     assert found == {(1, 0): 1, (1, 1): 0, (1, 2): 1, (2, 0): None}
-    blocks = catalogue.nearest_in_catalogue(rows.filter("map_id = 1"), 3)
+    blocks = nearest.nearest_in_catalogue(rows.filter("map_id = 1"))
     assert {r["ordinal"]: r["nearest"] for r in blocks.collect()} == {0: 1, 1: 0, 2: 1}
 
 
@@ -41,15 +41,29 @@ def test_equal_ids_and_ties(spark):
     rows = pivot(spark, *[profile(i, 0.3, "same") for i in range(3)])
     found = {r["ordinal"]: r["nearest"] for r in catalogue.request_nearest(rows).collect()}
     assert found == {0: 1, 1: 0, 2: 0}
-    assert {r["ordinal"]: r["nearest"] for r in catalogue.nearest_in_catalogue(rows, 3).collect()} == found
-
-
-def test_blocks_match_pairs(spark, monkeypatch):
-    monkeypatch.setattr(catalogue, "BLOCK", 7)
-    rows = pivot(spark, *[profile(i, a) for i, a in enumerate(np.random.default_rng(2).uniform(0, 6, 30))])
-    a = {r["ordinal"]: (r["nearest"], round(r["similarity"], 9)) for r in catalogue.request_nearest(rows).collect()}
-    b = {r["ordinal"]: (r["nearest"], round(r["similarity"], 9)) for r in catalogue.nearest_in_catalogue(rows, 30).collect()}
-    assert a == b
+    assert {r["ordinal"]: r["nearest"] for r in nearest.nearest_in_catalogue(rows).collect()} == found
+
+
+@pytest.mark.parametrize("whole_only", [False, True])
+def test_pruned_blocks_match_all_pairs(spark, monkeypatch, whole_only):
+    """The rows of brute force, with most pairs of blocks skipped where profiles form groups."""
+    monkeypatch.setattr(nearest, "BLOCK", 12)
+    r = np.random.default_rng(2)
+    hills = r.normal(size=(30, 24))
+    x = {n: hills[np.arange(360) % 30] + s * r.normal(size=(360, 24)) for n, s in (("g", 0.05), ("c1", 0.05), ("c2", 0.1))}
+    x = {n: v / np.linalg.norm(v, axis=1, keepdims=True) for n, v in x.items()}
+    for v in x.values():
+        v[7], v[300] = v[37], v[37]  # equal profiles: ties
+    w = r.uniform(0.5, 1, 360)
+    rows = [(3 * i, *[x[n][i].tolist() for n in x], float(w[i]), float(1 - w[i])) for i in range(360)]
+    report = nearest.Report()
+    table = spark.createDataFrame(rows, "ordinal int, g array<double>, c1 array<double>, c2 array<double>, w1 double, w2 double")
+    found = {r["ordinal"]: (r["nearest"], round(r["similarity"], 9)) for r in nearest.nearest_in_catalogue(table, whole_only, report).collect()}
+    side = {**x, "w": np.column_stack([w, 1 - w]), "id": 3 * np.arange(360)}
+    ids, near, value = nearest._best(side, side, whole_only)
+    assert found == {int(i): (int(b), round(float(v), 9)) for i, b, v in zip(ids, near, value)}
+    assert report.blocks > 20 and report.skipped > 0.5
+    assert not nearest.nearest_in_catalogue(table.limit(0)).count() and not nearest.nearest_in_catalogue(table.limit(1)).count()
 
 
 def test_coverage_is_symmetric_and_bounded(spark):

@@ -1,14 +1,11 @@
 """Similarity, nearest profiles and retrieval over a catalogue of profiles.
 
 Pairs within a map request (at most 100 profiles) are a join on the request.
-Over a whole catalogue, profiles are dealt to blocks and each pair of blocks is
-a matrix product in one Arrow group that returns a row's best only.
+Nearest profiles over a whole catalogue are in ``nearest``.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +14,6 @@ from .contract import MOST_PROFILES
 from .profiles import ROLES
 
 GLOBAL_WEIGHT, CLUSTER_WEIGHT = 0.25, 0.75
-BLOCK = 2048
 
 
 def pivoted(vectors: DataFrame, *keys: str) -> DataFrame:
@@ -97,44 +93,6 @@ def request_nearest(profiles: DataFrame) -> DataFrame:
     return profiles.select("map_id", "ordinal").join(best, ["map_id", "ordinal"], "left")
 
 
-def nearest_in_catalogue(profiles: DataFrame, n_profiles: int, whole_only: bool = False) -> DataFrame:
-    """(ordinal, nearest, similarity): each profile's nearest among all pivoted rows with a unique ``ordinal``."""
-    blocks = n_profiles // BLOCK + 1
-    own = F.pmod(F.xxhash64("ordinal"), F.lit(blocks)).cast("int")
-    rows = profiles.select(F.col("ordinal").cast("long").alias("ordinal"), "g", "c1", "c2", "w1", "w2", own.alias("own"))
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
-
-    def run(t: pa.Table) -> pa.Table:
-        ids, own = t.column("ordinal").to_numpy(), t.column("own").to_numpy()
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        part = {n: np.stack(t.column(n).to_numpy()) for n in ("g", "c1", "c2")}
-        w = np.column_stack([t.column("w1").to_numpy(), t.column("w2").to_numpy()])
-        out: list[tuple] = []
-        a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        score = part["g"][a] @ part["g"][b].T
-        if not whole_only:
-            s = [[part[x][a] @ part[y][b].T for y in ("c1", "c2")] for x in ("c1", "c2")]
-            left = sum(w[a, k][:, None] * np.maximum(s[k][0], s[k][1]) for k in (0, 1))
-            right = sum(w[b, k][None, :] * np.maximum(s[0][k], s[1][k]) for k in (0, 1))
-            score = GLOBAL_WEIGHT * score + CLUSTER_WEIGHT * 0.5 * (left + right)
-        score[ids[a][:, None] == ids[b][None, :]] = -np.inf
-        for rows, cols, m in ((a, b, score), (b, a, score.T))[: 1 if i == j else 2]:
-            if not len(rows) or not len(cols):
-                continue
-            order = np.argsort(ids[cols], kind="stable")
-            best = np.argmax(m[:, order], axis=1)
-            value = m[np.arange(len(rows)), order[best]]
-            seen = value > -np.inf
-            out.append((ids[rows][seen], ids[cols][order[best]][seen], value[seen]))
-        made = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-        return pa.table([pa.array(c) for c in made], ["ordinal", "nearest", "similarity"])
-
-    found = met.groupBy("i", "j").applyInArrow(run, "ordinal long, nearest long, similarity double")
-    best = F.max(F.struct("similarity", (-F.col("nearest")).alias("minus"))).alias("best")
-    return found.groupBy("ordinal").agg(best).select("ordinal", (-F.col("best.minus")).alias("nearest"), F.col("best.similarity").alias("similarity"))
-
-
 def match_vectors(vectors: DataFrame, query: list[float], k: int = 20, role: str | None = None, model_revision: str | None = None) -> DataFrame:
     """(profile_id, role, similarity) of the k vectors nearest to the query by cosine, one at least.
 

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import display
 from ..functions.vectors import dot, shown
-from ..operators import atlas, catalogue, contract, density, diagnostics, embedding, evaluation, jobs, library, profiles, quality, sampling
+from ..operators import atlas, catalogue, contract, density, diagnostics, embedding, evaluation, jobs, library, nearest, profiles, quality, sampling, vector_index
 from ..operators import profile_job as profile_job_operator
 from ..sources import profiles as documents
 from ..sources import recordings
+from ..scratch import scratch
 from ..streaming import profiles as streams
 from . import clips as data
 
@@ -761,11 +762,58 @@ def nearest_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_HALVES_MAP} SELECT CAST(l AS BIGINT) AS profile_id, CAST(r AS BIGINT) AS nearest_id, round(bs, 6) + 0.0 AS similarity FROM near")
 def nearest_in_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _catalogue(spark, sf_dir, halves=True)
-    found = catalogue.nearest_in_catalogue(rows, rows.count())
+    found = nearest.nearest_in_catalogue(_catalogue(spark, sf_dir, halves=True))
     return found.select(F.col("ordinal").alias("profile_id"), F.col("nearest").alias("nearest_id"), shown(F.col("similarity")).alias("similarity"))
 
 
+# --- nearest over many profiles, and the index ---------------------------------------
+
+_PATCHES = """
+src AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS u FROM embeddings),
+near0 AS (SELECT a.id AS l, b.id AS r, list_dot_product(a.u, b.u) AS gs,
+  0.5::DOUBLE * (0.75::DOUBLE * greatest(list_dot_product(a.u, b.u), list_dot_product(a.u, b.t)) + 0.25::DOUBLE * greatest(list_dot_product(a.t, b.u), list_dot_product(a.t, b.t))
+    + 0.75::DOUBLE * greatest(list_dot_product(a.u, b.u), list_dot_product(a.t, b.u)) + 0.25::DOUBLE * greatest(list_dot_product(a.u, b.t), list_dot_product(a.t, b.t))) AS cs
+  FROM turned a JOIN turned b ON a.id <> b.id)"""
+
+
+@query(f"""WITH {_PATCHES.replace('near0 AS', 'turned AS (SELECT id, u, list_concat(u[33:64], u[1:32]) AS t FROM src), near0 AS')}
+SELECT l AS vec_id, r AS nearest_id, round(bs, 6) + 0.0 AS similarity FROM (SELECT l, r, 0.25::DOUBLE * gs + 0.75::DOUBLE * cs AS bs FROM near0)
+QUALIFY row_number() OVER (PARTITION BY l ORDER BY bs DESC, r) = 1""")
+def nearest_of_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as a profile (itself, itself with weight 3/4, its halves exchanged with 1/4): the nearest of all others."""
+    unit = vector_index.unit_rows(data.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+    turned = F.concat(F.slice("unit", 33, 32), F.slice("unit", 1, 32))
+    rows = unit.select(F.col("id").alias("ordinal"), F.col("unit").alias("g"), F.col("unit").alias("c1"), turned.alias("c2"), F.lit(0.75).alias("w1"), F.lit(0.25).alias("w2"))
+    found = nearest.nearest_in_catalogue(rows)
+    return found.select(F.col("ordinal").alias("vec_id"), F.col("nearest").alias("nearest_id"), shown(F.col("similarity")).alias("similarity"))
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """An index of all vectors, and the queries: those whose vec_id is divisible by 100."""
+    rows = data.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    path = scratch(spark, "index")
+    vector_index.build(rows, path)
+    return path, rows.filter("id % 100 = 0")
+
+
+@query("""WITH src AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+scored AS (SELECT q.id AS query_id, c.id AS vec_id, list_cosine_similarity(q.v, c.v) AS s FROM src q JOIN src c ON q.id <> c.id WHERE q.id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, round(s, 6) + 0.0 AS score FROM scored
+WINDOW w AS (PARTITION BY query_id ORDER BY s DESC, vec_id) QUALIFY rank <= 20""")
+def index_search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of each query, all lists of the index read."""
+    path, asked = _indexed(spark, sf_dir)
+    return vector_index.search(spark, path, asked, 20).select("query_id", "rank", F.col("id").alias("vec_id"), shown(F.col("score")).alias("score"))
+
+
+@query()
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found in as many lists as give a recall of 0.95 on measured queries."""
+    path, asked = _indexed(spark, sf_dir)
+    probes = vector_index.probes_for(spark, path, 0.95, 20)
+    return vector_index.search(spark, path, asked, 20, probes).select("query_id", "rank", F.col("id").alias("vec_id"), shown(F.col("score")).alias("score"))
+
+
 def _first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return [float(x) for x in data.table(spark, sf_dir, "embeddings").orderBy("vec_id").first()["embedding"]]
 
