@@ -14,14 +14,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 EMBEDDERS: dict[str, Callable[..., Callable[[list[np.ndarray]], np.ndarray]]] = {}
+#: What exports say of the embedders: id, revision and backend.
+MODELS: dict[str, dict[str, str]] = {}
 BATCH = 64
 
 
-def register(name: str):
+def register(name: str, revision: str = "1", backend: str = "clap", model: str | None = None):
     """Registers a function that makes an embedder; it runs once for each task, so it may load a model."""
 
     def add(make):
         EMBEDDERS[name] = make
+        MODELS[name] = {"id": model or name, "revision": revision, "backend": backend}
         return make
 
     return add
@@ -33,7 +36,7 @@ def make_embedder(name: str, **options):
     return EMBEDDERS[name](**options)
 
 
-@register("spectral")
+@register("spectral", revision="spectral-1", backend="fake")
 def spectral(n_fft: int = 8192, bins: int = 512, stride: int = 16):
     """Log magnitudes of a window's decimated spectrum at evenly spaced bins, centred, of unit length.
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .profile_job import timing
+
 #: Event names and what they say about a job.
 STATUS_OF = {"job_submitted": "queued", "job_processing": "processing", "job_completed": "complete", "job_failed": "failed"}
 #: Progress at the steps of a job.
@@ -61,13 +63,12 @@ def parsed(events: DataFrame, event_name: str) -> DataFrame:
 def outcome_events(outcomes: DataFrame, interval: int, fraction: float, batch: int) -> DataFrame:
     """(job_id, event_name, duration_ms, properties) of finished jobs, rows as ``profile_job.run_jobs`` returns."""
     c = F.col
-    spent = c("filter_ms") + c("embed_ms") + c("aggregate_ms")
-    times = {"filter_compute": c("filter_ms"), "embed": c("embed_ms"), "aggregate": c("aggregate_ms"), "total": spent}
-    timing = F.create_map(*[x for n, ms in times.items() for x in (F.lit(n), F.round(ms).cast("int"))])
+    stages, spent = timing()
+    times = F.create_map(*[x for n, ms in {**stages, "total": spent}.items() for x in (F.lit(n), F.round(ms).cast("int"))])
     done = properties_json(
         windows_considered=c("considered"), windows_retained=c("retained"), windows_filtered=c("filtered"), filter_counts=c("filter_counts"),
         aggregation_core_clip_count=c("core_count").cast("int"), embedding_outlier_count=F.size("outliers"), duration_seconds=c("duration_s"),
-        timing_ms=timing, model_load_ms=F.lit(0), batch_size=F.lit(batch), torch_threads=F.lit(1), interval_seconds=F.lit(interval),
+        timing_ms=times, model_load_ms=F.coalesce(F.round("load_ms").cast("int"), F.lit(0)), batch_size=F.lit(batch), torch_threads=F.lit(1), interval_seconds=F.lit(interval),
         embedding_outlier_max_fraction=F.lit(fraction),
     )
     failed = c("error").isNotNull()
@@ -75,5 +76,5 @@ def outcome_events(outcomes: DataFrame, interval: int, fraction: float, batch: i
         c("profile_id").cast("string").alias("job_id"),
         F.when(failed, "job_failed").otherwise("job_completed").alias("event_name"),
         F.coalesce(spent, F.lit(0.0)).alias("duration_ms"),
-        F.when(failed, properties_json(error_type=c("error"))).otherwise(done).alias("properties"),
+        F.when(failed, properties_json(error_type=c("error_type"))).otherwise(done).alias("properties"),
     )

@@ -22,11 +22,23 @@ def offsets(duration: Column, interval: Column, window: float = WINDOW_SECONDS)
     steps = F.when(interval > 0, F.floor((last + 1e-6) / interval)).otherwise(
         F.raise_error(F.lit("the sample interval must be positive")).cast("long")
     )
-    grid = F.transform(F.sequence(F.lit(0).cast("long"), steps), lambda i: F.round(i * interval, 3))
-    tail = F.when(last - steps * interval >= window, F.array(F.round(last, 3))).otherwise(F.array().cast("array<double>"))
+    grid = F.transform(F.sequence(F.lit(0).cast("long"), steps), lambda i: F.bround(i * interval, 3))
+    tail = F.when(last - steps * interval >= window, F.array(F.bround(last, 3))).otherwise(F.array().cast("array<double>"))
     return F.when(duration <= window, F.array(F.lit(0.0))).otherwise(F.concat(grid, tail))
 
 
+def starts_of(duration: float, interval: float, window: float = WINDOW_SECONDS) -> list[float]:
+    """``offsets`` of one recording, where a task knows its length only once it has opened the file."""
+    if duration <= window:
+        return [0.0]
+    if interval <= 0:
+        raise ValueError("the sample interval must be positive")
+    last = duration - window
+    steps = int((last + 1e-6) // interval)
+    tail = [round(last, 3)] if last - steps * interval >= window else []
+    return [round(i * interval, 3) for i in range(steps + 1)] + tail
+
+
 def windows(recordings: DataFrame, interval: float, window: float = WINDOW_SECONDS) -> DataFrame:
     """(…, window_ix, start_s) for rows with ``duration_s``: one for each window."""
     starts = offsets(F.col("duration_s").cast("double"), F.lit(float(interval)), window)

@@ -50,14 +50,18 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("recording_id"), F.col("n_chars").cast("double").alias("duration_s"))
 
 
-def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, window_ix, samples)."""
+def event_sound() -> Column:
+    """An event's value as a sample in -1 to 1: near silence, loud and clipped, soft, or off the middle, by user."""
     gain = F.element_at(F.array(*[F.lit(g) for g in (1e-5, 1.0, 0.1, 0.3)]), (F.col("user_id") % 4 + 1).cast("int"))
     offset = F.when(F.col("user_id") % 4 == 3, 0.3).otherwise(0.0)
     sign = F.when(F.col("event_id") % 2 == 0, 1.0).otherwise(-1.0)
-    raw = sign * F.col("value") / 100.0 * gain + offset
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sign * F.col("value") / 100.0 * gain + offset))
+
+
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, window_ix, samples)."""
     rows = table(spark, sf_dir, "events").select(
-        "user_id", F.floor(F.col("event_id") / EVENTS).alias("window_ix"), "event_id", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)).alias("x")
+        "user_id", F.floor(F.col("event_id") / EVENTS).alias("window_ix"), "event_id", event_sound().alias("x")
     )
     return gathered(rows, "user_id", "window_ix", order="event_id")
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -337,25 +340,52 @@ def spectral_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- recordings ------------------------------------------------------------------------
 
 
-@query("""WITH f AS (SELECT CAST(n_nationkey AS INTEGER) AS k, 8000 * (1 + n_nationkey % 3) AS rate, 1 + n_nationkey % 2 AS channels, 5 + n_nationkey * 2 AS seconds FROM nation),
-w AS (SELECT k, 0::DOUBLE AS start_s, seconds FROM f WHERE seconds <= 10 UNION ALL
-  SELECT k, unnest(range(CAST(floor((seconds - 10) / 20) AS BIGINT) + 1)) * 20::DOUBLE, seconds FROM f WHERE seconds > 10 UNION ALL
-  SELECT k, seconds - 10::DOUBLE, seconds FROM f WHERE seconds > 10 AND (seconds - 10) % 20 >= 10)
-SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY start_s) - 1 AS INTEGER) AS window_ix, start_s, 48000 AS rate, CAST(least(10, seconds - start_s) * 48000 AS INTEGER) AS n, 0.25::DOUBLE AS level, CAST(NULL AS VARCHAR) AS error FROM w
-UNION ALL SELECT 100, -1, NULL, -1, -1, NULL, 'not decodable' UNION ALL SELECT 101, -1, NULL, -1, -1, NULL, 'over the size limit'""")
+#: Samples a second of the files that the events are written to, seconds of a window and between windows.
+FILE_RATE, FILE_WINDOW, FILE_INTERVAL = 16, 2.0, 5.0
+
+_FILES = f"""
+sound AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n,
+  trunc(greatest(-1::DOUBLE, least(1::DOUBLE, (CASE WHEN event_id % 2 = 0 THEN 1::DOUBLE ELSE -1::DOUBLE END) * value / 100::DOUBLE
+    * [1e-5::DOUBLE, 1::DOUBLE, 0.1::DOUBLE, 0.3::DOUBLE][user_id % 4 + 1] + CASE WHEN user_id % 4 = 3 THEN 0.3::DOUBLE ELSE 0::DOUBLE END)) * 32767) / 32768 AS x FROM events),
+lengths AS (SELECT user_id, count(*) / {FILE_RATE}::DOUBLE AS d FROM sound GROUP BY user_id),
+steps AS (SELECT *, CAST(floor((d - {FILE_WINDOW} + 1e-6::DOUBLE) / {FILE_INTERVAL}) AS BIGINT) AS steps FROM lengths WHERE d <= 100.5 AND user_id % 7 <> 5),
+grid AS (SELECT user_id, 0::DOUBLE AS start_s FROM steps WHERE d <= {FILE_WINDOW}
+  UNION ALL SELECT user_id, unnest(range(steps + 1)) * {FILE_INTERVAL}::DOUBLE FROM steps WHERE d > {FILE_WINDOW}
+  UNION ALL SELECT user_id, round_even(d - {FILE_WINDOW}, 3) FROM steps WHERE d > {FILE_WINDOW} AND d - {FILE_WINDOW} - steps * {FILE_INTERVAL} >= {FILE_WINDOW}),
+placed AS (SELECT user_id, start_s, row_number() OVER (PARTITION BY user_id ORDER BY start_s) - 1 AS window_ix FROM grid),
+heard AS (SELECT user_id, window_ix, start_s, n - round_even(start_s * {FILE_RATE}, 0) AS n, CAST(x AS FLOAT)::DOUBLE AS x FROM placed JOIN sound USING (user_id)
+  WHERE n >= round_even(start_s * {FILE_RATE}, 0) AND n < round_even(start_s * {FILE_RATE}, 0) + {int(FILE_WINDOW * FILE_RATE)})"""
+
+
+def _event_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of wave files, written by tasks: each user's events as one; some end before their format."""
+    root = scratch(spark, "waves")
+    rows = data.table(spark, sf_dir, "events").select("user_id", "event_id", data.event_sound().alias("x"))
+
+    def write(t: pa.Table) -> pa.Table:
+        t = t.sort_by("event_id")
+        who = t.column("user_id")[0].as_py()
+        body = recordings.wave_bytes(t.column("x").to_numpy(), FILE_RATE, 1 + who % 2)
+        store, base = pafs.FileSystem.from_uri(root if ":" in root else os.path.abspath(root))
+        store.create_dir(base)
+        with store.open_output_stream(f"{base}/{who}.wav") as f:
+            f.write(body[:10] if who % 7 == 5 else body)
+        return pa.table({"size": [len(body)]})
+
+    rows.groupBy("user_id").applyInArrow(write, "size long").agg(F.sum("size")).collect()  # one row
+    return root
+
+
+@query(f"""WITH {_FILES}
+SELECT user_id, CAST(window_ix AS INTEGER) AS window_ix, start_s, count(*) AS n, round(avg(x), 6) + 0.0 AS level, CAST(NULL AS VARCHAR) AS error FROM heard GROUP BY ALL
+UNION ALL SELECT user_id, -1, NULL, -1, NULL, CASE WHEN user_id % 7 = 5 THEN 'unreadable' ELSE 'too long' END FROM lengths WHERE user_id % 7 = 5 OR d > 100.5""")
 def decoded_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wave files of several rates and channels, probed, sampled and decoded to 48 kHz mono; one is broken, one too large."""
-    nations = [r["n_nationkey"] for r in data.table(spark, sf_dir, "nation").select("n_nationkey").collect()]  # 25 rows
-    files = [(f"/{k}.wav", recordings.wave_bytes([0.25] * (8000 * (1 + k % 3) * (5 + 2 * k)), 8000 * (1 + k % 3), 1 + k % 2)) for k in nations]
-    files += [("/100.wav", b"RIFF"), ("/101.wav", b"x" * 10_000_000)]
-    rows = spark.createDataFrame(files, "path string, content binary").withColumn("length", F.length("content").cast("long"))
-    found = recordings.sampled(recordings.limited(rows, 9_000_000), 20.0)
-    k = F.regexp_extract("path", r"(\d+)", 1).cast("int")
-    level = F.round(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x) / F.size("samples"), 3)
-    missing = F.col("samples").isNull()
-    error = F.when(F.col("error").startswith("the file is over"), "over the size limit").when(F.col("error").isNotNull(), "not decodable")
-    n = F.when(~missing, F.size("samples"))
-    return found.select(k.alias("k"), "window_ix", "start_s", "rate", n.alias("n"), level.alias("level"), error.alias("error")).fillna(-1, ["window_ix", "rate", "n"])
+    """The events as wave files, read by the source of windows."""
+    found = recordings.read_windows(spark, _event_files(spark, sf_dir), FILE_INTERVAL, seconds=FILE_WINDOW, rate=FILE_RATE, most_seconds=100, range_bytes=512)
+    level = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x) / F.size("samples")
+    error = F.when(F.col("error") == recordings.TOO_LONG, "too long").when(F.col("error").isNotNull(), "unreadable")
+    user = F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long").alias("user_id")
+    return found.select(user, "window_ix", "start_s", F.size("samples").cast("long").alias("n"), shown(level).alias("level"), error.alias("error")).fillna(-1, ["window_ix", "n"])
 
 
 @query("""SELECT doc_id, lower(regexp_extract(name, '\\.([^./]+)$', 1)) IN ('mp3', 'wav', 'flac', 'm4a', 'aac', 'ogg', 'opus') AS audio FROM
@@ -369,6 +399,23 @@ def audio_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the whole job -------------------------------------------------------------------
 
 
+@query(f"""WITH {_FILES},
+{_quality('SELECT user_id, window_ix, n, x FROM heard', 'user_id, window_ix', frame=8, stride=1)},
+counted AS (SELECT user_id, count(*) AS considered, count(*) FILTER (reason IS NULL) AS retained, count(reason) AS filtered FROM decided GROUP BY user_id),
+named AS (SELECT user_id, string_agg(reason || '=' || n, ',' ORDER BY reason) AS filter_counts FROM
+  (SELECT user_id, reason, count(*) AS n FROM decided WHERE reason IS NOT NULL GROUP BY ALL) GROUP BY user_id)
+SELECT user_id, CASE WHEN user_id % 7 = 5 THEN 'UnreadableRecording' WHEN d > 100.5 THEN 'RecordingTooLong' WHEN retained = 0 THEN 'NoUsableWindows' END AS error_type,
+  CAST(coalesce(considered, 0) AS INTEGER) AS considered, CAST(coalesce(retained, 0) AS INTEGER) AS retained, CAST(coalesce(filtered, 0) AS INTEGER) AS filtered,
+  coalesce(filter_counts, '') AS filter_counts, coalesce(retained, 0) AS core_count FROM lengths LEFT JOIN counted USING (user_id) LEFT JOIN named USING (user_id)""")
+def file_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From files to profiles in one call: the events' wave files, and why some have none."""
+    reading = {"seconds": FILE_WINDOW, "rate": FILE_RATE, "range_bytes": 512}
+    made = profile_job_operator.run_files(spark, _event_files(spark, sf_dir), FILE_INTERVAL, RULES, most_seconds=100, reading=reading, n_fft=32, bins=8, stride=1)
+    found = made.fillna(0, ["considered", "retained", "filtered", "core_count"])
+    user = F.regexp_extract("profile_id", r"(\d+)\.wav$", 1).cast("long").alias("user_id")
+    return found.select(user, "error_type", "considered", "retained", "filtered", F.coalesce(_pairs("filter_counts"), F.lit("")).alias("filter_counts"), "core_count")
+
+
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_job_operator.run_jobs(*data.job_tables(spark, sf_dir))
 
@@ -991,7 +1038,7 @@ counted AS (SELECT profile_id, count(*) AS considered, count(*) FILTER (reason I
 SELECT CAST(profile_id AS VARCHAR) AS job_id, CASE WHEN retained > 0 THEN 'job_completed' ELSE 'job_failed' END AS event_name,
   CASE WHEN retained > 0 THEN CAST(considered AS INTEGER) ELSE 0 END AS windows_considered, CASE WHEN retained > 0 THEN CAST(considered - retained AS INTEGER) ELSE 0 END AS windows_filtered,
   CASE WHEN retained > 0 THEN 25 ELSE 0 END AS interval_seconds, CASE WHEN retained > 0 THEN 13 ELSE 1 END AS n_properties,
-  CASE WHEN retained > 0 THEN NULL WHEN duration_s > 14400.5 THEN 'the recording is too long' ELSE 'no window is usable' END AS error_type
+  CASE WHEN retained > 0 THEN NULL WHEN duration_s > 14400.5 THEN 'RecordingTooLong' ELSE 'NoUsableWindows' END AS error_type
 FROM recs LEFT JOIN counted USING (profile_id)""")
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The jobs' telemetry, written as JSON properties and parsed again by kind."""
