@@ -31,6 +31,13 @@ def _unescape(sql: str) -> str:
 
 #: Pieces whose lengths are summed at once.
 STEP = 256
+#: Code points of a part of a formatted string that is cut by itself.
+CUT = 4096
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, once a row: a column that only a lambda uses would be made anew for each of its elements."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
@@ -38,8 +45,9 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
 
     ``loss_spans`` lists (start, len) in code points, from 0, of the escaped
     texts of ``loss_role``, one for each turn. Time grows with a conversation's
-    turns, not with their square: blocks are slices of the sorted turns, and
-    places are sums over whole steps of ``STEP`` pieces and a part of one.
+    turns: blocks are slices of the sorted turns, and places are sums over whole
+    steps of ``STEP`` pieces and a part of one. A conversation is one row, in
+    memory as its formatted string is, so that string should be well below 2 GB.
     """
     role = loss_role.replace("\\", "\\\\").replace("'", "\\'")
     sorted_turns = turns.groupBy("conv_id").agg(
@@ -86,25 +94,21 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
     def total(array: str) -> str:
         return f"aggregate({array}, 0L, (a, x) -> a + x)"
 
-    steps = pieces.select(
-        "conv_id", "formatted", "pieces",
-        F.expr(f"transform(sequence(0, (size(pieces) - 1) div {STEP}), c -> {total(f'slice(pieces.all, cast(c * {STEP} + 1 as int), {STEP})')})").alias("sums"),
-    )
-    steps = steps.withColumn("bases", F.expr(f"transform(sequence(0, size(sums) - 1), c -> {total('slice(sums, 1, c)')})"))
-    return steps.select(
-        "conv_id",
-        "formatted",
-        F.expr(
-            f"""transform(filter(transform(pieces, (p, i) -> named_struct('p', p, 'i', i)), x -> x.p.loss), x -> named_struct(
-                  'start', bases[x.i div {STEP}] + {total(f'slice(pieces.all, cast((x.i div {STEP}) * {STEP} + 1 as int), x.i % {STEP})')} + x.p.lead,
+    sums = f"transform(sequence(0, (size(sizes) - 1) div {STEP}), c -> {total(f'slice(sizes, cast(c * {STEP} + 1 as int), {STEP})')})"
+    bases = f"transform(sequence(0, size(sums) - 1), c -> {total('slice(sums, 1, c)')})"
+    spans = f"""transform(filter(transform(pieces, (p, i) -> named_struct('p', p, 'i', i)), x -> x.p.loss), x -> named_struct(
+                  'start', bases[x.i div {STEP}] + {total(f'slice(sizes, cast((x.i div {STEP}) * {STEP} + 1 as int), x.i % {STEP})')} + x.p.lead,
                   'len', cast(x.p.len as bigint)))"""
-        ).alias("loss_spans"),
-    )
+    placed = _let("sizes", "transform(pieces, p -> p.all)", _let("sums", sums, _let("bases", bases, spans)))
+    return pieces.select("conv_id", "formatted", F.expr(placed).alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """(conv_id, turns, loss_text) recovered from the formatted strings alone."""
     turn = "array<struct<role:string,text:string>>"
+    # a place in a string is found by counting from its beginning, so spans are taken from parts of it
+    parts = f"array_join(slice(cut, cast(s.start div {CUT} + 1 as int), cast((s.start + s.len) div {CUT} - s.start div {CUT} + 1 as int)), '')"
+    span = f"substring({parts}, cast(s.start % {CUT} + 1 as int), cast(s.len as int))"
     return formatted.select(
         "conv_id",
         F.expr(
@@ -114,10 +118,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     p -> named_struct('role', {_unescape(f"substring(b, {len(OPEN) + 1}, instr(b, '>') - {len(OPEN) + 1})")},
                                       'text', {_unescape('p')})))) as {turn})"""
         ).alias("turns"),
-        F.expr(
-            f"""array_join(transform(loss_spans, s ->
-                  {_unescape('substring(formatted, cast(s.start + 1 as int), cast(s.len as int))')}), '')"""
-        ).alias("loss_text"),
+        F.expr(_let("cut", f"regexp_extract_all(formatted, '(?s).{{1,{CUT}}}', 0)", f"array_join(transform(loss_spans, s -> {_unescape(span)}), '')")).alias("loss_text"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 

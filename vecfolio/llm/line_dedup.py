@@ -6,10 +6,11 @@ before them. A line is repeated if its bytes occur more than once in the corpus
 a run. Within a run a rolling hash over the last two line hashes ends a chunk
 where it falls under a bound, and a line of ``long_line`` words is a chunk of
 its own; chunk ends depend on content only, so shifted passages are cut alike
-from the first end inside on. A line beside a passage that is repeated elsewhere
-joins the passage's first or last chunk, unless ``edges`` parts them: the
-pipeline asks for that, OP6_SQL doesn't have it. Chunks of runs of two lines or of ``long_line`` words that occur
-again are removed everywhere but at the first place by (doc_id, row hash, line).
+from the first end inside on. A chunk also ends between two lines that follow
+each other only once in the corpus, so that a line beside a passage that is
+repeated elsewhere doesn't join the passage's first or last chunk (``edges``).
+Chunks of runs of two lines or of ``long_line`` words that occur again are
+removed everywhere but at the first place by (doc_id, row hash, line).
 
 Defined results: a null text stays null; an empty one stays empty; a document
 all of whose lines go is kept with an empty text; a passage repeated within one
@@ -46,7 +47,7 @@ def lines(docs: DataFrame) -> DataFrame:
     ).select("doc_id", "row_hash", "line_no", "x.pos", F.coalesce("x.upto", "n").alias("upto"), "x.line")
 
 
-def removed_lines(docs: DataFrame, long_line: int = LONG_LINE, edges: bool = False) -> DataFrame:
+def removed_lines(docs: DataFrame, long_line: int = LONG_LINE, edges: bool = True) -> DataFrame:
     """(doc_id, row_hash, removed, n_removed): places of the lines to remove.
 
     With ``edges`` a chunk also ends between two lines that follow each other
@@ -111,7 +112,7 @@ def removed_lines(docs: DataFrame, long_line: int = LONG_LINE, edges: bool = Fal
     )
 
 
-def dedup_lines(docs: DataFrame, long_line: int = LONG_LINE, edges: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, long_line: int = LONG_LINE, edges: bool = True) -> DataFrame:
     """``docs`` with repeated chunks removed from text, and a column ``n_removed``."""
     need = ["doc_id", "text"]
     keyed = packed(docs, need).withColumn("row_hash", F.xxhash64(*need, "_rest"))
@@ -147,12 +148,16 @@ WITH every AS (
 ), found AS (
   SELECT * FROM filled WHERE line IN (SELECT line FROM filled GROUP BY line HAVING count(*) > 1)
 ), runs AS (
-  SELECT *, coalesce(line_no - lag(line_no) OVER w <> 1, true) AS starts_run, lag(h) OVER w AS before
+  SELECT *, coalesce(line_no - lag(line_no) OVER w <> 1, true) AS starts_run, CASE WHEN line_no - lag(line_no) OVER w = 1 THEN lag(h) OVER w END AS before
   FROM found WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)
+), often AS (
+  SELECT before, h, true AS joined FROM runs WHERE before <> h GROUP BY before, h HAVING count(*) > 1
+), edged AS (
+  SELECT r.*, joined IS NULL AS edge FROM runs r LEFT JOIN often USING (before, h)
 ), ended AS (
-  SELECT *, left(md5(CASE WHEN starts_run THEN '' ELSE before END || h), 1) < '{BOUND}' OR words >= {LONG_LINE} AS ends FROM runs
+  SELECT *, left(md5(CASE WHEN edge THEN '' ELSE before END || h), 1) < '{BOUND}' OR words >= {LONG_LINE} AS ends FROM edged
 ), marked AS (
-  SELECT *, coalesce(starts_run OR lag(ends) OVER w OR words >= {LONG_LINE}, true) AS starts
+  SELECT *, coalesce(edge OR lag(ends) OVER w OR words >= {LONG_LINE}, true) AS starts
   FROM ended WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)
 ), numbered AS (
   SELECT *, sum(starts_run::INT) OVER w AS run, sum(starts::INT) OVER w AS chunk
