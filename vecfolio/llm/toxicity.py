@@ -31,12 +31,14 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, materialise, packed, table, unpacked
 
 SAMPLE = 20_000
+#: Bytes of their texts; those of the smallest hashes until they are used up, one text at least.
+SAMPLE_BYTES = 256_000_000
 DRIFT = 0.05
 #: Prior mass: of each token, and of all tokens together by their shares.
 PRIOR_EACH, PRIOR_SHARED = 0.5, 1000.0
@@ -125,14 +127,20 @@ def token_counts(sample: DataFrame) -> DataFrame:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> tuple[DataFrame, dict[int, int]]:
-    """(text, label, fold) of at most ``per_label`` documents a label, and each label's number of rows."""
+    """(text, label, fold) of at most ``per_label`` documents and ``SAMPLE_BYTES`` a label, and each label's number of rows."""
     known = labels.filter(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
     parts = [
         known.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for label in (0, 1)
     ]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * per_label rows of two numbers at most
-    texts = docs.join(chosen, "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "label")
+    texts = materialise(docs.join(chosen, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label"))
+    # 2 * per_label rows, and no text, in the window
+    sizes = texts.groupBy("label", "doc_id").agg(F.sum(F.octet_length("text")).alias("size"))
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    sizes = sizes.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(order))
+    over = sizes.filter((F.col("upto") > SAMPLE_BYTES) & (F.col("rank") > 1)).select("doc_id", "label")
+    texts = texts.join(F.broadcast(over), ["doc_id", "label"], "left_anti").drop("doc_id")
     texts = texts.groupBy("text").agg(F.max("label").alias("label"))
     return materialise(texts.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))), totals
 
