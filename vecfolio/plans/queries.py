@@ -17,6 +17,7 @@ from ..operators import profile_job as profile_job_operator
 from ..sources import profiles as documents
 from ..sources import recordings
 from ..scratch import scratch
+from ..streaming import jobs as machines
 from ..streaming import profiles as streams
 from . import clips as data
 
@@ -1153,6 +1154,40 @@ def stream_latest_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(streams.latest_jobs(rows), _name("jobs")).select("job_id", "event_name", "event_id", "n_events")
 
 
+_MACHINE = """
+events_ AS MATERIALIZED (SELECT user_id * 10 + (day(ts) - 1) // 10 AS job_id, event_id, ts, CAST(json_extract(props, '$.k') AS DOUBLE) / 100 AS progress,
+  CASE event_type WHEN 'signup' THEN 'job_submitted' WHEN 'purchase' THEN 'job_completed' WHEN 'error' THEN 'job_failed' ELSE 'job_processing' END AS name FROM events),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS i FROM events_),
+run AS (
+  SELECT DISTINCT job_id, CAST(0 AS BIGINT) AS i, '' AS status, 0::DOUBLE AS progress, CAST(NULL AS TIMESTAMP) AS updated, false AS accepted, false AS expired FROM events_
+  UNION ALL
+  SELECT job_id, i, CASE WHEN good THEN target ELSE status END, CASE WHEN good AND target = 'complete' THEN 1 WHEN good AND target = 'processing' THEN greatest(progress, told) ELSE progress END,
+    CASE WHEN good THEN ts ELSE updated END, good, expired FROM (
+    SELECT *, coalesce((status = '' AND target = 'queued') OR (status IN ('queued', 'processing') AND target IN ('processing', 'failed')) OR (status = 'processing' AND target = 'complete'), false) AS good FROM (
+      SELECT r.job_id, p.i, p.ts, p.progress AS told, r.progress, r.status IN ('queued', 'processing') AND p.ts > r.updated + INTERVAL 12 HOUR AS expired,
+        CASE WHEN r.status IN ('queued', 'processing') AND p.ts > r.updated + INTERVAL 12 HOUR THEN 'failed' ELSE r.status END AS status,
+        CASE WHEN r.status IN ('queued', 'processing') AND p.ts > r.updated + INTERVAL 12 HOUR THEN r.updated + INTERVAL 12 HOUR ELSE r.updated END AS updated,
+        CASE p.name WHEN 'job_submitted' THEN 'queued' WHEN 'job_completed' THEN 'complete' WHEN 'job_failed' THEN 'failed' ELSE 'processing' END AS target
+      FROM run r JOIN placed p ON p.job_id = r.job_id AND p.i = r.i + 1))),
+known AS MATERIALIZED (SELECT * FROM run),
+ends_ AS (SELECT * FROM known QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY i DESC) = 1)"""
+
+
+@query(f"""WITH {_MACHINE}
+SELECT k.job_id, event_id, name AS event_name, coalesce(nullif(status, ''), 'none') AS status, round(k.progress, 6) AS progress, accepted FROM known k JOIN placed p USING (job_id, i)
+UNION ALL SELECT k.job_id, -1, 'job_expired', 'failed', round(b.progress, 6), true FROM known k JOIN known b ON b.job_id = k.job_id AND b.i = k.i - 1 WHERE k.expired
+UNION ALL SELECT job_id, -1, 'job_expired', 'failed', round(progress, 6), true FROM ends_ WHERE status IN ('queued', 'processing') AND updated + INTERVAL 13 HOUR < (SELECT max(ts) FROM events_)""")
+def job_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as those of jobs, a job each user and ten days: what became of each, refused ones and expiries too."""
+    kind = F.when(F.col("event_type") == "signup", "job_submitted").when(F.col("event_type") == "purchase", "job_completed").when(F.col("event_type") == "error", "job_failed")
+    rows = _stream(spark, sf_dir, "events").select(
+        (F.col("user_id") * 10 + F.floor((F.dayofmonth("ts") - 1) / 10)).alias("job_id"), "event_id", F.col("ts").cast("timestamp").alias("created_at"),
+        kind.otherwise("job_processing").alias("event_name"), (F.from_json("props", "k double")["k"] / 100).alias("progress"),
+    )
+    found = machines.drained(spark, machines.job_outcomes(rows))
+    return found.select("job_id", "event_id", "event_name", F.coalesce("status", F.lit("none")).alias("status"), F.round("progress", 6).alias("progress"), "accepted")
+
+
 def _name(kind: str) -> str:
     import uuid
 
