@@ -23,6 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 EVENTS = 100_000
+#: One of so many vectors is an isolate of ``planted_clips``.
+ISOLATED = 37
 RATE = 48_000
 
 
@@ -46,6 +48,14 @@ def half_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalised(_clips(spark, sf_dir, F.col("label") * 2 + F.col("vec_id") % 2))
 
 
+def planted_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``clips`` drawn towards a direction of their label, but for one in ``ISOLATED`` vec_ids, which lie far off."""
+    toward = F.transform("embedding", lambda x, i: x.cast("double") + F.when((i == F.col("label")) & (F.col("vec_id") % ISOLATED != 0), F.lit(3.0)).otherwise(F.lit(0.0)))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("profile_id"), "vec_id", toward.alias("embedding"))
+    order = Window.partitionBy("profile_id").orderBy("vec_id")
+    return rows.select("profile_id", (F.row_number().over(order) - 1).alias("clip_ix"), "embedding")
+
+
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("recording_id"), F.col("n_chars").cast("double").alias("duration_s"))
 
@@ -84,17 +94,32 @@ def generated(rows: DataFrame, length: int) -> DataFrame:
     return rows.withColumn("samples", F.transform(F.sequence(F.lit(0), F.lit(length - 1)), sample))
 
 
-#: Samples, windows and seconds of a generated recording; the last but one is too long, the last is silent.
+#: Samples that an event lasts, and events of a window of the shipped rules' rate.
+HELD, TOGETHER = 240, 100
+
+
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(w, samples): windows of 24,000 samples, each event held for ``HELD`` of them; one in 16 has a NaN."""
+    w = F.floor(F.col("event_id") / TOGETHER)
+    gain = F.element_at(F.array(*[F.lit(g) for g in (1e-5, 1.0, 0.1, 0.3)]), (w % 4 + 1).cast("int"))
+    sign = F.when(F.col("event_id") % 2 == 0, 1.0).otherwise(-1.0)
+    x = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sign * F.col("value") / 97.0 * gain + F.when(w % 4 == 3, 0.3).otherwise(0.0)))
+    bad = (w % 16 == 15) & (F.col("event_id") % TOGETHER == 3)
+    rows = table(spark, sf_dir, "events").select(w.alias("w"), "event_id", F.when(bad, float("nan")).otherwise(x).alias("x"))
+    held = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "x"))), lambda e: F.array_repeat(e["x"], HELD)))
+    return rows.groupBy("w").agg(held.alias("samples"))
+
+
+#: Samples, windows and seconds of a generated recording; of each 25 suppliers one is too long and one silent.
 JOB_SAMPLES, JOB_WINDOWS, JOB_SECONDS, JOB_LONG = 4096, 12, 285.0, 20_000.0
 
 
 def job_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Recordings (profile_id, duration_s) and their windows (profile_id, window_ix, start_s, samples): one for each nation."""
-    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("profile_id"))
-    recordings = nations.select("profile_id", F.when(F.col("profile_id") == 23, JOB_LONG).otherwise(JOB_SECONDS).alias("duration_s"))
-    places = nations.select("profile_id", F.explode(F.sequence(F.lit(0), F.lit(JOB_WINDOWS - 1))).alias("window_ix"))
-    # nation 24 has windows of the silent kind only
-    silent = F.col("profile_id") == 24
+    """Recordings (profile_id, duration_s) and their windows (profile_id, window_ix, start_s, samples): one for each supplier."""
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("profile_id"))
+    recordings = suppliers.select("profile_id", F.when(F.col("profile_id") % 25 == 23, JOB_LONG).otherwise(JOB_SECONDS).alias("duration_s"))
+    places = suppliers.select("profile_id", F.explode(F.sequence(F.lit(0), F.lit(JOB_WINDOWS - 1))).alias("window_ix"))
+    silent = F.col("profile_id") % 25 == 24
     rows = places.withColumn("r", F.when(silent, 0).otherwise(F.col("profile_id"))).withColumn("w", F.when(silent, 3).otherwise(F.col("window_ix")))
     windows = generated(rows, JOB_SAMPLES).select("profile_id", "window_ix", (F.col("window_ix") * 25).cast("double").alias("start_s"), "samples")
     return recordings, windows

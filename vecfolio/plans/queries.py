@@ -205,11 +205,17 @@ mid AS (SELECT {keys}, b, l - avg(l) OVER (PARTITION BY {keys}) AS l FROM mag),
 unit AS (SELECT {keys}, list(l / n ORDER BY b) AS u FROM (SELECT *, sqrt(sum(l * l) OVER (PARTITION BY {keys})) AS n FROM mid) GROUP BY {keys})"""
 
 
-_DEFAULT = _quality(_generated("SELECT 0 AS r, w FROM range(8) t(w) UNION ALL SELECT 0, 39", "w", 24_000), "w")
+_DEFAULT = _quality(
+    f"""SELECT w, (event_id % {data.TOGETHER}) * {data.HELD} + h AS n, CASE WHEN w % 16 = 15 AND event_id % {data.TOGETHER} = 3 THEN 'nan'::DOUBLE ELSE x END AS x FROM (
+  SELECT event_id // {data.TOGETHER} AS w, event_id, greatest(-1::DOUBLE, least(1::DOUBLE, (CASE WHEN event_id % 2 = 0 THEN 1::DOUBLE ELSE -1::DOUBLE END) * value / 97::DOUBLE
+    * [1e-5::DOUBLE, 1::DOUBLE, 0.1::DOUBLE, 0.3::DOUBLE][event_id // {data.TOGETHER} % 4 + 1] + CASE WHEN event_id // {data.TOGETHER} % 4 = 3 THEN 0.3::DOUBLE ELSE 0::DOUBLE END)) AS x FROM events),
+  range({data.HELD}) t(h)""",
+    "w",
+)
 _JOB = (
     f"""
-recs AS (SELECT CAST(n_nationkey AS INTEGER) AS profile_id, CASE WHEN n_nationkey = 23 THEN {data.JOB_LONG}::DOUBLE ELSE {data.JOB_SECONDS}::DOUBLE END AS duration_s FROM nation),
-places AS (SELECT profile_id, w AS window_ix, CASE WHEN profile_id = 24 THEN 0 ELSE profile_id END AS r, CASE WHEN profile_id = 24 THEN 3 ELSE w END AS w
+recs AS (SELECT CAST(s_suppkey AS INTEGER) AS profile_id, CASE WHEN s_suppkey % 25 = 23 THEN {data.JOB_LONG}::DOUBLE ELSE {data.JOB_SECONDS}::DOUBLE END AS duration_s FROM supplier),
+places AS (SELECT profile_id, w AS window_ix, CASE WHEN profile_id % 25 = 24 THEN 0 ELSE profile_id END AS r, CASE WHEN profile_id % 25 = 24 THEN 3 ELSE w END AS w
   FROM recs, range({data.JOB_WINDOWS}) t(w) WHERE duration_s <= 14400.5),"""
     + _quality(_generated("SELECT * FROM places", "profile_id, window_ix", data.JOB_SAMPLES), "profile_id, window_ix")
 )
@@ -303,21 +309,17 @@ def _pairs(column: str) -> Column:
     return F.array_join(each, ",")
 
 
-def _default_windows(spark: SparkSession) -> DataFrame:
-    return data.generated(spark.sql("SELECT 0L AS r, explode(array(0L, 1L, 2L, 3L, 4L, 5L, 6L, 7L, 39L)) AS w"), 24_000).select("w", "samples")
-
-
 @query(f"""WITH {_DEFAULT} SELECT w, reason, round(rms_dbfs, 3) AS rms_dbfs, round(peak, 6) AS peak, round(clipped_ratio, 6) AS clipped_ratio, round(active_ratio, 6) AS active_ratio,
   round(dc_offset, 6) AS dc_offset, round(zero_crossing_rate, 6) AS zero_crossing_rate, round(spectral_flatness, 6) AS spectral_flatness FROM decided""")
 def signal_default_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half a second at 48 kHz of each kind of window, by the rules as they are shipped."""
-    return quality.analyse(_default_windows(spark)).select("w", "reason", *quality.shown_metrics())
+    """Half a second at 48 kHz of events, by the rules as they are shipped."""
+    return quality.analyse(data.event_windows(spark, sf_dir)).select("w", "reason", *quality.shown_metrics())
 
 
 @query(f"WITH {_DEFAULT},{_embedded('w')} SELECT w, i, round(u[i + 1], 6) + 0.0 AS value FROM unit, range(512) t(i)")
 def spectral_embed_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same windows' vectors by the embedder's settings as they are shipped."""
-    rows = embedding.embed_windows(_default_windows(spark).filter("w <> 39 AND w NOT IN (3, 4, 5, 6)"))
+    """The kept windows' vectors by the embedder's settings as they are shipped."""
+    rows = profile_job_operator.embedded(data.event_windows(spark, sf_dir)).filter("reason is null")
     each = rows.select("w", F.posexplode("embedding").alias("i", "x"))
     return each.select("w", F.col("i").cast("long").alias("i"), shown(F.col("x")).alias("value"))
 
@@ -473,29 +475,22 @@ def density_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("profile_id", "n", *[shown(F.col(c)).alias(c) for c in ("median", "mad", "threshold")])
 
 
-#: A line of 19 clips and one far off it; seven clips and one (the cap still lets one go); six and one (too few to trim).
-_TRIM_SQL = """
-src AS (SELECT 'line' AS label, i AS vec_id, [1::DOUBLE, i * 0.2::DOUBLE / 18] AS embedding FROM range(19) t(i) UNION ALL SELECT 'line', 19, [0::DOUBLE, 1]
-  UNION ALL SELECT 'eight', i, [1::DOUBLE, i * 0.01::DOUBLE] FROM range(7) t(i) UNION ALL SELECT 'eight', 7, [0::DOUBLE, 1]
-  UNION ALL SELECT 'seven', i, [1::DOUBLE, i * 0.01::DOUBLE] FROM range(6) t(i) UNION ALL SELECT 'seven', 6, [0::DOUBLE, 1])"""
-
-
-def _vector_rows(spark: SparkSession, groups: dict[str, list[list[float]]]) -> DataFrame:
-    rows = [(name, i, v) for name, vectors in groups.items() for i, v in enumerate(vectors)]
-    return spark.createDataFrame(rows, "profile_id string, clip_ix int, embedding array<double>")
+#: Clips about a direction of their label, but for isolates: ``planted_clips``.
+_PLANTED = f"""
+src AS (SELECT CAST(label AS INTEGER) AS label, vec_id, list_transform(embedding, lambda x, i: x::DOUBLE + CASE WHEN i - 1 = label AND vec_id % {data.ISOLATED} <> 0 THEN 3::DOUBLE ELSE 0::DOUBLE END) AS embedding FROM embeddings)"""
+#: CTEs of a table of clips: the clips that trimming at a tenth leaves, ``core``, and their clusters.
+_TRIMMED = """,
+ordered AS (SELECT d.profile_id, d.clip_ix, d.density, d.n, CASE WHEN d.n >= 8 THEN threshold END AS threshold,
+  row_number() OVER (PARTITION BY d.profile_id ORDER BY d.density, d.clip_ix) AS r FROM density d JOIN limits USING (profile_id)),
+judged AS MATERIALIZED (SELECT *, coalesce(density < threshold AND r <= greatest(1, floor(n * 0.1)), false) AS outlier FROM ordered),
+core AS MATERIALIZED (SELECT u.* FROM unit u JOIN judged USING (profile_id, clip_ix) WHERE NOT outlier)"""
 
 
-@query(f"""WITH {_TRIM_SQL},{_of_source(_DENSITY)},
-ordered AS (SELECT d.profile_id, d.clip_ix, d.density, d.n, CASE WHEN d.n >= 8 THEN threshold END AS threshold,
-  row_number() OVER (PARTITION BY d.profile_id ORDER BY d.density, d.clip_ix) AS r FROM density d JOIN limits USING (profile_id))
-SELECT profile_id, clip_ix, round(threshold, 6) AS threshold, coalesce(density < threshold AND r <= greatest(1, floor(n * 0.1)), false) AS outlier FROM ordered""")
+@query(f"""WITH {_PLANTED},{_of_source(_DENSITY)}{_TRIMMED}
+SELECT profile_id, clip_ix, round(threshold, 6) AS threshold, outlier FROM judged""")
 def density_core(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = {
-        "line": [[1.0, i * 0.2 / 18] for i in range(19)] + [[0.0, 1.0]],
-        "eight": [[1.0, 0.01 * i] for i in range(7)] + [[0.0, 1.0]],
-        "seven": [[1.0, 0.01 * i] for i in range(6)] + [[0.0, 1.0]],
-    }
-    found = density.trimmed(profiles.normalised(_vector_rows(spark, groups)), 0.1)
+    """Isolates among clips about a direction: which are trimmed."""
+    found = density.trimmed(profiles.normalised(data.planted_clips(spark, sf_dir)), 0.1)
     return found.select("profile_id", "clip_ix", shown(F.col("threshold")).alias("threshold"), "outlier")
 
 
@@ -536,24 +531,12 @@ def cluster_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.clusters(data.unit_clips(spark, sf_dir)).filter("cluster = 0").select("profile_id", "strategy")
 
 
-#: Cases where minimum support decides: a long line and one clip, a short one, equal clips.
-_SUPPORT_SQL = """
-src AS (SELECT 'long' AS label, i AS vec_id, [1::DOUBLE, i * 0.001::DOUBLE, 0] AS embedding FROM range(30) t(i) UNION ALL SELECT 'long', 30, [0::DOUBLE, 0, 1]
-  UNION ALL SELECT 'short', i, [1::DOUBLE, i * 0.01::DOUBLE, 0] FROM range(10) t(i) UNION ALL SELECT 'short', 10, [0::DOUBLE, 1, 0]
-  UNION ALL SELECT 'dozen', i, [1::DOUBLE, 0, 0] FROM range(12) t(i) UNION ALL SELECT 'pair', i, [1::DOUBLE, 0, 0] FROM range(2) t(i))"""
-
-
-@query(f"""WITH {_SUPPORT_SQL},{_of_source(_UNIT)}{_kmeans('unit')}
+@query(f"""WITH {_PLANTED},{_of_source(_UNIT)}{_kmeans('unit')}
 SELECT profile_id, CAST(cluster AS INTEGER) AS cluster, n AS size, round(n / sum(n) OVER (PARTITION BY profile_id), 6) AS weight,
   CASE WHEN bool_or(forced) OVER (PARTITION BY profile_id) THEN 'minimum_support_spherical_kmeans' ELSE 'spherical_kmeans' END AS strategy FROM placed""")
 def min_support_injected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = {
-        "long": [[1.0, 0.001 * i, 0.0] for i in range(30)] + [[0.0, 0.0, 1.0]],
-        "short": [[1.0, 0.01 * i, 0.0] for i in range(10)] + [[0.0, 1.0, 0.0]],
-        "dozen": [[1.0, 0.0, 0.0]] * 12,
-        "pair": [[1.0, 0.0, 0.0]] * 2,
-    }
-    found = profiles.clusters(profiles.normalised(_vector_rows(spark, groups)))
+    """Far isolates make a side of their own that is too small."""
+    found = profiles.clusters(profiles.normalised(data.planted_clips(spark, sf_dir)))
     size = F.round(F.col("weight") * F.col("n")).cast("long")
     return found.select("profile_id", "cluster", size.alias("size"), shown(F.col("weight")).alias("weight"), "strategy")
 
@@ -594,22 +577,18 @@ def extreme_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- export ----------------------------------------------------------------------
 
 
-def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Export rows of the labels' profiles: each clip is a usable window, every 25 s, that was embedded before."""
-    rows = data.clips(spark, sf_dir).select(
-        "profile_id", F.col("clip_ix").alias("window_ix"), (F.col("clip_ix") * 25).cast("double").alias("start_s"), F.lit(None).cast("string").alias("reason"),
-        F.lit(0.0).alias("filter_ms"), F.lit(0.0).alias("embed_ms"), F.col("embedding").cast("array<double>").alias("embedding"),
+def _exports(spark: SparkSession, sf_dir: str, clips: DataFrame | None = None) -> DataFrame:
+    """Export rows of the labels' profiles, of any size: each clip is a usable window, every 25 s, that was embedded before."""
+    clips = data.clips(spark, sf_dir) if clips is None else clips
+    found = profiles.aggregate(clips, 0.1)
+    counts = clips.groupBy("profile_id").agg(F.count(F.lit(1)).cast("int").alias("considered"), F.max(F.size("embedding")).alias("dimensions"))
+    none = F.lit(None)
+    rows = found.join(counts, "profile_id").select(
+        "*", none.cast("string").alias("error"), (F.col("considered") * 25).cast("double").alias("duration_s"), F.col("considered").alias("retained"), F.lit(0).alias("filtered"),
+        F.create_map().cast("map<string,int>").alias("filter_counts"), *[(F.col(f"{s}_clip") * 25).cast("double").alias(f"{s}_start") for s in ("low", "high")],
+        *[none.cast("double").alias(c) for c in (*profile_job_operator.TIMES, "load_ms", "elapsed_ms")],
     )
-    found = profile_job_operator.outcomes(rows, 0.1)
-    return profile_job_operator.export_rows(found.withColumn("duration_s", (F.col("considered") * 25).cast("double")), 0.1)
-
-
-#: CTEs of a table of clips: the clips that trimming at a tenth leaves, ``core``, and their clusters.
-_TRIMMED = """,
-ordered AS (SELECT d.profile_id, d.clip_ix, d.density, d.n, CASE WHEN d.n >= 8 THEN threshold END AS threshold,
-  row_number() OVER (PARTITION BY d.profile_id ORDER BY d.density, d.clip_ix) AS r FROM density d JOIN limits USING (profile_id)),
-judged AS MATERIALIZED (SELECT *, coalesce(density < threshold AND r <= greatest(1, floor(n * 0.1)), false) AS outlier FROM ordered),
-core AS MATERIALIZED (SELECT u.* FROM unit u JOIN judged USING (profile_id, clip_ix) WHERE NOT outlier)"""
+    return profile_job_operator.export_rows(rows, 0.1)
 
 
 @query(f"""WITH {_DENSITY}{_TRIMMED}{_kmeans('core')}
@@ -621,8 +600,26 @@ def profile_export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("profile_id", "role", "weight", shown(F.col("vector")[0]).alias("head"))
 
 
+_TRIMMED_EXPORT = f"{_PLANTED},{_of_source(_DENSITY)}{_TRIMMED}{_kmeans('core')}"
+
+
+@query(f"""WITH {_TRIMMED_EXPORT}
+SELECT CAST(s.profile_id AS VARCHAR) AS profile_id, CAST(any_value(n) AS INTEGER) AS clips, CAST(count(*) FILTER (NOT outlier) AS INTEGER) AS core, CAST(count(*) FILTER (outlier) AS INTEGER) AS outliers,
+  round(any_value(threshold), 6) AS threshold, round(1 - avg(list_dot_product(u, g)), 6) AS diversity, any_value(strategy) AS strategy
+FROM judged s JOIN unit USING (profile_id, clip_ix) JOIN whole USING (profile_id)
+JOIN (SELECT profile_id, CASE WHEN bool_or(forced) THEN 'minimum_support_spherical_kmeans' ELSE 'spherical_kmeans' END AS strategy FROM placed GROUP BY profile_id) USING (profile_id) GROUP BY s.profile_id""")
+def export_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports of profiles that lose clips: what is counted, and all clips' diversity about the vector of those kept."""
+    rows = _exports(spark, sf_dir, data.planted_clips(spark, sf_dir))
+    found = rows.select(
+        "profile_id", F.col("aggregation.input_clip_count").alias("clips"), F.col("aggregation.core_clip_count").alias("core"), F.col("aggregation.embedding_outlier_count").alias("outliers"),
+        shown(F.col("aggregation.local_density_threshold")).alias("threshold"), F.col("diagnostics.diversity").alias("diversity"), F.col("aggregation.cluster_strategy").alias("strategy"),
+    )
+    return found
+
+
 #: Fields of made-up exports by their number i: name, value that is right, and a wrong one in SQL that Spark and DuckDB share.
-#: Export i has the fields wrong whose place is i modulo the number of fields, or whose place divides i beyond them.
+#: Each order is an export, of number i by its key; export i has the fields wrong whose place is i modulo the number of fields, or whose place divides i beyond them.
 _FIELDS = {
     "schema_version": ("'1.0'", "'2.0'"), "dimensions": ("3", "0"), "device": ("'cpu'", "'gpu'"), "backend": ("'clap'", "'other'"),
     "load_ms": ("0", "-1"), "duration": ("100.0", "0.0"), "interval": ("25", "26"), "win": ("10.0", "0.0"), "considered": ("5", "0"),
@@ -652,16 +649,17 @@ _WARNINGS_SQL = {"windows_reconcile": "retained + filtered = considered", "filte
 
 
 @query(
-    f"WITH flat AS (SELECT i, {', '.join(_FIELD_SQL)} FROM range({_N_EXPORTS}) t(i)) "
+    f"WITH flat AS (SELECT id, {', '.join(_FIELD_SQL)} FROM (SELECT o_orderkey AS id, o_orderkey % {_N_EXPORTS} AS i FROM orders)) "
     + " UNION ALL ".join(
-        f"SELECT CAST(i AS VARCHAR) AS profile_id, '{name}' AS rule, '{severity}' AS severity FROM flat WHERE NOT ({ok})"
+        f"SELECT CAST(id AS VARCHAR) AS profile_id, '{name}' AS rule, '{severity}' AS severity FROM flat WHERE NOT ({ok})"
         for severity, group in (("error", _RULES_SQL), ("warning", _WARNINGS_SQL))
         for name, ok in group.items()
     )
 )
 def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rule of the contract over exports with one wrong field, and with many."""
-    flat = spark.range(_N_EXPORTS).select(F.col("id").alias("i")).selectExpr("i", *_FIELD_SQL)
+    keyed = data.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % _N_EXPORTS).alias("i"))
+    flat = keyed.selectExpr("id", *_FIELD_SQL)
     for name in ("duration", "win", "fraction", "weight", "start_s", "diversity"):
         flat = flat.withColumn(name, F.col(name).cast("double"))
     c = F.col
@@ -672,7 +670,7 @@ def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = F.slice(F.array(vector(F.lit("global"), F.lit(1.0)), vector(c("role"), c("weight")), vector(F.lit("cluster_2"), F.lit(0.5))), F.lit(1), c("n_vectors"))
     extreme = F.struct(c("side").alias("side"), c("clip_ix").alias("retained_clip_index"), c("start_s").alias("start_seconds"), F.lit("00:00:00").alias("timecode"))
     rows = flat.select(
-        c("i").cast("string").alias("profile_id"), "schema_version",
+        c("id").cast("string").alias("profile_id"), "schema_version",
         F.struct("dimensions", "device", "backend", c("load_ms").alias("load_duration_ms")).alias("model"),
         F.struct(
             c("duration").alias("duration_seconds"), c("interval").alias("sample_interval_seconds"), c("win").alias("window_seconds"), c("considered").alias("windows_considered"),
@@ -687,7 +685,7 @@ def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contract.violations(rows)
 
 
-@query("SELECT '' AS profile_id, '' AS rule, '' AS severity WHERE false UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'no_profile', 'job' FROM nation WHERE n_nationkey IN (23, 24)")
+@query("SELECT '' AS profile_id, '' AS rule, '' AS severity WHERE false UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'no_profile', 'job' FROM supplier WHERE s_suppkey % 25 IN (23, 24)")
 def profile_job_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The jobs' exports hold the whole contract; the recordings without one are listed."""
     jobs_ = _jobs(spark, sf_dir)
@@ -946,17 +944,27 @@ def map_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT * FROM (VALUES ('equal', 'collection_pca_v2', 0, 0::DOUBLE, 0::DOUBLE), ('equal', 'collection_pca_v2', 1, 0::DOUBLE, 0::DOUBLE), ('one', 'collection_pca_v2', 0, 0::DOUBLE, 0::DOUBLE), ('two', 'collection_pca_v2', 0, -round(tanh(1::DOUBLE), 6), 0::DOUBLE), ('two', 'collection_pca_v2', 1, round(tanh(1::DOUBLE), 6), 0::DOUBLE)) t(name, method, n, x, y)")
+@query(f"""WITH {_GLOBAL},
+two AS (SELECT profile_id, g, row_number() OVER (ORDER BY profile_id) - 1 AS n FROM whole QUALIFY n < 2),
+sides AS (SELECT profile_id, CASE WHEN g[1] < 0 THEN -1::DOUBLE ELSE 1::DOUBLE END AS v FROM whole),
+line AS (SELECT profile_id, v, avg(v) OVER () AS c FROM sides)
+SELECT 'one' AS name, 'collection_pca_v2' AS method, profile_id AS n, 0::DOUBLE AS x, 0::DOUBLE AS y FROM two WHERE n = 0
+UNION ALL SELECT 'equal', 'collection_pca_v2', k, 0::DOUBLE, 0::DOUBLE FROM range(2) t(k)
+UNION ALL SELECT 'two', 'collection_pca_v2', a.profile_id, round(CASE WHEN a.g < b.g THEN 1 ELSE -1 END * tanh(1::DOUBLE), 6), 0::DOUBLE FROM two a JOIN two b ON a.n <> b.n
+UNION ALL SELECT 'line', 'frozen_reference_pca_v1', profile_id,
+  round(CASE WHEN abs(c) = 1 THEN 0::DOUBLE WHEN c >= 0 THEN tanh((c - v) / (1 + c)) ELSE tanh((v - c) / (1 - c)) END, 6) + 0.0, 0::DOUBLE FROM line""")
 def map_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Maps of one profile, of equal ones, and of two: no axes, or one."""
-    groups = {"one": [[0.6, 0.8, 0.0]], "equal": [[0.0, 1.0, 0.0]] * 2, "two": [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0]]}
+    """Maps of one profile, of equal ones and of two, which have no axes or one; and of vectors of one dimension."""
+    whole = profiles.global_vectors(data.unit_clips(spark, sf_dir)).select(F.col("profile_id").alias("n"), "vector")
+    first = whole.orderBy("n").limit(1)
+    twice = first.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("n"), "vector")
+    line = whole.select("n", F.array(F.when(F.col("vector")[0] < 0, F.lit(-1.0)).otherwise(F.lit(1.0))).alias("vector"))
     maps = []
-    for name, vectors in groups.items():
-        rows = spark.createDataFrame(list(enumerate(vectors)), "n int, vector array<double>")
+    for name, rows in {"one": first, "equal": twice, "two": whole.orderBy("n").limit(2), "line": line}.items():
         projection, frozen = atlas.projection_for(rows, rows)
         at = atlas.transform(rows, projection).select(F.lit(name).alias("name"), "n", shown(F.col("x")).alias("x"), shown(F.col("y")).alias("y"))
-        maps.append(at.join(atlas.header(projection, frozen, len(vectors)).select("method")))
-    return maps[0].unionByName(maps[1]).unionByName(maps[2]).select("name", "method", "n", "x", "y")
+        maps.append(at.join(atlas.header(projection, frozen, rows.count()).select("method")))
+    return maps[0].unionByName(maps[1]).unionByName(maps[2]).unionByName(maps[3]).select("name", "method", "n", "x", "y")
 
 
 # --- evaluation --------------------------------------------------------------------
