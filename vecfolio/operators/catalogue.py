@@ -6,7 +6,7 @@ Nearest profiles over a whole catalogue are in ``nearest``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double, cosine, dot, scaled, norm, has_direction
@@ -108,6 +108,28 @@ def match_vectors(vectors: DataFrame, query: list[float], k: int = 20, role: str
     return scored.orderBy(F.desc("similarity"), "profile_id", "role").limit(max(k, 1))
 
 
+def register_match(spark: SparkSession, view: str = "catalogue_vectors", name: str = "match_vectors") -> None:
+    """A table function for SQL over a view of vectors (profile_id, role, vector, model_revision).
+
+    ``match_vectors(query, k, role, revision)`` gives (profile_id, role,
+    similarity) as ``match_vectors`` here does; a null role or revision is any.
+    The function is SQL itself, so Spark plans it with its arguments in place,
+    and a role or revision reaches the scan.
+    """
+    kind = spark.table(view).schema["profile_id"].dataType.simpleString()
+    dot_ = "aggregate(zip_with({0}, {1}, (x, y) -> x * y), 0D, (s, x) -> s + x)"
+    v = "cast(v.vector as array<double>)"
+    spark.sql(
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(query ARRAY<DOUBLE>, k INT DEFAULT 20, asked_role STRING DEFAULT NULL, asked_revision STRING DEFAULT NULL)
+        RETURNS TABLE (profile_id {kind}, role STRING, similarity DOUBLE)
+        RETURN SELECT profile_id, role, similarity FROM (
+          SELECT profile_id, role, similarity, row_number() OVER (ORDER BY similarity DESC, profile_id, role) AS n FROM (
+            SELECT v.profile_id, v.role, {dot_.format(v, 'query')} / (sqrt({dot_.format(v, v)}) * sqrt({dot_.format('query', 'query')})) AS similarity
+            FROM {view} v WHERE (asked_role IS NULL OR v.role = asked_role) AND (asked_revision IS NULL OR v.model_revision = asked_revision)))
+        WHERE n <= greatest(k, 1)"""
+    )
+
+
 def reranked(profiles: DataFrame, query: DataFrame, k: int = 20) -> DataFrame:
     """(profile_id, similarity, global_similarity, cluster_similarity, rank) of the query's k nearest by global vector, ranked by the blend.
 

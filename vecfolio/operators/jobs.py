@@ -60,6 +60,19 @@ def parsed(events: DataFrame, event_name: str) -> DataFrame:
     return kind.withColumn("properties", F.from_json("properties", PROPERTIES[event_name]))
 
 
+def loosely_parsed(events: DataFrame) -> DataFrame:
+    """Events with their properties as a VARIANT, whatever their kind; ``problem`` names properties that aren't JSON objects, and none are lost."""
+    rows = events.withColumn("properties", F.try_parse_json("raw")) if "raw" in events.columns else events.withColumn("raw", F.col("properties")).withColumn("properties", F.try_parse_json("properties"))
+    shape = F.schema_of_variant("properties")
+    wrong = F.when(F.col("raw").isNull(), "no properties").when(F.col("properties").isNull(), "not JSON").when(~shape.startswith("OBJECT"), "not an object")
+    return rows.withColumn("problem", wrong)
+
+
+def property_of(path: str, kind: str) -> Column:
+    """A property of ``loosely_parsed`` events by its path; null if it isn't there or isn't of that kind."""
+    return F.try_variant_get(F.col("properties"), path, kind)
+
+
 def outcome_events(outcomes: DataFrame, interval: int, fraction: float, batch: int) -> DataFrame:
     """(job_id, event_name, duration_ms, properties) of finished jobs, rows as ``profile_job.run_jobs`` returns."""
     c = F.col

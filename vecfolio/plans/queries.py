@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -15,10 +14,11 @@ from ..functions.vectors import dot, shown
 from ..operators import atlas, catalogue, contract, density, diagnostics, embedding, evaluation, jobs, library, nearest, profiles, quality, sampling, vector_index
 from ..operators import profile_job as profile_job_operator
 from ..sources import profiles as documents
-from ..sources import recordings
+from ..sources import keyed, recordings
 from ..scratch import scratch
 from ..streaming import jobs as machines
 from ..streaming import profiles as streams
+from ..streaming import tables as stream_tables
 from . import clips as data
 
 QUERIES: dict = {}
@@ -32,7 +32,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = sql.replace("WITH ", "WITH RECURSIVE ", 1) if "UNION ALL" in sql and sql.startswith("WITH ") else sql
+            ORACLE_SQL[f.__name__] = sql.replace("WITH ", "WITH RECURSIVE ", 1) if "UNION ALL" in sql and sql.startswith("WITH ") and "RECURSIVE" not in sql else sql
         return f
 
     return add
@@ -1118,27 +1118,6 @@ def display_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streaming ----------------------------------------------------------------------
 
 
-def _drained(stream: DataFrame, name: str) -> DataFrame:
-    """All that a stream has to offer, as its complete result; each batch replaces the table before it."""
-    root = _checkpoint(stream.sparkSession, name)
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/result")
-
-    started = stream.writeStream.outputMode("complete").foreachBatch(keep).queryName(name).trigger(availableNow=True)
-    started.option("checkpointLocation", f"{root}/progress").start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/result")
-
-
-def _checkpoint(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/{name}"
-
-
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table read as a stream of its files."""
     batch = data.table(spark, sf_dir, name)
@@ -1152,14 +1131,14 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query(ORACLE_SQL["profile_global"])
 def stream_profile_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stream(spark, sf_dir, "embeddings").select(F.col("label").alias("profile_id"), "embedding")
-    found = streams.vectors_of(_drained(streams.running_sums(rows), _name("sums")))
+    found = streams.vectors_of(stream_tables.drained(streams.running_sums(rows), scratch(spark, "sums"), ["profile_id", "i"]))
     return found.select("profile_id", F.posexplode("vector").alias("i", "x")).select("profile_id", F.col("i").cast("long").alias("i"), shown(F.col("x")).alias("value"))
 
 
 @query(ORACLE_SQL["latest_job_state"])
 def stream_latest_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stream(spark, sf_dir, "events").select("event_id", F.col("ts").alias("created_at"), F.col("user_id").alias("job_id"), F.col("event_type").alias("event_name"))
-    return _drained(streams.latest_jobs(rows), _name("jobs")).select("job_id", "event_name", "event_id", "n_events")
+    return stream_tables.drained(streams.latest_jobs(rows), scratch(spark, "jobs"), ["job_id"]).select("job_id", "event_name", "event_id", "n_events")
 
 
 _MACHINE = """
@@ -1196,7 +1175,58 @@ def job_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("job_id", "event_id", "event_name", F.coalesce("status", F.lit("none")).alias("status"), F.round("progress", 6).alias("progress"), "accepted")
 
 
-def _name(kind: str) -> str:
-    import uuid
-
-    return f"{kind}_{uuid.uuid4().hex}"
+@query("""SELECT event_id, user_id AS job_id, event_type AS event_name FROM events""")
+def recorded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that come up to three times in a stream, each recorded once."""
+    rows = _stream(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("created_at"), F.col("user_id").alias("job_id"), F.col("event_type").alias("event_name"))
+    again = F.explode(F.sequence(F.lit(0).cast("long"), F.col("event_id") % 3))
+    found = stream_tables.recorded(rows.withColumn("again", again).drop("again"), scratch(spark, "telemetry"))
+    return found.select("event_id", "job_id", "event_name")
+
+
+# --- keyed tables and SQL --------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS price FROM orders WHERE o_orderkey % 5 <> 0),
+v AS (SELECT l_orderkey, max(CASE WHEN l_orderkey % 7 = 0 THEN l_quantity + 1 ELSE l_quantity END) AS weight FROM lineitem
+  WHERE l_orderkey % 7 <> 0 OR l_linenumber > 1 GROUP BY l_orderkey, l_linenumber % 3)
+SELECT 'profiles' AS name, count(*) AS n, round(sum(price), 2) AS total FROM p
+UNION ALL SELECT 'vectors', count(*), round(sum(weight), 2) FROM v WHERE l_orderkey IN (SELECT o_orderkey FROM p)
+UNION ALL SELECT 'profiles before', count(*), round(sum(o_totalprice), 2) FROM orders""")
+def catalogue_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as profiles and their lines as vectors: all put, a seventh replaced with fewer vectors, a fifth deleted with theirs; then counted."""
+    price, weight = F.col("o_totalprice").cast("double"), F.col("l_quantity").cast("double")
+    orders = data.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("profile_id"), price.alias("price"))
+    lines = data.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("profile_id"), (F.col("l_linenumber") % 3).cast("int").alias("role"), weight.alias("weight"), "l_linenumber")
+    lines = lines.join(orders.select("profile_id"), "profile_id", "left_semi")
+    table = keyed.KeyedCatalogue(spark, scratch(spark, "catalogue"), "profile_id long, price double", "profile_id long, role int, weight double", 16)
+    first = table.commit(orders, lines)
+    seventh = F.col("profile_id") % 7 == 0
+    table.commit(orders.filter(seventh).withColumn("price", F.col("price") * 2), lines.filter(seventh & (F.col("l_linenumber") > 1)).withColumn("weight", F.col("weight") + 1))
+    table.commit(deleted=orders.filter("profile_id % 5 = 0"))
+
+    def counted(name: str, rows: DataFrame, value: str) -> DataFrame:
+        return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 2).alias("total")).select(F.lit(name).alias("name"), "n", "total")
+
+    now = counted("profiles", table.read("profiles"), "price").unionByName(counted("vectors", table.read("vectors"), "weight"))
+    return now.unionByName(counted("profiles before", table.read("profiles", first), "price"))
+
+
+@query(ORACLE_SQL["match_global"])
+def match_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-k report: the five global vectors nearest to the first clip, asked in SQL."""
+    rows = profiles.representatives(data.unit_clips(spark, sf_dir)).withColumn("model_revision", F.lit("r1"))
+    rows.createOrReplaceTempView("catalogue_vectors")
+    catalogue.register_match(spark)
+    asked = ", ".join(f"{x!r}D" for x in _first_vector(spark, sf_dir))
+    return spark.sql(f"SELECT profile_id, role, round(similarity, 6) + 0D AS similarity FROM match_vectors(array({asked}), 5, 'global', 'r1')")
+
+
+@query("""SELECT event_id, coalesce(CAST(json_extract(p, '$.k') AS INTEGER), -1) AS k, CASE WHEN NOT json_valid(p) THEN 'not JSON' WHEN json_type(CASE WHEN json_valid(p) THEN p END) <> 'OBJECT' THEN 'not an object' END AS problem FROM (
+  SELECT event_id, CASE event_id % 50 WHEN 7 THEN left(props, 5) WHEN 9 THEN '[' || event_id || ']' ELSE props END AS p FROM events) WHERE json_valid(p)
+UNION ALL SELECT event_id, -1, 'not JSON' FROM events WHERE event_id % 50 = 7""")
+def event_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties read without a schema; of some events they are cut off or a list, and those rows stay."""
+    body = F.when(F.col("event_id") % 50 == 7, F.substring("properties", 1, 5)).when(F.col("event_id") % 50 == 9, F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit("]")))
+    rows = jobs.loosely_parsed(_events(spark, sf_dir).withColumn("properties", F.coalesce(body, "properties")))
+    return rows.select("event_id", F.coalesce(jobs.property_of("$.k", "int"), F.lit(-1)).alias("k"), "problem")

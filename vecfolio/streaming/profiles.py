@@ -39,15 +39,26 @@ def latest_jobs(events: DataFrame, job: str = "job_id") -> DataFrame:
     return events.groupBy(job).agg(last, F.count(F.lit(1)).alias("n_events")).select(job, "last.event_name", "last.created_at", "last.event_id", "n_events")
 
 
-def refresh_profiles(path: str, clips_path: str, make: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: appends a batch's clips, and writes the touched profiles anew under the batch's number."""
+#: Buckets of clips by profile, so that a batch reads those of its profiles only.
+BUCKETS = 64
+
+
+def refresh_profiles(path: str, clips_path: str, make: Callable[[DataFrame], DataFrame], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: keeps a batch's clips by bucket, and writes the touched profiles anew under the batch's number.
+
+    Of the clips before it reads the buckets of the batch's profiles, at most ``buckets`` names.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{clips_path}/batch={number}")
-        touched = spark.read.parquet(f"{clips_path}/batch={number}").select("profile_id").distinct()
-        every = spark.read.option("basePath", clips_path).parquet(clips_path).filter(F.col("batch") <= number).drop("batch")
-        make(every.join(touched, "profile_id", "left_semi")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        named = batch.withColumn("bucket", F.pmod(F.xxhash64("profile_id"), F.lit(buckets)).cast("int"))
+        named.write.mode("overwrite").partitionBy("bucket").parquet(f"{clips_path}/batch={number}")
+        new = spark.read.schema(named.schema).parquet(f"{clips_path}/batch={number}")
+        touched = new.select("bucket", "profile_id").distinct()
+        held = [r["bucket"] for r in touched.select("bucket").distinct().collect()]
+        every = spark.read.option("basePath", clips_path).parquet(clips_path)
+        every = every.filter((F.col("batch") <= number) & F.col("bucket").isin(held)).select(*batch.columns)
+        make(every.join(touched.select("profile_id"), "profile_id", "left_semi")).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return step
 
