@@ -4,6 +4,11 @@ A projection is fitted to global vectors: mean and scatter matrix are sums over
 partitions, so only a matrix of the dimension's size reaches the driver. A
 fitted projection is a one-row table that can be kept and used again; then
 profiles that come later don't move those that are there.
+
+Moments can be kept: a row for each batch of profiles put or taken off, whose
+sums are the catalogue's. A projection fitted anew from them needs no sums over
+the catalogue; only how far its profiles reach along both axes is asked of it,
+since a maximum can't be taken off.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, with_unit
+from .blocks import vector_sum
 
 LEAST_SCALE = 1e-6
 #: A catalogue of so many vectors makes a frozen projection.
@@ -44,6 +50,30 @@ def moments(unit: DataFrame, column: str = "unit") -> tuple[int, np.ndarray, np.
     return int(values[0]), values[1 : d + 1], values[d + 1 :].reshape(d, d)
 
 
+MOMENTS = "n long, total array<double>, outer array<double>"
+
+
+def moment_row(vectors: DataFrame, column: str = "vector", removed: bool = False) -> DataFrame:
+    """The one-row ``MOMENTS`` of profiles put, or taken off, to be appended to those kept; no rows give none."""
+    unit = with_unit(vectors, column, "unit", strict=True).select("unit")
+    spark = vectors.sparkSession
+    if unit.isEmpty():
+        return spark.createDataFrame([], MOMENTS)
+    n, total, outer = moments(unit)
+    sign = -1 if removed else 1
+    return spark.createDataFrame([(sign * n, (sign * total).tolist(), (sign * outer).ravel().tolist())], MOMENTS)
+
+
+def refit(kept: DataFrame, vectors: DataFrame, column: str = "vector") -> DataFrame:
+    """``fit`` of the catalogue whose ``MOMENTS`` were kept; ``vectors`` are asked for their reach only."""
+    unit = with_unit(vectors, column, "unit", strict=True).select("unit")
+    row = kept.agg(F.sum("n").alias("n"), vector_sum("total").alias("total"), vector_sum("outer").alias("outer")).first()
+    if not row["n"] or row["n"] < 0:
+        raise ValueError("there is no vector to fit a projection to")
+    total = np.array(row["total"])
+    return _projection(unit, int(row["n"]), total, np.array(row["outer"]).reshape(len(total), -1))
+
+
 def fit(vectors: DataFrame, column: str = "vector") -> DataFrame:
     """The one-row projection of rows with a vector column.
 
@@ -55,7 +85,10 @@ def fit(vectors: DataFrame, column: str = "vector") -> DataFrame:
     unit = with_unit(vectors, column, "unit", strict=True).select("unit")
     if unit.isEmpty():
         raise ValueError("there is no vector to fit a projection to")
-    n, total, outer = moments(unit)
+    return _projection(unit, *moments(unit))
+
+
+def _projection(unit: DataFrame, n: int, total: np.ndarray, outer: np.ndarray) -> DataFrame:
     center, d = total / n, len(total)
     scatter = outer - n * np.outer(center, center)
     variance = [0.0, 0.0]
@@ -82,7 +115,7 @@ def fit(vectors: DataFrame, column: str = "vector") -> DataFrame:
     text = ";".join(",".join(f"{x + 0.0:.6f}" for x in part) for part in (center, *axes, scale)) + f";{n}"
     version = "pca-" + hashlib.sha256(text.replace("-0.000000", "0.000000").encode()).hexdigest()[:12]
     row = (center.tolist(), axes[0].tolist(), axes[1].tolist(), scale, variance, version, n)
-    return vectors.sparkSession.createDataFrame([row], SCHEMA)
+    return unit.sparkSession.createDataFrame([row], SCHEMA)
 
 
 def transform(vectors: DataFrame, projection: DataFrame, column: str = "vector") -> DataFrame:

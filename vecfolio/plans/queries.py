@@ -541,6 +541,15 @@ def min_support_injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("profile_id", "cluster", size.alias("size"), shown(F.col("weight")).alias("weight"), "strategy")
 
 
+@query("""WITH u AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS u FROM embeddings)
+SELECT vec_id AS profile_id, CAST(k AS INTEGER) AS cluster, 1::DOUBLE - k AS weight, 'single_embedding_duplicate' AS strategy, round(u[1], 6) + 0.0 AS head FROM u, range(2) t(k)""")
+def single_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as a profile of one clip: its clusters are the clip twice."""
+    rows = data.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("profile_id"), F.lit(0).alias("clip_ix"), "embedding")
+    found = profiles.clusters(profiles.normalised(rows))
+    return found.select("profile_id", "cluster", "weight", "strategy", shown(F.col("vector")[0]).alias("head"))
+
+
 _PCA = f"WITH {_UNIT}, named AS (SELECT profile_id, clip_ix AS c, u FROM unit)," + _axes("named", "profile_id", 3)
 
 
@@ -754,6 +763,21 @@ def export_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("profile_id", "e.model.dimensions", F.col("e.source.windows_retained").cast("long").alias("windows"))
 
 
+@query("""SELECT CAST(label AS VARCHAR) AS id, 'Set ' || label AS label, 64 AS dimensions, count(*) AS windows, 3 AS vectors FROM embeddings GROUP BY embeddings.label""")
+def batch_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports as batch documents of four, written as files, and every entry imported again."""
+    made = _exports(spark, sf_dir)
+    body = F.struct(*[c for c in made.columns if c != "profile_id"])
+    rows = made.select(
+        F.col("profile_id").cast("int").alias("position"), F.col("profile_id").alias("id"), F.concat(F.lit("Set "), "profile_id").alias("label"), F.lit("2024-01-01").alias("created_at"), body.alias("result")
+    )
+    path = scratch(spark, "batches")
+    documents.batch_documents(rows, 4).select(F.col("json").alias("value")).repartition(3).write.text(path)
+    back = documents.imported(spark, path)
+    result = F.col("result")
+    return back.select("id", "label", result["model"]["dimensions"].alias("dimensions"), result["source"]["windows_retained"].cast("long").alias("windows"), F.size(result["aggregation"]["vectors"]).alias("vectors"))
+
+
 # --- catalogue ---------------------------------------------------------------------
 
 
@@ -929,6 +953,26 @@ def map_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("*", *shares).drop("axis_explained_variance_ratio")
 
 
+_HALVES_LEFT = (
+    ORACLE_SQL["map_header"].replace("CAST(label AS INTEGER)", "CAST(label * 2 + vec_id % 2 AS INTEGER)").replace("BY label ORDER", "BY label, vec_id % 2 ORDER")
+    .replace("g AS u FROM whole)", "g AS u FROM whole WHERE profile_id % 4 <> 3)")
+)
+
+
+@query(_HALVES_LEFT)
+def map_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map of the halves after one in four was taken off, from moments kept as they came and went."""
+    vectors = profiles.global_vectors(data.half_clips(spark, sf_dir)).select("profile_id", "vector")
+    goes = F.col("profile_id") % 4 == 3
+    kept = scratch(spark, "moments")
+    for rows, removed in ((vectors.filter("profile_id % 2 = 0"), False), (vectors.filter("profile_id % 2 = 1"), False), (vectors.filter(goes), True)):
+        atlas.moment_row(rows, removed=removed).write.mode("append").parquet(kept)
+    left = vectors.filter(~goes)
+    found = atlas.header(atlas.refit(spark.read.schema(atlas.MOMENTS).parquet(kept), left), True, left.count())
+    shares = [F.col("axis_explained_variance_ratio")[k].alias(f"axis_{k + 1}_share") for k in (0, 1)]
+    return found.select("*", *shares).drop("axis_explained_variance_ratio")
+
+
 @query(f"""{_ATLAS} SELECT CAST(0 AS BIGINT) AS map_id, x.profile_id AS ordinal, CAST(x.profile_id AS VARCHAR) AS id, 'Set ' || x.profile_id AS label, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y,
   CAST(r AS VARCHAR) AS nearest_id, 'Set ' || r AS nearest_label, round(bs, 6) AS similarity FROM xy x LEFT JOIN near n ON n.l = x.profile_id""")
 def map_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1135,6 +1179,18 @@ def stream_profile_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("profile_id", F.posexplode("vector").alias("i", "x")).select("profile_id", F.col("i").cast("long").alias("i"), shown(F.col("x")).alias("value"))
 
 
+@query(ORACLE_SQL["cluster_weights"])
+def stream_refreshed_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters kept up to date by batches of a stream, each batch's profiles from all their clips."""
+    rows = _stream(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("profile_id"), F.col("vec_id").cast("int").alias("clip_ix"), "embedding")
+    root = scratch(spark, "refreshed")
+    step = streams.refresh_profiles(f"{root}/profiles", f"{root}/clips", lambda c: profiles.clusters(profiles.normalised(c)).select("profile_id", "cluster", "weight"))
+    started = rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/progress")
+    started.trigger(availableNow=True).start().awaitTermination()
+    kept = "profile_id int, cluster int, weight double, batch int"
+    return streams.current_profiles(spark.read.schema(kept).parquet(f"{root}/profiles")).select("profile_id", "cluster", shown(F.col("weight")).alias("weight"))
+
+
 @query(ORACLE_SQL["latest_job_state"])
 def stream_latest_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stream(spark, sf_dir, "events").select("event_id", F.col("ts").alias("created_at"), F.col("user_id").alias("job_id"), F.col("event_type").alias("event_name"))
