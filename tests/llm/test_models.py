@@ -517,3 +517,17 @@ def test_neighbours_prune(spark, monkeypatch):
         assert set(near[met[i, near]].tolist()) <= found[q]
         hits += len(found[q] & set(near.tolist()))
     assert hits / (20 * len(queries)) >= 0.92
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark, monkeypatch):
+    """Texts of the smallest hashes until the bytes are used up, one at least; no bound that isn't reached changes anything."""
+    from vecfolio.llm import toxicity
+
+    docs = spark.createDataFrame([(i, f"{i:03d}" + "x" * 97) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, label int")
+    whole = {r["text"] for r in toxicity.training_sample(docs, labels)[0].collect()}
+    assert len(whole) == 60
+    for most, n in ((1000, 10), (1, 1)):
+        monkeypatch.setattr(toxicity, "SAMPLE_BYTES", most)
+        rows = toxicity.training_sample(docs, labels)[0].collect()
+        assert sorted(r["label"] for r in rows) == [0] * n + [1] * n

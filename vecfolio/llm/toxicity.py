@@ -135,12 +135,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE)
     ]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * per_label rows of two numbers at most
     texts = materialise(docs.join(chosen, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label"))
-    # 2 * per_label rows, and no text, in the window
-    sizes = texts.groupBy("label", "doc_id").agg(F.sum(F.octet_length("text")).alias("size"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sizes = sizes.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(order))
-    over = sizes.filter((F.col("upto") > SAMPLE_BYTES) & (F.col("rank") > 1)).select("doc_id", "label")
-    texts = texts.join(F.broadcast(over), ["doc_id", "label"], "left_anti").drop("doc_id")
+    held = texts.groupBy("label").agg(F.sum(F.octet_length("text")).alias("size"))
+    if not held.filter(F.col("size") > SAMPLE_BYTES).isEmpty():
+        # 2 * per_label rows, and no text, in the window
+        sizes = texts.groupBy("label", "doc_id").agg(F.sum(F.octet_length("text")).alias("size"))
+        order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+        upto = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        sizes = sizes.withColumn("upto", upto).withColumn("rank", F.row_number().over(order))
+        over = sizes.filter((F.col("upto") > SAMPLE_BYTES) & (F.col("rank") > 1)).select("doc_id", "label")
+        texts = texts.join(F.broadcast(over), ["doc_id", "label"], "left_anti")
     texts = texts.groupBy("text").agg(F.max("label").alias("label"))
     return materialise(texts.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))), totals
 
