@@ -52,7 +52,8 @@ def test_recordings_to_windows(spark, tmp_path):
 def test_filters_on_path_drop_files(spark, tmp_path):
     for k in range(4):
         (tmp_path / f"{k}.wav").write_bytes(recordings.wave_bytes(np.full(16_000 * 3, 0.1 * k), 16_000))
-    frame = recordings.read_windows(spark, str(tmp_path), 20.0)
+    assert recordings.read_windows(spark, str(tmp_path), 20.0).rdd.getNumPartitions() == 1  # small files go together
+    frame = recordings.read_windows(spark, str(tmp_path), 20.0, range_bytes=100_000)
     one = frame.filter(F.col("path") == str(tmp_path / "2.wav"))
     assert frame.rdd.getNumPartitions() == 4 and one.rdd.getNumPartitions() == 1
     assert [round(r["samples"][5], 2) for r in one.collect()] == [0.2]

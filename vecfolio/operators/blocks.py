@@ -37,8 +37,7 @@ NEAR, NEAR_SHARE = 1e-8, 1e-5
 def larger(clips: DataFrame, most: int) -> DataFrame | None:
     """(profile_id) of the profiles with more than ``most`` clips, or None if there are none; reads no vector."""
     found = clips.groupBy("profile_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("profile_id")
-    found = written(found)
-    return None if found.isEmpty() else found
+    return None if found.isEmpty() else written(found)
 
 
 def blocked(clips: DataFrame) -> DataFrame:
@@ -216,10 +215,10 @@ def cluster_states(blocks: DataFrame, rounds: int, support: int, ordering: int)
     for k in range(1, rounds + 1):
         dealt = written(_dealt(blocks, state))
         short = F.least("n0", F.col("n") - F.col("n0")) < least
-        counted = state.join(dealt.select("profile_id", "n0"), "profile_id")
-        few = written(counted.filter(short).withColumn("place", F.when(F.col("n0") < least, least).otherwise(F.col("n") - least)).drop("n0"))
+        counted = state.join(dealt.select("profile_id", "n0"), "profile_id").filter(short)
         cut = state
-        if not few.isEmpty():
+        if not counted.isEmpty():
+            few = written(counted.withColumn("place", F.when(F.col("n0") < least, least).otherwise(F.col("n") - least)).drop("n0"))
             few = written(few.drop("cut", "cut_ix", "place").join(_cuts(blocks, few), "profile_id").withColumn("forced", F.lit(True)))
             rest = state.join(few.select("profile_id"), "profile_id", "left_anti")
             dealt = written(dealt.join(few.select("profile_id"), "profile_id", "left_anti").unionByName(_dealt(blocks, few)))

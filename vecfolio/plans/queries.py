@@ -384,7 +384,7 @@ SELECT user_id, CAST(window_ix AS INTEGER) AS window_ix, start_s, count(*) AS n,
 UNION ALL SELECT user_id, -1, NULL, -1, NULL, CASE WHEN user_id % 7 = 5 THEN 'unreadable' ELSE 'too long' END FROM lengths WHERE user_id % 7 = 5 OR d > 100.5""")
 def decoded_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as wave files, read by the source of windows."""
-    found = recordings.read_windows(spark, _event_files(spark, sf_dir), FILE_INTERVAL, seconds=FILE_WINDOW, rate=FILE_RATE, most_seconds=100, range_bytes=512)
+    found = recordings.read_windows(spark, _event_files(spark, sf_dir), FILE_INTERVAL, seconds=FILE_WINDOW, rate=FILE_RATE, most_seconds=100, range_bytes=1024)
     level = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x) / F.size("samples")
     error = F.when(F.col("error") == recordings.TOO_LONG, "too long").when(F.col("error").isNotNull(), "unreadable")
     user = F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long").alias("user_id")
@@ -412,7 +412,7 @@ SELECT user_id, CASE WHEN user_id % 7 = 5 THEN 'UnreadableRecording' WHEN d > 10
   coalesce(filter_counts, '') AS filter_counts, coalesce(retained, 0) AS core_count FROM lengths LEFT JOIN counted USING (user_id) LEFT JOIN named USING (user_id)""")
 def file_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From files to profiles in one call: the events' wave files, and why some have none."""
-    reading = {"seconds": FILE_WINDOW, "rate": FILE_RATE, "range_bytes": 512}
+    reading = {"seconds": FILE_WINDOW, "rate": FILE_RATE, "range_bytes": 1 << 16}
     made = profile_job_operator.run_files(spark, _event_files(spark, sf_dir), FILE_INTERVAL, RULES, most_seconds=100, reading=reading, n_fft=32, bins=8, stride=1)
     found = made.fillna(0, ["considered", "retained", "filtered", "core_count"])
     user = F.regexp_extract("profile_id", r"(\d+)\.wav$", 1).cast("long").alias("user_id")

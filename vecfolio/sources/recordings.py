@@ -5,7 +5,8 @@ window of each audio file below a path. The driver lists files and nothing more;
 a task has a file and a range of its bytes, reads the header, and then only the
 windows that begin in its range, so wave files have no limit of size and are
 read by as many tasks as they have ranges. Filters on ``path`` drop files before
-any task is planned (``spark.sql.python.filterPushdown.enabled``). Files are
+any task is planned (``spark.sql.python.filterPushdown.enabled``); small files are
+put together. Files are
 opened by pyarrow's file systems, so by any store that those know. Other formats
 have to be decoded from front to back: such a file is one task, which runs
 ``ffmpeg`` and holds one window and one block.
@@ -269,13 +270,20 @@ def windows_of(path: str, f, size: int, plan: Plan, first: int = 0, last: int |
 
 
 @dataclass
-class FileRange(InputPartition):
+class FileRange:
     path: str
     size: int
     first: int
     last: int | None
 
 
+@dataclass
+class Task(InputPartition):
+    """What one task reads: a range of a large file, or some small files."""
+
+    ranges: list[FileRange]
+
+
 class WindowReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.plan = options["path"], Plan(
@@ -301,25 +309,30 @@ class WindowReader(DataSourceReader):
         found = [info] if info.type == pafs.FileType.File else store.get_file_info(pafs.FileSelector(base, recursive=True))
         return sorted((f.path, f.size) for f in found if f.type == pafs.FileType.File and f.path.lower().endswith(tuple(f".{s}" for s in AUDIO_SUFFIXES)))
 
-    def partitions(self) -> list[FileRange]:
-        out = []
+    def partitions(self) -> list[Task]:
+        """Ranges of about ``range_bytes``; opening a file counts as a 64th of one."""
+        out, held, room = [Task([])], 0, self.range_bytes
         for path, size in self.files():
             if self.paths is not None and path not in self.paths:
                 continue
             if path.lower().endswith(".wav") and size > self.range_bytes:
-                edges = list(range(0, size, self.range_bytes))
-                out += [FileRange(path, size, a, b) for a, b in zip(edges, [*edges[1:], None])]
-            else:
-                out.append(FileRange(path, size, 0, None))
-        return out or [FileRange("", 0, 0, 0)]
-
-    def read(self, partition: FileRange) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
+                edges = list(range(0, size, room))
+                out += [Task([FileRange(path, size, a, b)]) for a, b in zip(edges, [*edges[1:], None])]
+                held = room
+                continue
+            if held + size > room:
+                out.append(Task([]))
+                held = 0
+            out[-1].ranges.append(FileRange(path, size, 0, None))
+            held += size + room // 64
+        return [t for t in out if t.ranges] or out
+
+    def read(self, partition: Task) -> Iterator[pa.RecordBatch]:
         store, _ = pafs.FileSystem.from_uri(self.root if "://" in self.root or self.root.startswith("file:") else os.path.abspath(self.root))
-        local = partition.path if isinstance(store, pafs.LocalFileSystem) else None
-        with store.open_input_file(partition.path) as f:
-            yield from windows_of(partition.path, f, partition.size, self.plan, partition.first, partition.last, local)
+        for r in partition.ranges:
+            local = r.path if isinstance(store, pafs.LocalFileSystem) else None
+            with store.open_input_file(r.path) as f:
+                yield from windows_of(r.path, f, r.size, self.plan, r.first, r.last, local)
 
 
 class WindowSource(DataSource):
