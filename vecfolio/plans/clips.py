@@ -110,16 +110,16 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("w").agg(held.alias("samples"))
 
 
-#: Samples, windows and seconds of a generated recording; of each 25 suppliers one is too long and one silent.
+#: Samples, windows and seconds of a generated recording; of each five suppliers one is too long and one silent.
 JOB_SAMPLES, JOB_WINDOWS, JOB_SECONDS, JOB_LONG = 4096, 12, 285.0, 20_000.0
 
 
 def job_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Recordings (profile_id, duration_s) and their windows (profile_id, window_ix, start_s, samples): one for each supplier."""
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("profile_id"))
-    recordings = suppliers.select("profile_id", F.when(F.col("profile_id") % 25 == 23, JOB_LONG).otherwise(JOB_SECONDS).alias("duration_s"))
+    recordings = suppliers.select("profile_id", F.when(F.col("profile_id") % 5 == 3, JOB_LONG).otherwise(JOB_SECONDS).alias("duration_s"))
     places = suppliers.select("profile_id", F.explode(F.sequence(F.lit(0), F.lit(JOB_WINDOWS - 1))).alias("window_ix"))
-    silent = F.col("profile_id") % 25 == 24
+    silent = F.col("profile_id") % 5 == 4
     rows = places.withColumn("r", F.when(silent, 0).otherwise(F.col("profile_id"))).withColumn("w", F.when(silent, 3).otherwise(F.col("window_ix")))
     windows = generated(rows, JOB_SAMPLES).select("profile_id", "window_ix", (F.col("window_ix") * 25).cast("double").alias("start_s"), "samples")
     return recordings, windows

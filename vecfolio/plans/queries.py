@@ -214,8 +214,8 @@ _DEFAULT = _quality(
 )
 _JOB = (
     f"""
-recs AS (SELECT CAST(s_suppkey AS INTEGER) AS profile_id, CASE WHEN s_suppkey % 25 = 23 THEN {data.JOB_LONG}::DOUBLE ELSE {data.JOB_SECONDS}::DOUBLE END AS duration_s FROM supplier),
-places AS (SELECT profile_id, w AS window_ix, CASE WHEN profile_id % 25 = 24 THEN 0 ELSE profile_id END AS r, CASE WHEN profile_id % 25 = 24 THEN 3 ELSE w END AS w
+recs AS (SELECT CAST(s_suppkey AS INTEGER) AS profile_id, CASE WHEN s_suppkey % 5 = 3 THEN {data.JOB_LONG}::DOUBLE ELSE {data.JOB_SECONDS}::DOUBLE END AS duration_s FROM supplier),
+places AS (SELECT profile_id, w AS window_ix, CASE WHEN profile_id % 5 = 4 THEN 0 ELSE profile_id END AS r, CASE WHEN profile_id % 5 = 4 THEN 3 ELSE w END AS w
   FROM recs, range({data.JOB_WINDOWS}) t(w) WHERE duration_s <= 14400.5),"""
     + _quality(_generated("SELECT * FROM places", "profile_id, window_ix", data.JOB_SAMPLES), "profile_id, window_ix")
 )
@@ -694,7 +694,7 @@ def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contract.violations(rows)
 
 
-@query("SELECT '' AS profile_id, '' AS rule, '' AS severity WHERE false UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'no_profile', 'job' FROM supplier WHERE s_suppkey % 25 IN (23, 24)")
+@query("SELECT '' AS profile_id, '' AS rule, '' AS severity WHERE false UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'no_profile', 'job' FROM supplier WHERE s_suppkey % 5 IN (3, 4)")
 def profile_job_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The jobs' exports hold the whole contract; the recordings without one are listed."""
     jobs_ = _jobs(spark, sf_dir)
