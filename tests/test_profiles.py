@@ -108,7 +108,7 @@ def test_one_pass_equals_the_parts(spark):
     for r in diagnostics.pca(unit).collect():
         own = whole[r["profile_id"]]
         assert np.allclose(own["variance"], r["variance"]) and (own["low_clip"], own["high_clip"]) == (r["low_clip"], r["high_clip"])
-    for r in diagnostics.diversity(unit, profiles.global_vectors(unit)).collect():
+    for r in diagnostics.diversity(unit, profiles.global_vectors(kept)).collect():
         assert abs(whole[r["profile_id"]]["diversity"] - r["diversity"]) < 1e-12
     for name, row in whole.items():
         assert row["outliers"] == gone.get(name, []) and row["core_count"] == len(groups[name]) - len(row["outliers"])
@@ -148,6 +148,13 @@ def test_isolated_clip_is_trimmed(spark):
     assert [round(v["weight"], 6) for v in row["vectors"][1:]] == [0.5, 0.5]
 
 
+def test_diversity_is_about_the_clips_that_are_kept(spark):
+    vectors = [[1.0, x] for x in np.linspace(0, 0.2, 19)] + [[0.0, 1.0]]
+    rows = clips(spark, {"p": vectors})
+    assert round(profiles.aggregate(rows, 0.1).first()["diversity"], 6) == 0.046499
+    assert round(profiles.aggregate(rows).first()["diversity"], 6) == 0.045462
+
+
 def test_trim_gate_and_cap(spark):
     unit = profiles.normalised(clips(spark, {"eight": line(7, 0.01, [0, 1]), "seven": line(6, 0.01, [0, 1])}))
     found = {(r["profile_id"], r["clip_ix"]) for r in density.trimmed(unit, 0.1).filter("outlier").collect()}
