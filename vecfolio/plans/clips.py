@@ -79,19 +79,24 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def generated(rows: DataFrame, length: int) -> DataFrame:
     """``rows`` with ``samples`` of ``length`` values for their columns r and w: tones, silence, gaps, clipping, offsets, noise and a NaN."""
     r, w = F.col("r"), F.col("w")
-    kind = (r * 7 + w) % 8
     step = F.lit(2 * math.pi) * (200 + 37 * ((r * 31 + w * 17) % 50)) / RATE
+    given = rows.withColumn("_kind", (r * 7 + w) % 8).withColumn("_step", step).withColumn("_bad", (r * 7 + w) % 40 == 39)
+    # few small rows that make much: dealt to all cores, by a number that isn't merged again
+    given = given.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, "r", "w")
 
-    def sample(n: Column) -> Column:
-        s = F.sin(step * n + 0.1)
-        value = (
-            F.when(kind == 3, s * 0.0).when(kind == 4, F.when(n < length / 10, s * 0.2).otherwise(0.0))
-            .when(kind == 5, F.when(s > 0, 1.0).otherwise(-1.0)).when(kind == 6, s * 0.2 + 0.3)
-            .when(kind == 7, ((n.cast("long") * 7919 + (r * 31 + w) * 104_729) % 10_007) / 10_007.0 * 0.4 - 0.2).otherwise(s * 0.2)
-        )
-        return F.when(((r * 7 + w) % 40 == 39) & (n == 7), float("nan")).otherwise(value)
+    def tone(of) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda n: of(n, F.sin(F.col("_step") * n + 0.1)))
 
-    return rows.withColumn("samples", F.transform(F.sequence(F.lit(0), F.lit(length - 1)), sample))
+    noise = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda n: ((n.cast("long") * 7919 + (r * 31 + w) * 104_729) % 10_007) / 10_007.0 * 0.4 - 0.2)
+    kind = F.col("_kind")
+    samples = (
+        F.when(kind == 3, tone(lambda n, s: s * 0.0)).when(kind == 4, tone(lambda n, s: F.when(n < length / 10, s * 0.2).otherwise(0.0)))
+        .when(kind == 5, tone(lambda n, s: F.when(s > 0, 1.0).otherwise(-1.0))).when(kind == 6, tone(lambda n, s: s * 0.2 + 0.3))
+        .when(kind == 7, noise).otherwise(tone(lambda n, s: s * 0.2))
+    )
+    spoiled = F.transform("samples", lambda x, n: F.when(n == 7, float("nan")).otherwise(x))
+    made = given.withColumn("samples", samples).withColumn("samples", F.when(F.col("_bad"), spoiled).otherwise(F.col("samples")))
+    return made.drop("_kind", "_step", "_bad")
 
 
 #: Samples that an event lasts, and events of a window of the shipped rules' rate.
@@ -121,7 +126,5 @@ def job_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     places = suppliers.select("profile_id", F.explode(F.sequence(F.lit(0), F.lit(JOB_WINDOWS - 1))).alias("window_ix"))
     silent = F.col("profile_id") % 5 == 4
     rows = places.withColumn("r", F.when(silent, 0).otherwise(F.col("profile_id"))).withColumn("w", F.when(silent, 3).otherwise(F.col("window_ix")))
-    # few small rows that make much: dealt to all cores, by a number that isn't merged again
-    rows = rows.repartition(2 * spark.sparkContext.defaultParallelism, "profile_id", "window_ix")
     windows = generated(rows, JOB_SAMPLES).select("profile_id", "window_ix", (F.col("window_ix") * 25).cast("double").alias("start_s"), "samples")
     return recordings, windows
