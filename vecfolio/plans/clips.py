@@ -87,7 +87,7 @@ def generated(rows: DataFrame, length: int) -> DataFrame:
     def tone(of) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda n: of(n, F.sin(F.col("_step") * n + 0.1)))
 
-    noise = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda n: ((n.cast("long") * 7919 + (r * 31 + w) * 104_729) % 10_007) / 10_007.0 * 0.4 - 0.2)
+    noise = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda n: ((n.cast("long") * 7919 + (r.cast("long") * 31 + w) * 104_729) % 10_007) / 10_007.0 * 0.4 - 0.2)
     kind = F.col("_kind")
     samples = (
         F.when(kind == 3, tone(lambda n, s: s * 0.0)).when(kind == 4, tone(lambda n, s: F.when(n < length / 10, s * 0.2).otherwise(0.0)))
