@@ -38,6 +38,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates (five-word shingles, similarity 0.8 or more).
 
+    SimHashes within 8 bits meet by the generalised pigeonhole search, pairs further apart by
+    least hashes; the shingle sets of all that met decide.
     The least (doc_id, hash of the row) stays; texts without words, null ones too, are one class.
     """
     return drop_near_duplicates(docs)

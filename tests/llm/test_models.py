@@ -444,6 +444,35 @@ def test_similar_classes_of_repeats(spark):
     assert found == {i: i - i % 2 for i, _ in docs}
 
 
+def test_similar_classes_meet_by_pigeonholes(spark):
+    # pairs of similarity 43/53 that share no bucket of least hashes, 5 to 8 SimHash bits apart
+    docs = []
+    for seed in (11850, 20510, 24949, 35173, 55422, 59061):
+        words = [f"s{seed}w{i}" for i in range(52)]
+        docs += [" ".join(words), " ".join([*words[:20], "new", *words[21:]])]
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").withColumn("row_hash", F.xxhash64("doc_id"))
+    found = {r["doc_id"]: r["first_id"] for r in simhash.similar_classes(rows).collect()}
+    assert found == {i: i - i % 2 for i in range(len(docs))}
+
+
+@pytest.mark.parametrize("bucket, small", [(4096, 16), (8, 2)])
+def test_set_links_are_all_within_the_distance(spark, monkeypatch, bucket, small):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    monkeypatch.setattr(simhash, "SMALL", small)
+    random = np.random.default_rng(8)
+    nodes = {0: 0}
+    for x in random.integers(0, 2**63, 30):
+        for _ in range(10):
+            for b in random.choice(64, random.integers(0, 12), replace=False):
+                x ^= np.int64(1) << np.int64(b)
+            nodes[len(nodes)] = int(x)
+    u = np.array(list(nodes.values()), np.int64).view(np.uint64)
+    linked = [(i, int(j)) for i in range(len(u)) for j in np.flatnonzero(np.bitwise_count(u ^ u[i]) <= 8) if j > i]
+    found = [(r["a"], r["b"]) for r in simhash.set_links(spark.createDataFrame(list(nodes.items()), "node long, fp long")).collect()]
+    assert {(min(p), max(p)) for p in found} <= set(linked)
+    assert components_of(len(u), found) == components_of(len(u), linked)
+
+
 # --- neighbours ---------------------------------------------------------------------
 
 

@@ -14,6 +14,10 @@ returned as a spanning forest, which keeps components and not all pairs; a
 bucket over ``BUCKET`` rows is cut into blocks, and pairs of blocks are worked
 on apart.
 
+Classes by similarity of shingle sets come from the same search, over a wider
+distance; sets similar but further apart meet in buckets of least hashes, and
+of all that met the sets themselves decide.
+
 Defined results: a null or empty text has fingerprint 0 and links like any
 other; fewer words than a shingle are one shingle; repeated rows are all kept
 and share a component; a null doc_id is never a component's id unless all are
@@ -217,6 +221,13 @@ def _forest(fps: np.ndarray, side: np.ndarray | None, distance: int) -> tuple[np
     return spanning_forest(len(fps), side, near)
 
 
+def _linked(fps: np.ndarray, distance: int) -> np.ndarray:
+    """The rows that have another within ``distance``."""
+    step = max(1, 1_000_000 // max(1, len(fps)))
+    near = [(np.bitwise_count(fps[i : i + step, None] ^ fps) <= distance).sum(axis=1) for i in range(0, len(fps), step)]
+    return np.flatnonzero(np.concatenate(near) > 1)  # one is the row itself
+
+
 def spanning_forest(n: int, side: np.ndarray | None, near) -> tuple[np.ndarray, np.ndarray]:
     """Links (row, row) that connect n rows as all links do; ``near(i, rows)`` tells which rows link to row i."""
     a, b = [np.empty(0, int)], [np.empty(0, int)]
@@ -255,10 +266,11 @@ def _bucket_links(keys: np.ndarray, fps: np.ndarray, sides: np.ndarray, apart: n
         a.append(small[hit])
         b.append(small[hit + d])
     for i in np.flatnonzero((ends - starts > SMALL) | apart[starts]):
-        s, e = starts[i], ends[i]
-        x, y = _forest(fps[s:e], sides[s:e] if apart[s] else None, distance)
-        a.append(x + s)
-        b.append(y + s)
+        s = starts[i]
+        rows = s + _linked(fps[s : ends[i]], distance)
+        x, y = _forest(fps[rows], sides[rows] if apart[s] else None, distance)
+        a.append(rows[x])
+        b.append(rows[y])
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -307,11 +319,11 @@ def bucket_links(rows: DataFrame, distance: int) -> DataFrame:
     return met.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(run, "a long, b long").distinct()
 
 
-def near_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Links (a, b) of distinct fingerprints ``fp`` within ``distance`` bits that connect as all such links do."""
+def near_links(fps: DataFrame, distance: int = DISTANCE, node: str = "fp") -> DataFrame:
+    """Links (a, b) of distinct fingerprints ``fp``, by their ``node``, within ``distance`` bits that connect as all such links do."""
     plan = plan_search(fps, distance)
-    probes = fps.select("fp", F.explode(_probes(plan)).alias("x"))
-    return bucket_links(probes.select("x.part", "x.value", F.col("fp").alias("node"), "fp"), distance)
+    probes = fps.select(F.col(node).alias("node"), "fp", F.explode(_probes(plan)).alias("x"))
+    return bucket_links(probes.select("x.part", "x.value", "node", "fp"), distance)
 
 
 def near_classes(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -338,7 +350,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SIMILARITY = 0.8
 SHINGLE = 5
-#: Buckets a document is put in, each by so many least hashes: at similarity 0.8
+#: SimHash bits within which the pigeonhole search finds all pairs of sets; more cost rows and pairs (README).
+NEAR_DISTANCE = 8
+#: For pairs further apart: buckets a document is put in, each by so many least hashes: at similarity 0.8
 #: two documents share none with a chance of (1 - 0.8 ** 5) ** 20 = 0.0004.
 BANDS, BAND_HASHES = 20, 5
 #: SimHash bits in which documents of similarity 0.8 may differ: 9.7 are expected, with a deviation of 2.9.
@@ -366,9 +380,9 @@ def _set_name(hashes: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, row_hash, node, fp, bands) of rows (doc_id, row_hash, text).
+    """(doc_id, row_hash, node, fp, size, bands) of rows (doc_id, row_hash, text).
 
-    ``node`` names the set of shingles; ``bands`` are hashes of its least hashes.
+    ``node`` names the set of ``size`` shingles; ``bands`` are hashes of its least hashes.
     """
 
     def run(batches):
@@ -377,11 +391,12 @@ def signatures(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
         odd = random.integers(0, 2**63, (BANDS * BAND_HASHES, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         mix = random.integers(0, 2**63, BAND_HASHES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            nodes, fps, bands = [], [], []
+            nodes, fps, sizes, bands = [], [], [], []
             for text in batch.column(2):
                 fp, hashes = shingle_set(text.as_py(), width)
                 fps.append(fp)
                 nodes.append(_set_name(hashes))
+                sizes.append(len(hashes))
                 least = np.full((BANDS * BAND_HASHES, 1), np.uint64(2**64 - 1))
                 for i in range(0, len(hashes), 4096):
                     least = np.minimum(least, ((hashes[i : i + 4096] ^ flips) * odd).min(axis=1, keepdims=True))
@@ -391,14 +406,21 @@ def signatures(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
             flat = pa.array(np.concatenate([*bands, np.empty(0, np.int64)]))
             as_long = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *as_long, pa.ListArray.from_arrays(offsets, flat)],
-                ["doc_id", "row_hash", "node", "fp", "bands"],
+                [batch.column(0), batch.column(1), *as_long, pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
+                ["doc_id", "row_hash", "node", "fp", "size", "bands"],
             )
 
-    schema = "doc_id long, row_hash long, node long, fp long, bands array<long>"
+    schema = "doc_id long, row_hash long, node long, fp long, size long, bands array<long>"
     return docs.select(F.col("doc_id").cast("long"), "row_hash", "text").mapInArrow(run, schema)
 
 
+def set_links(nodes: DataFrame, distance: int = NEAR_DISTANCE) -> DataFrame:
+    """Links (a, b) of rows (node, fp) that connect as do all pairs within ``distance`` bits, by the pigeonhole search."""
+    fps = materialise(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    same = nodes.join(fps, "fp").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return near_links(fps, distance, "first").unionByName(same)
+
+
 def verified_links(sets: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
     """Links (a, b) of nodes of one group whose shingle sets have that Jaccard similarity, as spanning forests.
 
@@ -454,14 +476,18 @@ def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, width: int
     """(doc_id, row_hash, node, first_id, first_hash) of rows (doc_id, row_hash, text).
 
     Documents whose shingle sets are linked by similarity form a class, named
-    by its least (doc_id, row_hash). Shared buckets and SimHash distance find
-    candidate groups; the sets themselves decide. Texts without words are alike.
+    by its least (doc_id, row_hash). Candidate groups are linked by the
+    pigeonhole search over SimHashes and, for pairs beyond its distance, by
+    shared buckets; the sets themselves decide. Texts without words are alike.
     """
     marked = materialise(signatures(docs, width))
     least = F.min(F.struct("doc_id", "row_hash")).alias("least")
-    nodes = materialise(marked.groupBy("node").agg(least, F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    banded = nodes.select("node", "fp", F.posexplode("bands").alias("part", "value"))
-    groups = materialise(connected_components(bucket_links(banded, WIDE_DISTANCE)))
+    nodes = materialise(marked.groupBy("node").agg(least, *[F.first(c).alias(c) for c in ("fp", "size", "bands")]))
+    # a smaller set is no other's like, even if it lacks one shingle of it only
+    sets = nodes.filter(F.col("size") >= similarity * (F.col("size") + 1) - 1e-9)
+    banded = sets.select("node", "fp", F.posexplode("bands").alias("part", "value"))
+    links = set_links(sets.select("node", "fp")).unionByName(bucket_links(banded, WIDE_DISTANCE))
+    groups = materialise(connected_components(links))
     wanted = groups.join(nodes, "node").select("node", F.col("root").alias("group"), F.col("least.doc_id").alias("_id"), F.col("least.row_hash").alias("_hash"))
     found = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"]) & (docs["row_hash"] == wanted["_hash"]))
     classes = connected_components(verified_links(found.select("group", "node", "text"), similarity, width))
