@@ -28,6 +28,14 @@ def test_refreshed_profiles_of_any_number_of_files(spark, small, tmp_path, files
     assert len(found) and rows_of(found) == rows_of(wanted)
 
 
+@pytest.mark.parametrize("files", [0, 1, 3])
+def test_global_vectors_of_any_number_of_files(spark, small, tmp_path, files):
+    folder = laid(spark, small, tmp_path, files)
+    found = QUERIES["stream_profile_global"](spark, folder).toPandas()
+    wanted = duck(small, ["embeddings"]).execute(ORACLE_SQL["stream_profile_global"]).df()
+    assert len(found) and rows_of(found) == rows_of(wanted)
+
+
 def test_refreshed_profiles_of_no_rows(spark, small, tmp_path):
     spark.read.parquet(f"{small}/embeddings.parquet").limit(0).write.parquet(f"{tmp_path}/embeddings.parquet")
     assert not QUERIES["stream_refreshed_profiles"](spark, str(tmp_path)).count()
