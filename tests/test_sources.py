@@ -255,3 +255,10 @@ def test_stream_refreshes_touched_profiles(spark, tmp_path):
     wanted = spark.createDataFrame([("a", i, vectors[i]) for i in range(20)] + [("b", i, vectors[i]) for i in range(12)], schema)
     for r in profiles.aggregate(wanted).collect():
         assert found[r["profile_id"]]["assignments"] == r["assignments"]
+
+
+def test_profiles_are_not_broadcast(spark, small):
+    """Their rows hold three vectors each, whatever the optimizer takes them for."""
+    made = queries.QUERIES["profile_job_contract"](spark, small)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "LeftOuter" in plan and not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "LeftOuter" in line]

@@ -153,7 +153,8 @@ def run_jobs(
     allowed = sampling.within_limit(F.col("duration_s"), most_seconds)
     taken = windows.join(recordings.filter(allowed).select("profile_id"), "profile_id", "left_semi")
     found = outcomes(embedded(taken, rules, embedder, **options), fraction)
-    met = recordings.select("profile_id", "duration_s").join(found.drop("duration_s"), "profile_id", "left")
+    # profiles look small to the optimizer, and hold three vectors each: never sent whole
+    met = recordings.select("profile_id", "duration_s").join(found.drop("duration_s").hint("merge"), "profile_id", "left")
     why = F.when(F.col("duration_s").isNull(), UNREADABLE).when(~allowed, TOO_LONG).when(F.col("considered").isNull(), UNREADABLE)
     return met.withColumn("error", F.coalesce(why, "error")).withColumn("error_type", error_type(F.col("error")))
 
