@@ -66,6 +66,24 @@ def test_pruned_blocks_match_all_pairs(spark, monkeypatch, whole_only):
     assert not nearest.nearest_in_catalogue(table.limit(0)).count() and not nearest.nearest_in_catalogue(table.limit(1)).count()
 
 
+def test_pairs_of_blocks_shuffle_no_vectors(spark, monkeypatch):
+    """What lies on disk grows with the profiles: blocks meet where they are read, and only bests are dealt anew."""
+    monkeypatch.setattr(nearest, "BLOCK", 8)
+    plans, kept = [], nearest.written
+    monkeypatch.setattr(nearest, "written", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df))[1])
+    x = np.random.default_rng(4).normal(size=(96, 6))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).tolist()
+    rows = spark.createDataFrame([(i, v, v, v[::-1], 0.75, 0.25) for i, v in enumerate(x)], "ordinal long, g array<double>, c1 array<double>, c2 array<double>, w1 double, w2 double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert nearest.nearest_in_catalogue(rows, keep=False).count() == 96
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    met = [p for p in plans if "CartesianProduct" in p]
+    assert len(met) == 2
+    for plan in met:
+        dealt = [line for line in plan.splitlines() if " Exchange " in line]
+        assert dealt and all("ordinal" in line for line in dealt)
+
+
 def test_coverage_is_symmetric_and_bounded(spark):
     light = [(1, 1, "b", "global", 1.0, [0.6, 0.8]), (1, 1, "b", "cluster_1", 1.0, [0.6, 0.8]), (1, 1, "b", "cluster_2", 0.0, [0.6, 0.8])]
     other = [(1, 0, "a", "global", 1.0, [1.0, 0.1]), (1, 0, "a", "cluster_1", 0.75, [1.0, 0.0]), (1, 0, "a", "cluster_2", 0.25, [0.0, 1.0])]
